@@ -1,0 +1,8 @@
+"""All registered queries."""
+
+from rentlake.catalog import scalar_queries  # noqa: F401
+from rentlake.catalog.registry import ORACLES, QUERIES
+
+FLAGSHIP = "w4_digest_cut"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

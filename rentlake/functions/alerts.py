@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.functions import amounts
-from rentlake.functions.regex import collapse, cut, filled, group, has, number_text, strip
+from rentlake.functions.regex import collapse, cut, filled, group, has, number_text, stages, strip
 
 
 def body(html: Column, text: Column) -> Column:
@@ -73,20 +73,22 @@ def _square_metres(area_sqm: Column) -> Column:
     return F.concat(number_text(area_sqm), F.lit(" m²"))
 
 
-def subject_fields(subject: Column) -> dict[str, Column]:
+def with_subject_fields(df: DataFrame, subject: str, prefix: str) -> DataFrame:
     """Title, rent, area and place of a pipe-delimited subject; NULL elsewhere."""
-    text = strip(group(subject, V.SUBJECT_ALERT))
-    parts = F.transform(F.split(text, r"\|"), strip)
-    tail = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), ", ")
-    hint = F.nullif(cut(F.when(F.size(parts) >= 3, tail).otherwise(F.element_at(parts, -1)), 120), F.lit(""))
-    area = amounts.area(text)
-    named = F.concat_ws(" — ", _square_metres(area), hint)
-    return {
-        "title": F.when(text.isNotNull(), F.coalesce(F.nullif(named, F.lit("")), cut(text, 200))),
-        "rent_eur": amounts.rent(text),
-        "area_sqm": area,
-        "location_hint": hint,
-    }
+    p = {n: f"{prefix}{n}" for n in ("title", "rent_eur", "area_sqm", "location_hint")}
+    text, parts = f"_{prefix}text", f"_{prefix}parts"
+    size = F.size(parts)
+    tail = F.array_join(F.slice(parts, 3, F.greatest(size, F.lit(1))), ", ")
+    hint = F.when(size >= 3, tail).otherwise(F.element_at(F.col(parts), -1))
+    named = F.concat_ws(" — ", _square_metres(F.col(p["area_sqm"])), F.col(p["location_hint"]))
+    df = stages(
+        df,
+        {text: strip(group(F.col(subject), V.SUBJECT_ALERT))},
+        {parts: F.transform(F.split(F.col(text), r"\|"), strip), p["area_sqm"]: amounts.area(F.col(text))},
+        {p["location_hint"]: F.nullif(cut(hint, 120), F.lit(""))},
+        {p["title"]: F.when(F.col(text).isNotNull(), F.coalesce(F.nullif(named, F.lit("")), cut(F.col(text), 200)))},
+    )
+    return amounts.with_rent(df, text, p["rent_eur"]).drop(text, parts)
 
 
 def built_title(title: Column, area_sqm: Column, hint: Column, rent_eur: Column) -> Column:
@@ -95,14 +97,10 @@ def built_title(title: Column, area_sqm: Column, hint: Column, rent_eur: Column)
     return cut(F.when(is_meaningful_title(title), strip(title)).otherwise(F.coalesce(facts, price)), 200)
 
 
-def block_fields(block: Column) -> dict[str, Column]:
+def block_hint(block: Column) -> Column:
+    """Place named in a text block, else the city if it is named."""
     place = cut(collapse(group(block, V.BLOCK_LOCATION, 0)), 120)
-    return {
-        "rent_eur": amounts.rent(block),
-        "area_sqm": amounts.area(block),
-        "rooms": amounts.rooms(block),
-        "location_hint": F.coalesce(place, F.when(has(block, V.CITY_WORD), F.lit("Torino"))),
-    }
+    return F.coalesce(place, F.when(has(block, V.CITY_WORD), F.lit("Torino")))
 
 
 def hint_from_title(title: Column) -> Column:

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
-from rentlake.functions.regex import group, half_up, has, js
-
-
-def parse_amount(raw: Column) -> Column:
-    """European number text to a whole amount; NULL if it does not start with a digit."""
-    bare = F.regexp_replace(raw, js(r"\s"), "")
-    comma, dot = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
-    plain = (
-        F.when(comma & dot & bare.rlike(r",[^.]*\z"), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(comma & dot, F.replace(bare, F.lit(","), F.lit("")))
-        .when(bare.rlike(r"\A[^,]*,[^,]{3}\z"), F.replace(bare, F.lit(","), F.lit("")))
-        .when(comma, F.replace(bare, F.lit(","), F.lit(".")))
-        .when(bare.rlike(r"\A\d{1,3}(\.\d{3})+\z"), F.replace(bare, F.lit("."), F.lit("")))
-        .otherwise(bare)
-    )
-    head = F.nullif(F.regexp_extract(plain, r"\A\d+(\.\d+)?", 0), F.lit(""))
-    amount = half_up(head.try_cast("double"))
-    return F.when((amount == 1) & plain.rlike(r"\A1\.0+\z"), F.lit(1000)).otherwise(amount).cast("bigint")
+from rentlake.functions.regex import group, half_up, has, js, stages
+
+
+def with_amounts(df: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """European number text (column) to a whole amount (new column).
+
+    NULL if the text does not start with a digit.
+    """
+    bare, plain, number = {}, {}, {}
+    for out, raw in outs.items():
+        text = F.col(f"_{out}_bare")
+        bare[f"_{out}_bare"] = F.regexp_replace(F.col(raw), js(r"\s"), "")
+        comma, dot = F.contains(text, F.lit(",")), F.contains(text, F.lit("."))
+        no_dots, no_commas = F.replace(text, F.lit("."), F.lit("")), F.replace(text, F.lit(","), F.lit(""))
+        plain[f"_{out}_plain"] = (
+            F.when(comma & dot & text.rlike(r",[^.]*\z"), F.replace(no_dots, F.lit(","), F.lit(".")))
+            .when(comma & dot, no_commas)
+            .when(text.rlike(r"\A[^,]*,[^,]{3}\z"), no_commas)
+            .when(comma, F.replace(text, F.lit(","), F.lit(".")))
+            .when(text.rlike(r"\A\d{1,3}(\.\d{3})+\z"), no_dots)
+            .otherwise(text)
+        )
+        head = F.regexp_extract(F.col(f"_{out}_plain"), r"\A\d+(\.\d+)?", 0)
+        number[f"_{out}_n"] = half_up(head.try_cast("double"))
+    final = {
+        out: F.when((F.col(f"_{out}_n") == 1) & F.col(f"_{out}_plain").rlike(r"\A1\.0+\z"), F.lit(1000))
+        .otherwise(F.col(f"_{out}_n"))
+        .cast("bigint")
+        for out in outs
+    }
+    return stages(df, bare, plain, number, final).drop(*bare, *plain, *number)
 
 
 def repair_thousand(amount: Column, text: Column) -> Column:
@@ -31,24 +44,26 @@ def repair_thousand(amount: Column, text: Column) -> Column:
     return F.when(has(text, V.RENT_THOUSAND) | (amount == 1), F.lit(1000)).otherwise(amount)
 
 
-def accept_rent(amount: Column, text: Column) -> Column:
-    fixed = repair_thousand(amount, text)
-    plausible = fixed.between(V.RENT_MIN, V.RENT_MAX)
+def accepted(fixed: Column, text: Column) -> Column:
+    """A repaired amount in the plausible range; a high one only if named monthly."""
     named_monthly = (fixed <= V.RENT_HINT_ABOVE) | has(text, V.RENT_MONTH_WORD)
-    return F.when(plausible & named_monthly, fixed).cast("int")
-
-
-def rent(text: Column) -> Column:
-    """Monthly rent: named monthly, else after the sign, else before it."""
-    monthly = group(text, V.RENT_MONTHLY)
-    after = group(text, V.RENT_AFTER_SIGN)
-    is_area = F.regexp_extract(text, js(V.RENT_AFTER_SIGN_TAIL), 1).rlike(js(V.AREA_TAIL))
-    before = group(text, V.RENT_BEFORE_SIGN)
-    return F.coalesce(
-        F.when(monthly.isNotNull(), accept_rent(parse_amount(monthly), text)),
-        F.when(after.isNotNull() & ~is_area, accept_rent(parse_amount(after), text)),
-        F.when(before.isNotNull(), accept_rent(parse_amount(before), text)),
-    )
+    return F.when((fixed >= V.RENT_MIN) & (fixed <= V.RENT_MAX) & named_monthly, fixed).cast("int")
+
+
+def with_rent(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Monthly rent of a text: named monthly, else after the sign, else before it."""
+    t = F.col(text)
+    raw = {f"_{out}_r0": V.RENT_MONTHLY, f"_{out}_r1": V.RENT_AFTER_SIGN, f"_{out}_r2": V.RENT_BEFORE_SIGN}
+    read = {name: group(t, pattern) for name, pattern in raw.items()}
+    area_follows = F.regexp_extract(t, js(V.RENT_AFTER_SIGN_TAIL), 1).rlike(js(V.AREA_TAIL))
+    amounts = {f"{name}n": name for name in raw}
+    fixed = {
+        f"{name}f": F.when(F.col(name).isNotNull(), repair_thousand(F.col(f"{name}n"), t)) for name in raw
+    }
+    first, second, third = [accepted(F.col(name), t) for name in fixed]
+    df = with_amounts(df.withColumns(read), amounts).withColumns(fixed)
+    rent = F.coalesce(first, F.when(~area_follows, second), third)
+    return df.withColumn(out, rent).drop(*read, *amounts, *fixed)
 
 
 def has_monthly_hint(text: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.functions import amounts
-from rentlake.functions.regex import collapse, cut, cut_before, filled, group, has, has_any, js, strip
+from rentlake.functions.regex import collapse, cut, filled, group, has, has_any, js, strip, with_cut
 
 
 def strip_html(html: Column) -> Column:
@@ -24,13 +24,14 @@ def decode_href(href: Column) -> Column:
     return F.replace(F.replace(href, F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
 
 
-def cut_at_comments(text: Column) -> Column:
-    return F.trim(cut_before(text, V.FEED_CUT_MARKERS, 30))
+def with_comments_cut(df: DataFrame, src: str, out: str) -> DataFrame:
+    return with_cut(df, src, out, V.FEED_CUT_MARKERS, 30).withColumn(out, F.trim(F.col(out)))
 
 
-def clean(text: Column) -> Column:
+def with_clean(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Collapsed text without the comment thread that follows a post."""
-    return cut_before(collapse(text), V.FEED_UI_MARKERS, 20)
+    df = df.withColumn(f"_{out}_flat", collapse(text))
+    return with_cut(df, f"_{out}_flat", out, V.FEED_UI_MARKERS, 20).drop(f"_{out}_flat")
 
 
 def is_student(text: Column) -> Column:
@@ -61,12 +62,13 @@ def is_post_url(canonical_url: Column) -> Column:
 
 
 def gate_text(message: Column, title: Column, snippet: Column) -> Column:
+    """Text the gate looks at, before ``with_clean``."""
     blank = F.lit("")
-    return clean(F.concat_ws(" ", F.coalesce(message, blank), F.coalesce(title, blank), F.coalesce(snippet, blank)))
+    return F.concat_ws(" ", F.coalesce(message, blank), F.coalesce(title, blank), F.coalesce(snippet, blank))
 
 
 def keeps_draft(cleaned, canonical_url, rent_eur, rooms, area_sqm, hint) -> Column:
-    """Gate before a draft of a post reaches the listing table; takes ``gate_text``."""
+    """Gate before a draft of a post reaches the listing table; takes the cleaned gate text."""
     dear = F.coalesce(rent_eur > V.RENT_HINT_ABOVE, F.lit(False)) & ~amounts.has_monthly_hint(cleaned)
     priced = names_price(cleaned)
     in_range = F.coalesce(rent_eur.between(200, 1500), F.lit(False))
@@ -81,22 +83,21 @@ def keeps_draft(cleaned, canonical_url, rent_eur, rooms, area_sqm, hint) -> Colu
     )
 
 
-def digest_ready(title, rent_eur, area_sqm, rooms, hint) -> Column:
+def digest_ready(title, cleaned_title, rent_eur, area_sqm, rooms, hint) -> Column:
     """Gate before a post listing reaches the digest."""
     name = F.coalesce(title, F.lit(""))
     facts = area_sqm.isNotNull() | rooms.isNotNull() | filled(hint).isNotNull()
     return (
         ~is_noise(name)
-        & ~is_conversation(clean(name))
+        & ~is_conversation(cleaned_title)
         & F.coalesce(rent_eur >= 200, F.lit(False))
         & facts
         & (F.length(strip(name)) >= 15)
     )
 
 
-def post_title(message: Column) -> Column:
-    """First sentence longer than ten characters, else the head of the text."""
-    cleaned = clean(message)
+def post_title(cleaned: Column) -> Column:
+    """First sentence longer than ten characters, else the head of the cleaned text."""
     lines = F.filter(F.transform(F.split(cleaned, r"[.\n]"), strip), lambda x: F.length(x) > 10)
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), cut(cleaned, 120))
     return F.coalesce(F.nullif(cut(first, 200), F.lit("")), F.lit(V.POST_TITLE_DEFAULT))

@@ -7,7 +7,7 @@ very end of the text.  ``js`` rewrites those and folds case the Unicode way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WIDE = "".join(map(chr, (0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
@@ -89,9 +89,27 @@ def half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5))
 
 
-def cut_before(text: Column, patterns, beyond: int) -> Column:
-    """Cut at each marker in turn when its first hit lies past ``beyond`` characters."""
-    for pattern in patterns:
-        head = F.split(text, js(pattern), 2).getItem(0)
-        text = F.when(F.length(head) > beyond, F.trim(head)).otherwise(text)
-    return text
+def stages(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """Add columns step by step; a step may use the columns of the ones before.
+
+    A column that later steps read more than once is computed once: the optimizer keeps
+    such projections apart, and they still run in one generated function.
+    """
+    for step in steps:
+        df = df.withColumns(step)
+    return df
+
+
+def with_cut(df: DataFrame, src: str, out: str, patterns, beyond: int) -> DataFrame:
+    """Cut ``src`` at each marker in turn when its first hit lies past ``beyond`` characters."""
+    now, temporary = src, []
+    for i, pattern in enumerate(patterns):
+        head, text = f"_{out}_head{i}", f"_{out}_text{i}"
+        df = stages(
+            df,
+            {head: F.split(F.col(now), js(pattern), 2).getItem(0)},
+            {text: F.when(F.length(head) > beyond, F.trim(F.col(head))).otherwise(F.col(now))},
+        )
+        temporary += [head, text]
+        now = text
+    return df.withColumn(out, F.col(now)).drop(*temporary)

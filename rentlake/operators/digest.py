@@ -40,8 +40,8 @@ def may_send(sent_at: Column, price_changed_at: Column, dismissed_at: Column) ->
     return dismissed_at.isNull() & (sent_at.isNull() | F.coalesce(sent_at < price_changed_at, F.lit(False)))
 
 
-def skip_reason(c: Criteria, min_score: int = 25, min_rent: int = 200) -> Column:
-    """Why a ranked listing is left out, checked in this order; NULL if it goes in."""
+def with_skip_reason(view: DataFrame, c: Criteria, min_score: int = 25, min_rent: int = 200) -> DataFrame:
+    """Add why a listing is left out, checked in this order; NULL if it goes in."""
     k = F.col
     text = rules.search_text(F.lit(None).cast("string"), k("location_hint"), k("title"))
     casa_ok = (
@@ -49,8 +49,8 @@ def skip_reason(c: Criteria, min_score: int = 25, min_rent: int = 200) -> Column
         & alerts.is_meaningful_title(k("title"))
         & (k("area_sqm").isNotNull() | filled(k("location_hint")).isNotNull())
     )
-    post_ok = posts.digest_ready(k("title"), k("rent_eur"), k("area_sqm"), k("rooms"), k("location_hint"))
-    return (
+    post_ok = posts.digest_ready(k("title"), k("_clean_title"), k("rent_eur"), k("area_sqm"), k("rooms"), k("location_hint"))
+    reason = (
         F.when((k("source") == "casa.it") & ~casa_ok, F.lit("incomplete alert"))
         .when((k("source") == V.POST_SOURCE) & ~post_ok, F.lit("incomplete post"))
         .when(~rules.meets_hard(c, text, k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur")), F.lit("hard criteria"))
@@ -58,6 +58,8 @@ def skip_reason(c: Criteria, min_score: int = 25, min_rent: int = 200) -> Column
         .when(k("rent_eur") < min_rent, F.lit("low rent"))
         .when(~may_send(k("sent_at"), k("price_changed_at"), k("dismissed_at")), F.lit("already sent"))
     )
+    cleaned = posts.with_clean(view, F.coalesce("title", F.lit("")), "_clean_title")
+    return cleaned.withColumn("skip_reason", reason).drop("_clean_title")
 
 
 def top(view: DataFrame, n: int) -> DataFrame:
@@ -66,7 +68,7 @@ def top(view: DataFrame, n: int) -> DataFrame:
 
 def selection(view: DataFrame, c: Criteria, top_n: int = 10, **limits) -> DataFrame:
     """The ``top_n`` best listings that pass every filter."""
-    return top(view.where(skip_reason(c, **limits).isNull()), top_n)
+    return top(with_skip_reason(view, c, **limits).where("skip_reason is null"), top_n)
 
 
 def batches(chosen: DataFrame, per_run: int = 10) -> DataFrame:

@@ -33,25 +33,27 @@ def generic_drafts(messages: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("pos", "subject", "sender", "text", "block")).alias("a"))
         .select("message_id", "canonical_url", "a.*")
     )
-    subject, text, block = F.col("subject"), F.col("text"), F.col("block")
-    staged = first.withColumn("context", cut(collapse(F.concat_ws(" ", subject, block, text)), 500))
-    named = alerts.subject_fields(F.col("subject"))
-    inner = alerts.block_fields(F.col("block"))
-    casa, context = alerts.from_casa(F.col("sender")), F.col("context")
-
-    def for_casa(value):
-        return F.when(casa, value)
-
-    staged = staged.select(
-        "*",
-        for_casa(named["title"]).alias("s_title"),
-        for_casa(named["location_hint"]).alias("s_hint"),
-        for_casa(inner["location_hint"]).alias("b_hint"),
-        F.coalesce(amounts.rent(context), for_casa(inner["rent_eur"]), for_casa(named["rent_eur"])).alias("rent_eur"),
-        F.coalesce(amounts.area(context), for_casa(inner["area_sqm"]), for_casa(named["area_sqm"])).alias("area_sqm"),
-        F.coalesce(amounts.rooms(context), amounts.rooms(block)).alias("rooms"),
+    text, block, context = F.col("text"), F.col("block"), F.col("context")
+    casa = alerts.from_casa(F.col("sender"))
+    staged = first.withColumns(
+        {
+            "context": cut(collapse(F.concat_ws(" ", "subject", block, text)), 500),
+            "casa_subject": F.when(casa, F.col("subject")),
+            "casa_block": F.when(casa, block),
+        }
+    )
+    staged = amounts.with_rent(staged, "context", "c_rent")
+    staged = amounts.with_rent(staged, "casa_block", "b_rent")
+    staged = alerts.with_subject_fields(staged, "casa_subject", "s_")
+    staged = staged.withColumns(
+        {
+            "b_hint": alerts.block_hint(F.col("casa_block")),
+            "rent_eur": F.coalesce("c_rent", "b_rent", "s_rent_eur"),
+            "area_sqm": F.coalesce(amounts.area(context), amounts.area(F.col("casa_block")), F.col("s_area_sqm")),
+            "rooms": F.coalesce(amounts.rooms(context), amounts.rooms(block)),
+        }
     )
-    hint = F.coalesce(F.col("s_hint"), F.col("b_hint"), F.when(~casa, F.nullif(cut(block, 120), F.lit(""))))
+    hint = F.coalesce(F.col("s_location_hint"), F.col("b_hint"), F.when(~casa, F.nullif(cut(block, 120), F.lit(""))))
     staged = staged.withColumn("location_hint", hint).withColumn(
         "plain_title",
         F.when(alerts.is_call_to_action(text), F.col("s_title")).otherwise(
@@ -89,7 +91,7 @@ def idealista_drafts(messages: DataFrame) -> DataFrame:
         .select("message_id", "external_id", "a.*")
     )
     block, url = F.col("block"), urls.immobile_url(F.col("external_id"))
-    return best.select(
+    return amounts.with_rent(best, "block", "rent").select(
         "message_id",
         "sender",
         url.alias("canonical_url"),
@@ -98,7 +100,7 @@ def idealista_drafts(messages: DataFrame) -> DataFrame:
         "external_id",
         cut(text, 200).alias("title"),
         alerts.hint_from_title(text).alias("location_hint"),
-        F.when(amounts.has_monthly_hint(block), amounts.rent(block)).alias("rent_eur"),
+        F.when(amounts.has_monthly_hint(block), F.col("rent")).alias("rent_eur"),
         amounts.condo_fee(block).alias("condo_fee_eur"),
         amounts.area(block).alias("area_sqm"),
         F.coalesce(amounts.rooms(block), amounts.rooms_from_words(text), amounts.rooms_from_words(block)).alias("rooms"),
@@ -109,10 +111,10 @@ def idealista_drafts(messages: DataFrame) -> DataFrame:
 def immobiliare_drafts(messages: DataFrame) -> DataFrame:
     """One draft per stable key of a message; click links change, the key does not."""
     text, block = F.col("text"), F.col("block")
+    anchors = message_anchors(messages).where(alerts.immobiliare_anchor(text))
     read = (
-        message_anchors(messages)
-        .where(alerts.immobiliare_anchor(text))
-        .select("*", amounts.rent(block).alias("rent_eur"), amounts.area(block).alias("area_sqm"))
+        amounts.with_rent(anchors, "block", "rent_eur")
+        .withColumn("area_sqm", amounts.area(block))
         .withColumn("canonical_url", keys.alert_url(text, F.col("rent_eur"), F.col("area_sqm")))
         .groupBy("message_id", "canonical_url")
         .agg(F.min(F.struct("pos", "sender", "href", "text", "block", "rent_eur", "area_sqm")).alias("a"))

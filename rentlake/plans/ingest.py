@@ -35,7 +35,7 @@ def post_drafts(found: DataFrame, c: Criteria) -> DataFrame:
     """Drafts of posts that are not student housing, with ``kept``."""
     k = F.col
     drafts = feed.post_drafts(found.where(~posts.is_student(k("message"))))
-    drafts = drafts.withColumn("_gate", posts.gate_text(k("message"), k("title"), k("raw_snippet")))
+    drafts = posts.with_clean(drafts, posts.gate_text(k("message"), k("title"), k("raw_snippet")), "_gate")
     gate = posts.keeps_draft(
         k("_gate"), k("canonical_url"), k("rent_eur"), k("rooms"), k("area_sqm"), k("location_hint")
     )
