@@ -10,7 +10,7 @@ from rentlake.catalog import sqlkit as S
 from rentlake.catalog.registry import projection
 from rentlake.functions import alerts, amounts, cards, keys, places, posts, replies, rules, urls
 from rentlake.functions.regex import collapse, cut, half_up
-from rentlake.operators import digest, tables
+from rentlake.operators import digest, scoring, tables
 from rentlake.operators.upsert import merged_alternates
 from rentlake.sources import landing
 
@@ -22,6 +22,14 @@ def null():
     return F.lit(None).cast("string")
 
 
+def STREETED(rows):
+    return rows.withColumn("street", keys.street_key(keys.street_text(F.col("location_hint"), F.col("title"), F.col("raw_snippet"))))
+
+
+def SCORED(rows):
+    return rows.withColumn("doc", replies.document(F.col("response"))).withColumn("scores", replies.criteria_scores(F.col("doc")))
+
+
 def CLEANED(rows):
     return posts.with_clean(rows, F.col("message"), "clean_text")
 
@@ -140,11 +148,11 @@ projection("t24_street_key", "drafts", ["draft_id"],
            {"street": S.street("title"), "accented": S.street("('Corso Così, ' || cast(draft_id as varchar) || 'B')")})
 _STREET = {"street": S.street(S.blob("location_hint", "title", "raw_snippet"))}
 projection("t25_fingerprint", "drafts", ["draft_id"],
-           lambda c: {"fingerprint": keys.fingerprint(c("location_hint"), c("title"), c("raw_snippet"), c("rent_eur"), c("rooms"), c("area_sqm"))},
-           [_STREET, {"fingerprint": f"case when rent_eur >= 100 then street || '|r' || {S.whole('rooms')} || '|a' || {S.whole('area_sqm')} || '|€' || cast(rent_eur as varchar) end"}])
+           lambda c: {"fingerprint": keys.fingerprint(c("street"), c("rent_eur"), c("rooms"), c("area_sqm"))},
+           [_STREET, {"fingerprint": f"case when rent_eur >= 100 then street || '|r' || {S.whole('rooms')} || '|a' || {S.whole('area_sqm')} || '|€' || cast(rent_eur as varchar) end"}], prepare=STREETED)
 projection("t26_match_key", "drafts", ["draft_id"],
-           lambda c: {"match_key": keys.match_key(c("location_hint"), c("title"), c("raw_snippet"), c("rent_eur"), c("rooms"))},
-           [_STREET, {"match_key": f"case when rent_eur >= 100 then street || '|r' || {S.whole('rooms')} || '|€' || cast(rent_eur as varchar) end"}])
+           lambda c: {"match_key": keys.match_key(c("street"), c("rent_eur"), c("rooms"))},
+           [_STREET, {"match_key": f"case when rent_eur >= 100 then street || '|r' || {S.whole('rooms')} || '|€' || cast(rent_eur as varchar) end"}], prepare=STREETED)
 HASH = f"left(sha256(coalesce(cast(rent_eur as varchar), '') || '|' || coalesce({S.num('area_sqm')}, '') || '|' || coalesce({S.num('rooms')}, '') || '|' || coalesce(location_hint, '')), 16)"
 projection("t27_material_hash", "drafts", ["draft_id"],
            lambda c: {"hash": keys.material_hash(c("rent_eur"), c("area_sqm"), c("rooms"), c("location_hint"))}, {"hash": HASH})
@@ -157,7 +165,7 @@ GEO_QUERY = [
     {"geo_query": "case when length(raw) >= 5 then trim(regexp_replace(regexp_replace(bare, ' +,', ',', 'g'), ',\\s*,', ',', 'g')) end"},
 ]
 projection("t29_geocode_query", "drafts", ["draft_id"],
-           lambda c: {"geo_query": places.geocode_query(c("location_hint"), c("title"), C.city_suffix)}, GEO_QUERY)
+           lambda c: {"geo_query": c("gq")}, GEO_QUERY, prepare=lambda d: places.with_geocode_query(d, F.col("location_hint"), F.col("title"), "gq", C.city_suffix))
 projection("t30_tidy_query", "drafts", ["draft_id"],
            lambda c: {"tidy": places.tidy_query(F.concat(c("title"), F.lit(" s.n.c , , "), F.coalesce(c("location_hint"), F.lit("S N C x"))))},
            [{"x": "title || ' s.n.c , , ' || coalesce(location_hint, 'S N C x')"}, {"b": S.collapse(f"regexp_replace(x, {S.re2(V.SNC)}, '', 'g')")},
@@ -250,8 +258,8 @@ def clamp_sql(x: str) -> str:
 
 SCORES = {f"k_{k}": clamp_sql(f"json_extract_string(response, '$.{k}')") for k in V.REPLY_KEYS}
 SUM = " + ".join(SCORES)
-projection("n13_composite", "replies", ["draft_id"], lambda c: {"composite": replies.composite(replies.criteria_scores(replies.document(c("response"))))},
-           [SCORES, {"composite": f"cast(least(100, {SUM}) as integer)"}])
+projection("n13_composite", "replies", ["draft_id"], lambda c: {"composite": replies.composite(c("scores"))},
+           [SCORES, {"composite": f"cast(least(100, {SUM}) as integer)"}], prepare=SCORED)
 _N = S.num
 HARD = [
     {"txt": TEXT},
@@ -299,21 +307,25 @@ def rule_steps(proximity: str | None = None, meters: str | None = None) -> list[
 
 
 def rule_column(c, proximity=None, meters=None):
-    text = rules.search_text(c("raw_snippet"), c("location_hint"), c("title"))
-    return rules.rule_score(C, text, c("rooms"), c("area_sqm"), c("rent_eur"), c("condo_fee_eur"), proximity, meters)
+    return rules.rule_score(C, c("_text"), c("rooms"), c("area_sqm"), c("rent_eur"), c("condo_fee_eur"), proximity, meters)
+
+
+def _with_rule(rows):
+    c = F.col
+    rule = rule_column(c, (c("draft_id") % 11).cast("int"), F.when(c("draft_id") % 3 > 0, (c("draft_id") % 4000).cast("int")))
+    return scoring.with_search_text(rows).withColumn("r", rule)
 
 
 def _flat_rule(c):
-    r = rule_column(c, (c("draft_id") % 11).cast("int"), F.when(c("draft_id") % 3 > 0, (c("draft_id") % 4000).cast("int")))
-    return {"score": r["score"], "reasons": F.array_join(r["reasons"], "; "), "risk_level": r["risk_level"], "risk_reasons": F.array_join(r["risk_reasons"], "; "), "risk_source": r["risk_source"]}
+    return {"score": c("r.score"), "reasons": F.array_join("r.reasons", "; "), "risk_level": c("r.risk_level"), "risk_reasons": F.array_join("r.risk_reasons", "; "), "risk_source": c("r.risk_source")}
 
 
 projection("n14_rule_score", "drafts", ["draft_id"], _flat_rule,
            [{"prox": "cast(draft_id % 11 as integer)", "met": "case when draft_id % 3 > 0 then cast(draft_id % 4000 as integer) end"}, *rule_steps("prox", "met")],
-           ["rule as score", "reasons", "risk as risk_level", "flags as risk_reasons", "case when risk = 'none' then 'none' else 'rules' end as risk_source"])
+           ["rule as score", "reasons", "risk as risk_level", "flags as risk_reasons", "case when risk = 'none' then 'none' else 'rules' end as risk_source"], prepare=_with_rule)
 projection("n15_risk_flags", "drafts", ["draft_id"],
-           lambda c: {"flags": F.array_join(rules.risk_flags(rules.search_text(c("raw_snippet"), c("location_hint"), c("title")), c("rent_eur")), "; ")},
-           [{"txt": TEXT}, {"flags": FLAGS}])
+           lambda c: {"flags": F.array_join(rules.risk_flags(c("_text"), c("rent_eur")), "; ")},
+           [{"txt": TEXT}, {"flags": FLAGS}], prepare=scoring.with_search_text)
 projection("n16_proximity_bonus", "drafts", ["draft_id"], lambda c: {"bonus": rules.proximity_bonus(c("draft_id") % 11, 15).cast("int")},
            {"bonus": "cast(floor((draft_id % 11) / 10.0 * 15 + 0.5) as integer)"})
 WR, WM = f"cast({C.rules_weight} as double)", f"cast({C.model_weight} as double)"
@@ -335,17 +347,17 @@ projection("n18_risk_merge", "replies", ["draft_id"],
 
 # --- JSON and arrays ---------------------------------------------------------
 projection("j1_criteria_scores", "replies", ["draft_id"],
-           lambda c: {k: replies.criteria_scores(replies.document(c("response")))[k] for k in V.RATING_KEYS},
-           [SCORES], [*[f"k_{k} as {S.q(k)[1:-1]}" for k in V.REPLY_KEYS], "0 as proximityToReference"])
+           lambda c: {k: c(f"scores.{k}") for k in V.RATING_KEYS},
+           [SCORES], [*[f"k_{k} as {k}" for k in V.REPLY_KEYS], "0 as proximityToReference"], prepare=SCORED)
 projection("j2_reply_result", "replies", ["draft_id"],
-           lambda c: (lambda r: {"composite": r["composite"], "summary": r["summary"], "risk_level": r["risk_level"], "n_reasons": F.size(r["risk_reasons"])})(
-               replies.result(C, F.when(c("draft_id") % 7 == 0, F.lit('{"note":1}')).when(c("draft_id") % 7 == 1, F.lit("{broken")).otherwise(c("response")))),
+           lambda c: {"composite": c("m_composite"), "summary": c("m_summary"), "risk_level": c("m_risk_level"), "n_reasons": F.when(c("m_usable"), F.size("m_risk_reasons"))},
            [SCORES, {"ok": "draft_id % 7 > 1"}],
            [f"case when ok then cast({SUM} as integer) end as composite", "case when ok then trim(json_extract_string(response, '$.summary')) end as summary",
-            "case when ok then coalesce(json_extract_string(response, '$.riskLevel'), 'none') end as risk_level", "case when ok then 0 end as n_reasons"])
+            "case when ok then coalesce(json_extract_string(response, '$.riskLevel'), 'none') end as risk_level", "case when ok then 0 end as n_reasons"],
+           prepare=lambda d: replies.with_result(d.withColumn("reply", F.when(F.col("draft_id") % 7 == 0, F.lit('{"note":1}')).when(F.col("draft_id") % 7 == 1, F.lit("{broken")).otherwise(F.col("response"))), C, "reply", "m_"))
 projection("j3_with_proximity", "replies", ["draft_id"],
-           lambda c: {"composite": replies.composite(replies.with_proximity(replies.criteria_scores(replies.document(c("response"))), F.when(c("draft_id") % 3 > 0, c("draft_id") % 14)))},
-           [SCORES, {"composite": f"cast({SUM} + case when draft_id % 3 > 0 then least(10, draft_id % 14) else 0 end as integer)"}])
+           lambda c: {"composite": replies.composite(replies.with_proximity(c("scores"), F.when(c("draft_id") % 3 > 0, c("draft_id") % 14)))},
+           [SCORES, {"composite": f"cast({SUM} + case when draft_id % 3 > 0 then least(10, draft_id % 14) else 0 end as integer)"}], prepare=SCORED)
 LABELS = {k: label for k, label, _ in C.rating_labels}
 
 
@@ -354,8 +366,8 @@ def scores_line(total: str, proximity: str) -> str:
     return f"'🤖 AI (' || cast({total} as varchar) || '/100): ' || {parts} || ', Proximity ' || cast({proximity} as varchar) || '/10'"
 
 
-projection("j4_scores_text", "replies", ["draft_id"], lambda c: {"line": replies.scores_text(C, replies.criteria_scores(replies.document(c("response"))))},
-           [SCORES, {"line": scores_line(f"({SUM})", "0")}])
+projection("j4_scores_text", "replies", ["draft_id"], lambda c: {"line": replies.scores_text(C, c("scores"))},
+           [SCORES, {"line": scores_line(f"({SUM})", "0")}], prepare=SCORED)
 
 
 def _merged(c):
@@ -372,8 +384,8 @@ projection("j6_text_array", "drafts", ["draft_id"],
                    F.concat(F.lit('["'), c("title"), F.lit('",'), c("draft_id").cast("string"), F.lit("]"))))),
            [{"arr": "draft_id % 4 > 1"}], ["case when arr then 2 else 0 end as size", "case when arr then title || '|' || cast(draft_id as varchar) else '' end as joined"])
 projection("j8_matched_zones", "drafts", ["draft_id"],
-           lambda c: {"zones": F.array_join(rules.matched_zones(C, rules.search_text(c("raw_snippet"), c("location_hint"), c("title"))), ", ")},
-           [{"txt": TEXT}, {"zones": ZONES}])
+           lambda c: {"zones": F.array_join(rules.matched_zones(C, c("_text")), ", ")},
+           [{"txt": TEXT}, {"zones": ZONES}], prepare=scoring.with_search_text)
 
 # --- predicates --------------------------------------------------------------
 BODY = "coalesce(nullif(html_body, ''), text_body)"
@@ -424,12 +436,11 @@ projection("p9_post_digest_gate", "posts", ["post_id"],
 
 
 def _fails(c):
-    text = rules.search_text(c("raw_snippet"), c("location_hint"), c("title"))
-    return rules.hard_failures(C, text, c("rooms"), c("area_sqm"), c("rent_eur"), c("condo_fee_eur"))
+    return rules.hard_failures(C, c("_text"), c("rooms"), c("area_sqm"), c("rent_eur"), c("condo_fee_eur"))
 
 
-projection("p10_hard_failures", "drafts", ["draft_id"], lambda c: {"failures": F.array_join(_fails(c), "; ")}, HARD, ["fails as failures"])
-projection("p11_meets_hard", "drafts", ["draft_id"], lambda c: {"ok": F.size(_fails(c)) == 0}, HARD, ["fails = '' as ok"])
+projection("p10_hard_failures", "drafts", ["draft_id"], lambda c: {"failures": F.array_join(_fails(c), "; ")}, HARD, ["fails as failures"], prepare=scoring.with_search_text)
+projection("p11_meets_hard", "drafts", ["draft_id"], lambda c: {"ok": F.size(_fails(c)) == 0}, HARD, ["fails = '' as ok"], prepare=scoring.with_search_text)
 projection("p12_sender_class", "messages", ["message_id"],
            lambda c: {"immobiliare": alerts.from_immobiliare(c("from_address"), c("subject")), "idealista": alerts.from_idealista(c("from_address")), "casa": alerts.from_casa(c("from_address"))},
            {"immobiliare": "contains(lower(from_address), 'immobiliare.it') or contains(lower(subject), 'listings for your search') or contains(lower(subject), 'nuovi annunci')",
@@ -448,7 +459,7 @@ projection("p17_may_send", "listings", ["id"],
            lambda c: {"send": digest.may_send(c("sent_at"), c("price_changed_at"), c("dismissed_at"))},
            {"send": "dismissed_at is null and (sent_at is null or coalesce(sent_at < price_changed_at, false))"})
 projection("p19_near_landmark", "drafts", ["draft_id"],
-           lambda c: {"near": rules.near_landmark(C, rules.search_text(c("raw_snippet"), c("location_hint"), c("title")))}, [{"txt": TEXT}, {"near": LANDMARK}])
+           lambda c: {"near": rules.near_landmark(C, c("_text"))}, [{"txt": TEXT}, {"near": LANDMARK}], prepare=scoring.with_search_text)
 projection("d3_time_texts", "listings", ["id"],
            lambda c: {"day": F.date_format(c("last_seen_at"), "dd/MM/yyyy"), "plain": tables.plain_time(c("sent_at")), "iso": tables.iso(c("last_seen_at"))},
            {"day": "strftime(last_seen_at, '%d/%m/%Y')", "plain": "coalesce(strftime(sent_at, '%Y-%m-%d %H:%M:%S'), '—')", "iso": "strftime(last_seen_at, '%Y-%m-%dT%H:%M:%S.000Z')"})

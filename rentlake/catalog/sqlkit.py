@@ -12,7 +12,7 @@ def q(text: str) -> str:
 
 def re2(pattern: str, fold_case: bool = True) -> str:
     """Pattern as a literal in RE2 spelling."""
-    return q(("(?i)" if fold_case else "") + respell(pattern, SPACE, r"\b", "$"))
+    return q(("(?i)" if fold_case else "") + respell(pattern, SPACE, lambda *_: r"\b", "$"))
 
 
 def has(x: str, *patterns: str, fold_case: bool = True) -> str:

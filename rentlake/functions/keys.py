@@ -28,23 +28,23 @@ _MARKED, _PLAIN = _accent_pairs()
 
 def fold(text: Column) -> Column:
     """Lower case, no accents, full stops and commas as blanks, blanks collapsed."""
-    bare = F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}", "")
-    return collapse(F.translate(bare, ".,", "  "))
+    low = F.lower(text)
+    bare = F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\p{M}", "")
+    is_ascii = F.octet_length(text) == F.length(text)
+    return collapse(F.translate(F.when(is_ascii, low).otherwise(bare), ".,", "  "))
 
 
 def street_key(text: Column) -> Column:
     """``via-<name>[-<number>]`` of the first street in the text."""
-    folded = fold(text)
-    name = F.nullif(F.regexp_extract(folded, js(V.STREET), 1), F.lit(""))
-    number = F.nullif(F.regexp_extract(folded, js(V.STREET), 2), F.lit(""))
-    return F.when(name.isNotNull(), F.concat_ws("-", F.lit("via"), name, number))
+    words = F.split(F.regexp_extract(fold(text), js(V.STREET, fold_case=False), 0), " ")
+    rest = F.array_join(F.slice(words, 2, 2), "-")
+    return F.concat(F.lit("via-"), F.nullif(rest, F.lit("")))
 
 
-def _street(hint: Column, title: Column, snippet: Column) -> Column:
+def street_text(hint: Column, title: Column, snippet: Column) -> Column:
+    """Where the street of a listing is looked for."""
     blank = F.lit("")
-    return street_key(
-        F.concat_ws(" ", F.coalesce(hint, blank), F.coalesce(title, blank), F.coalesce(snippet, blank))
-    )
+    return F.concat_ws(" ", F.coalesce(hint, blank), F.coalesce(title, blank), F.coalesce(snippet, blank))
 
 
 def _whole(value: Column) -> Column:
@@ -55,16 +55,17 @@ def _if_rent(rent_eur: Column, key: Column) -> Column:
     return F.when(rent_eur >= 100, key)
 
 
-def fingerprint(hint, title, snippet, rent_eur, rooms, area_sqm) -> Column:
-    street = _street(hint, title, snippet)
-    key = F.concat(street, F.lit("|r"), _whole(rooms), F.lit("|a"), _whole(area_sqm), F.lit("|€"), rent_eur.cast("string"))
-    return _if_rent(rent_eur, key)
+def fingerprint(street, rent_eur, rooms, area_sqm) -> Column:
+    """Key across portals: street, rooms, area and rent."""
+    return _if_rent(
+        rent_eur,
+        F.concat(street, F.lit("|r"), _whole(rooms), F.lit("|a"), _whole(area_sqm), F.lit("|€"), rent_eur.cast("string")),
+    )
 
 
-def match_key(hint, title, snippet, rent_eur, rooms) -> Column:
-    street = _street(hint, title, snippet)
-    key = F.concat(street, F.lit("|r"), _whole(rooms), F.lit("|€"), rent_eur.cast("string"))
-    return _if_rent(rent_eur, key)
+def match_key(street, rent_eur, rooms) -> Column:
+    """Softer key without the area."""
+    return _if_rent(rent_eur, F.concat(street, F.lit("|r"), _whole(rooms), F.lit("|€"), rent_eur.cast("string")))
 
 
 def material_hash(rent_eur, area_sqm, rooms, hint) -> Column:

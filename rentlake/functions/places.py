@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.functions.keys import fold
-from rentlake.functions.regex import collapse, filled, half_up, js, strip
+from rentlake.functions.regex import collapse, filled, half_up, js, stages, strip
 
 
 def geocode_key(query: Column) -> Column:
@@ -19,15 +19,18 @@ def tidy_query(query: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r" +,", ","), r",\s*,", ","))
 
 
-def geocode_query(hint: Column, title: Column, suffix: str | None = None) -> Column:
+def with_geocode_query(df: DataFrame, hint: Column, title: Column, out: str, suffix: str | None = None) -> DataFrame:
     """Hint, else title; NULL if shorter than five; city added unless named."""
-    raw = collapse(F.coalesce(filled(strip(hint)), filled(strip(title)), F.lit("")))
+    raw = F.col(f"_{out}_raw")
     query = raw
     if suffix and suffix.strip():
         low = F.lower(raw)
         named = F.contains(low, F.lit("torino")) | F.contains(low, F.lit("turin"))
         query = F.when(named, raw).otherwise(F.concat(raw, F.lit(", " + suffix.strip())))
-    return F.when(F.length(raw) >= 5, tidy_query(query))
+    source = F.coalesce(filled(strip(hint)), filled(strip(title)), F.lit(""))
+    return stages(
+        df, {f"_{out}_raw": collapse(source)}, {out: F.when(F.length(raw) >= 5, tidy_query(query))}
+    ).drop(f"_{out}_raw")
 
 
 def haversine_m(lat1, lng1, lat2, lng2) -> Column:

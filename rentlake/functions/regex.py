@@ -7,15 +7,43 @@ very end of the text.  ``js`` rewrites those and folds case the Unicode way.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WIDE = "".join(map(chr, (0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 SPACE = r"\s\x0b" + _WIDE + chr(0x2000) + "-" + chr(0x200A)
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-
-
-def respell(pattern: str, space: str, edge: str, end: str) -> str:
+_BEFORE_WORD, _AFTER_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_EDGE = rf"(?:{_BEFORE_WORD}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){_AFTER_WORD})"
+
+
+def _starts_with_word(rest: str) -> bool:
+    """Does everything this pattern can match begin with an ASCII word character?"""
+    if rest.startswith("("):
+        depth, start, branches = 0, 3 if rest.startswith("(?:") else 1, []
+        for i, char in enumerate(rest):
+            depth += (char == "(") - (char == ")")
+            if (char == "|" and depth == 1) or (char == ")" and depth == 0):
+                branches.append(rest[start:i])
+                start = i + 1
+            if depth == 0:
+                optional = rest[i + 1 : i + 2] in ("?", "*")
+                return not optional and all(map(_starts_with_word, branches))
+        return False
+    return bool(re.match(r"(?:[A-Za-z0-9]|\\d)(?![?*])", rest))
+
+
+def edge(before: str, after: str) -> str:
+    """Cheapest spelling of an ASCII word boundary between two pieces of a pattern."""
+    if _starts_with_word(after):
+        return _BEFORE_WORD
+    if re.search(r"(?<!\\)[A-Za-z0-9]$", before):
+        return _AFTER_WORD
+    return _EDGE
+
+
+def respell(pattern: str, space: str, boundary, end: str) -> str:
     """Rewrite ``\\s``, ``\\b`` and ``$``, minding character classes."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
@@ -25,7 +53,7 @@ def respell(pattern: str, space: str, edge: str, end: str) -> str:
         elif pair == r"\S" and in_class:
             out.append(pair)
         elif pair == r"\b" and not in_class:
-            out.append(edge)
+            out.append(boundary(pattern[:i], pattern[i + 2 :]))
         elif one == "\\":
             out.append(pair)
         elif one == "$" and not in_class:
@@ -42,7 +70,7 @@ def respell(pattern: str, space: str, edge: str, end: str) -> str:
 
 
 def js(pattern: str, fold_case: bool = True) -> str:
-    return ("(?iu)" if fold_case else "") + respell(pattern, SPACE, _EDGE, r"\z")
+    return ("(?iu)" if fold_case else "") + respell(pattern, SPACE, edge, r"\z")
 
 
 def has(text: Column, pattern: str, fold_case: bool = True) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.criteria import Criteria
 from rentlake.functions.amounts import total_cost
-from rentlake.functions.regex import cut, half_up, strip
+from rentlake.functions.regex import cut, half_up, stages, strip
 
 
 def clamp10(value: Column) -> Column:
@@ -75,25 +75,30 @@ def with_proximity(scores: Column, proximity: Column) -> Column:
     )
 
 
-def result(c: Criteria, response: Column, proximity: Column | None = None) -> Column:
-    """Whole reply as a struct; NULL where no criterion is present."""
-    doc = document(response)
-    scores = criteria_scores(doc)
-    if proximity is not None:
-        scores = with_proximity(scores, proximity)
-    return F.when(
-        has_any_criterion(doc),
-        F.struct(
-            composite(scores).alias("composite"),
-            scores.alias("criteria"),
-            summary(doc).alias("summary"),
-            risk_level(doc).alias("risk_level"),
-            risk_reasons(doc).alias("risk_reasons"),
-            scores_text(c, scores).alias("line"),
-        ),
+def with_result(df: DataFrame, c: Criteria, response: str, prefix: str, proximity: Column | None = None) -> DataFrame:
+    """Add composite, scores, summary, risk and text line of a reply; NULL where it holds no criterion."""
+    doc, scores = F.col(f"_{prefix}doc"), F.col(f"_{prefix}scores")
+    ok = F.col(f"{prefix}usable")
+    read = criteria_scores(doc)
+    df = stages(
+        df,
+        {f"_{prefix}doc": document(F.col(response))},
+        {
+            f"{prefix}usable": has_any_criterion(doc),
+            f"_{prefix}scores": read if proximity is None else with_proximity(read, proximity),
+        },
+    )
+    fields = {
+        "composite": composite(scores),
+        "scores": scores,
+        "summary": summary(doc),
+        "risk_level": risk_level(doc),
+        "risk_reasons": risk_reasons(doc),
+        "line": scores_text(c, scores),
+    }
+    return df.withColumns({f"{prefix}{n}": F.when(ok, x) for n, x in fields.items()}).drop(
+        f"_{prefix}doc", f"_{prefix}scores"
     )
-
-
 
 
 def listing_json(title, rent_eur, fee_eur, area_sqm, rooms, hint, snippet) -> Column:

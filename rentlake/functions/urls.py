@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,17 +58,18 @@ def canonical(url: Column) -> Column:
     )
 
 
+def _listing_page_pattern() -> str:
+    """One pattern: no tracking host, a portal domain, a listing path of that portal."""
+    blocked = "|".join(re.escape(p) for p in V.TRACKING_HOST_PREFIXES)
+    portals = "|".join(
+        rf"{re.escape(domain)}(?::\d+)?(?=[/?]).*?(?:{'|'.join(paths)})" for domain, paths in V.LISTING_PATHS.items()
+    )
+    return rf"(?i)\A\s*https?://(?:www\.)?+(?!{blocked})[^/?#\\\s<>|^@]*?(?:{portals})"
+
+
 def is_listing_page(url: Column) -> Column:
     """A known portal, no tracking host, and a listing path."""
-    name = bare_host(url)
-    target = F.concat(path(url), _part(url, 4))
-    verdict = F.lit(False)
-    for domain, patterns in reversed(V.LISTING_PATHS.items()):
-        verdict = F.when(F.endswith(name, F.lit(domain)), has(target, "|".join(patterns))).otherwise(verdict)
-    tracked = F.lit(False)
-    for prefix in V.TRACKING_HOST_PREFIXES:
-        tracked = tracked | F.startswith(name, F.lit(prefix))
-    return F.coalesce(~tracked & verdict, F.lit(False))
+    return F.coalesce(F.substring_index(url, "#", 1).rlike(_listing_page_pattern()), F.lit(False))
 
 
 def is_portal_or_listing(url: Column) -> Column:

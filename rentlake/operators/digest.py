@@ -43,6 +43,7 @@ def may_send(sent_at: Column, price_changed_at: Column, dismissed_at: Column) ->
 def with_skip_reason(view: DataFrame, c: Criteria, min_score: int = 25, min_rent: int = 200) -> DataFrame:
     """Add why a listing is left out, checked in this order; NULL if it goes in."""
     k = F.col
+    # The digest row carries no snippet, so avoid phrases are looked for in hint and title.
     text = rules.search_text(F.lit(None).cast("string"), k("location_hint"), k("title"))
     casa_ok = (
         k("rent_eur").isNotNull()
@@ -53,13 +54,13 @@ def with_skip_reason(view: DataFrame, c: Criteria, min_score: int = 25, min_rent
     reason = (
         F.when((k("source") == "casa.it") & ~casa_ok, F.lit("incomplete alert"))
         .when((k("source") == V.POST_SOURCE) & ~post_ok, F.lit("incomplete post"))
-        .when(~rules.meets_hard(c, text, k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur")), F.lit("hard criteria"))
+        .when(~rules.meets_hard(c, k("_digest_text"), k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur")), F.lit("hard criteria"))
         .when(k("score") < min_score, F.lit("low score"))
         .when(k("rent_eur") < min_rent, F.lit("low rent"))
         .when(~may_send(k("sent_at"), k("price_changed_at"), k("dismissed_at")), F.lit("already sent"))
     )
-    cleaned = posts.with_clean(view, F.coalesce("title", F.lit("")), "_clean_title")
-    return cleaned.withColumn("skip_reason", reason).drop("_clean_title")
+    cleaned = posts.with_clean(view, F.coalesce("title", F.lit("")), "_clean_title").withColumn("_digest_text", text)
+    return cleaned.withColumn("skip_reason", reason).drop("_clean_title", "_digest_text")
 
 
 def top(view: DataFrame, n: int) -> DataFrame:

@@ -15,7 +15,8 @@ def distinct_match_keys(listings: DataFrame) -> DataFrame:
 def backfill_match_keys(listings: DataFrame) -> DataFrame:
     """Compute the key of active rows that lack one."""
     c = F.col
-    key = keys.match_key(c("location_hint"), c("title"), c("raw_snippet"), c("rent_eur"), c("rooms"))
+    street = keys.street_key(keys.street_text(c("location_hint"), c("title"), c("raw_snippet")))
+    key = keys.match_key(street, c("rent_eur"), c("rooms"))
     filled = F.coalesce(c("property_match_key"), F.when(c("dismissed_at").isNull(), key))
     return listings.withColumn("property_match_key", filled)
 

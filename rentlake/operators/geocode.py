@@ -11,8 +11,8 @@ from rentlake.functions.regex import half_up
 
 
 def with_query(listings: DataFrame, c: Criteria) -> DataFrame:
-    query = places.geocode_query(F.col("location_hint"), F.col("title"), c.city_suffix)
-    return listings.withColumn("geo_query", query).withColumn("geo_key", places.geocode_key(F.col("geo_query")))
+    asked = places.with_geocode_query(listings, F.col("location_hint"), F.col("title"), "geo_query", c.city_suffix)
+    return asked.withColumn("geo_key", places.geocode_key(F.col("geo_query")))
 
 
 def one_point_per_key(points: DataFrame) -> DataFrame:

@@ -45,10 +45,15 @@ def candidates(listings: DataFrame, scores: DataFrame, as_of: Column, days: int
     return with_latest(active, scores).withColumn("fresh", fresh)
 
 
-def hard_ok(c: Criteria) -> Column:
+def with_search_text(df: DataFrame, out: str = "_text") -> DataFrame:
     k = F.col
-    text = rules.search_text(k("raw_snippet"), k("location_hint"), k("title"))
-    return rules.meets_hard(c, text, k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur"))
+    return df.withColumn(out, rules.search_text(k("raw_snippet"), k("location_hint"), k("title")))
+
+
+def hard_ok(c: Criteria, text: str = "_text") -> Column:
+    """Expects the search text as a column."""
+    k = F.col
+    return rules.meets_hard(c, k(text), k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur"))
 
 
 def score(located: DataFrame, c: Criteria, model_replies: DataFrame | None, as_of: str, model: str = "model") -> DataFrame:
@@ -58,8 +63,7 @@ def score(located: DataFrame, c: Criteria, model_replies: DataFrame | None, as_o
     scored by the rules alone.
     """
     k = F.col
-    text = rules.search_text(k("raw_snippet"), k("location_hint"), k("title"))
-    staged = located.withColumn("_text", text).withColumn(
+    staged = with_search_text(located).withColumn(
         "_rule",
         rules.rule_score(
             c, k("_text"), k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur"),
@@ -72,18 +76,18 @@ def score(located: DataFrame, c: Criteria, model_replies: DataFrame | None, as_o
         one = model_replies.groupBy("listing_id").agg(F.max("response").alias("_reply"))
         staged = staged.join(one.withColumnRenamed("listing_id", "_lid"), k("id") == k("_lid"), "left")
     proximity = k("proximity_score") if c.proximity_enabled else None
-    staged = staged.withColumn("_model", replies.result(c, k("_reply"), proximity))
-    asked = k("_model").isNotNull()
+    staged = replies.with_result(staged, c, "_reply", "m_", proximity)
+    asked = F.coalesce(k("m_usable"), F.lit(False))
     none = F.array().cast("array<string>")
     stamp = F.lit(as_of).cast("timestamp")
     return staged.select(
         F.substring(F.sha2(F.concat_ws("|", k("id"), F.lit(as_of)), 256), 1, 24).alias("id"),
         k("id").alias("listing_id"),
-        rules.blend(c, k("_rule.score"), k("_model.composite")).alias("score"),
-        F.concat(k("_rule.reasons"), F.when(asked, F.array(k("_model.line"))).otherwise(none)).alias("reasons"),
-        F.nullif(k("_model.summary"), F.lit("")).alias("summary"),
-        rules.merged_risk_level(k("_rule.risk_level"), k("_model.risk_level")).alias("risk_level"),
-        rules.merged_risk_reasons(k("_rule.risk_reasons"), k("_model.risk_level"), k("_model.risk_reasons")).alias("risk_reasons"),
+        rules.blend(c, k("_rule.score"), k("m_composite")).alias("score"),
+        F.concat(k("_rule.reasons"), F.when(asked, F.array(k("m_line"))).otherwise(none)).alias("reasons"),
+        F.nullif(k("m_summary"), F.lit("")).alias("summary"),
+        rules.merged_risk_level(k("_rule.risk_level"), k("m_risk_level")).alias("risk_level"),
+        rules.merged_risk_reasons(k("_rule.risk_reasons"), k("m_risk_level"), k("m_risk_reasons")).alias("risk_reasons"),
         k("_rule.risk_source").alias("risk_source"),
         F.when(asked, F.lit(model)).alias("model"),
         stamp.alias("scored_at"),

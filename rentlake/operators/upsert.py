@@ -59,13 +59,14 @@ def empty_listings(spark: SparkSession) -> DataFrame:
 
 def keyed(drafts: DataFrame) -> DataFrame:
     """Drafts with every column of the schema and the derived keys."""
-    missing = [F.lit(None).cast(t).alias(c) for c, t in _DRAFT_TYPES.items() if c not in drafts.columns]
     c = F.col
-    return drafts.select("*", *missing).select(
+    missing = [F.lit(None).cast(t).alias(c) for c, t in _DRAFT_TYPES.items() if c not in drafts.columns]
+    street = keys.street_key(keys.street_text(c("location_hint"), c("title"), c("raw_snippet")))
+    return drafts.select("*", *missing).withColumn("_street", street).select(
         "draft_key", "seen_at", "canonical_url",
         *[c(n).cast(t).alias(n) for n, t in _DRAFT_TYPES.items()],
-        keys.fingerprint(c("location_hint"), c("title"), c("raw_snippet"), c("rent_eur"), c("rooms"), c("area_sqm")).alias("fingerprint"),
-        keys.match_key(c("location_hint"), c("title"), c("raw_snippet"), c("rent_eur"), c("rooms")).alias("match_key"),
+        keys.fingerprint(c("_street"), c("rent_eur"), c("rooms"), c("area_sqm")).alias("fingerprint"),
+        keys.match_key(c("_street"), c("rent_eur"), c("rooms")).alias("match_key"),
         keys.material_hash(c("rent_eur"), c("area_sqm"), c("rooms"), c("location_hint")).alias("hash"),
         total_cost(c("rent_eur"), c("condo_fee_eur")).alias("total"),
     )

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlake.criteria import Criteria
-from rentlake.functions import alerts, posts, rules
+from rentlake.functions import alerts, posts
 from rentlake.operators import feed, mail, tables
 from rentlake.operators.duplicates import backfill_match_keys, reconcile
+from rentlake.operators.scoring import hard_ok, with_search_text
 from rentlake.operators.upsert import Merge, merge
 
 
-def _meets(c: Criteria) -> Column:
-    k = F.col
-    text = rules.search_text(k("raw_snippet"), k("location_hint"), k("title"))
-    return rules.meets_hard(c, text, k("rooms"), k("area_sqm"), k("rent_eur"), k("condo_fee_eur"))
-
-
 def message_drafts(messages: DataFrame, c: Criteria) -> DataFrame:
     """Drafts of rental alerts with ``kept``; sale alerts are dropped before their HTML is read."""
     k = F.col
@@ -28,7 +23,8 @@ def message_drafts(messages: DataFrame, c: Criteria) -> DataFrame:
     gate = alerts.keeps_draft(
         k("sender"), k("title"), k("location_hint"), k("raw_snippet"), k("rent_eur"), k("area_sqm")
     )
-    return mail.drafts(rental).withColumn("kept", gate & _meets(c))
+    drafts = with_search_text(mail.drafts(rental))
+    return drafts.withColumn("kept", gate & hard_ok(c)).drop("_text")
 
 
 def post_drafts(found: DataFrame, c: Criteria) -> DataFrame:
@@ -39,7 +35,7 @@ def post_drafts(found: DataFrame, c: Criteria) -> DataFrame:
     gate = posts.keeps_draft(
         k("_gate"), k("canonical_url"), k("rent_eur"), k("rooms"), k("area_sqm"), k("location_hint")
     )
-    return drafts.withColumn("kept", gate & _meets(c)).drop("_gate")
+    return with_search_text(drafts).withColumn("kept", gate & hard_ok(c)).drop("_gate", "_text")
 
 
 def all_drafts(message_rows: DataFrame, post_rows: DataFrame) -> DataFrame:

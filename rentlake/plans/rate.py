@@ -12,7 +12,7 @@ from rentlake.operators import digest, geocode, scoring
 
 def classified(listings: DataFrame, scores: DataFrame, c: Criteria, as_of: str, days: int = 7, limit: int | None = None) -> DataFrame:
     """Active listings with ``outcome``: cache, hard or scored."""
-    rows = scoring.candidates(listings, scores, F.lit(as_of).cast("timestamp"), days, limit)
+    rows = scoring.with_search_text(scoring.candidates(listings, scores, F.lit(as_of).cast("timestamp"), days, limit))
     outcome = F.when(F.col("fresh"), F.lit("cache")).when(~scoring.hard_ok(c), F.lit("hard")).otherwise(F.lit("scored"))
     return rows.select(*listings.columns, outcome.alias("outcome"))
 

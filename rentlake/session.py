@@ -34,6 +34,7 @@ def local_session(cores: int | str = "*", name: str = "rentlake", **conf: str) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RENTLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
     )
