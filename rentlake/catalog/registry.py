@@ -53,7 +53,7 @@ def projection(name: str, source: str, keep, columns, steps, outputs=None, prepa
 
 
 def oracle(body: str, *views_: str, steps=None, base: str | None = None) -> str:
-    """SQL over views; ``{from}`` stands for the last step."""
+    """SQL over views; ``{from}`` stands for the last step, a leading comma adds CTEs."""
     if steps is None:
         return f"with {with_clause(*views_)}\n{body}"
     return chain(with_clause(*views_), base or views_[0], steps, body)
