@@ -31,7 +31,7 @@ def SCORED(rows):
 
 
 def CLEANED(rows):
-    return posts.with_clean(rows, F.col("message"), "clean_text")
+    return rows.withColumn("clean_text", posts.clean(F.col("message")))
 
 
 # --- text and URLs -----------------------------------------------------------
@@ -52,7 +52,7 @@ projection("t4_cut_at_comments", "feed_pages", ["page_id"],
            lambda c: {"text": c("cut_text")},
            [{"t": S.collapse("replace(replace(regexp_replace(regexp_replace(html, '(?i)<script[\\s\\S]*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&#39;', '''')")},
             *S.cut_before("t", "cutted", V.FEED_CUT_MARKERS, 30), {"text": "trim(cutted)"}],
-           prepare=lambda d: posts.with_comments_cut(d.withColumn("flat", collapse(posts.strip_html(F.col("html")))), "flat", "cut_text"))
+           prepare=lambda d: d.withColumn("cut_text", posts.cut_at_comments(collapse(posts.strip_html(F.col("html"))))))
 projection("t5_clean_post", "posts", ["post_id"],
            lambda c: {"text": c("clean_text")},
            [{"t": S.collapse("message")}, *S.cut_before("t", "text", V.FEED_UI_MARKERS, 20)], ["text"], prepare=CLEANED)
@@ -412,7 +412,7 @@ projection("p7_conversation", "posts", ["post_id"], lambda c: {"talk": posts.is_
 def _gate_ready(rows):
     # A short message keeps the gate text short enough to reach every branch.
     message = F.substring_index("message", " ", -6)
-    rows = posts.with_clean(rows, posts.gate_text(message, F.lit("Annuncio"), null()), "gate")
+    rows = rows.withColumn("gate", posts.clean(posts.gate_text(message, F.lit("Annuncio"), null())))
     return amounts.with_rent(rows, "message", "r")
 
 

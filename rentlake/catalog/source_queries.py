@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from rentlake.catalog.registry import oracle, query
 from rentlake.catalog.views import table, view
 from rentlake.functions import alerts, posts, urls
 from rentlake.operators import anchors, feed, mail, scoring, tables
-from rentlake.session import shared_dir
+from rentlake.session import fresh_folder
 from rentlake.sources import landing
 from rentlake.sources.store import Store
 
@@ -21,11 +19,6 @@ AS_OF = "2024-03-03 00:00:00"
 DRAFT_KEEP = ("message_id", *mail.DRAFT_COLUMNS)
 
 
-def fresh_root(spark, name: str) -> str:
-    """New folder for the tables one query writes."""
-    return f"{shared_dir(spark).rstrip('/')}/rentlake/{name}-{uuid.uuid4().hex}"
-
-
 # --- sources -----------------------------------------------------------------
 @query("s1_messages_since", oracle(
     f"select message_id, subject from messages where received_at >= timestamp '{AS_OF}' - interval '26' hour", "messages"))
@@ -128,7 +121,7 @@ def s10(spark, sf):
 
 @query("s11_stored_tables", oracle("select id, rent_eur, n + 1 as n from listings", "listings"))
 def s11(spark, sf):
-    store = Store(spark, fresh_root(spark, "store"))
+    store = Store(spark, fresh_folder(spark, "store"))
     rows = view(spark, sf, "listings").select("id", "rent_eur", "n")
     schema = "id string, rent_eur int, n int"
     store.write("listings", 1, rows)

@@ -17,6 +17,7 @@ from rentlake.operators import digest, duplicates, geocode, scoring, tables, ups
 from rentlake.operators.anchors import flat_anchors
 from rentlake.operators.ordered import with_previous
 from rentlake.plans import ingest, rate
+from rentlake.session import cut_lineage
 
 NOW = "2001-06-01 00:00:00"
 
@@ -91,12 +92,18 @@ POINTS = """cache as (select query_key, lat, lng from (select *, row_number() ov
  wide as (select query_key, lat, lng from (select *, row_number() over (partition by query_key order by lat, lng) as rn from places) where rn = 1)"""
 
 
+# Streets the gazetteer knows, streets only the wider table knows, and unknown ones.
+_TITLE2 = """case when n % 5 = 4 then concat('via nowhere ', cast(n as varchar(20)))
+  when n % 2 = 0 then concat('via brandn', cast(n % 25 + 1 as varchar(20)), ' ', cast(n % 20 + 1 as varchar(20)))
+  else concat('via brandn', cast((n + 30) % 60 + 1 as varchar(20)), ' ', cast((n + 30) % 20 + 1 as varchar(20))) end"""
+
+
 def titled(rows):
-    """Listings located by their title only, the form the gazetteer keys have."""
-    return rows.withColumn("title", F.regexp_replace("title", "^[A-Z][a-z]+ ", "")).withColumn("location_hint", F.lit(None).cast("string"))
+    """Listings placed by a street title alone."""
+    return rows.withColumn("title", F.expr(_TITLE2)).withColumn("location_hint", F.lit(None).cast("string"))
 
 
-TITLED = [{"title2": "regexp_replace(title, '^[A-Z][a-z]+ ', '')"}]
+TITLED = [{"title2": _TITLE2}]
 GEO_TITLED = [*TITLED, {"geo_query": "title2 || ', Torino, Italy'"}, {"geo_key": S.fold("geo_query")}]
 
 
@@ -112,7 +119,7 @@ def k7(spark, sf):
        coalesce(c.lat, w.lat) as lat, coalesce(c.lng, w.lng) as lng
      from {{from}} l left join cache c on l.geo_key = c.query_key left join wide w on l.geo_key = w.query_key""", "listings", "gazetteer", "places", steps=GEO_TITLED))
 def k8(spark, sf):
-    keyed = geocode.with_query(titled(stored_listings(spark, sf)), C)
+    keyed = cut_lineage(geocode.with_query(titled(stored_listings(spark, sf)), C))
     empty = view(spark, sf, "places").limit(0)
     found = geocode.lookup(keyed, C, view(spark, sf, "gazetteer"), view(spark, sf, "places"), empty)
     return keyed.join(found, "geo_key", "left").select("id", "found_source", F.col("found_lat").alias("lat"), F.col("found_lng").alias("lng"))
@@ -158,6 +165,7 @@ def _message_outcome(spark, sf):
 @query("a3_message_counters", None)
 def a3(spark, sf):
     m, drafts = _message_outcome(spark, sf)
+    drafts = cut_lineage(drafts)
     ledger = m.where("message_id % 5 = 0").select("message_id")
     seen = m.select("message_id", F.col("received_at").alias("seen_at"))
     kept = drafts.where("kept").join(seen, "message_id").withColumn("draft_key", F.concat_ws("|", "message_id", "canonical_url"))
@@ -439,10 +447,10 @@ def located(spark, sf):
 
 
 _METERS = f"cast(floor({S.haversine('la', 'ln', f'cast({LAT} as double)', f'cast({LNG} as double)')} + 0.5) as integer)"
-LOCATED = f"""at as (select l.*, case when n % 3 = 0 then 45.07 else coalesce(c.lat, w.lat) end as la, case when n % 3 = 0 then 7.65 else coalesce(c.lng, w.lng) end as ln,
+LOCATED = f"""pts as (select l.*, case when n % 3 = 0 then 45.07 else coalesce(c.lat, w.lat) end as la, case when n % 3 = 0 then 7.65 else coalesce(c.lng, w.lng) end as ln,
     case when n % 3 = 0 then null when c.query_key is not null then 'cache' when w.query_key is not null then 'gazetteer' end as geocode_source
   from {{from}} l left join cache c on l.geo_key = c.query_key left join wide w on l.geo_key = w.query_key),
-  measured as (select *, case when la is not null then {_METERS} end as meters from at)"""
+  measured as (select *, case when la is not null then {_METERS} end as meters from pts)"""
 
 
 @query("g2_proximity", oracle(
@@ -505,11 +513,11 @@ def u13(spark, sf):
 
 # --- scoring run -------------------------------------------------------------
 @query("s8_score_append", oracle(
-    f"select id as listing_id, n + 1 as n, '{NOW}' as newest from listings", "listings"))
+    f"select id as listing_id, n + 1 as n, '{AS_OF}' as newest from listings", "listings"))
 def s8(spark, sf):
     """Score rows of a run appended to the history."""
     old = stored_scores(spark, sf)
-    new = scoring.score(located(spark, sf), C, None, NOW)
+    new = scoring.score(located(spark, sf), C, None, AS_OF)
     return old.unionByName(new).groupBy("listing_id").agg(F.count("*").cast("int").alias("n"), F.max("scored_at").cast("string").alias("newest"))
 
 

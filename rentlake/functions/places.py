@@ -38,7 +38,7 @@ def haversine_m(lat1, lng1, lat2, lng2) -> Column:
     h = F.pow(F.sin(d_lat / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(d_lng / 2), F.lit(2)
     )
-    return F.lit(2.0 * V.EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2.0 * V.EARTH_RADIUS_M) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 def distance_score(meters: Column, buckets, missing: int = 5) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.functions import amounts
-from rentlake.functions.regex import collapse, cut, filled, group, has, has_any, js, strip, with_cut
+from rentlake.functions.regex import collapse, cut, cut_before, filled, group, has, has_any, js, strip
 
 
 def strip_html(html: Column) -> Column:
@@ -24,14 +24,14 @@ def decode_href(href: Column) -> Column:
     return F.replace(F.replace(href, F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
 
 
-def with_comments_cut(df: DataFrame, src: str, out: str) -> DataFrame:
-    return with_cut(df, src, out, V.FEED_CUT_MARKERS, 30).withColumn(out, F.trim(F.col(out)))
+def cut_at_comments(text: Column) -> Column:
+    """Collapsed feed text without the comments."""
+    return cut_before(text, V.FEED_CUT_MARKERS, 30)
 
 
-def with_clean(df: DataFrame, text: Column, out: str) -> DataFrame:
+def clean(text: Column) -> Column:
     """Collapsed text without the comment thread that follows a post."""
-    df = df.withColumn(f"_{out}_flat", collapse(text))
-    return with_cut(df, f"_{out}_flat", out, V.FEED_UI_MARKERS, 20).drop(f"_{out}_flat")
+    return cut_before(collapse(text), V.FEED_UI_MARKERS, 20)
 
 
 def is_student(text: Column) -> Column:
@@ -62,7 +62,7 @@ def is_post_url(canonical_url: Column) -> Column:
 
 
 def gate_text(message: Column, title: Column, snippet: Column) -> Column:
-    """Text the gate looks at, before ``with_clean``."""
+    """Text the gate looks at, before ``clean``."""
     blank = F.lit("")
     return F.concat_ws(" ", F.coalesce(message, blank), F.coalesce(title, blank), F.coalesce(snippet, blank))
 

@@ -128,16 +128,14 @@ def stages(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
     return df
 
 
-def with_cut(df: DataFrame, src: str, out: str, patterns, beyond: int) -> DataFrame:
-    """Cut ``src`` at each marker in turn when its first hit lies past ``beyond`` characters."""
-    now, temporary = src, []
-    for i, pattern in enumerate(patterns):
-        head, text = f"_{out}_head{i}", f"_{out}_text{i}"
-        df = stages(
-            df,
-            {head: F.split(F.col(now), js(pattern), 2).getItem(0)},
-            {text: F.when(F.length(head) > beyond, F.trim(F.col(head))).otherwise(F.col(now))},
-        )
-        temporary += [head, text]
-        now = text
-    return df.withColumn(out, F.col(now)).drop(*temporary)
+def cut_before(text: Column, patterns, beyond: int) -> Column:
+    """Cut collapsed text at each marker in turn when its first hit lies past ``beyond`` characters.
+
+    One replacement per marker: no hit may start within the head, then the shortest
+    longer text up to a hit stays.
+    """
+    for pattern in patterns:
+        hit = f"(?:{respell(pattern, SPACE, edge, r'\z')})"
+        whole = rf"(?iu)\A(?![\s\S]{{0,{beyond}}}{hit})([\s\S]{{{beyond + 1},}}?){hit}[\s\S]*\z"
+        text = F.rtrim(F.regexp_replace(text, whole, "$1"))
+    return text

@@ -59,7 +59,7 @@ def with_skip_reason(view: DataFrame, c: Criteria, min_score: int = 25, min_rent
         .when(k("rent_eur") < min_rent, F.lit("low rent"))
         .when(~may_send(k("sent_at"), k("price_changed_at"), k("dismissed_at")), F.lit("already sent"))
     )
-    cleaned = posts.with_clean(view, F.coalesce("title", F.lit("")), "_clean_title").withColumn("_digest_text", text)
+    cleaned = view.withColumns({"_clean_title": posts.clean(F.coalesce("title", F.lit(""))), "_digest_text": text})
     return cleaned.withColumn("skip_reason", reason).drop("_clean_title", "_digest_text")
 
 

@@ -56,12 +56,11 @@ def posts_of_pages(pages: DataFrame) -> DataFrame:
     mark = F.lower(F.concat(F.lit("/groups/"), F.col("group_id"), F.lit("/posts/"), F.col("post_id")))
     own = F.try_element_at(F.filter(_hrefs(F.col("chunk")), lambda h: F.contains(F.lower(h), mark)), F.lit(1))
     href = posts.decode_href(F.coalesce(own, F.col("href"), F.lit("")))
-    read = first.withColumn("full_text", cut(collapse(posts.strip_html(F.col("chunk"))), 4000))
-    read = posts.with_comments_cut(read, "full_text", "message")
-    return read.select(
+    message = posts.cut_at_comments(cut(collapse(posts.strip_html(F.col("chunk"))), 4000))
+    return first.select(
         "page_id", "group_id", "post_id", "pos",
         urls.post_permalink(href, F.col("group_id"), F.col("post_id")).alias("permalink"),
-        F.coalesce("message", F.lit("")).alias("message"),
+        F.coalesce(message, F.lit("")).alias("message"),
         F.col("scraped_at").alias("posted_at"),
     )
 
@@ -79,7 +78,7 @@ def once_across_groups(found: DataFrame, order: str, since: Column) -> DataFrame
 
 def post_drafts(found: DataFrame) -> DataFrame:
     """One draft per portal URL of a post, else one for the post itself if it says enough."""
-    staged = posts.with_clean(found, F.col("message"), "text").withColumn("links", urls.urls_in(F.col("text")))
+    staged = found.withColumn("text", posts.clean(F.col("message"))).withColumn("links", urls.urls_in(F.col("text")))
     pairs = F.transform("links", lambda u: F.struct(urls.canonical(u).alias("canonical_url"), u.alias("url")))
     kept = F.filter(pairs, lambda p: p["canonical_url"].isNotNull() & urls.is_portal_or_listing(p["canonical_url"]))
     staged = staged.withColumn("links", kept)

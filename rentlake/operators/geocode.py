@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rentlake.criteria import Criteria
 from rentlake.functions import places
 from rentlake.functions.regex import half_up
+from rentlake.session import cut_lineage
 
 
 def with_query(listings: DataFrame, c: Criteria) -> DataFrame:
@@ -52,9 +53,10 @@ def resolve(
     """
     if not c.proximity_enabled:
         return listings
-    keyed = with_query(listings, c)
     located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    ask = keyed.withColumn("geo_key", F.when(~located, F.col("geo_key")))
+    keyed = with_query(listings, c)
+    # Read twice: once for the distinct keys, once to join the points back.
+    ask = cut_lineage(keyed.withColumn("geo_key", F.when(~located, F.col("geo_key"))))
     joined = ask.join(lookup(ask, c, cache, gazetteer, fallback), "geo_key", "left")
     lat = F.when(located, F.col("lat")).otherwise(F.col("found_lat"))
     lng = F.when(located, F.col("lng")).otherwise(F.col("found_lng"))

@@ -218,11 +218,11 @@ def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
     while True:
         held = _held(own, known, with_birth(opened), levels, total)
         missed = own.where(~F.col("in_table")).join(_found(own, held, levels), "pos", "left_anti")
-        later = cut_lineage(missed.groupBy("canonical_url").agg(F.min("pos").alias("opened")))
-        same = opened.join(later, ["canonical_url", "opened"]).count()
-        if same == opened.count() == later.count():
+        later = missed.groupBy("canonical_url").agg(F.min("pos").alias("later"))
+        both_rounds = cut_lineage(opened.join(later, "canonical_url", "full_outer"))
+        opened = both_rounds.where("later is not null").select("canonical_url", F.col("later").alias("opened"))
+        if both_rounds.where("not (opened <=> later)").isEmpty():
             break
-        opened = later
 
     held = _held(own, known, with_birth(opened), levels, total)
     target = (
@@ -290,7 +290,7 @@ def _folded(resolved: DataFrame) -> DataFrame:
 
 def merge(listings: DataFrame, drafts: DataFrame) -> Merge:
     """Apply drafts (``draft_key`` unique, ``seen_at`` set) to the listing table."""
-    resolved = cut_lineage(resolve(keyed(drafts), listings))
+    resolved = cut_lineage(resolve(cut_lineage(keyed(drafts)), listings))
     changes = changes_of(resolved, listings)
     priced = changes.where("price_changed").groupBy("target_url").agg(F.max("seen_at").alias("priced_at"))
     new = _folded(resolved).join(priced, "target_url", "left").select(

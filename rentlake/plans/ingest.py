@@ -13,6 +13,7 @@ from rentlake.operators import feed, mail, tables
 from rentlake.operators.duplicates import backfill_match_keys, reconcile
 from rentlake.operators.scoring import hard_ok, with_search_text
 from rentlake.operators.upsert import Merge, merge
+from rentlake.session import cut_lineage
 
 
 def message_drafts(messages: DataFrame, c: Criteria) -> DataFrame:
@@ -31,7 +32,7 @@ def post_drafts(found: DataFrame, c: Criteria) -> DataFrame:
     """Drafts of posts that are not student housing, with ``kept``."""
     k = F.col
     drafts = feed.post_drafts(found.where(~posts.is_student(k("message"))))
-    drafts = posts.with_clean(drafts, posts.gate_text(k("message"), k("title"), k("raw_snippet")), "_gate")
+    drafts = drafts.withColumn("_gate", posts.clean(posts.gate_text(k("message"), k("title"), k("raw_snippet"))))
     gate = posts.keeps_draft(
         k("_gate"), k("canonical_url"), k("rent_eur"), k("rooms"), k("area_sqm"), k("location_hint")
     )
@@ -62,10 +63,11 @@ def ingest(
     """New messages and posts, filtered, merged and linked."""
     new_messages = tables.unseen(messages, seen_messages, "message_id")
     new_posts = tables.unseen(found_posts, seen_posts, "post_id")
-    from_mail = message_drafts(new_messages, c).join(
+    # Both draft tables are read several times below; written down, each text is parsed once.
+    from_mail = cut_lineage(message_drafts(new_messages, c)).join(
         new_messages.select("message_id", F.col("received_at").alias("seen_at")), "message_id"
     ).withColumn("origin", F.lit("message")).withColumn("origin_id", F.col("message_id").cast("string"))
-    from_posts = post_drafts(new_posts, c).join(
+    from_posts = cut_lineage(post_drafts(new_posts, c)).join(
         new_posts.select("post_id", F.col("posted_at").alias("seen_at")), "post_id"
     ).withColumn("origin", F.lit("post")).withColumn("origin_id", F.col("post_id").cast("string"))
     merged = merge(listings, all_drafts(from_mail, from_posts))

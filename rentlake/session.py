@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """New folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/rentlake/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
+    """Write the rows to the shared folder and go on from there.
+
+    A written table instead of an RDD checkpoint: its size is known, so later joins are
+    planned on it, and only the columns they need are read back.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = fresh_folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

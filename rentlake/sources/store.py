@@ -45,7 +45,7 @@ class Store:
         """All rows ever appended."""
         if not self.versions(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").drop("version")
 
     def write(self, table: str, version: int, rows: DataFrame) -> None:
         """Write a version; doing it again gives the same table."""
