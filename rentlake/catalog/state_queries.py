@@ -77,7 +77,8 @@ PRIMARY = [{"street": S.street(S.blob("location_hint", "title", "raw_snippet"))}
 def linked_listings(spark, sf):
     rows = stored_listings(spark, sf).withColumn("possible_duplicate_of_id", F.lit(None).cast("string"))
     keyed = duplicates.backfill_match_keys(rows.withColumn("property_match_key", F.lit(None).cast("string")))
-    return duplicates.reconcile(keyed)
+    # Stored, as the listing table is: linking reads it twice, and so do the jobs behind it.
+    return cut_lineage(duplicates.reconcile(cut_lineage(keyed)))
 
 
 @query("k6_with_primary", oracle(

@@ -139,3 +139,12 @@ def cut_before(text: Column, patterns, beyond: int) -> Column:
         whole = rf"(?iu)\A(?![\s\S]{{0,{beyond}}}{hit})([\s\S]{{{beyond + 1},}}?){hit}[\s\S]*\z"
         text = F.rtrim(F.regexp_replace(text, whole, "$1"))
     return text
+
+
+def exploded(df: DataFrame, keep, array: Column, item: str) -> DataFrame:
+    """One row per array element with its position.
+
+    The outer form with a filter behind it: the plain form makes the optimizer compute
+    the array a second time, in a filter below, just to see whether it is empty.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias("pos", item)).where("pos is not null")

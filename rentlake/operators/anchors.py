@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlake.functions import alerts
-from rentlake.functions.regex import collapse
+from rentlake.functions.regex import collapse, exploded
 from rentlake.operators import dom
 
 _ANCHOR = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
@@ -21,7 +21,7 @@ def flat_anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
         F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(1)).alias("href"),
         F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(2)).alias("inner"),
     )
-    return pages.select(key, F.posexplode(found).alias("pos", "a")).select(
+    return exploded(pages, [key], found, "a").select(
         key, "pos", F.col("a.href").alias("href"),
         collapse(F.regexp_replace(F.col("a.inner"), "<[^>]*>", " ")).alias("text"),
     )

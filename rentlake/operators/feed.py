@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.functions import amounts, posts, urls
-from rentlake.functions.regex import collapse, cut, js
+from rentlake.functions.regex import collapse, cut, exploded, js
 
 _POST_LINK = r"(?i)/groups/([^/\"<>\s]+)/posts/(\d+)"
 _HREF = r'(?i)href="([^"]*)"'
@@ -47,7 +47,7 @@ def posts_of_pages(pages: DataFrame) -> DataFrame:
         F.transform("found", lambda f: F.struct(f["chunk"].alias("chunk"), f["post_id"].alias("post_id"), F.lit(None).cast("string").alias("href"))),
     ).otherwise(F.filter(links, lambda f: f["post_id"].isNotNull()))
     first = (
-        staged.select("page_id", "group_id", "scraped_at", F.posexplode(rows).alias("pos", "p"))
+        exploded(staged, ["page_id", "group_id", "scraped_at"], rows, "p")
         .select("page_id", "group_id", "scraped_at", "pos", "p.*")
         .groupBy("page_id", "group_id", "post_id")
         .agg(F.min(F.struct("pos", "scraped_at", "chunk", "href")).alias("p"))
@@ -85,7 +85,7 @@ def post_drafts(found: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.col("permalink").alias("canonical_url"), F.lit(None).cast("string").alias("url")))
     rows = F.when(F.size("links") > 0, F.col("links")).when(F.length("text") >= 30, own)
     first = (
-        staged.select("post_id", "permalink", "message", "text", F.posexplode(rows).alias("pos", "l"))
+        exploded(staged, ["post_id", "permalink", "message", "text"], rows, "l")
         .select("post_id", "permalink", "message", "text", "pos", "l.*")
         .groupBy("post_id", "canonical_url")
         .agg(F.min(F.struct("pos", "permalink", "message", "text", "url")).alias("p"))

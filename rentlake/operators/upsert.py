@@ -184,7 +184,7 @@ def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
         free.join(first, "canonical_url")
         .join(in_table, "canonical_url", "left")
         .select(
-            "draft_key", F.col("canonical_url").alias("target_url"),
+            *drafts.columns, F.col("canonical_url").alias("target_url"),
             (F.col("in_table").isNull() & (F.col("_first") == order)).alias("opens"),
         )
     )
@@ -197,7 +197,7 @@ def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
     )
     rows, total = _numbered(rows)
     if total == 0:
-        return drafts.join(free, "draft_key")
+        return free
     levels = max(1, total.bit_length())
     chunk = F.shiftright("pos", max(0, levels - 10))
     marked = rows.withColumn("held_pos", F.when(F.col("fingerprint").isNotNull(), F.col("pos")))
@@ -236,7 +236,8 @@ def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
             F.coalesce(F.col("pos") == F.col("opened"), F.lit(False)).alias("opens"),
         )
     )
-    return drafts.join(free.unionByName(cut_lineage(target)), "draft_key")
+    settled = drafts.join(contested, "canonical_url", "left_semi").join(cut_lineage(target), "draft_key")
+    return free.unionByName(settled)
 
 
 # --- fold --------------------------------------------------------------------
