@@ -195,9 +195,9 @@ def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
         .join(in_table, "canonical_url", "left")
         .withColumn("in_table", F.coalesce("in_table", F.lit(False)))
     )
-    rows, total = _numbered(rows)
-    if total == 0:
+    if contested.isEmpty():
         return free
+    rows, total = _numbered(rows)
     levels = max(1, total.bit_length())
     chunk = F.shiftright("pos", max(0, levels - 10))
     marked = rows.withColumn("held_pos", F.when(F.col("fingerprint").isNotNull(), F.col("pos")))
