@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import license_scan, packing, quality_knn, quality_rules, sentencepieces, toxicity
+from rentlake.llm import embedding_dedup, license_scan, packing, quality_knn, quality_rules, sentencepieces, toxicity
 from rentlake.llm.labelled import crc_of_id
 from rentlake.session import tune
 
@@ -40,6 +40,28 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+EMBEDDING_SQL = """
+with recursive v as (
+ select vec_id, label, cast(embedding as double[]) as e from embeddings
+ where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+ select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+ where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (
+ select vec_id as a, vec_id as b from embeddings
+ union
+ select r.a, l.b from reach r join links l on r.b = l.a
+), c as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id"""
+
+
+@query("op3_embedding_dedup", EMBEDDING_SQL)
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def _license_sql() -> str:
     """Phrases only: texts with identifier tags have labels that SQL can't work out."""
     every = {**license_scan.NOTICES, **license_scan.BASE_PHRASES}
