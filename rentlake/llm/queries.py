@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import embedding_dedup, license_scan, packing, quality_knn, quality_rules, sentencepieces, toxicity
+from rentlake.llm import embedding_dedup, license_scan, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity
 from rentlake.llm.labelled import crc_of_id
 from rentlake.session import tune
 
@@ -35,6 +35,32 @@ def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(crc_of_id() % folds == fold, F.lit(False))
 
 
+NGRAM_SQL = """
+with recursive w as (
+ select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words
+ from documents
+), g as (
+ select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+  else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as grams from w
+), s as (select doc_id, unnest(grams) as gram from g),
+links as (
+ select a.doc_id as a, b.doc_id as b from s a join s b on a.gram = b.gram and a.doc_id <> b.doc_id
+ join g x on x.doc_id = a.doc_id join g y on y.doc_id = b.doc_id
+ group by a.doc_id, b.doc_id, len(x.grams), len(y.grams)
+ having 100 * count(*) >= 75 * (len(x.grams) + len(y.grams) - count(*))
+), reach as (
+ select doc_id as a, doc_id as b from documents
+ union
+ select r.a, l.b from reach r join links l on r.b = l.a
+)
+select doc_id, cast(len(grams) as bigint) as n_shingles, (select min(b) from reach where a = doc_id) as component_id from g"""
+
+
+@query("op1_ngram_join", NGRAM_SQL)
+def _ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op2_sentencepiece")
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
