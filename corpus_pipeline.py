@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 the last return the columns of ``docs``.  Models are fitted on the labelled rows of the
 folder's own ``documents``, so a stage does not depend on what earlier stages threw out.
 
-Defined cases: a row whose id is null keeps its place until the grouping stage, where it is
-a group of its own; repeated ids are judged alike, and one row of them stays.
+Defined cases: a row without an id is judged like any other and is not grouped; rows that
+repeat id and text are judged alike, and one of them stays.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import packing, quality_knn, quality_rules
+from rentlake.llm import ngram_join, packing, quality_knn, quality_rules
 from rentlake.session import cut_lineage, tune
 
 
@@ -34,6 +34,11 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
     return packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
@@ -44,6 +49,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", classify_quality),
     ("quality rules", apply_rules),
+    ("n-gram Jaccard join", drop_near_copies),
     ("packing", pack),
 ]
 
