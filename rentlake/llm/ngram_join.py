@@ -14,9 +14,11 @@ gets a mark, all tasks treat the shingle as of the highest frequency, and its oc
 out.  A set that has too few shared shingles to link with anything drops out.
 
 Candidates without all pairs of a group: within the postings of a prefix shingle each set is
-first compared with the smallest one, which joins groups of near copies; then only sets of
-different components are compared, those outside a shingle's largest component with all its
-others.  Links inside a component can't change it, so the components are exact.
+first compared with the one that has the fewest shingles of its own, the likely original of
+a group of near copies; then only sets of different components are compared, those outside a
+shingle's largest component with all its others.  Links inside a component can't change it, so
+the components are exact.  A posting knows how many shingles of its set come before it: a pair
+whose first common shingle has too few after it can't link.
 
 Defined cases: words are runs of other than ASCII white space, A to Z lower-cased; a text with
 one to four words has its whole word sequence as its only shingle; a null, empty or blank
@@ -207,17 +209,18 @@ def _collect(table: pa.Table) -> pa.Table:
     new = np.append(True, (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])) if len(order) else np.zeros(0, bool)
     shingles, codes, sets, sizes = shingles[new], codes[new], sets[new], sizes[new]
     first = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])) if len(sets) else np.zeros(0, np.int64)
-    out: dict[str, list] = {"set": [], "n": [], "shingles": [], "codes": [], "prefix": []}
+    out: dict[str, list] = {"set": [], "n": [], "own": [], "shingles": [], "codes": [], "prefix": []}
     for a, b in zip(first, np.append(first[1:], len(sets))):
         n = int(sizes[a])
         if b - a < needed(n):
             continue
         out["set"].append(int(sets[a]))
         out["n"].append(n)
+        out["own"].append(n - int(b - a))
         out["shingles"].append(shingles[a:b].tobytes())
         out["codes"].append(codes[a:b].tobytes())
         out["prefix"].append(prefix(shingles[a:b], codes[a:b], n, 0).view(np.int64))
-    return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], list(out))
+    return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], list(out))
 
 
 def alike(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> bool:
@@ -244,14 +247,10 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut_lineage(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a bigint, b bigint"))
 
 
-def _may_link(a: str, b: str):
-    """Sizes between which the threshold can be reached."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * ALIKE
-
-
-def _labelled(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    groups = components(links).withColumnsRenamed({"node": "set", "component": "group"})
-    return postings.join(groups, "set", "left").withColumn("group", F.coalesce("group", "set")), groups
+def _may_link(n_a, rest_a, n_b, rest_b):
+    """Whether sets of these sizes can link, given how many shingles each has from a common one on."""
+    size = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * ALIKE)
+    return size & (F.least(rest_a, rest_b) * (100 + ALIKE) >= (n_a + n_b) * ALIKE)
 
 
 def _grouped(docs: DataFrame, key: str, text: str, buckets: int | None) -> DataFrame:
@@ -265,20 +264,27 @@ def _grouped(docs: DataFrame, key: str, text: str, buckets: int | None) -> DataF
 
     dealt = rows.select("text").mapInArrow(_deal(bits), _Blobs.fields)
     shared = dealt.groupBy("bucket").applyInArrow(_frequencies(bits), _Blobs.fields)
-    sets = cut_lineage(shared.groupBy("bucket").applyInArrow(_collect, "set bigint, n int, shingles binary, codes binary, prefix array<bigint>"))
+    sets = cut_lineage(shared.groupBy("bucket").applyInArrow(_collect, "set bigint, n int, own int, shingles binary, codes binary, prefix array<bigint>"))
 
-    postings = sets.select("set", "n", F.explode("prefix").alias("shingle"))
-    hubs = postings.groupBy("shingle").agg(F.min(F.struct("set", "n")).alias("hub"), F.count("*").alias("held")).where("held > 1").select("shingle", "hub")
-    first = postings.join(hubs, "shingle").where("set <> hub.set").where(_may_link("n", "hub.n"))
-    links = _linked(first.select(F.col("set").alias("a"), F.col("hub.set").alias("b")).distinct(), sets)
+    k = F.col
+    postings = sets.select("set", "n", "own", F.posexplode("prefix").alias("at", "shingle"))
+    postings = postings.select("set", "n", "own", (k("n") - k("own") - k("at")).alias("rest"), "shingle")
+    hubs = postings.groupBy("shingle").agg(F.min(F.struct("own", "set", "n", "rest")).alias("hub"), F.count("*").alias("held")).where("held > 1").select("shingle", "hub")
+    first = postings.join(hubs, "shingle").where("set <> hub.set").where(_may_link(k("n"), k("rest"), k("hub.n"), k("hub.rest")))
+    links = _linked(first.select(k("set").alias("a"), k("hub.set").alias("b")).distinct(), sets)
 
-    grouped, _ = _labelled(postings, links)
-    sizes = grouped.groupBy("shingle", "group").agg(F.count("*").alias("held"))
+    groups = components(links).withColumnsRenamed({"node": "set", "component": "group"})
+    grouped = postings.join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
+    # Shingles of several components, without sets that have too little left for any other there.
+    split = grouped.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("n").alias("least")).where("low <> high").select("shingle", "least")
+    enough = k("rest") * (100 + ALIKE) >= (k("n") + F.greatest(k("least"), F.ceil(k("n") * ALIKE / 100))) * ALIKE
+    open_ = cut_lineage(grouped.join(split, "shingle").where(enough).select("shingle", "set", "n", "rest", "group"))
+    sizes = open_.groupBy("shingle", "group").agg(F.count("*").alias("held"))
     split = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("held", "group")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "largest")
-    open_ = cut_lineage(grouped.join(split, "shingle"))
-    left = open_.where("group <> largest").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("set", "n", "group")])
-    across = left.join(open_, "shingle").where("group <> a_group and (group = largest or a_set < set)").where(_may_link("n", "a_n"))
-    more = _linked(across.select(F.col("a_set").alias("a"), F.col("set").alias("b")).distinct(), sets)
+    open_ = cut_lineage(open_.join(split, "shingle"))
+    left = open_.where("group <> largest").select("shingle", *[k(c).alias(f"a_{c}") for c in ("set", "n", "rest", "group")])
+    across = left.join(open_, "shingle").where("group <> a_group and (group = largest or a_set < set)").where(_may_link(k("n"), k("rest"), k("a_n"), k("a_rest")))
+    more = _linked(across.select(k("a_set").alias("a"), k("set").alias("b")).distinct(), sets)
 
     groups = components(links.unionAll(more)).withColumnsRenamed({"node": "set", "component": "group"})
     return sized.join(groups, "set", "left").select("id", "mark", "n_shingles", F.coalesce("group", "set").alias("component"))

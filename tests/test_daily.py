@@ -19,13 +19,13 @@ def test_two_runs(spark, tmp_path):
         [("7", "1", "https://www.facebook.com/groups/1/posts/7/", POST, dt.datetime(2024, 3, 1, 9)), ("8", "1", "p", "solo studenti, posto letto 300 €", dt.datetime(2024, 3, 1, 9))],
         "post_id string, group_id string, permalink string, message string, posted_at timestamp",
     )
-    points = spark.createDataFrame([("via morandi 13 druento torino italy", 45.09, 7.64)], "query_key string, lat double, lng double")
+    points = spark.createDataFrame([("corso prova 21 moncalieri torino italy", 45.09, 7.64)], "query_key string, lat double, lng double")
     none = points.limit(0)
     first = daily.run(spark, root, 1, mails, posts, c, "2024-03-01 12:00:00", points, none)
     assert first["messages_processed"] == 4 and first["listings_new"] == first["listings_scored"] == first["listings_parsed"]
     store = Store(spark, root)
     listings = {r["canonical_url"]: r for r in store.read("listings", LISTING_SCHEMA).collect()}
-    assert listings["https://www.idealista.it/immobile/35042946/"]["distance_to_ref_m"] > 0
+    assert listings["https://www.idealista.it/immobile/7001/"]["distance_to_ref_m"] > 0
     assert store.read("post_ledger", daily.POST_LEDGER).where("listings_found = 0").count() == 1
     cards = spark.read.parquet(store.path("digest_cards", 1)).orderBy("position").collect()
     assert cards[0]["text"].startswith("📅 01/03/2024\nNew: ") and len(cards) > 1

@@ -9,9 +9,9 @@ from tests.helpers import each, each_df
 
 def test_rent_from_text(spark):
     cases = {
-        "Affitto 850 €/mese": 850, "San Salvario € 750/month": 750, "€ 1,200/month": 1200, "€ 1.200/month": 1200,
-        "| 2 rooms | 1 bathroom": None, "€ 1.000/month 80 m²": 1000, "€ 1,000/month": 1000, "155.000 € 155 m²": None,
-        "124.000 €": None, "800 € al mese": 800, "€ 50.000 senza mese": None, "€ 40 m² a 700 €": 700,
+        "Affitto 850 €/mese": 850, "Aurora € 640/month": 640, "€ 1,200/month": 1200, "€ 1.200/month": 1200,
+        "4 rooms, 2 baths": None, "€ 1.000/month 80 m²": 1000, "€ 1,000/month": 1000, "210.000 € 120 m²": None,
+        "98.000 €": None, "800 € al mese": 800, "€ 50.000 senza mese": None, "€ 40 m² a 700 €": 700,
     }
     assert each_df(spark, lambda d: amounts.with_rent(d, "x", "r"), cases) == list(cases.values())
 
@@ -22,19 +22,23 @@ def test_amounts(spark):
 
 
 def test_rooms_area_fee(spark):
-    cases = {"3 locali luminosi": 3, "80 m² 3 stanze 3º piano": 3, "41 m² | 2 rooms | 1 bathroom": 2, "5 camere": 5, "2,5 locali": 2.5, "x": None}
+    cases = {"4 locali nuovi": 4, "104 m² 4 stanze": 4, "66 m² | 3 rooms": 3, "5 camere": 5, "2,5 locali": 2.5, "x": None}
     assert each(spark, amounts.rooms, cases) == list(cases.values())
-    assert each(spark, amounts.area, ["72 m²", "88 mq", "x"]) == [72, 88, None]
-    assert each(spark, amounts.condo_fee, ["spese condominio 120 euro", "x"]) == [120, None]
+    assert each(spark, amounts.area, ["66 m²", "104 mq", "x"]) == [66, 104, None]
+    assert each(spark, amounts.condo_fee, ["spese condominio 75 euro", "x"]) == [75, None]
     words = {"Monolocale luminoso": 1, "Bilocale": 2, "Trilocale": 3, "Quadrilocale": 4, "Villa": None}
     assert each(spark, amounts.rooms_from_words, words) == list(words.values())
 
 
 def test_canonical_url(spark):
     cases = {
-        "https://www.idealista.it/immobile/123?utm_source=alert": "https://www.idealista.it/immobile/123",
-        "https://www.casa.it/immobili/54086676/?aid=MTU1NjA4MTY%3D&utm_source=alerts": "https://www.casa.it/immobili/54086676/",
-        "https://www.casa.it/annunci/12345/?utm_source=alert": "https://www.casa.it/annunci/12345/",
+        "https://www.idealista.it/immobile/7001?utm_term=k": "https://www.idealista.it/immobile/7001",
+        "https://www.casa.it/immobili/909/?k=v&utm_medium=m": "https://www.casa.it/immobili/909/",
+        "https://casa.it/it/annunci/77?x": "https://www.casa.it/annunci/77/",
+        "https://x.it:8080/a?b=1": "https://x.it:8080/a?b=1", "https://x.it:443/a": "https://x.it/a", "http://x.it:80": "http://x.it/", "http://x.it:443/": "http://x.it:443/",
+        "https://x.it/a/../b": "https://x.it/b", "https://x.it/../a/./b/..": "https://x.it/a/", "https://x.it/a/%2E%2e/b/.": "https://x.it/b/",
+        "https://x.it/affitto/città": "https://x.it/affitto/citt%C3%A0", "https://x.it/a%20b/c d": "https://x.it/a%20b/c%20d", "https://x.it/a?q=due%20locali&r=a+b": "https://x.it/a?q=due+locali&r=a+b",
+        "https://x.it/?a=è~*&b=100%&c=a=b": "https://x.it/?a=%C3%A8%7E*&b=100%25&c=a%3Db", "https://x.it/?utm_source=1": "https://x.it/", "https://x.it\\a": "https://x.it/a",
         "not-a-url": None, "HTTPS://Ex.com#top": "https://ex.com/", "http://e.com/a?b&utm_term=1&c=2": "http://e.com/a?b=&c=2",
     }
     assert each(spark, urls.canonical, cases) == list(cases.values())
@@ -56,7 +60,7 @@ def test_sources(spark):
 
 def test_street_key(spark):
     cases = {
-        "bilocale in via prali 2 cenisia torino": "via-prali-2", "trilocale via roma, 5 torino": "via-roma-5", "via garibaldi torino": "via-garibaldi",
+        "loft in via inventata 7 aurora torino": "via-inventata-7", "casa via prova, 3 torino": "via-prova-3", "via modello torino": "via-modello",
         "Corso Così, 3B": "via-cosi-3b", "Bilocale Cenisia": None, "ovvia cosa": None,
     }
     assert each(spark, keys.street_key, cases) == list(cases.values())
@@ -64,12 +68,12 @@ def test_street_key(spark):
 
 def test_fingerprints_meet_across_portals(spark):
     rows = spark.createDataFrame(
-        [("via Prali 2, Cenisia, Turin", "3-room flat via Prali 2, Cenisia, Turin", 600), ("Via Prali, 2, Cenisia, Torino", "Trilocale in Via Prali, 2, Cenisia, Torino", 600), (None, "Bilocale via Roma 1", 50), (None, "x", None)],
+        [("via Inventata 7, Aurora, Turin", "3-room flat via Inventata 7, Aurora, Turin", 600), ("Via Inventata, 7, Aurora, Torino", "Trilocale in Via Inventata, 7, Aurora, Torino", 600), (None, "Bilocale via Roma 1", 50), (None, "x", None)],
         "hint string, title string, rent int",
     )
     street = keys.street_key(keys.street_text(F.col("hint"), F.col("title"), F.lit(None).cast("string")))
     got = [r[0] for r in rows.select(keys.fingerprint(street, F.col("rent"), F.lit(3.0), F.lit(60.0))).collect()]
-    assert got == ["via-prali-2|r3|a60|€600"] * 2 + [None, None]
+    assert got == ["via-inventata-7|r3|a60|€600"] * 2 + [None, None]
 
 
 def test_places(spark):
@@ -82,11 +86,11 @@ def test_places(spark):
 
 
 def test_alert_predicates(spark):
-    assert each(spark, alerts.is_meaningful_title, ["Listing", "Vedi 32 foto", "Trilocale bello", "abc", None]) == [False, False, True, False, False]
-    assert each(spark, alerts.idealista_anchor, ["Vedi 32 foto", "Trilocale in Via Morandi", "Bella casa in via Roma", "short"]) == [False, True, True, False]
+    assert each(spark, alerts.is_meaningful_title, ["Listing", "Vedi 5 foto", "Trilocale bello", "abc", None]) == [False, False, True, False, False]
+    assert each(spark, alerts.idealista_anchor, ["Vedi 5 foto", "Quadrilocale in Corso Prova", "Bella casa in via Roma", "short"]) == [False, True, True, False]
     assert each(spark, lambda x: alerts.is_sale_alert(x, F.lit("")), ["in vendita", "in vendita e in affitto", "ciao"]) == [True, False, False]
-    fields = each_df(spark, lambda d: alerts.with_subject_fields(d, "x", "s_").withColumn("r", F.struct("s_title", "s_rent_eur", "s_area_sqm", "s_location_hint")), ["Un nuovo annuncio: 1.060 € | 88 mq | Via Filadelfia, Torino", "altro"])
-    assert tuple(fields[0]) == ("88 m² — Via Filadelfia, Torino", 1060, 88.0, "Via Filadelfia, Torino")
+    fields = each_df(spark, lambda d: alerts.with_subject_fields(d, "x", "s_").withColumn("r", F.struct("s_title", "s_rent_eur", "s_area_sqm", "s_location_hint")), ["Un nuovo annuncio: 1.310 € | 104 mq | Corso Prova, Moncalieri", "altro"])
+    assert tuple(fields[0]) == ("104 m² — Corso Prova, Moncalieri", 1310, 104.0, "Corso Prova, Moncalieri")
     assert tuple(fields[1]) == (None, None, None, None)
 
 
