@@ -256,7 +256,7 @@ def _may_link(n_a, rest_a, n_b, rest_b):
 def _grouped(docs: DataFrame, key: str, text: str, buckets: int | None) -> DataFrame:
     """id, mark (hash of the text), n_shingles, component (null without shingles)."""
     spark = docs.sparkSession
-    wanted = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (wanted - 1).bit_length())
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -293,8 +293,8 @@ def _grouped(docs: DataFrame, key: str, text: str, buckets: int | None) -> DataF
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``component`` (a number of its component, null without shingles) and ``component_id``.
 
-    ``buckets`` is the number of parts into which shingles are dealt; by default twice the
-    shuffle partitions, up to the next power of two.
+    ``buckets`` is the number of parts into which shingles are dealt, up to the next power of
+    two; by default as many as shuffle partitions.
     """
     placed = cut_lineage(_grouped(docs, key, text, buckets))
     least = placed.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
