@@ -4,7 +4,7 @@ from rentlake.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "tests")
+def spark(tmp_path_factory):
+    session = local_session(4, "tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     yield session
     session.stop()
