@@ -129,23 +129,42 @@ def target(url: str) -> str:
     return f"regexp_extract({url}, '(?i)^\\s*https?://[^/?#\\s]+([^#]*)', 1)"
 
 
+def form(x: str) -> str:
+    """Form encoding of a decoded text; DuckDB escapes by the stricter URI set."""
+    return f"replace(replace(replace(url_encode({x}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+
+
+def url_path(p: str) -> str:
+    """Dot segments resolved (up to four times ``..``) and other characters escaped."""
+    out = f"regexp_replace({p}, '/(\\./)+', '/', 'g')"
+    for _ in range(4):
+        out = f"regexp_replace({out}, '^((?:/[^/]+)*?)/?[^/]*/\\.\\.(/|$)', '\\1/')"
+    kept = "!$&()*+,;=:@/[]|^%" + "'"
+    out = f"url_encode({out})"
+    for c in kept:
+        out = f"replace({out}, '%{ord(c):02X}', {q(c)})"
+    return out
+
+
 def canonical(src: str, out: str) -> list[dict]:
-    h, p, s = f"{out}_h", f"{out}_p", f"{out}_s"
+    h, p, s, o = f"{out}_h", f"{out}_p", f"{out}_s", f"{out}_o"
+    decoded = "url_decode(replace({}, '+', ' '))"
     pairs = (
         f"list_transform(list_filter(string_split(regexp_extract({src}, '\\?([^#]*)', 1), '&'), "
         f"lambda p: p <> '' and not list_contains([{', '.join(map(q, V.UTM_PARAMS))}], split_part(p, '=', 1))), "
-        f"lambda p: case when contains(p, '=') then p else p || '=' end)"
+        f"lambda p: {form(decoded.format(chr(39).join(['split_part(p, ', '=', ', 1)'])))} || '=' || {form(decoded.format(chr(39).join(['substr(p, length(split_part(p, ', '=', ', 1)) + 2)'])))})"
     )
     return [
         {h: host(src), p: f"regexp_extract({src}, '(?i)^\\s*https?://[^/?#\\s]+([^?#]*)', 1)",
-         s: f"array_to_string({pairs}, '&')"},
+         s: f"array_to_string({pairs}, '&')", o: f"regexp_extract({src}, '(?i)^\\s*https?://[^/?#:\\s]+(:\\d+)', 1)"},
         {out: f"""case when {h} is null then null
           when regexp_matches({h}, 'casa\\.it$') and regexp_matches({p}, '(?i)/immobili/\\d+')
             then 'https://www.casa.it/immobili/' || regexp_extract({p}, '(?i)/immobili/(\\d+)', 1) || '/'
           when regexp_matches({h}, 'casa\\.it$') and regexp_matches({p}, '(?i)/annunci/\\d+')
             then 'https://www.casa.it/annunci/' || regexp_extract({p}, '(?i)/annunci/(\\d+)', 1) || '/'
           else lower(regexp_extract({src}, '(?i)(https?)://', 1)) || '://' || {h}
-            || case when {p} = '' then '/' else replace({p}, ' ', '%20') end
+            || case when {o} = ':443' and regexp_matches({src}, '(?i)^\\s*https:') or {o} = ':80' and regexp_matches({src}, '(?i)^\\s*http:') then '' else {o} end
+            || case when {p} = '' then '/' else {url_path(p)} end
             || case when {s} = '' then '' else '?' || {s} end end"""},
     ]
 

@@ -19,24 +19,68 @@ def _part(url: Column, n: int) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host, NULL if the URL does not parse."""
-    return F.nullif(F.regexp_replace(F.lower(_part(url, 2)), r":\d+\z", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(_part(url, 2)), r":\d*\z", ""), F.lit(""))
+
+
+def _port(url: Column) -> Column:
+    """``:port`` unless it is the scheme's own."""
+    port = F.regexp_extract(_part(url, 2), r":0*(\d+)\z", 1)
+    usual = F.when(F.lower(_part(url, 1)) == "http", "80").otherwise("443")
+    return F.when((port == "") | (port == usual), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+
+
+# Bytes the form encoding escapes and a path keeps, in the order in which they are put back.
+_KEPT_IN_PATH = "/:@!$&'(),;=[]|^~+%"
+_DOT_SEGMENT = r"(?i)(?:\A|/)(?:\.|%2e){1,2}(?:/|\z)"
+
+
+def _without_dots(path: Column) -> Column:
+    """Path without ``.`` and ``..`` segments, however they are spelled."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    numbered = F.transform(segments, lambda x, i: F.struct(F.regexp_replace(x, "(?i)%2e", ".").alias("plain"), x.alias("text"), (i == F.size(segments) - 1).alias("last")))
+    none = F.array().cast("array<string>")
+    end = lambda x: F.when(x["last"], F.array(F.lit(""))).otherwise(none)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    done = F.aggregate(
+        numbered, none,
+        lambda acc, x: F.when(x["plain"] == "..", F.concat(up(acc), end(x))).when(x["plain"] == ".", F.concat(acc, end(x))).otherwise(F.concat(acc, F.array(x["text"]))),
+    )
+    return F.concat(F.lit("/"), F.array_join(done, "/"))
+
+
+def _encoded_path(path: Column) -> Column:
+    """Characters outside the path's own set as UTF-8 escapes; escapes in the text stay."""
+    text = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    for char in _KEPT_IN_PATH:
+        text = F.replace(text, F.lit(f"%{ord(char):02X}"), F.lit(char))
+    return F.when(path.rlike(r"[^!$-;=@-_a-z|~]"), text).otherwise(path)
 
 
 def path(url: Column) -> Column:
     """Path, at least ``/``."""
-    return F.when(_part(url, 3) == "", F.lit("/")).otherwise(F.replace(_part(url, 3), F.lit(" "), F.lit("%20")))
+    plain = F.translate(_part(url, 3), "\\\t\r\n", "/")
+    whole = F.when(plain == "", F.lit("/")).when(plain.rlike(_DOT_SEGMENT), _without_dots(plain)).otherwise(plain)
+    return _encoded_path(whole)
+
+
+def _form(text: Column) -> Column:
+    """Name or value of a query as the form encoding spells it."""
+    lone = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(text.rlike(r"[^A-Za-z0-9*._+-]"), F.url_encode(F.url_decode(lone))).otherwise(text)
 
 
 def search(url: Column) -> Column:
     """Query part without the campaign parameters, ``''`` if nothing is left."""
-    pairs = F.split(F.substring(_part(url, 4), 2, 1 << 30), "&")
-    kept = F.filter(
+    pairs = F.filter(F.split(F.substring(_part(url, 4), 2, 1 << 30), "&"), lambda p: p != "")
+    spelled = F.transform(
         pairs,
-        lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*V.UTM_PARAMS),
-    )
-    text = F.array_join(
-        F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&"
+        lambda p: F.struct(
+            _form(F.substring_index(p, "=", 1)).alias("name"),
+            _form(F.when(F.contains(p, F.lit("=")), F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).otherwise(F.lit(""))).alias("value"),
+        ),
     )
+    kept = F.filter(spelled, lambda p: ~p["name"].isin(*V.UTM_PARAMS))
+    text = F.array_join(F.transform(kept, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
     return F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))
 
 
@@ -54,7 +98,7 @@ def canonical(url: Column) -> Column:
         F.when(host(url).isNull(), F.lit(None).cast("string"))
         .when(is_casa & (immobili != ""), F.concat(F.lit(V.CASA_URL_IMMOBILI), immobili, F.lit("/")))
         .when(is_casa & (annunci != ""), F.concat(F.lit(V.CASA_URL_ANNUNCI), annunci, F.lit("/")))
-        .otherwise(F.concat(F.lower(_part(url, 1)), F.lit("://"), host(url), where, search(url)))
+        .otherwise(F.concat(F.lower(_part(url, 1)), F.lit("://"), host(url), _port(url), where, search(url)))
     )
 
 

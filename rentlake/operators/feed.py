@@ -25,11 +25,17 @@ def _hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))
 
 
+def _firsts(array: str, key: str) -> Column:
+    """Elements whose key occurs for the first time."""
+    keys = F.transform(array, lambda x: x[key])
+    return F.filter(array, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+
+
 def posts_of_pages(pages: DataFrame) -> DataFrame:
     """Posts of the article blocks, else of the whole page; bare links if that finds none.
 
-    A page is one row, so the choice between the three readings is made inside the row
-    and the only shuffle is the one that drops repeated posts of a page.
+    A page is one row, so the choice between the three readings is made inside the row, and
+    so are repeated posts dropped: nothing is shuffled.
     """
     html = F.col("html")
     blocks = F.regexp_extract_all(html, F.lit(js(V.ARTICLE)), F.lit(1))
@@ -46,12 +52,9 @@ def posts_of_pages(pages: DataFrame) -> DataFrame:
         F.size("found") > 0,
         F.transform("found", lambda f: F.struct(f["chunk"].alias("chunk"), f["post_id"].alias("post_id"), F.lit(None).cast("string").alias("href"))),
     ).otherwise(F.filter(links, lambda f: f["post_id"].isNotNull()))
-    first = (
-        exploded(staged, ["page_id", "group_id", "scraped_at"], rows, "p")
-        .select("page_id", "group_id", "scraped_at", "pos", "p.*")
-        .groupBy("page_id", "group_id", "post_id")
-        .agg(F.min(F.struct("pos", "scraped_at", "chunk", "href")).alias("p"))
-        .select("page_id", "group_id", "post_id", "p.*")
+    kept = staged.withColumn("rows", rows)
+    first = exploded(kept, ["page_id", "group_id", "scraped_at"], _firsts("rows", "post_id"), "p").select(
+        "page_id", "group_id", "scraped_at", "pos", "p.*"
     )
     mark = F.lower(F.concat(F.lit("/groups/"), F.col("group_id"), F.lit("/posts/"), F.col("post_id")))
     own = F.try_element_at(F.filter(_hrefs(F.col("chunk")), lambda h: F.contains(F.lower(h), mark)), F.lit(1))
@@ -77,20 +80,18 @@ def once_across_groups(found: DataFrame, order: str, since: Column) -> DataFrame
 
 
 def post_drafts(found: DataFrame) -> DataFrame:
-    """One draft per portal URL of a post, else one for the post itself if it says enough."""
+    """One draft per portal URL of a post, else one for the post itself if it says enough.
+
+    ``found`` has one row per post.
+    """
     staged = found.withColumn("text", posts.clean(F.col("message"))).withColumn("links", urls.urls_in(F.col("text")))
     pairs = F.transform("links", lambda u: F.struct(urls.canonical(u).alias("canonical_url"), u.alias("url")))
     kept = F.filter(pairs, lambda p: p["canonical_url"].isNotNull() & urls.is_portal_or_listing(p["canonical_url"]))
     staged = staged.withColumn("links", kept)
     own = F.array(F.struct(F.col("permalink").alias("canonical_url"), F.lit(None).cast("string").alias("url")))
     rows = F.when(F.size("links") > 0, F.col("links")).when(F.length("text") >= 30, own)
-    first = (
-        exploded(staged, ["post_id", "permalink", "message", "text"], rows, "l")
-        .select("post_id", "permalink", "message", "text", "pos", "l.*")
-        .groupBy("post_id", "canonical_url")
-        .agg(F.min(F.struct("pos", "permalink", "message", "text", "url")).alias("p"))
-        .select("post_id", "canonical_url", "p.*")
-    )
+    carried = ["post_id", "permalink", "message", "text", *(c for c in ("posted_at",) if c in found.columns)]
+    first = exploded(staged.withColumn("rows", rows), carried, _firsts("rows", "canonical_url"), "l").select(*carried, "pos", "l.*")
     linked = cut(F.concat_ws(" ", "text", "url"), 500)
     block = F.col("block")
     target = F.coalesce(F.col("url"), F.col("permalink"))
@@ -108,5 +109,6 @@ def post_drafts(found: DataFrame) -> DataFrame:
         amounts.area(block).alias("area_sqm"),
         amounts.rooms(block).alias("rooms"),
         cut(block, 400).alias("raw_snippet"),
-        "message",
+        *carried[2:3],
+        *carried[4:],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rentlake.functions import alerts, amounts, keys, urls
 from rentlake.functions.regex import collapse, cut
 from rentlake.operators.anchors import message_anchors
+from rentlake.session import cut_lineage
 
 DRAFT_COLUMNS = (
     "canonical_url", "listing_url", "source", "external_id", "title", "location_hint",
@@ -24,13 +25,19 @@ def routed(messages: DataFrame) -> DataFrame:
     )
 
 
-def generic_drafts(messages: DataFrame) -> DataFrame:
+def anchors_of(messages: DataFrame) -> DataFrame:
+    """Anchors of all messages in one pass; the parser of the portal that sends both reads no sale alerts."""
+    todo = routed(messages).withColumn("sale", alerts.is_sale_alert(F.col("subject"), F.col("body")))
+    return message_anchors(todo.where(~(F.col("sale") & (F.col("route") == "idealista"))))
+
+
+def generic_drafts(anchors: DataFrame) -> DataFrame:
     """One draft per listing URL of a message, the first anchor wins."""
-    known = message_anchors(messages).withColumn("canonical_url", urls.canonical(F.col("href")))
+    known = anchors.withColumn("canonical_url", urls.canonical(F.col("href")))
     first = (
         known.where(urls.is_listing_page(F.col("canonical_url")))
         .groupBy("message_id", "canonical_url")
-        .agg(F.min(F.struct("pos", "subject", "sender", "text", "block")).alias("a"))
+        .agg(F.min(F.struct("pos", "received_at", "sale", "subject", "sender", "text", "block")).alias("a"))
         .select("message_id", "canonical_url", "a.*")
     )
     text, block, context = F.col("text"), F.col("block"), F.col("context")
@@ -63,6 +70,8 @@ def generic_drafts(messages: DataFrame) -> DataFrame:
     built = alerts.built_title(F.col("plain_title"), F.col("area_sqm"), F.col("location_hint"), F.col("rent_eur"))
     return staged.select(
         "message_id",
+        "received_at",
+        "sale",
         "sender",
         "canonical_url",
         F.lit(None).cast("string").alias("listing_url"),
@@ -78,21 +87,21 @@ def generic_drafts(messages: DataFrame) -> DataFrame:
     )
 
 
-def idealista_drafts(messages: DataFrame) -> DataFrame:
+def idealista_drafts(anchors: DataFrame) -> DataFrame:
     """One draft per listing id of a message, the longest title wins, a tie keeps the first."""
-    rental = messages.where(~alerts.is_sale_alert(F.col("subject"), F.col("body")))
     text = F.col("text")
     best = (
-        message_anchors(rental)
-        .withColumn("external_id", urls.immobile_id(F.col("href")))
+        anchors.withColumn("external_id", urls.immobile_id(F.col("href")))
         .where(F.col("external_id").isNotNull() & alerts.idealista_anchor(text))
         .groupBy("message_id", "external_id")
-        .agg(F.min(F.struct((-F.length(text)).alias("rank"), "pos", "sender", "text", "block")).alias("a"))
+        .agg(F.min(F.struct((-F.length(text)).alias("rank"), "pos", "received_at", "sale", "sender", "text", "block")).alias("a"))
         .select("message_id", "external_id", "a.*")
     )
     block, url = F.col("block"), urls.immobile_url(F.col("external_id"))
     return amounts.with_rent(best, "block", "rent").select(
         "message_id",
+        "received_at",
+        "sale",
         "sender",
         url.alias("canonical_url"),
         url.alias("listing_url"),
@@ -108,20 +117,22 @@ def idealista_drafts(messages: DataFrame) -> DataFrame:
     )
 
 
-def immobiliare_drafts(messages: DataFrame) -> DataFrame:
+def immobiliare_drafts(found: DataFrame) -> DataFrame:
     """One draft per stable key of a message; click links change, the key does not."""
     text, block = F.col("text"), F.col("block")
-    anchors = message_anchors(messages).where(alerts.immobiliare_anchor(text))
+    anchors = found.where(alerts.immobiliare_anchor(text))
     read = (
         amounts.with_rent(anchors, "block", "rent_eur")
         .withColumn("area_sqm", amounts.area(block))
         .withColumn("canonical_url", keys.alert_url(text, F.col("rent_eur"), F.col("area_sqm")))
         .groupBy("message_id", "canonical_url")
-        .agg(F.min(F.struct("pos", "sender", "href", "text", "block", "rent_eur", "area_sqm")).alias("a"))
+        .agg(F.min(F.struct("pos", "received_at", "sale", "sender", "href", "text", "block", "rent_eur", "area_sqm")).alias("a"))
         .select("message_id", "canonical_url", "a.*")
     )
     return read.select(
         "message_id",
+        "received_at",
+        "sale",
         "sender",
         "canonical_url",
         urls.click_url(F.col("href")).alias("listing_url"),
@@ -137,8 +148,8 @@ def immobiliare_drafts(messages: DataFrame) -> DataFrame:
     )
 
 
-# A parser is a name and a function from routed messages to drafts; add one here and a
-# branch to ``alerts.parser_route`` to plug in another portal.
+# A parser is a name and a function from anchors to drafts; add one here and a branch to
+# ``alerts.parser_route`` to plug in another portal.
 PARSERS = {
     "immobiliare": immobiliare_drafts,
     "idealista": idealista_drafts,
@@ -147,10 +158,10 @@ PARSERS = {
 
 
 def drafts(messages: DataFrame) -> DataFrame:
-    """Drafts of all messages, each read by the parser its sender selects."""
-    todo = routed(messages)
+    """Drafts of all messages: one pass over the bodies, then each route's parser on its anchors."""
+    found = cut_lineage(anchors_of(messages))
     out = None
     for name, parse in PARSERS.items():
-        part = parse(todo.where(F.col("route") == name)).withColumn("parser", F.lit(name))
+        part = parse(found.where(F.col("route") == name)).withColumn("parser", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
