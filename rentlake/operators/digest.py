@@ -72,16 +72,19 @@ def selection(view: DataFrame, c: Criteria, top_n: int = 10, **limits) -> DataFr
     return top(with_skip_reason(view, c, **limits).where("skip_reason is null"), top_n)
 
 
-def batches(chosen: DataFrame, per_run: int = 10) -> DataFrame:
+def batches(chosen: DataFrame, per_run: int = 10, queue: bool = False) -> DataFrame:
     """Split a selection: normal cards take the budget first, suspicious ones fill the rest.
 
-    ``chosen`` is a digest selection, at most ``top_n`` rows, so one window partition per
-    class is small by construction.
+    With a queue behind it everything goes out and nothing is deferred.  ``chosen`` is a
+    digest selection, at most ``top_n`` rows, so one window partition per class is small
+    by construction.
     """
     suspicious = F.coalesce(F.col("risk_level") == "high", F.lit(False))
     ranked = chosen.withColumn("suspicious", suspicious).withColumn(
         "place", F.row_number().over(Window.partitionBy("suspicious").orderBy(F.col("score").desc(), "id"))
     )
+    if queue:
+        return ranked.withColumn("deferred", F.lit(False))
     normal = F.count(F.when(~F.col("suspicious"), 1)).over(Window.partitionBy())
     budget = F.when(F.col("suspicious"), F.greatest(F.lit(per_run) - normal, F.lit(0))).otherwise(F.lit(per_run))
     return ranked.withColumn("deferred", F.col("place") > budget)

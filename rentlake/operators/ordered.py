@@ -1,8 +1,8 @@
 """Values of neighbouring rows and first rows per key, safe for hot keys.
 
-A plain window puts a whole key into one task.  Here a key is cut into chunks of the
-order (a day, a range of positions): rows look inside their chunk, and only the chunk
-ends, at most one per key and chunk, travel between chunks.
+A plain window puts a whole key into one task.  Here rows are numbered in their order and
+a key is cut into chunks of at most ``CHUNK`` positions: rows look inside their chunk, and
+only the chunk ends, at most one per key and chunk, travel between chunks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentlake.session import cut_lineage
+
+#: Positions in a chunk of the order.
+CHUNK = 1 << 16
+
+
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Rows written in their order with dense positions ``pos`` 0..n-1, and n."""
+    spark = rows.sparkSession
+    tagged = cut_lineage(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = tagged.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row per partition
+    starts, total = [], 0
+    for row in sizes:
+        starts.append((row["part"], total))
+        total += row["count"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "part long, start long"))  # one row per partition
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return tagged.join(offsets, part == F.col("part")).withColumn("pos", F.col("start") + within).drop("_id", "part", "start"), total
+
+
+def chunk() -> Column:
+    return F.floor(F.col("pos") / CHUNK)
+
 
 def _neighbour(df: DataFrame, keys, chunk: Column, order, values, backwards: bool) -> DataFrame:
     keys, order = list(keys), list(order)
@@ -45,11 +69,3 @@ def with_previous(df: DataFrame, keys, chunk: Column, order, values) -> DataFram
 def with_next(df: DataFrame, keys, chunk: Column, order, values) -> DataFrame:
     """Add ``next_<value>``: the first known value of the rows after, per key."""
     return _neighbour(df, keys, chunk, order, values, backwards=True)
-
-
-def latest_per(df: DataFrame, key: str, order) -> DataFrame:
-    """Last row per key in the given order, combined before the shuffle."""
-    rest = [c for c in df.columns if c != key and c not in order]
-    return df.groupBy(key).agg(F.max(F.struct(*order)).alias("_o"), F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(
-        key, "_o.*", "_r.*"
-    ).select(*df.columns)

@@ -59,8 +59,9 @@ def hard_ok(c: Criteria, text: str = "_text") -> Column:
 def score(located: DataFrame, c: Criteria, model_replies: DataFrame | None, as_of: str, model: str = "model") -> DataFrame:
     """Score rows for listings that carry distance and proximity.
 
-    ``model_replies`` holds (listing_id, response); a listing without a usable reply is
-    scored by the rules alone.
+    ``model_replies`` holds (listing_id, response) and may hold ``replied_at``: the newest
+    reply of a listing counts, of equally new ones the largest text.  A listing without a
+    usable reply is scored by the rules alone.
     """
     k = F.col
     staged = with_search_text(located).withColumn(
@@ -73,7 +74,8 @@ def score(located: DataFrame, c: Criteria, model_replies: DataFrame | None, as_o
     if model_replies is None:
         staged = staged.withColumn("_reply", F.lit(None).cast("string"))
     else:
-        one = model_replies.groupBy("listing_id").agg(F.max("response").alias("_reply"))
+        time = F.col("replied_at") if "replied_at" in model_replies.columns else F.lit(None).cast("timestamp")
+        one = model_replies.groupBy("listing_id").agg(F.max_by("response", F.struct(time, "response")).alias("_reply"))
         staged = staged.join(one.withColumnRenamed("listing_id", "_lid"), k("id") == k("_lid"), "left")
     proximity = k("proximity_score") if c.proximity_enabled else None
     staged = replies.with_result(staged, c, "_reply", "m_", proximity)

@@ -96,6 +96,36 @@ def export_view(listings_with_score: DataFrame) -> DataFrame:
     )
 
 
+def export_messages(ledger: DataFrame) -> DataFrame:
+    """Ledger rows as the export spells them."""
+    k = F.col
+    return ledger.select(
+        "message_id", "subject", k("from_address").alias("from"), iso(k("received_at")).alias("receivedAt"),
+        iso(k("processed_at")).alias("processedAt"), k("listings_found").alias("listingsFound"),
+    )
+
+
+def export_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The last runs as the export spells them."""
+    k = F.col
+    return last_runs(runs, n).select(
+        "id", "status", iso(k("started_at")).alias("startedAt"), iso(k("finished_at")).alias("finishedAt"),
+        k("messages_processed").alias("messagesProcessed"), k("listings_parsed").alias("listingsParsed"), k("listings_new").alias("listingsNew"),
+        k("duplicates_skipped").alias("duplicatesSkipped"), k("listings_scored").alias("listingsScored"), k("cards_sent").alias("cardsSent"),
+        k("error_message").alias("errorMessage"),
+    )
+
+
+def export(path: str, listings_with_score: DataFrame, scores: DataFrame, ledger: DataFrame, runs: DataFrame) -> None:
+    """Write summary, listings, messages and runs as JSON lines, a folder each."""
+    sections = {
+        "summary": row_counts(listings=listings_with_score, listing_scores=scores, processed_messages=ledger, runs=runs),
+        "listings": export_view(listings_with_score), "messages": export_messages(ledger), "runs": export_runs(runs),
+    }
+    for name, rows in sections.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def mark_sent(listings: DataFrame, sent: DataFrame) -> DataFrame:
     """Stamp listings named in (listing_id, sent_at, message_id)."""
     one = sent.groupBy("listing_id").agg(F.max(F.struct("sent_at", "message_id")).alias("_m"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from rentlake.functions import keys, urls
 from rentlake.functions.amounts import total_cost
 from rentlake.functions.regex import strip
-from rentlake.operators.ordered import with_next, with_previous
+from rentlake.operators.ordered import chunk, numbered, with_next, with_previous
 from rentlake.session import cut_lineage
 
 LISTING_SCHEMA = """
@@ -74,28 +74,6 @@ def keyed(drafts: DataFrame) -> DataFrame:
 
 # --- identity ----------------------------------------------------------------
 
-def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Dense positions 0..n-1 in (seen_at, draft_key) order, written down once."""
-    spark = rows.sparkSession
-    tagged = cut_lineage(
-        rows.orderBy("seen_at", "draft_key").withColumn("_id", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_id", 33)
-    sizes = tagged.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row per partition
-    starts, total = [], 0
-    for row in sizes:
-        starts.append((row["part"], total))
-        total += row["count"]
-    offsets = spark.createDataFrame(starts, "part long, start long")
-    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        tagged.join(offsets, part == F.col("part"))
-        .withColumn("pos", F.col("start") + within)
-        .drop("_id", "part", "start"),
-        total,
-    )
-
-
 def _blocks(low: Column, high: Column, levels: int) -> Column:
     """Aligned blocks (level, number) that tile positions low..high-1, at most two per level."""
     per_level = []
@@ -115,54 +93,73 @@ def _enclosing(pos: Column, levels: int) -> Column:
     )
 
 
-def _held(own: DataFrame, known: DataFrame, opened: DataFrame, levels: int, span: int) -> DataFrame:
-    """Blocks in which a fingerprint is held: who, and how old the holder is."""
-    from_drafts = (
-        own.join(opened, "canonical_url")
-        .where(F.col("fingerprint").isNotNull() & (F.col("pos") >= F.col("opened")))
-        .select(
-            "fingerprint", F.col("canonical_url").alias("owner"), "born",
-            (F.col("pos") + 1).alias("low"), F.coalesce("next_pos", F.lit(span)).alias("high"),
-        )
+def _spans(own: DataFrame, known: DataFrame, levels: int, span: int) -> DataFrame:
+    """Blocks in which a URL would hold a fingerprint, from the position ``since`` of the draft that says so.
+
+    Whether it does depends on whether the URL has opened its listing by then.
+    """
+    from_drafts = own.where(F.col("fingerprint").isNotNull()).select(
+        "fingerprint", F.col("canonical_url").alias("owner"), F.col("pos").alias("since"),
+        (F.col("pos") + 1).alias("low"), F.coalesce("next_pos", F.lit(span)).alias("high"),
     )
     from_table = known.where(F.col("fingerprint").isNotNull()).select(
-        "fingerprint", F.col("canonical_url").alias("owner"), "born",
+        "fingerprint", F.col("canonical_url").alias("owner"), F.lit(0).cast("long").alias("since"),
         F.lit(0).cast("long").alias("low"), F.coalesce("first_pos", F.lit(span)).alias("high"),
     )
     return (
         from_drafts.unionByName(from_table)
         .where(F.col("low") < F.col("high"))
-        .select("fingerprint", "owner", "born", F.explode(_blocks(F.col("low"), F.col("high"), levels)).alias("b"))
-        .select("fingerprint", "owner", "born", "b.*")
-        .groupBy("fingerprint", "level", "number")
-        .agg(
-            F.min("owner").alias("low_owner"),
-            F.max("owner").alias("high_owner"),
-            F.min(F.struct("born", "owner")).alias("oldest"),
-        )
+        .select("fingerprint", "owner", "since", F.explode(_blocks(F.col("low"), F.col("high"), levels)).alias("b"))
+        .select("fingerprint", "owner", "since", "b.*")
     )
 
 
-def _lookups(own: DataFrame, levels: int) -> DataFrame:
-    return own.where(F.col("fingerprint").isNotNull() & ~F.col("in_table")).select(
-        "canonical_url", "pos", "fingerprint", F.explode(_enclosing(F.col("pos"), levels)).alias("b")
-    ).select("canonical_url", "pos", "fingerprint", "b.*")
+_BLOCK = ["fingerprint", "level", "number"]
+
 
+def _held(spans: DataFrame, opened: DataFrame, *more: Column) -> DataFrame:
+    """Who holds each block; ``opened`` has the position at which each owner opens."""
+    held = spans.join(opened.withColumnRenamed("canonical_url", "owner"), "owner").where(F.col("since") >= F.col("opened"))
+    return held.groupBy(*_BLOCK).agg(F.min("owner").alias("low_owner"), F.max("owner").alias("high_owner"), *more)
 
-def _found(own: DataFrame, held: DataFrame, levels: int) -> DataFrame:
-    """Positions at which somebody else holds the fingerprint, with the oldest holder."""
+
+def _found(lookups: DataFrame, held: DataFrame) -> DataFrame:
+    """Lookups that meet a block somebody else holds."""
     other = (F.col("low_owner") != F.col("canonical_url")) | (F.col("high_owner") != F.col("canonical_url"))
-    return (
-        _lookups(own, levels)
-        .join(held, ["fingerprint", "level", "number"])
-        .where(other)
-        .groupBy("pos")
-        .agg(F.min("oldest").alias("oldest"))
-    )
+    return lookups.join(held, _BLOCK).where(other)
 
 
-def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
-    """Add ``target_url`` (canonical URL of the listing a draft belongs to) and ``opens``."""
+def _openings(own: DataFrame, spans: DataFrame, lookups: DataFrame, known: DataFrame, never: int) -> DataFrame:
+    """(canonical_url, opened) of every URL; ``never`` for one that never opens a listing.
+
+    A round turns a bound of the openings into the bound of the other side.  A URL whose
+    two bounds agree is settled: it leaves, and only fingerprints that the others still
+    look up go on, so rounds get smaller.
+    """
+    settled = known.select("canonical_url", F.lit(-1).cast("long").alias("opened"))
+    open_ = cut_lineage(own.where(~F.col("in_table")).groupBy("canonical_url").agg(F.min("pos").alias("opened")))
+    places = own.where(~F.col("in_table")).select("canonical_url", "pos")
+    while True:
+        found = _found(lookups, _held(spans, settled.unionByName(open_))).select("canonical_url", "pos").distinct()
+        missed = places.join(found, ["canonical_url", "pos"], "left_anti").groupBy("canonical_url").agg(F.min("pos").alias("_later"))
+        both = cut_lineage(
+            open_.join(missed, "canonical_url", "left").select("canonical_url", "opened", F.coalesce("_later", F.lit(never)).alias("later"))
+        )
+        settled = settled.unionByName(both.where("opened = later").select("canonical_url", "opened"))
+        open_ = both.where("opened <> later").select("canonical_url", F.col("later").alias("opened"))
+        if open_.isEmpty():
+            return settled.where("opened >= 0")
+        settled = cut_lineage(settled)
+        lookups = cut_lineage(lookups.join(open_, "canonical_url", "left_semi"))
+        places = cut_lineage(places.join(open_, "canonical_url", "left_semi"))
+        spans = cut_lineage(spans.join(lookups, _BLOCK, "left_semi"))
+
+
+def resolve(drafts: DataFrame, listings: DataFrame, total: int) -> DataFrame:
+    """Add ``target_url`` (canonical URL of the listing a draft belongs to) and ``opens``.
+
+    ``drafts`` carry their positions ``pos`` in the order of time, below ``total``.
+    """
     table = listings.select(
         "canonical_url", F.col("listing_fingerprint").alias("fingerprint"), F.col("first_seen_at").alias("first_seen")
     )
@@ -177,66 +174,61 @@ def resolve(drafts: DataFrame, listings: DataFrame) -> DataFrame:
     contested = cut_lineage(both.join(shared, "fingerprint", "left_semi").select("canonical_url").distinct())
 
     in_table = table.select("canonical_url", F.lit(True).alias("in_table"))
-    order = F.struct("seen_at", "draft_key")
     free = drafts.join(contested, "canonical_url", "left_anti")
-    first = free.groupBy("canonical_url").agg(F.min(order).alias("_first"))
+    first = free.groupBy("canonical_url").agg(F.min("pos").alias("_first"))
     free = (
         free.join(first, "canonical_url")
         .join(in_table, "canonical_url", "left")
         .select(
             *drafts.columns, F.col("canonical_url").alias("target_url"),
-            (F.col("in_table").isNull() & (F.col("_first") == order)).alias("opens"),
+            (F.col("in_table").isNull() & (F.col("_first") == F.col("pos"))).alias("opens"),
         )
     )
 
     rows = (
-        drafts.select("draft_key", "seen_at", "canonical_url", "fingerprint")
+        drafts.select("pos", "canonical_url", "fingerprint")
         .join(contested, "canonical_url", "left_semi")
         .join(in_table, "canonical_url", "left")
         .withColumn("in_table", F.coalesce("in_table", F.lit(False)))
     )
     if contested.isEmpty():
         return free
-    rows, total = _numbered(rows)
     levels = max(1, total.bit_length())
-    chunk = F.shiftright("pos", max(0, levels - 10))
     marked = rows.withColumn("held_pos", F.when(F.col("fingerprint").isNotNull(), F.col("pos")))
     own = cut_lineage(
-        with_next(marked, ["canonical_url"], chunk, ["pos"], ["held_pos"]).withColumnRenamed("next_held_pos", "next_pos")
+        with_next(marked, ["canonical_url"], chunk(), ["pos"], ["held_pos"]).withColumnRenamed("next_held_pos", "next_pos")
     )
-    known = table.join(contested, "canonical_url", "left_semi").join(
-        own.groupBy("canonical_url").agg(F.min("held_pos").alias("first_pos")), "canonical_url", "left"
-    ).withColumn("born", F.struct(F.lit(0).alias("fresh"), F.unix_micros("first_seen").alias("at")))
-    known = cut_lineage(known)
-
-    def with_birth(opened: DataFrame) -> DataFrame:
-        fresh = F.struct(F.lit(1).alias("fresh"), F.col("opened").alias("at"))
-        old = known.select("canonical_url", F.lit(-1).cast("long").alias("opened"), "born")
-        return opened.select("canonical_url", "opened", fresh.alias("born")).unionByName(old)
-
-    opened = cut_lineage(own.where(~F.col("in_table")).groupBy("canonical_url").agg(F.min("pos").alias("opened")))
-    while True:
-        held = _held(own, known, with_birth(opened), levels, total)
-        missed = own.where(~F.col("in_table")).join(_found(own, held, levels), "pos", "left_anti")
-        later = missed.groupBy("canonical_url").agg(F.min("pos").alias("later"))
-        both_rounds = cut_lineage(opened.join(later, "canonical_url", "full_outer"))
-        opened = both_rounds.where("later is not null").select("canonical_url", F.col("later").alias("opened"))
-        if both_rounds.where("not (opened <=> later)").isEmpty():
-            break
-
-    held = _held(own, known, with_birth(opened), levels, total)
+    known = cut_lineage(
+        table.join(contested, "canonical_url", "left_semi")
+        .join(own.groupBy("canonical_url").agg(F.min("held_pos").alias("first_pos")), "canonical_url", "left")
+        .withColumn("born", F.struct(F.lit(0).alias("fresh"), F.unix_micros("first_seen").alias("at")))
+    )
+    spans = cut_lineage(_spans(own, known, levels, total))
+    # One row per level, written once; blocks that nobody can ever hold are of no use.
+    lookups = own.where(F.col("fingerprint").isNotNull() & ~F.col("in_table")).select(
+        "canonical_url", "pos", "fingerprint", F.explode(_enclosing(F.col("pos"), levels)).alias("b")
+    )
+    lookups = cut_lineage(lookups.select("canonical_url", "pos", "fingerprint", "b.*").join(spans, _BLOCK, "left_semi"))
+    opened = cut_lineage(_openings(own, spans, lookups, known, total))
+
+    fresh = opened.select("canonical_url", "opened", F.struct(F.lit(1).alias("fresh"), F.col("opened").alias("at")).alias("born"))
+    births = fresh.unionByName(known.select("canonical_url", F.lit(-1).cast("long").alias("opened"), "born"))
+    held = _held(spans, births, F.min(F.struct("born", "owner")).alias("oldest"))
+    # Only drafts before their URL's own opening need a holder.
+    homeless = lookups.join(opened, "canonical_url").where(F.col("pos") < F.col("opened")).drop("opened")
+    oldest = _found(homeless, held).groupBy("pos").agg(F.min("oldest").alias("oldest"))
     target = (
         own.join(opened, "canonical_url", "left")
-        .join(_found(own, held, levels), "pos", "left")
+        .join(oldest, "pos", "left")
         .select(
-            "draft_key",
+            "pos",
             F.when(F.col("in_table") | (F.col("pos") >= F.col("opened")), F.col("canonical_url"))
             .otherwise(F.col("oldest.owner"))
             .alias("target_url"),
             F.coalesce(F.col("pos") == F.col("opened"), F.lit(False)).alias("opens"),
         )
     )
-    settled = drafts.join(contested, "canonical_url", "left_semi").join(cut_lineage(target), "draft_key")
+    settled = drafts.join(contested, "canonical_url", "left_semi").join(cut_lineage(target), "pos")
     return free.unionByName(settled)
 
 
@@ -253,9 +245,7 @@ class Merge:
 
 def changes_of(resolved: DataFrame, listings: DataFrame) -> DataFrame:
     """Per draft: is it new, did the price change, did the facts change."""
-    before = with_previous(
-        resolved, ["target_url"], F.date_trunc("day", "seen_at"), ["seen_at", "draft_key"], ["rent_eur", "hash"]
-    )
+    before = with_previous(resolved, ["target_url"], chunk(), ["pos"], ["rent_eur", "hash"])
     old = listings.select(
         F.col("canonical_url").alias("target_url"), F.col("rent_eur").alias("old_rent"),
         F.col("material_hash").alias("old_hash"),
@@ -272,7 +262,7 @@ def changes_of(resolved: DataFrame, listings: DataFrame) -> DataFrame:
 
 def _folded(resolved: DataFrame) -> DataFrame:
     """One row per target; every field is an aggregate, so hot targets combine before the shuffle."""
-    at = F.struct("seen_at", "draft_key")
+    at = F.col("pos")
 
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), at)).alias(name)
@@ -291,8 +281,9 @@ def _folded(resolved: DataFrame) -> DataFrame:
 
 def merge(listings: DataFrame, drafts: DataFrame) -> Merge:
     """Apply drafts (``draft_key`` unique, ``seen_at`` set) to the listing table."""
-    resolved = cut_lineage(resolve(cut_lineage(keyed(drafts)), listings))
-    changes = changes_of(resolved, listings)
+    rows, total = numbered(keyed(drafts), "seen_at", "draft_key")
+    resolved = cut_lineage(resolve(rows, listings, total))
+    changes = cut_lineage(changes_of(resolved, listings))
     priced = changes.where("price_changed").groupBy("target_url").agg(F.max("seen_at").alias("priced_at"))
     new = _folded(resolved).join(priced, "target_url", "left").select(
         *[F.col(n).alias(f"n_{n}") for n in (
@@ -320,7 +311,7 @@ def merge(listings: DataFrame, drafts: DataFrame) -> Merge:
         "last_seen_at": F.greatest(c("last_seen_at"), c("n_last_seen")),
         "price_changed_at": F.coalesce(c("n_priced_at"), c("price_changed_at")),
     }
-    table = joined.select(*[fresh.get(n, c(n)).alias(n) for n in listings.columns])
+    table = cut_lineage(joined.select(*[fresh.get(n, c(n)).alias(n) for n in listings.columns]))
     foreign = resolved.where(c("canonical_url") != c("target_url"))
     alternates = (
         foreign.groupBy("target_url", "canonical_url")

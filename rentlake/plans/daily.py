@@ -11,7 +11,7 @@ from rentlake.operators.scoring import SCORE_SCHEMA
 from rentlake.operators.upsert import LISTING_SCHEMA
 from rentlake.plans import ingest as ingest_plan
 from rentlake.plans import rate as rate_plan
-from rentlake.session import tune
+from rentlake.session import scratch, tune
 from rentlake.sources.landing import since
 from rentlake.sources.store import Store
 
@@ -20,61 +20,78 @@ POST_LEDGER = "post_id string, group_id string, permalink string, message string
 POINTS = "query_key string, query_raw string, lat double, lng double, source string, created_at timestamp"
 
 
+RUNS = (
+    "id string, started_at timestamp, finished_at timestamp, status string, messages_processed int, listings_parsed int, "
+    "listings_new int, duplicates_skipped int, listings_scored int, cards_sent int, error_message string"
+)
+
+
 def run(
     spark: SparkSession, root: str, version: int, messages: DataFrame, posts: DataFrame, c: Criteria, as_of: str,
     gazetteer: DataFrame, fallback: DataFrame, model_replies: DataFrame | None = None,
-    message_hours: int = 26, post_hours: int = 24,
+    message_hours: int = 26, post_hours: int = 24, receipts: DataFrame | None = None, dismissed: DataFrame | None = None,
+    queue: bool = False,
 ) -> dict[str, int]:
     """Ingest, link, score and lay out the digest; returns the run counters.
 
-    Every stage reads the version before ``version`` and writes ``version``, so running
-    it again after a failure gives the same tables.
+    Every stage reads the versions before ``version`` and writes ``version``, so running it
+    again after a failure gives the same tables.  Listings are a snapshot per version; ledgers,
+    scores, points, alternate URLs, changes and runs are appended, a version holding the rows of its run.
+    ``receipts`` (listing_id, sent_at, message_id) says which cards were sent since the last
+    run and ``dismissed`` (listing_id) which listings nobody wants to see again.
     """
     tune(spark)
     store = Store(spark, root)
-    now = F.lit(as_of).cast("timestamp")
     counters: dict[str, int] = {}
+    store.write("runs", version, tables.run_row(spark, str(version), as_of, None, counters))
     try:
-        listings = store.read("listings", LISTING_SCHEMA, before=version)
-        old_scores = store.read("listing_scores", SCORE_SCHEMA, before=version)
-        seen_m = store.read("message_ledger", MESSAGE_LEDGER, before=version)
-        seen_p = store.read("post_ledger", POST_LEDGER, before=version)
-        cache = store.read("geocode_cache", POINTS, before=version)
-
-        result = ingest_plan.ingest(
-            listings, since(messages, "received_at", now, message_hours), since(posts, "posted_at", now, post_hours),
-            seen_m, seen_p, c, as_of,
-        )
-        store.write("message_ledger", version, seen_m.unionByName(result.message_ledger))
-        store.write("post_ledger", version, seen_p.unionByName(result.post_ledger))
-        store.write("changes", version, result.merge.changes)
-        store.write("alternate_urls", version, result.merge.alternate_urls)
-        store.write("linked", version, result.listings)
-        linked = spark.read.schema(LISTING_SCHEMA).parquet(store.path("linked", version))
-
-        located, scores = rate_plan.rate(linked, old_scores, c, cache, gazetteer, fallback, model_replies, as_of)
-        store.write("listing_scores", version, old_scores.unionByName(scores))
-        store.write("listings", version, rate_plan.with_points(linked, located))
-        if c.proximity_enabled:
-            store.write("geocode_cache", version, cache.unionByName(geocode.new_cache_rows(located, cache, as_of)))
-
-        changes = spark.read.parquet(store.path("changes", version))
-        done = changes.agg(
-            F.count(F.when(F.col("is_new"), 1)).alias("listings_new"),
-            F.count(F.when(~F.col("is_new"), 1)).alias("duplicates_skipped"),
-            F.count("*").alias("listings_parsed"),
-        ).first().asDict()
-        counters |= done
-        now_seen = store.read("message_ledger", MESSAGE_LEDGER)
-        counters["messages_processed"] = now_seen.where(F.col("processed_at") == now).count()
-        all_scores = store.read("listing_scores", SCORE_SCHEMA)
-        counters["listings_scored"] = all_scores.where(F.col("scored_at") == now).count()
-        current = store.read("listings", LISTING_SCHEMA)
-        lines = rate_plan.digest_cards(current, all_scores, c, as_of, done["listings_new"], done["duplicates_skipped"])
-        store.write("digest_cards", version, lines)
-        counters["cards_sent"] = store.spark.read.parquet(store.path("digest_cards", version)).where("listing_id is not null").count()
+        with scratch(spark):
+            _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, counters)
         store.write("runs", version, tables.run_row(spark, str(version), as_of, as_of, counters))
     except Exception as error:
         store.write("runs", version, tables.run_row(spark, str(version), as_of, as_of, counters, str(error)[:2000]))
         raise
     return counters
+
+
+def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, counters) -> None:
+    now = F.lit(as_of).cast("timestamp")
+    listings = store.read("listings", LISTING_SCHEMA, before=version)
+    if receipts is not None:
+        listings = tables.mark_sent(listings, receipts)
+    if dismissed is not None:
+        listings = tables.mark_dismissed(listings, dismissed, as_of)
+    old_scores = store.read_all("listing_scores", SCORE_SCHEMA, before=version)
+    seen_m = store.read_all("message_ledger", MESSAGE_LEDGER, before=version)
+    seen_p = store.read_all("post_ledger", POST_LEDGER, before=version)
+    cache = store.read_all("geocode_cache", POINTS, before=version)
+
+    result = ingest_plan.ingest(
+        listings, since(messages, "received_at", now, message_hours), since(posts, "posted_at", now, post_hours),
+        seen_m, seen_p, c, as_of,
+    )
+    store.write("message_ledger", version, result.message_ledger)
+    store.write("post_ledger", version, result.post_ledger)
+    store.write("changes", version, result.merge.changes)
+    store.write("alternate_urls", version, result.merge.alternate_urls)
+    store.write("linked", version, result.listings)
+    linked = spark.read.schema(LISTING_SCHEMA).parquet(store.path("linked", version))
+    counts = result.counts.first().asDict()
+    counters |= {
+        "messages_processed": counts["messages_processed"], "listings_parsed": counts["messages_parsed"] + counts["posts_parsed"],
+        "listings_new": counts["listings_new"], "duplicates_skipped": counts["duplicates"],
+        **{n: counts[n] for n in counts if n.startswith(("messages_skipped", "posts_"))},
+    }
+
+    located, scores = rate_plan.rate(linked, old_scores, c, cache, gazetteer, fallback, model_replies, as_of)
+    store.write("listing_scores", version, scores)
+    store.write("listings", version, rate_plan.with_points(linked, located))
+    if c.proximity_enabled:
+        store.write("geocode_cache", version, geocode.new_cache_rows(located, cache, as_of))
+    counters["listings_scored"] = store.read("listing_scores", SCORE_SCHEMA, before=version + 1).count()
+
+    current = store.read("listings", LISTING_SCHEMA, before=version + 1)
+    all_scores = store.read_all("listing_scores", SCORE_SCHEMA, before=version + 1)
+    lines = rate_plan.digest_cards(current, all_scores, c, as_of, counters["listings_new"], counters["duplicates_skipped"], queue=queue)
+    store.write("digest_cards", version, lines)
+    counters["cards_sent"] = spark.read.parquet(store.path("digest_cards", version)).where("listing_id is not null").count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake.criteria import Criteria
@@ -17,15 +17,13 @@ from rentlake.session import cut_lineage
 
 
 def message_drafts(messages: DataFrame, c: Criteria) -> DataFrame:
-    """Drafts of rental alerts with ``kept``; sale alerts are dropped before their HTML is read."""
+    """Drafts with ``rental`` (a rental listing worth keeping) and ``kept`` (and within the hard limits)."""
     k = F.col
-    body = alerts.body(k("html_body"), k("text_body"))
-    rental = messages.where(~alerts.is_sale_alert(k("subject"), body))
-    gate = alerts.keeps_draft(
+    gate = ~k("sale") & alerts.keeps_draft(
         k("sender"), k("title"), k("location_hint"), k("raw_snippet"), k("rent_eur"), k("area_sqm")
     )
-    drafts = with_search_text(mail.drafts(rental))
-    return drafts.withColumn("kept", gate & hard_ok(c)).drop("_text")
+    drafts = with_search_text(mail.drafts(messages)).withColumn("rental", gate)
+    return drafts.withColumn("kept", k("rental") & hard_ok(c)).withColumnRenamed("received_at", "seen_at").drop("_text", "sale")
 
 
 def post_drafts(found: DataFrame, c: Criteria) -> DataFrame:
@@ -36,7 +34,8 @@ def post_drafts(found: DataFrame, c: Criteria) -> DataFrame:
     gate = posts.keeps_draft(
         k("_gate"), k("canonical_url"), k("rent_eur"), k("rooms"), k("area_sqm"), k("location_hint")
     )
-    return with_search_text(drafts).withColumn("kept", gate & hard_ok(c)).drop("_gate", "_text")
+    kept = with_search_text(drafts).withColumn("kept", gate & hard_ok(c))
+    return kept.withColumnRenamed("posted_at", "seen_at").drop("_gate", "_text")
 
 
 def all_drafts(message_rows: DataFrame, post_rows: DataFrame) -> DataFrame:
@@ -50,10 +49,13 @@ def all_drafts(message_rows: DataFrame, post_rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ingested:
+    """``counts`` has one row: the counters of both feeds."""
+
     merge: Merge
     listings: DataFrame
     message_ledger: DataFrame
     post_ledger: DataFrame
+    counts: DataFrame
 
 
 def ingest(
@@ -61,33 +63,72 @@ def ingest(
     seen_messages: DataFrame, seen_posts: DataFrame, c: Criteria, as_of: str,
 ) -> Ingested:
     """New messages and posts, filtered, merged and linked."""
-    new_messages = tables.unseen(messages, seen_messages, "message_id")
-    new_posts = tables.unseen(found_posts, seen_posts, "post_id")
-    # Both draft tables are read several times below; written down, each text is parsed once.
-    from_mail = cut_lineage(message_drafts(new_messages, c)).join(
-        new_messages.select("message_id", F.col("received_at").alias("seen_at")), "message_id"
-    ).withColumn("origin", F.lit("message")).withColumn("origin_id", F.col("message_id").cast("string"))
-    from_posts = cut_lineage(post_drafts(new_posts, c)).join(
-        new_posts.select("post_id", F.col("posted_at").alias("seen_at")), "post_id"
-    ).withColumn("origin", F.lit("post")).withColumn("origin_id", F.col("post_id").cast("string"))
+    # Each is read several times below; written down, an input is matched with its ledger
+    # and a text is parsed once.
+    new_messages = cut_lineage(tables.unseen(messages, seen_messages, "message_id"))
+    new_posts = cut_lineage(tables.unseen(found_posts, seen_posts, "post_id"))
+    from_mail = cut_lineage(
+        message_drafts(new_messages, c).withColumns({"origin": F.lit("message"), "origin_id": F.col("message_id").cast("string")})
+    )
+    from_posts = cut_lineage(
+        post_drafts(new_posts, c).withColumns({"origin": F.lit("post"), "origin_id": F.col("post_id").cast("string")})
+    )
     merged = merge(listings, all_drafts(from_mail, from_posts))
     linked = reconcile(backfill_match_keys(merged.listings)).drop("link_changed")
+    mail_counts = message_counters(messages, new_messages, from_mail, merged.changes)
     return Ingested(
         merged, linked,
         tables.message_ledger(new_messages, from_mail.where("kept"), as_of),
         tables.post_ledger(new_posts, from_posts.where("kept"), as_of),
+        run_totals(mail_counts, post_counters(found_posts, new_posts, from_posts, merged.changes)),
     )
 
 
-def message_counters(messages: DataFrame, ledger: DataFrame, drafts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Messages processed and skipped; drafts kept, new and repeated."""
-    seen = messages.join(ledger.select("message_id", F.lit(True).alias("_seen")), "message_id", "left")
-    a = seen.agg(
-        F.count(F.when(F.col("_seen").isNull(), 1)).alias("processed"), F.count("_seen").alias("skipped")
+def _n(condition=None) -> Column:
+    return F.count("*") if condition is None else F.count(F.when(condition, 1))
+
+
+def _merged(changes: DataFrame, origin: str) -> DataFrame:
+    """New and repeated listings among the drafts of a feed."""
+    own = changes.where(F.startswith("draft_key", F.lit(f"{origin}|")))
+    return own.agg(_n(F.col("is_new")).alias("listings_new"), _n(~F.col("is_new")).alias("duplicates"))
+
+
+def message_counters(messages: DataFrame, new: DataFrame, drafts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Messages read and known; drafts kept, dropped as no rental or by the hard limits, new and repeated.
+
+    One-row aggregates side by side.
+    """
+    k = F.col
+    read = new.agg(_n().alias("processed"))
+    known = messages.agg(_n().alias("_all"))
+    kept = drafts.agg(
+        _n(k("kept")).alias("parsed"), _n(~k("rental")).alias("skipped_non_rent"), _n(k("rental") & ~k("kept")).alias("skipped_hard")
     )
-    b = drafts.agg(F.count(F.when(F.col("kept"), 1)).alias("parsed"))
-    d = changes.agg(
-        F.count(F.when(F.col("is_new"), 1)).alias("listings_new"),
-        F.count(F.when(~F.col("is_new"), 1)).alias("duplicates"),
+    whole = read.join(known).join(kept).join(_merged(changes, "message"))
+    return whole.select("processed", (k("_all") - k("processed")).alias("skipped"), "parsed", "skipped_non_rent", "skipped_hard", "listings_new", "duplicates")
+
+
+def post_counters(found: DataFrame, new: DataFrame, drafts: DataFrame, changes: DataFrame) -> DataFrame:
+    """The seven counters of the post feed; one-row aggregates side by side."""
+    k = F.col
+    student = posts.is_student(k("message"))
+    read = new.agg(_n(~student).alias("processed"), _n(student).alias("skipped_student"), _n().alias("_new"))
+    known = found.agg(_n().alias("_all"))
+    kept = drafts.agg(_n(k("kept")).alias("parsed"), _n(~k("kept")).alias("skipped_non_rent"))
+    whole = read.join(known).join(kept).join(_merged(changes, "post"))
+    return whole.select(
+        "processed", "parsed", "listings_new", "duplicates", "skipped_student", "skipped_non_rent", (k("_all") - k("_new")).alias("skipped")
+    )
+
+
+def run_totals(messages: DataFrame, found: DataFrame) -> DataFrame:
+    """Counters of both feeds in one row, and the totals the digest names."""
+    m = messages.select(*[F.col(n).alias(f"messages_{n}") for n in messages.columns])
+    p = found.select(*[F.col(n).alias(f"posts_{n}") for n in found.columns])
+    both = m.join(p)
+    return both.select(
+        "*",
+        (F.col("messages_listings_new") + F.col("posts_listings_new")).alias("listings_new"),
+        (F.col("messages_duplicates") + F.col("posts_duplicates")).alias("duplicates"),
     )
-    return a.join(b).join(d)  # three one-row aggregates side by side

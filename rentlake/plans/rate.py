@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rentlake.criteria import Criteria
 from rentlake.functions import cards
 from rentlake.operators import digest, geocode, scoring
+from rentlake.session import cut_lineage
 
 
 def classified(listings: DataFrame, scores: DataFrame, c: Criteria, as_of: str, days: int = 7, limit: int | None = None) -> DataFrame:
@@ -38,22 +39,20 @@ def with_points(listings: DataFrame, located: DataFrame) -> DataFrame:
     ])
 
 
-def header_text(split: DataFrame, as_of: str, new: int, duplicates: int) -> Column:
+def header_text(as_of: str, new: int, duplicates: int, queue: bool, delay_ms: int) -> Column:
     """Header of a digest as a column over its one-row counters."""
     k = F.col
-    return cards.header(
-        F.lit(as_of).cast("timestamp"), F.lit(new), F.lit(duplicates), k("normal"), k("suspicious"),
-        cards.deferred_note(k("deferred")),
-    )
+    note = cards.queued_note(k("normal") + k("suspicious"), delay_ms) if queue else cards.deferred_note(k("deferred"))
+    return cards.header(F.lit(as_of).cast("timestamp"), F.lit(new), F.lit(duplicates), k("normal"), k("suspicious"), note)
 
 
 def digest_cards(
     listings: DataFrame, scores: DataFrame, c: Criteria, as_of: str, new: int = 0, duplicates: int = 0,
-    top_n: int = 10, per_run: int = 10, delay_ms: int = 2500,
+    top_n: int = 10, per_run: int = 10, delay_ms: int = 2500, queue: bool = False,
 ) -> DataFrame:
-    """Texts of one digest in sending order."""
-    view = digest.digest_view(listings, scores)
-    split = digest.batches(digest.selection(view, c, top_n), per_run)
-    # The header is one line of text; its three counters come from at most top_n rows.
-    head = digest.send_stats(split).select(header_text(split, as_of, new, duplicates).alias("h")).first()["h"]
+    """Texts of one digest in sending order; ``queue`` sends all of them and says so."""
+    # At most top_n rows, written once: counters, cards and divider read them, not the tables.
+    chosen = cut_lineage(digest.selection(digest.digest_view(listings, scores), c, top_n))
+    split = digest.batches(chosen, per_run, queue)
+    head = digest.send_stats(split).select(header_text(as_of, new, duplicates, queue, delay_ms).alias("h")).first()["h"]
     return digest.schedule(split, head, c.reference_name, as_of, delay_ms)

@@ -41,11 +41,12 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(table, usable[-1]))
 
-    def read_all(self, table: str, schema: str) -> DataFrame:
-        """All rows ever appended."""
-        if not self.versions(table):
+    def read_all(self, table: str, schema: str, before: int | None = None) -> DataFrame:
+        """All rows appended so far, or by the versions older than ``before``."""
+        usable = [v for v in self.versions(table) if before is None or v < before]
+        if not usable:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").drop("version")
+        return self.spark.read.schema(schema).parquet(*[self.path(table, v) for v in usable])
 
     def write(self, table: str, version: int, rows: DataFrame) -> None:
         """Write a version; doing it again gives the same table."""

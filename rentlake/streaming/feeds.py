@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rentlake.criteria import Criteria
 from rentlake.operators.duplicates import reconcile
-from rentlake.operators.ordered import with_previous
+from rentlake.operators.ordered import chunk, numbered, with_previous
 from rentlake.operators.upsert import LISTING_SCHEMA, merge
 from rentlake.plans import ingest as ingest_plan
+from rentlake.session import scratch
 from rentlake.sources.store import Store
 
 LOOKBACK = {"message_id": "26 hours", "post_id": "24 hours"}
@@ -42,32 +43,30 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
 def price_changes(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Observed rents to price-change events.
 
-    The last known rent per listing is a stored table with a version per batch.  A batch
-    compares inside itself with the chunked ``with_previous`` and takes the table where a
-    listing appears for the first time, so one busy listing does not fill a task, and a
-    batch that runs again reads and writes the same versions.
+    Each batch writes the last known rents of its own listings as a version of the state; a
+    listing's newest state row counts.  A batch compares inside itself with the chunked
+    ``with_previous`` and takes the state where a listing appears for the first time, so
+    one busy listing does not fill a task, and a batch that runs again reads and writes the
+    same versions.
     """
     event = "listing_key string, obs_id string, observed_at timestamp, prev_rent int, rent_eur int"
+    at = F.struct("observed_at", "obs_id")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        state = F.max_by(F.struct("rent_eur", "observed_at", "obs_id"), at).alias("s")
+        return rows.where("rent_eur is not null").groupBy("listing_key").agg(state).select("listing_key", "s.*")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
-        rows = batch.select("listing_key", "obs_id", "observed_at", F.col("rent_eur").cast("int"))
-        known = store.read("price_state", PRICE_STATE, before=version)
+        rows, _ = numbered(batch.select("listing_key", "obs_id", "observed_at", F.col("rent_eur").cast("int")), "observed_at", "obs_id")
+        known = store.read_all("price_state", PRICE_STATE, before=version)
+        known = newest(known.join(rows.select("listing_key").distinct(), "listing_key", "left_semi"))
+        inside = with_previous(rows, ["listing_key"], chunk(), ["pos"], ["rent_eur"])
         last = known.select("listing_key", F.col("rent_eur").alias("old_rent"))
-        at = F.struct("observed_at", "obs_id")
-        inside = with_previous(
-            rows, ["listing_key"], F.date_trunc("day", "observed_at"), ["observed_at", "obs_id"], ["rent_eur"]
-        )
         compared = inside.join(last, "listing_key", "left").withColumn("prev_rent", F.coalesce("prev_rent_eur", "old_rent"))
         changed = compared.where(F.col("rent_eur") != F.col("prev_rent"))
         store.write("price_events", version, changed.selectExpr(*[f"cast({d.split()[0]} as {d.split()[1]})" for d in event.split(", ")]))
-        newest = (
-            known.select(*rows.columns).unionByName(rows.where("rent_eur is not null"), allowMissingColumns=True)
-            .groupBy("listing_key")
-            .agg(F.max_by(F.struct("rent_eur", "observed_at", "obs_id"), at).alias("s"))
-            .select("listing_key", "s.*")
-        )
-        store.write("price_state", version, newest)
+        store.write("price_state", version, newest(known.unionByName(rows.select(*known.columns))))
 
     return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
 
@@ -91,10 +90,11 @@ def merge_drafts(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQ
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         listings = store.read("listings", LISTING_SCHEMA, before=version)
-        merged = merge(listings, batch)
-        store.write("changes", version, merged.changes)
-        store.write("alternate_urls", version, merged.alternate_urls)
-        store.write("listings", version, reconcile(merged.listings).drop("link_changed"))
+        with scratch(store.spark):
+            merged = merge(listings, batch)
+            store.write("changes", version, merged.changes)
+            store.write("alternate_urls", version, merged.alternate_urls)
+            store.write("listings", version, reconcile(merged.listings).drop("link_changed"))
 
     return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
 
@@ -102,6 +102,4 @@ def merge_drafts(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQ
 def message_batch(batch: DataFrame, c: Criteria) -> DataFrame:
     """Kept drafts of one batch of messages, with the time their message was received."""
     drafts = ingest_plan.message_drafts(batch, c).where("kept")
-    seen = batch.select("message_id", F.col("received_at").alias("seen_at"))
-    key = F.concat_ws("|", F.lit("message"), "message_id", "canonical_url")
-    return drafts.join(seen, "message_id").withColumn("draft_key", key)
+    return drafts.withColumn("draft_key", F.concat_ws("|", F.lit("message"), "message_id", "canonical_url"))
