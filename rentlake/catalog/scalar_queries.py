@@ -62,12 +62,16 @@ projection("t6_permalink", "feed_pages", ["page_id"],
             {"permalink": f"""case when starts_with(h, 'http') then 'https://www.facebook.com' || regexp_extract(h, 'https?://[^/]+([^?#]*)', 1)
                when starts_with(h, '/') then 'https://www.facebook.com' || split_part(h, '?', 1)
                else 'https://www.facebook.com/groups/' || group_id || '/posts/' || page_id || '/' end"""}])
+# Ports, dot segments, characters outside ASCII, blanks and escapes.
+_ODD_URL = """concat(case when message_id % 2 = 0 then 'https' else 'http' end, '://www.Site.it', case message_id % 4 when 0 then ':443' when 1 then ':8080' when 2 then ':80' else '' end,
+  case message_id % 3 when 0 then '/a/./b/../affitto/città/' when 1 then '/../x/y/../../zona 1/' else '/plain/%C3%A8/' end, cast(message_id as varchar(20)), '?q=due%20locali+e~l*a&utm_source=z&place=', case when message_id % 5 = 0 then 'Forlì' else '%2Fa' end, '#end')"""
 projection("t7_canonical_url", "messages", ["message_id"],
            lambda c: {"canonical": urls.canonical(F.regexp_extract(c("html_body"), 'href="([^"]*)"', 1)),
-                      "page_canonical": urls.canonical(F.concat(F.lit("http://x.Example.com/a?utm_medium=1&k="), c("message_id").cast("string"), F.lit("&flag#top")))},
+                      "page_canonical": urls.canonical(F.concat(F.lit("http://x.Example.com/a?utm_medium=1&k="), c("message_id").cast("string"), F.lit("&flag#top"))),
+                      "odd_canonical": urls.canonical(F.expr(_ODD_URL))},
            [{"h": "regexp_extract(html_body, 'href=\"([^\"]*)\"', 1)",
-             "h2": "'http://x.Example.com/a?utm_medium=1&k=' || cast(message_id as varchar) || '&flag#top'"},
-            *S.canonical("h", "canonical"), *S.canonical("h2", "page_canonical")], ["canonical", "page_canonical"])
+             "h2": "'http://x.Example.com/a?utm_medium=1&k=' || cast(message_id as varchar) || '&flag#top'", "h3": _ODD_URL},
+            *S.canonical("h", "canonical"), *S.canonical("h2", "page_canonical"), *S.canonical("h3", "odd_canonical")], ["canonical", "page_canonical", "odd_canonical"])
 projection("t8_base_domain", "drafts", ["draft_id"],
            lambda c: {"domain": urls.base_domain(urls.host(c("listing_url"))), "own": urls.base_domain(urls.host(c("canonical_url")))},
            {"domain": S.base_domain(S.host("listing_url")), "own": S.base_domain(S.host("canonical_url"))})
@@ -410,9 +414,7 @@ projection("p7_conversation", "posts", ["post_id"], lambda c: {"talk": posts.is_
 
 
 def _gate_ready(rows):
-    # A short message keeps the gate text short enough to reach every branch.
-    message = F.substring_index("message", " ", -6)
-    rows = rows.withColumn("gate", posts.clean(posts.gate_text(message, F.lit("Annuncio"), null())))
+    rows = rows.withColumn("gate", posts.clean(posts.gate_text(F.col("message"), F.lit("Annuncio"), null())))
     return amounts.with_rent(rows, "message", "r")
 
 
@@ -422,7 +424,7 @@ def _gated(c):
 
 
 projection("p8_keeps_post_draft", "posts", ["post_id"], _gated,
-           [{"short": "array_to_string(string_split(message, ' ')[-6:], ' ')"}, {"col0": S.collapse("short || ' Annuncio '")}, *S.cut_before("col0", "cleaned", V.FEED_UI_MARKERS, 20),
+           [{"col0": S.collapse("message || ' Annuncio '")}, *S.cut_before("col0", "cleaned", V.FEED_UI_MARKERS, 20),
             *S.rent("message", "r"),
             {"rm": S.rooms("message"), "ar": f"case when post_id % 3 = 0 then {S.area('message')} end", "hint": f"left({S.strip(S.group('message', V.POST_PLACE, 0))}, 120)", "priced": S.has("cleaned", V.EXPLICIT_RENT)},
             {"kept": S.all_of(f"not {S.has('cleaned', *V.STUDENT_MARKERS)}", f"not {S.has('cleaned', *V.FEED_UI_MARKERS)}", f"not ({TALK})", RENTAL,
@@ -452,9 +454,10 @@ projection("p14_anchor_text", "drafts", ["draft_id"],
            lambda c: {"immobiliare": alerts.immobiliare_anchor(c("title")), "idealista": alerts.idealista_anchor(c("title")), "footer": alerts.idealista_anchor(F.lit("Vedi 12 foto"))},
            [{"t": S.collapse("title")}, {"immobiliare": S.all_of("length(t) >= 15", f"not {S.has('t', V.FOOTER_LINK)}", S.has("t", V.IMMOBILIARE_ANCHOR)),
             "idealista": S.all_of("length(t) >= 12", f"not {S.has('t', V.FOOTER_LINK)}", f"not {S.has('t', V.IDEALISTA_SKIP)}", S.has("t", V.IDEALISTA_ANCHOR)), "footer": "false"}])
+_SOME_TITLE = "case post_id % 5 when 0 then 'Listing' when 1 then 'Casa 2' when 2 then concat('Vedi ', message) else message end"
 projection("p15_meaningful_title", "posts", ["post_id"],
-           lambda c: {"meaningful": alerts.is_meaningful_title(F.substring_index(c("message"), " ", -2)), "call": alerts.is_call_to_action(F.concat(F.lit("Vedi "), (c("post_id") % 4).cast("string"), F.when(c("post_id") % 2 == 0, F.lit(" foto")).otherwise(F.lit(" piani"))))},
-           [{"t": "array_to_string(string_split(message, ' ')[-2:], ' ')"}, {"meaningful": S.meaningful("t"), "call": "post_id % 2 = 0"}])
+           lambda c: {"meaningful": alerts.is_meaningful_title(F.expr(_SOME_TITLE)), "call": alerts.is_call_to_action(F.concat(F.lit("Vedi "), (c("post_id") % 4).cast("string"), F.when(c("post_id") % 2 == 0, F.lit(" foto")).otherwise(F.lit(" piani"))))},
+           [{"t": _SOME_TITLE}, {"meaningful": S.meaningful("t"), "call": "post_id % 2 = 0"}])
 projection("p17_may_send", "listings", ["id"],
            lambda c: {"send": digest.may_send(c("sent_at"), c("price_changed_at"), c("dismissed_at"))},
            {"send": "dismissed_at is null and (sent_at is null or coalesce(sent_at < price_changed_at, false))"})
@@ -470,5 +473,5 @@ projection("d2_mail_date", "listings", ["id"],
            lambda c: {"parsed": F.date_format(landing.mail_date(F.date_format(c("last_seen_at"), "EEE, d MMM yyyy HH:mm:ss '+0200'")), "yyyy-MM-dd HH:mm:ss")},
            {"parsed": "strftime(last_seen_at - interval '2' hour, '%Y-%m-%d %H:%M:%S')"})
 projection("t37_digest_header", "listings", ["id"],
-           lambda c: {"header": cards.header(c("last_seen_at"), c("n"), c("n") + 1, c("n") % 10, c("n") % 3, cards.deferred_note(c("n") % 4))},
-           {"header": "'📅 ' || strftime(last_seen_at, '%d/%m/%Y') || chr(10) || 'New: ' || n || ' · email duplicates skipped: ' || (n + 1) || chr(10) || 'Top ' || (n % 10) || case when n % 3 > 0 then ' + ' || (n % 3) || ' suspicious' else '' end || case when n % 4 > 0 then chr(10) || '⏳ ' || (n % 4) || ' more in queue — next pipeline run' else '' end"})
+           lambda c: {"header": cards.header(c("last_seen_at"), c("n"), c("n") + 1, c("n") % 10, c("n") % 3, F.when(c("n") % 5 == 0, cards.queued_note(c("n") % 10 + c("n") % 3, 2500)).otherwise(cards.deferred_note(c("n") % 4)))},
+           {"header": "'📅 ' || strftime(last_seen_at, '%d/%m/%Y') || chr(10) || 'New: ' || n || ' · email duplicates skipped: ' || (n + 1) || chr(10) || 'Top ' || (n % 10) || case when n % 3 > 0 then ' + ' || (n % 3) || ' suspicious' else '' end || case when n % 5 = 0 then chr(10) || '📬 ' || (n % 10 + n % 3) || ' cards queued in BullMQ (staggered 2500 ms)' when n % 4 > 0 then chr(10) || '⏳ ' || (n % 4) || ' more in queue — next pipeline run' else '' end"})

@@ -11,6 +11,7 @@ from rentlake.catalog.registry import oracle, query
 from rentlake.catalog.views import table, view
 from rentlake.functions import alerts, posts, urls
 from rentlake.operators import anchors, feed, mail, scoring, tables
+from rentlake.plans import front
 from rentlake.session import fresh_folder
 from rentlake.sources import landing
 from rentlake.sources.store import Store
@@ -79,17 +80,27 @@ def s7(spark, sf):
     return tables.post_ledger(p, kept, AS_OF).select("post_id", "message", "listings_found")
 
 
-@query("s9_run_metrics", oracle(
-    """select 'r1' as id, 'completed' as status, cast((select count(*) from messages) as integer) as messages_processed,
-       cast((select count(*) from drafts) as integer) as listings_parsed, cast((select count(distinct canonical_url) from drafts) as integer) as listings_new, '' as error_message""", "messages", "drafts"))
+_S9 = """select '{}' as id, '{}' as status, cast({} as integer) as messages_processed, cast({} as integer) as listings_parsed, cast({} as integer) as listings_new, '{}' as error_message, {} as finished"""
+
+
+@query("s9_run_metrics", oracle(" union all ".join([
+    _S9.format("r1", "completed", "(select count(*) from messages)", "(select count(*) from drafts)", "(select count(distinct canonical_url) from drafts)", "", "true"),
+    _S9.format("r2", "failed", "(select count(*) from messages)", 0, 0, "no such table", "true"), _S9.format("r3", "running", 0, 0, 0, "", "false")]), "messages", "drafts"))
 def s9(spark, sf):
+    """A run that ended, one that failed on the way and one that still runs."""
     seen, parsed = Observation("messages"), Observation("drafts")
     view(spark, sf, "messages").observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
     d = view(spark, sf, "drafts").observe(parsed, F.count(F.lit(1)).alias("n"))
     new = d.select("canonical_url").distinct().count()
+    store = Store(spark, fresh_folder(spark, "runs"))
     counters = {"messages_processed": seen.get["n"], "listings_parsed": parsed.get["n"], "listings_new": new}
-    return tables.run_row(spark, "r1", AS_OF, AS_OF, counters).select(
-        "id", "status", "messages_processed", "listings_parsed", "listings_new", F.coalesce("error_message", F.lit("")).alias("error_message"))
+    for version in (1, 2, 3):
+        store.write("runs", version, tables.run_row(spark, f"r{version}", AS_OF, None, {}))
+    store.write("runs", 1, tables.run_row(spark, "r1", AS_OF, AS_OF, counters))
+    store.write("runs", 2, tables.run_row(spark, "r2", AS_OF, AS_OF, {"messages_processed": seen.get["n"]}, "no such table"))
+    schema = "id string, started_at timestamp, finished_at timestamp, status string, messages_processed int, listings_parsed int, listings_new int, error_message string"
+    return store.read_all("runs", schema).select(
+        "id", "status", "messages_processed", "listings_parsed", "listings_new", F.coalesce("error_message", F.lit("")).alias("error_message"), F.col("finished_at").isNotNull().alias("finished"))
 
 
 def stored_listings(spark, sf):
@@ -119,6 +130,54 @@ def s10(spark, sf):
                       "latestScore.score", k("latestScore.riskLevel").alias("risk"), F.array_join("latestScore.reasons", ";").alias("reasons"), k("latestScore.scoredAt").alias("scored"))
 
 
+@query("s10_export_files", oracle(
+    f"""select 'messages' as section, cast(message_id as varchar) as id, subject as a, strftime(received_at, '%Y-%m-%dT%H:%M:%S.000Z') as b, cast(length(from_address) as bigint) as n from messages
+       union all select 'summary', t, null, null, c from (select 'listings' as t, (select count(*) from listings) as c union all select 'listing_scores', (select count(*) from scores)
+         union all select 'processed_messages', (select count(*) from messages) union all select 'runs', (select count(*) from orders))
+       union all (select 'runs', cast(o_orderkey as varchar), case when o_orderkey % 3 = 0 then 'failed' else 'completed' end, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z'), o_custkey from orders order by o_orderdate desc, cast(o_orderkey as varchar) limit 20)
+       union all select 'listings', id, left(raw_snippet, 200), strftime(last_seen_at, '%Y-%m-%dT%H:%M:%S.000Z'), n from listings""", "listings", "scores", "messages"))
+def s10_files(spark, sf):
+    """The whole export, written as JSON and read again."""
+    k, path = F.col, fresh_folder(spark, "export")
+    ledger = view(spark, sf, "messages").withColumns({"processed_at": F.lit(AS_OF).cast("timestamp"), "listings_found": F.length("from_address")})
+    none = F.lit(None).cast("int")
+    runs = table(spark, sf, "orders").select(
+        k("o_orderkey").cast("string").alias("id"), k("o_orderdate").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"),
+        F.when(k("o_orderkey") % 3 == 0, "failed").otherwise("completed").alias("status"), k("o_custkey").alias("messages_processed"),
+        *[none.alias(n) for n in ("listings_parsed", "listings_new", "duplicates_skipped", "listings_scored", "cards_sent")], F.lit(None).cast("string").alias("error_message"))
+    scores = stored_scores(spark, sf)
+    rows = stored_listings(spark, sf).withColumn("floor", k("n"))
+    tables.export(path, scoring.with_latest(rows, scores), scores, ledger, runs)
+
+    def part(name, fields, *columns):
+        return spark.read.schema(fields).json(f"{path}/{name}").select(F.lit(name).alias("section"), *[c.alias(n) for c, n in zip(columns, ("id", "a", "b", "n"))])
+
+    none = F.lit(None).cast("string")
+    return (
+        part("messages", "message_id string, subject string, receivedAt string, listingsFound bigint", k("message_id"), k("subject"), k("receivedAt"), k("listingsFound"))
+        .unionByName(part("summary", "table_name string, n bigint", k("table_name"), none, none, k("n")))
+        .unionByName(part("runs", "id string, status string, startedAt string, messagesProcessed bigint", k("id"), k("status"), k("startedAt"), k("messagesProcessed")))
+        .unionByName(part("listings", "id string, rawSnippet string, lastSeenAt string, floor bigint", k("id"), k("rawSnippet"), k("lastSeenAt"), k("floor")))
+    )
+
+
+@query("s12_front_messages", oracle(
+    f"""select cast(page_id as varchar) as message_id, url as subject, 'a' || page_id || '@x.it' as from_address, html as html_body, 'testo' as text_body, strftime(sent, '%Y-%m-%d %H:%M:%S') as received_at
+      from (select *, timestamp '{AS_OF}' - page_id % 60 * interval '1' hour as sent from pages) where sent >= timestamp '{AS_OF}' - interval '26' hour"""
+    , "messages"))
+def s12(spark, sf):
+    """Landed parts and headers to the messages of the lookback."""
+    k, pages = F.col, table(spark, sf, "pages").withColumn("message_id", F.col("page_id").cast("string"))
+    coded = lambda text: F.regexp_replace(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), "=+$", "")
+    part = lambda at, mime, text: pages.select("message_id", F.array(F.lit(at)).alias("path"), F.lit(mime).alias("mime_type"), coded(text).alias("data"))
+    item = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    sent = F.lit(AS_OF).cast("timestamp") - F.make_interval(hours=(k("page_id") % 60).cast("int"))
+    headers = pages.select("message_id", F.array(
+        item("Subject", k("url")), item("FROM", F.concat(F.lit("a"), k("message_id"), F.lit("@x.it"))), item("Date", F.date_format(sent, "EEE, d MMM yyyy HH:mm:ss '+0000'"))).alias("headers"))
+    found = front.new_messages(part(0, "text/html", k("html")).unionByName(part(1, "text/plain", F.lit("testo"))), headers, AS_OF)
+    return found.withColumn("received_at", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss")).select("message_id", "subject", "from_address", "html_body", "text_body", "received_at")
+
+
 @query("s11_stored_tables", oracle("select id, rent_eur, n + 1 as n from listings", "listings"))
 def s11(spark, sf):
     store = Store(spark, fresh_folder(spark, "store"))
@@ -130,21 +189,25 @@ def s11(spark, sf):
 
 
 # --- row generators ----------------------------------------------------------
-_A = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
-
-
-@query("e0_anchors", f"""with m as (select page_id, regexp_extract_all(html, {S.q(_A)}, 1) as h, regexp_extract_all(html, {S.q(_A)}, 2) as t from pages),
-  i as (select page_id, h, t, unnest(range(len(h))) as pos from m)
-  select page_id, cast(pos as integer) as pos, h[pos + 1] as href, {S.collapse("regexp_replace(t[pos + 1], '<[^>]*>', ' ', 'g')")} as text from i""")
+@query("e0_anchors", oracle(f"""
+  , m as (select page_id, {', '.join(f"regexp_extract_all(html, {S.q(anchors.ANCHOR)}, {n}) as g{n}" for n in (1, 2, 3, 4))} from spelled_pages),
+  i as (select *, unnest(range(len(g1))) as pos from m)
+  select page_id, cast(pos as integer) as pos, coalesce(g1[pos + 1], '') || coalesce(g2[pos + 1], '') || coalesce(g3[pos + 1], '') as href, {S.collapse("regexp_replace(g4[pos + 1], '<[^>]*>', ' ', 'g')")} as text from i""", "spelled_pages"))
 def e0(spark, sf):
-    return anchors.flat_anchors(table(spark, sf, "pages"), "page_id", "html")
+    return anchors.flat_anchors(view(spark, sf, "spelled_pages"), "page_id", "html")
 
 
 _TD = "regexp_extract(html_body, '<td>(.*?)</td>', 1)"
-_MESSAGE_BASE = [
-    {"td": S.collapse(f"regexp_replace({_TD}, '<[^>]*>', '', 'g')"), "link": S.collapse("regexp_extract(html_body, '<a [^>]*>(.*?)</a>', 1)"),
-     "href": "regexp_extract(html_body, 'href=\"([^\"]*)\"', 1)"},
-]
+_TDS, _LINKS = "regexp_extract_all(html_body, '<td>(.*?)</td>', 1)", "regexp_extract_all(html_body, '<a [^>]*>(.*?)</a>', 1)"
+# The anchor that counts: the first, or the second where its title is longer.
+_NTH = "case when message_id % 8 = 5 then 2 else 1 end"
+
+
+def _plain(x: str) -> str:
+    return S.collapse(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+
+
+_MESSAGE_BASE = [{"td": _plain(f"{_TDS}[{_NTH}]"), "link": S.collapse(f"{_LINKS}[{_NTH}]"), "href": "regexp_extract(html_body, 'href=\"([^\"]*)\"', 1)"}]
 _GENERIC = [
     *_MESSAGE_BASE, {"casa": "message_id % 4 = 0"}, *S.canonical("href", "canonical_url"),
     {"context": f"left({S.collapse("subject || ' ' || td || ' ' || link")}, 500)", "body": f"case when casa then {S.strip(S.group('subject', V.SUBJECT_ALERT))} end", "block": "left(td, 600)"},
@@ -161,8 +224,7 @@ _DRAFT_SELECT = f"select {', '.join(DRAFT_KEEP)} from {{from}}"
 
 @query("e1_generic_drafts", oracle(_DRAFT_SELECT + " where message_id % 4 in (0, 3)", "messages", steps=_GENERIC))
 def e1(spark, sf):
-    todo = mail.routed(view(spark, sf, "messages"))
-    return mail.generic_drafts(todo.where("route = 'generic'")).select(*DRAFT_KEEP)
+    return mail.generic_drafts(mail.anchors_of(view(spark, sf, "messages")).where("route = 'generic'")).select(*DRAFT_KEEP)
 
 
 _IDEALISTA = [
@@ -178,8 +240,7 @@ _IDEALISTA = [
 
 @query("e2_idealista_drafts", oracle(_DRAFT_SELECT + " where message_id % 4 = 1 and not sale", "messages", steps=_IDEALISTA))
 def e2(spark, sf):
-    todo = mail.routed(view(spark, sf, "messages"))
-    return mail.idealista_drafts(todo.where("route = 'idealista'")).select(*DRAFT_KEEP)
+    return mail.idealista_drafts(mail.anchors_of(view(spark, sf, "messages")).where("route = 'idealista'")).select(*DRAFT_KEEP)
 
 
 _CLICKS = [
@@ -196,13 +257,14 @@ _CLICKS = [
 
 @query("e3_immobiliare_drafts", oracle(_DRAFT_SELECT, "clicks", steps=_CLICKS))
 def e3(spark, sf):
-    return mail.immobiliare_drafts(mail.routed(view(spark, sf, "clicks"))).select(*DRAFT_KEEP)
+    return mail.immobiliare_drafts(mail.anchors_of(view(spark, sf, "clicks"))).select(*DRAFT_KEEP)
 
 
 @query("e4_anchor_blocks", oracle(
-    "select message_id, link as text, block from {from} where message_id % 4 in (0, 1, 3)", "messages", steps=[*_MESSAGE_BASE, {"block": "left(td, 600)"}]))
+    f"""select message_id, {S.collapse(f"{_LINKS}[nth]")} as text, left({_plain(f"{_TDS}[least(nth, 2)]")}, 600) as block
+      from messages, (select unnest([1, 2, 3]) as nth) where message_id % 4 in (0, 1, 3) and not (message_id % 4 = 1 and {S.has("html_body || ' ' || subject", V.SALE_ALERT)} and not {S.has("html_body || ' ' || subject", V.RENT_ALERT)})""", "messages"))
 def e4(spark, sf):
-    return anchors.message_anchors(mail.routed(view(spark, sf, "messages"))).select("message_id", "text", "block")
+    return mail.anchors_of(view(spark, sf, "messages")).select("message_id", "text", "block")
 
 
 _URLS = f"list_transform(regexp_extract_all(message, {S.re2(V.POST_URL)}), lambda u: regexp_replace(u, '[.,;:!?)]+$', ''))"
@@ -243,6 +305,16 @@ _POST_DRAFT = [
 _POST_KEEP = ("post_id", *mail.DRAFT_COLUMNS)
 
 
+@query("s13_front_posts", oracle(
+    """, seen as (select * from {from})
+      select post_id, group_id, permalink, message from (select *, row_number() over (partition by post_id order by page_id, nth) as rn from seen) where rn = 1""", "feed_pages", steps=_FEED))
+def s13(spark, sf):
+    """Landed feed pages, the same page in two groups, to posts that come once."""
+    pages = view(spark, sf, "feed_pages")
+    again = pages.withColumn("page_id", F.concat("page_id", F.lit("-again")))
+    return front.new_posts(pages.unionByName(again), "2024-03-01 12:00:00").select("post_id", "group_id", "permalink", "message")
+
+
 @query("e7_post_drafts", oracle(f"select {', '.join(_POST_KEEP)} from {{from}} where url is not null or length(txt) >= 30", "posts", steps=_POST_DRAFT))
 def e7(spark, sf):
     return feed.post_drafts(view(spark, sf, "posts")).select(*_POST_KEEP)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlake.catalog.registry import ORACLES, query
+from rentlake.catalog.state_queries import folded, shared_drafts
 from rentlake.catalog.views import table, view
 from rentlake.operators.upsert import LISTING_SCHEMA
 from rentlake.session import fresh_folder
@@ -53,7 +54,7 @@ def r2(spark, sf):
 @query("r3_merge_stream", None)
 def r3(spark, sf):
     """Two landings of drafts, each merged when it arrives."""
-    drafts = view(spark, sf, "drafts").withColumn("rent_eur", F.lit(None).cast("int")).drop("draft_id")
+    drafts = shared_drafts(spark, sf)
     root = fresh_folder(spark, "r3")
     store = Store(spark, f"{root}/tables")
     early = F.col("seen_at") < F.lit("1998-01-01").cast("timestamp")
@@ -62,8 +63,7 @@ def r3(spark, sf):
         stream = feeds.landed(spark, f"{root}/in/*", _schema(drafts))
         feeds.merge_drafts(stream, store, f"{root}/checkpoint")
     rows = store.read("listings", LISTING_SCHEMA)
-    return rows.select("canonical_url", "condo_fee_eur", "area_sqm", "location_hint", "raw_snippet", "material_hash", "title", "listing_url",
-                       F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"))
+    return folded(rows)
 
 
 ORACLES["r3_merge_stream"] = ORACLES["u2_merge_fields"]

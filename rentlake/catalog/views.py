@@ -9,9 +9,6 @@ TABLES = (
     "documents", "pages", "conversations",
 )
 
-# Tables that carry the row work; the rest are small join sides.
-SPREAD = ("lineitem", "events", "pages", "conversations")
-
 # name -> (views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "drafts": ((), """
@@ -29,17 +26,28 @@ select l_orderkey*10+l_linenumber as draft_id,
  case l_suppkey%17 when 0 then 'contatta solo WhatsApp' when 1 then 'pagare prima con Western Union' when 2 then 'vicino Piazza Bernini' else 'ottimo stato' end as raw_snippet,
  cast(l_shipdate as timestamp) as seen_at
 from lineitem join part on l_partkey=p_partkey join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey"""),
+    # Drafts whose second key meets often: the URLs of a group describe one flat.  In two groups
+    # of three the URL that came first asks for more rent from a known day on; from then on
+    # the key is free, and the next foreign draft takes it over.
+    "shared_drafts": (("drafts",), """
+select draft_id, draft_key, canonical_url, listing_url, source, concat(title, ' in via gruppo', cast(grp as varchar(20)), ' 1') as title, location_hint,
+ cast(500 + 10*(grp%40) + case when grp%3 > 0 and canonical_url = owner and seen_at >= cast('1995-06-01 00:00:00' as timestamp) then 7 else 0 end as int) as rent_eur,
+ condo_fee_eur, area_sqm, rooms, raw_snippet, seen_at, grp, owner
+from (select draft_id, draft_key, canonical_url, listing_url, source, split_part(title, ' ', 1) as title, replace(location_hint, 'Pozzo Strada', 'Borgo Nuovo') as location_hint, condo_fee_eur, cast(60 as double) as area_sqm, cast(3 as double) as rooms,
+  raw_snippet, seen_at, cast(split_part(draft_key, '-', 3) as bigint)%251 as grp,
+  first_value(canonical_url) over (partition by cast(split_part(draft_key, '-', 3) as bigint)%251 order by seen_at, draft_key) as owner from drafts) g"""),
     "posts": ((), """
 select conv_id*100+turn as post_id, cast(conv_id%5 as varchar(20)) as group_id,
  concat('https://www.facebook.com/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/') as permalink,
- concat(substr(text,1,200), ' ', case (conv_id+turn)%6 when 0 then 'Affitto trilocale 75 mq in Cenisia, Torino. 750 €/mese' when 1 then 'Stanza singola per studenti, posto letto 350 €' when 2 then 'Appartamento in vendita 200000 €' when 3 then 'mi interessa 4m Like Reply' when 4 then concat('Affitto bilocale 60 mq 620 € https://www.idealista.it/immobile/', cast(conv_id as varchar(20)), '/?utm_source=fb') else 'x' end) as message,
+ concat(case (conv_id+turn)%6 when 0 then 'Affitto trilocale 75 mq in Cenisia, Torino. 750 €/mese ' when 1 then 'Stanza singola per studenti, posto letto 350 € ' when 2 then 'Appartamento in vendita 200000 € ' when 3 then 'mi interessa 4m Like Reply ' when 4 then concat('Affitto bilocale 60 mq 620 € https://www.idealista.it/immobile/', cast(conv_id as varchar(20)), '/?utm_source=fb ') else '' end, text) as message,
  cast('2024-03-01 08:00:00' as timestamp) as posted_at
 from conversations"""),
+    # Three anchors a message: the listing, the same again (a tie or a longer title), a footer link.
     "messages": ((), """
 select page_id as message_id,
  case page_id%4 when 0 then 'noreply@casa.it' when 1 then 'alert@idealista.it' when 2 then 'noreply@notifiche.immobiliare.it' else 'other@example.com' end as from_address,
  case when page_id%4=0 then concat('Un nuovo annuncio: ', cast(400+page_id as varchar(20)), ' € | ', cast(50+page_id%40 as varchar(20)), ' mq | Via Roma ', cast(page_id%30 as varchar(20)), ', Torino') when page_id%7=0 then 'Appartamenti in vendita a Torino' else 'nuovo annuncio' end as subject,
- concat('<table><tr><td><a href="https://www.', case page_id%4 when 0 then 'casa.it/immobili/' else 'idealista.it/immobile/' end, cast(page_id as varchar(20)), '/?utm_source=a&x=1">Trilocale in Via Roma, ', cast(page_id%30 as varchar(20)), ', Torino</a> ', cast(400+page_id as varchar(20)), ' €/mese ', cast(50+page_id%40 as varchar(20)), ' m² 3 locali spese ', cast(page_id%90 as varchar(20)), '€</td></tr></table>', html) as html_body,
+ concat('<table><tr><td><a href="https://www.', case page_id%4 when 0 then 'casa.it/immobili/' else 'idealista.it/immobile/' end, cast(page_id as varchar(20)), '/?utm_source=a&x=1">Trilocale in Via Roma, ', cast(page_id%30 as varchar(20)), ', Torino</a> ', cast(400+page_id as varchar(20)), ' €/mese ', cast(50+page_id%40 as varchar(20)), ' m² 3 locali spese ', cast(page_id%90 as varchar(20)), '€</td></tr></table><table><tr><td><a href=', chr(39), 'https://www.', case page_id%4 when 0 then 'casa.it/immobili/' else 'idealista.it/immobile/' end, cast(page_id as varchar(20)), '/?utm_term=b&x=1', chr(39), '>Trilocale ', case page_id%8 when 5 then 'luminoso ' else '' end, 'in Via Roma, ', cast(page_id%30 as varchar(20)), ', Torino</a> ', cast(410+page_id as varchar(20)), ' €/mese 77 m² 2 locali <a href="https://www.', case page_id%4 when 0 then 'casa.it/immobili/' else 'idealista.it/immobile/' end, cast(page_id as varchar(20)), '/?x=1">Vedi 5 foto</a></td></tr></table>', html) as html_body,
  '' as text_body,
  cast('2024-03-01 00:00:00' as timestamp) + page_id%60 * interval '1' hour as received_at
 from pages"""),
@@ -75,12 +83,15 @@ select draft_key as id, canonical_url as listing_id, cast((draft_id*7)%101 as in
  case draft_id%10 when 0 then 'flag' end as risk_reason, case when draft_id%10 < 3 then 'rules' else 'none' end as risk_source,
  'model' as model, seen_at + interval '1' day as scored_at
 from drafts"""),
+    # Pages whose hrefs are spelled in double quotes, in single quotes or bare.
+    "spelled_pages": ((), """
+select page_id, case page_id%3 when 1 then replace(html, '"', chr(39)) when 2 then replace(replace(html, 'href="', 'href='), '">', '>') else html end as html from pages"""),
     "feed_pages": ((), """
 select concat(cast(conv_id as varchar(20)), '-', cast(turn as varchar(20))) as page_id, cast(conv_id%5 as varchar(20)) as group_id,
  case (conv_id+turn)%4
-  when 0 then concat('<html><body><a href="https://www.facebook.com/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?ref=feed&amp;a=1">x</a><p>It&#39;s ', substr(text,1,300), '</p></body></html>')
-  when 1 then concat('<div role="article"><a href="/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?c=1">link</a><div>', substr(text,1,300), ' 7 Like Reply tail</div></div>')
-  when 2 then concat('<div class="x" role="article"><a href="/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?c=1">link</a><div>', substr(text,1,200), '</div></div> <div role="article"><script>var a</script><a href="https://www.facebook.com/groups/', cast(conv_id%5 as varchar(20)), '/posts/9', cast(conv_id*100+turn as varchar(20)), '/?c=1&amp;d=2">link</a><div>Affitto bilocale &amp; box See translation more</div></div>')
+  when 0 then concat('<html><body><a href="https://www.facebook.com/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?ref=feed&amp;a=1">x</a><p>It&#39;s ', text, '</p></body></html>')
+  when 1 then concat('<div role="article"><a href="/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?c=1">link</a><div>', text, ' 7 Like Reply tail</div></div>')
+  when 2 then concat('<div class="x" role="article"><a href="/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?c=1">link</a><div>', text, '</div></div> <div role="article"><script>var a</script><a href="https://www.facebook.com/groups/', cast(conv_id%5 as varchar(20)), '/posts/9', cast(conv_id*100+turn as varchar(20)), '/?c=1&amp;d=2">link</a><div>Affitto bilocale &amp; box See translation more</div></div>')
   else concat('<div role="article">nothing here</div> <a href="/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/?z=1">a</a> <a href="/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/">b</a>') end as html,
  cast('2024-03-01 08:00:00' as timestamp) as scraped_at
 from conversations"""),
@@ -103,14 +114,8 @@ def with_clause(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.
-
-    A scan with fewer splits than the cluster has cores (one small file) is spread over
-    them; a large table already has its splits and is read without a shuffle.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in SPREAD and rows.rdd.getNumPartitions() < cores else rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
