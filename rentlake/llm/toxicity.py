@@ -117,6 +117,7 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, dimensions: int
 
     for epoch in range(epochs):
         scores = vectors @ (classes[1] - classes[0])
+        done: set[bytes] = set()  # windows that copies of a document repeat
         for i in rng.permutation(own_rows):
             parts, bounds = documents[i]
             n = len(bounds) - 1
@@ -128,8 +129,10 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, dimensions: int
                 likely = np.argsort(-window_means(scores, parts, bounds))
                 chosen = likely[:1] if y[i] else np.concatenate([likely[:2], rng.integers(0, n, 1)])
             for w in chosen:
-                if bounds[w] < bounds[w + 1]:
-                    learn(parts[bounds[w] : bounds[w + 1]], int(y[i]), 0.3)
+                window = parts[bounds[w] : bounds[w + 1]]
+                if len(window) and window.tobytes() not in done:
+                    done.add(window.tobytes())
+                    learn(window, int(y[i]), 0.3)
     scores = (vectors @ (classes[1] - classes[0])).astype(np.float32)
     return Model(scores, _bias(np.array([window_means(scores, *documents[i]).max() for i in aside if len(documents[i][0])]), np.array([y[i] for i in aside if len(documents[i][0])])))
 
