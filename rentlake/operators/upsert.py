@@ -12,17 +12,18 @@ open later: starting from "every URL opens at its first draft", alternating roun
 in on the only consistent answer from both sides, and the first round that changes
 nothing has found it.  Only URLs that share a fingerprint with another URL take part.
 
-"Who holds fingerprint f at position x" is an interval lookup.  Intervals of positions
-are split into aligned power-of-two blocks, a position lies in one block per level, and
-the lookup becomes an equi-join against one pre-aggregated row per (f, block): no pairs
-within a fingerprint, no key in a single task.
+Whether anybody holds fingerprint f at position x is a running count of the spans that have
+begun and not ended there; who the oldest of them is, is an interval lookup: spans are
+split into aligned power-of-two blocks, a position lies in one block per level, and the
+lookup becomes an equi-join against one pre-aggregated row per (f, block).  No pairs within
+a fingerprint are made, and no key has to fit a task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rentlake.functions import keys, urls
@@ -93,66 +94,75 @@ def _enclosing(pos: Column, levels: int) -> Column:
     )
 
 
-def _spans(own: DataFrame, known: DataFrame, levels: int, span: int) -> DataFrame:
-    """Blocks in which a URL would hold a fingerprint, from the position ``since`` of the draft that says so.
+def _spans(runs: DataFrame, known: DataFrame, opened: DataFrame, span: int, *carried: str) -> DataFrame:
+    """Positions low..high-1 at which a URL holds a fingerprint, given when each URL opens.
 
-    Whether it does depends on whether the URL has opened its listing by then.
+    A run is a stretch in which the drafts of a URL say the same; it counts from the first
+    of them that comes with or after the opening.
     """
-    from_drafts = own.where(F.col("fingerprint").isNotNull()).select(
-        "fingerprint", F.col("canonical_url").alias("owner"), F.col("pos").alias("since"),
-        (F.col("pos") + 1).alias("low"), F.coalesce("next_pos", F.lit(span)).alias("high"),
+    since = F.greatest("start", "holds_from")
+    from_drafts = runs.join(opened.withColumnRenamed("canonical_url", "owner"), "owner").select(
+        "fingerprint", "owner", *carried, (since + 1).alias("low"), F.coalesce("end", F.lit(span)).alias("high")
     )
     from_table = known.where(F.col("fingerprint").isNotNull()).select(
-        "fingerprint", F.col("canonical_url").alias("owner"), F.lit(0).cast("long").alias("since"),
+        "fingerprint", F.col("canonical_url").alias("owner"), *carried,
         F.lit(0).cast("long").alias("low"), F.coalesce("first_pos", F.lit(span)).alias("high"),
     )
-    return (
-        from_drafts.unionByName(from_table)
-        .where(F.col("low") < F.col("high"))
-        .select("fingerprint", "owner", "since", F.explode(_blocks(F.col("low"), F.col("high"), levels)).alias("b"))
-        .select("fingerprint", "owner", "since", "b.*")
-    )
-
-
-_BLOCK = ["fingerprint", "level", "number"]
-
-
-def _held(spans: DataFrame, opened: DataFrame, *more: Column) -> DataFrame:
-    """Who holds each block; ``opened`` has the position at which each owner opens."""
-    held = spans.join(opened.withColumnRenamed("canonical_url", "owner"), "owner").where(F.col("since") >= F.col("opened"))
-    return held.groupBy(*_BLOCK).agg(F.min("owner").alias("low_owner"), F.max("owner").alias("high_owner"), *more)
+    return from_drafts.unionByName(from_table).where(F.col("low") < F.col("high"))
 
 
-def _found(lookups: DataFrame, held: DataFrame) -> DataFrame:
-    """Lookups that meet a block somebody else holds."""
-    other = (F.col("low_owner") != F.col("canonical_url")) | (F.col("high_owner") != F.col("canonical_url"))
-    return lookups.join(held, _BLOCK).where(other)
+def _alone(lookups: DataFrame, spans: DataFrame) -> DataFrame:
+    """Lookups (canonical_url, pos, fingerprint, holds_from, own) at which nobody else holds the fingerprint.
 
-
-def _openings(own: DataFrame, spans: DataFrame, lookups: DataFrame, known: DataFrame, never: int) -> DataFrame:
-    """(canonical_url, opened) of every URL; ``never`` for one that never opens a listing.
+    A running count of the spans that have begun and not ended; ``own`` says whether one of
+    them is the URL's own.  Counts run inside chunks of positions, and only the sums of the
+    chunks travel, so a busy fingerprint does not fill a task.
+    """
+    ends = spans.select("fingerprint", F.explode(F.array(
+        F.struct(F.col("low").alias("pos"), F.lit(1).alias("delta")), F.struct(F.col("high").alias("pos"), F.lit(-1).alias("delta"))
+    )).alias("e")).select("fingerprint", "e.*")
+    ends = ends.groupBy("fingerprint", "pos").agg(F.sum("delta").alias("delta"))
+    rows = ends.unionByName(lookups.withColumn("delta", F.lit(0).cast("long")), allowMissingColumns=True)
+    rows = rows.withColumn("chunk", chunk())
+    # at one position spans begin and end before anybody looks
+    near = Window.partitionBy("fingerprint", "chunk").orderBy("pos", F.col("canonical_url").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("inside", F.sum("delta").over(near)).where("canonical_url is not null")
+    far = Window.partitionBy("fingerprint").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("fingerprint", "chunk").agg(F.sum("delta").alias("delta"))
+    carry = carry.select("fingerprint", "chunk", F.sum("delta").over(far).alias("before"))
+    held = F.col("inside") + F.coalesce("before", F.lit(0)) - F.col("own").cast("int")
+    return inside.join(carry, ["fingerprint", "chunk"], "left").where(held <= 0).select("canonical_url", "pos", "holds_from")
+
+
+def _openings(own: DataFrame, runs: DataFrame, known: DataFrame, never: int) -> DataFrame:
+    """(canonical_url, opened, holds_from) of every URL; ``never`` for one that never opens a listing.
 
     A round turns a bound of the openings into the bound of the other side.  A URL whose
-    two bounds agree is settled: it leaves, and only fingerprints that the others still
-    look up go on, so rounds get smaller.
+    two bounds agree is settled: it leaves with its lookups, and only fingerprints that the
+    others still look up go on, so rounds get smaller.
     """
-    settled = known.select("canonical_url", F.lit(-1).cast("long").alias("opened"))
-    open_ = cut_lineage(own.where(~F.col("in_table")).groupBy("canonical_url").agg(F.min("pos").alias("opened")))
-    places = own.where(~F.col("in_table")).select("canonical_url", "pos")
+    columns = ["canonical_url", "opened", "holds_from"]
+    first = F.min(F.struct("pos", "holds_from")).alias("p")
+    settled = known.select("canonical_url", F.lit(-1).cast("long").alias("opened"), F.lit(-1).cast("long").alias("holds_from"))
+    places = own.where(~F.col("in_table"))
+    open_ = cut_lineage(places.groupBy("canonical_url").agg(first).select("canonical_url", F.col("p.pos").alias("opened"), "p.holds_from"))
     while True:
-        found = _found(lookups, _held(spans, settled.unionByName(open_))).select("canonical_url", "pos").distinct()
-        missed = places.join(found, ["canonical_url", "pos"], "left_anti").groupBy("canonical_url").agg(F.min("pos").alias("_later"))
-        both = cut_lineage(
-            open_.join(missed, "canonical_url", "left").select("canonical_url", "opened", F.coalesce("_later", F.lit(never)).alias("later"))
-        )
-        settled = settled.unionByName(both.where("opened = later").select("canonical_url", "opened"))
-        open_ = both.where("opened <> later").select("canonical_url", F.col("later").alias("opened"))
+        asked = places.join(open_.select("canonical_url", "opened"), "canonical_url")
+        mine = F.coalesce((F.col("prev_held_pos") >= F.col("opened")) & (F.col("prev_fingerprint") == F.col("fingerprint")), F.lit(False))
+        lookups = asked.where("fingerprint is not null").select("canonical_url", "pos", "fingerprint", "holds_from", mine.alias("own"))
+        blank = asked.where("fingerprint is null").select("canonical_url", "pos", "holds_from")
+        missed = _alone(lookups, _spans(runs, known, settled.unionByName(open_), never)).unionByName(blank).groupBy("canonical_url").agg(first)
+        both = cut_lineage(open_.join(missed, "canonical_url", "left").select(
+            *columns, F.coalesce("p.pos", F.lit(never)).alias("later"), F.coalesce("p.holds_from", F.lit(never)).alias("later_holds")
+        ))
+        settled = settled.unionByName(both.where("opened = later").select(*columns))
+        open_ = both.where("opened <> later").select("canonical_url", F.col("later").alias("opened"), F.col("later_holds").alias("holds_from"))
         if open_.isEmpty():
             return settled.where("opened >= 0")
         settled = cut_lineage(settled)
-        lookups = cut_lineage(lookups.join(open_, "canonical_url", "left_semi"))
         places = cut_lineage(places.join(open_, "canonical_url", "left_semi"))
-        spans = cut_lineage(spans.join(lookups, _BLOCK, "left_semi"))
+        asked_for = places.select("fingerprint").distinct()
+        runs = cut_lineage(runs.join(asked_for, "fingerprint", "left_semi"))
 
 
 def resolve(drafts: DataFrame, listings: DataFrame, total: int) -> DataFrame:
@@ -195,28 +205,32 @@ def resolve(drafts: DataFrame, listings: DataFrame, total: int) -> DataFrame:
         return free
     levels = max(1, total.bit_length())
     marked = rows.withColumn("held_pos", F.when(F.col("fingerprint").isNotNull(), F.col("pos")))
-    own = cut_lineage(
-        with_next(marked, ["canonical_url"], chunk(), ["pos"], ["held_pos"]).withColumnRenamed("next_held_pos", "next_pos")
-    )
+    by_url = (["canonical_url"], chunk(), ["pos"])
+    own = with_next(with_previous(marked, *by_url, ["fingerprint", "held_pos"]), *by_url, ["held_pos"])
+    own = cut_lineage(own.withColumn("holds_from", F.coalesce("held_pos", "next_held_pos", F.lit(total))).drop("held_pos", "next_held_pos"))
+    starts = own.where(F.col("fingerprint").isNotNull() & ~F.col("fingerprint").eqNullSafe(F.col("prev_fingerprint")))
+    runs = with_next(starts.select("canonical_url", "pos", "fingerprint"), *by_url, ["pos"])
+    runs = cut_lineage(runs.select("fingerprint", F.col("canonical_url").alias("owner"), F.col("pos").alias("start"), F.col("next_pos").alias("end")))
     known = cut_lineage(
         table.join(contested, "canonical_url", "left_semi")
-        .join(own.groupBy("canonical_url").agg(F.min("held_pos").alias("first_pos")), "canonical_url", "left")
+        .join(runs.groupBy(F.col("owner").alias("canonical_url")).agg(F.min("start").alias("first_pos")), "canonical_url", "left")
         .withColumn("born", F.struct(F.lit(0).alias("fresh"), F.unix_micros("first_seen").alias("at")))
     )
-    spans = cut_lineage(_spans(own, known, levels, total))
-    # One row per level, written once; blocks that nobody can ever hold are of no use.
-    lookups = own.where(F.col("fingerprint").isNotNull() & ~F.col("in_table")).select(
-        "canonical_url", "pos", "fingerprint", F.explode(_enclosing(F.col("pos"), levels)).alias("b")
+    opened = cut_lineage(_openings(own, runs, known, total))
+
+    fresh = opened.select("canonical_url", "holds_from", F.struct(F.lit(1).alias("fresh"), F.col("opened").alias("at")).alias("born"))
+    births = fresh.unionByName(known.select("canonical_url", F.lit(-1).cast("long").alias("holds_from"), "born"))
+    # Only drafts before their URL's own opening need a holder: the oldest of those at their position.
+    # A position lies in one block of each level, a span is a few blocks.
+    held = (
+        _spans(runs, known, births, total, "born")
+        .select("fingerprint", "owner", "born", F.explode(_blocks(F.col("low"), F.col("high"), levels)).alias("b"))
+        .groupBy("fingerprint", "b")
+        .agg(F.min(F.struct("born", "owner")).alias("oldest"))
     )
-    lookups = cut_lineage(lookups.select("canonical_url", "pos", "fingerprint", "b.*").join(spans, _BLOCK, "left_semi"))
-    opened = cut_lineage(_openings(own, spans, lookups, known, total))
-
-    fresh = opened.select("canonical_url", "opened", F.struct(F.lit(1).alias("fresh"), F.col("opened").alias("at")).alias("born"))
-    births = fresh.unionByName(known.select("canonical_url", F.lit(-1).cast("long").alias("opened"), "born"))
-    held = _held(spans, births, F.min(F.struct("born", "owner")).alias("oldest"))
-    # Only drafts before their URL's own opening need a holder.
-    homeless = lookups.join(opened, "canonical_url").where(F.col("pos") < F.col("opened")).drop("opened")
-    oldest = _found(homeless, held).groupBy("pos").agg(F.min("oldest").alias("oldest"))
+    homeless = own.where(F.col("fingerprint").isNotNull() & ~F.col("in_table")).join(opened.select("canonical_url", "opened"), "canonical_url").where("pos < opened")
+    asked = homeless.select("pos", "fingerprint", F.explode(_enclosing(F.col("pos"), levels)).alias("b"))
+    oldest = asked.join(held, ["fingerprint", "b"]).groupBy("pos").agg(F.min("oldest").alias("oldest"))
     target = (
         own.join(opened, "canonical_url", "left")
         .join(oldest, "pos", "left")
