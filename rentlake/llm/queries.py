@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import embedding_dedup, license_scan, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity
+from rentlake.llm import embedding_dedup, license_scan, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
 from rentlake.llm.labelled import crc_of_id
 from rentlake.session import tune
 
@@ -140,6 +140,33 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+# Every page is a capture at one time, and at another a report that lists, clears or allows
+# its host, its domain or its first path segment, some of them for three days.
+CAPTURES = "select page_id, url, cast('2024-01-01 00:00:00' as timestamp) + page_id * 7919 % 2592000 * interval '1' second as fetched_at from pages"
+ENTRIES = """
+select page_id as entry_id, case page_id % 3 when 0 then 'host' when 1 then 'domain' else 'path' end as kind,
+ case page_id % 3 when 0 then h when 1 then concat(split_part(h, '.', -2), '.', split_part(h, '.', -1)) else concat(h, '/', split_part(url, '/', 4)) end as pattern,
+ case page_id % 7 when 0 then 'remove' when 1 then 'remove' when 2 then 'allow' else 'block' end as action, listed_at,
+ case when page_id % 5 = 0 then listed_at + interval '3' day end as expires_at
+from (select page_id, url, split_part(url, '/', 3) as h, cast('2024-01-01 00:00:00' as timestamp) + page_id * 104729 % 2592000 * interval '1' second as listed_at from pages) p
+where split_part(url, '/', 4) <> ''"""
+URL_SQL = f"""
+with c as ({CAPTURES}), e as ({ENTRIES}), h as (select *, split_part(url, '/', 3) as h, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') as s from c),
+ k as (select page_id, url, fetched_at, 2 as rank, 'host' as kind, h as pattern from h
+  union all select page_id, url, fetched_at, 1, 'domain', unnest(list_transform(range(1, len(string_split(h, '.'))), lambda i: array_to_string(string_split(h, '.')[i:], '.'))) from h
+  union all select page_id, url, fetched_at, 3, 'path', unnest(list_transform(range(1, len(s) + 1), lambda i: h || '/' || array_to_string(s[:i], '/'))) from h),
+ a as (select k.*, e.entry_id, e.action from k asof join e on k.kind = e.kind and k.pattern = e.pattern and k.fetched_at >= e.listed_at where e.action <> 'remove' and (e.expires_at is null or e.expires_at > k.fetched_at)),
+ b as (select * from (select *, row_number() over (partition by page_id order by rank desc, length(pattern) desc) as n from a) where n = 1)
+select c.page_id, c.url, c.fetched_at, coalesce(b.action, 'none') as verdict, b.kind, b.pattern, b.entry_id from c left join b on c.page_id = b.page_id"""
+
+
+@query("op8_url_filter", URL_SQL)
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures, entries = (spark.sql(sql.replace("from pages", "from {pages}"), pages=pages) for sql in (CAPTURES, ENTRIES))
+    return url_filter.judge(captures, entries)
+
+
 @query("op9_quality_knn")
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
