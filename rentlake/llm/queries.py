@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import embedding_dedup, license_scan, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
+from rentlake.llm import embedding_dedup, license_scan, lm_score, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
 from rentlake.llm.labelled import crc_of_id
 from rentlake.session import tune
 
@@ -88,6 +88,14 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+@query("op4_lm_score")
+def _lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return lm_score.score(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def _license_sql() -> str:
     """Phrases only: texts with identifier tags have labels that SQL can't work out."""
     every = {**license_scan.NOTICES, **license_scan.BASE_PHRASES}
