@@ -3,7 +3,9 @@
 Both are bigram models of the same form (Dirichlet smoothing towards their own unigrams) over one
 shared vocabulary: the most frequent words of all documents, one entry for all others and
 one for the start of a text.  The background is counted over all documents, the target
-over the documents that are labelled as such.
+over the documents that are labelled as such; to match in size, background counts are
+scaled to the target's number of tokens instead of taking a sample.  A document's own words
+are part of the models it belongs to.
 
 Pair counts grow with the corpus, so no task or machine holds them: pairs are dealt to buckets by
 hash, already added up by task.  A bounded number of the most frequent pairs, and the counts
@@ -181,6 +183,11 @@ class Model:
             n = np.zeros(VOCABULARY)
             n[word] = get(f"words_{side}", np.int64)
             self.context.append(n)
+        tokens = [n.sum() - n[_START] for n in self.context]
+        # matched: the background counts as if its corpus had the target's size
+        self.scale = [tokens[1] / tokens[0] if tokens[1] else 1.0, 1.0]
+        for side in (0, 1):
+            self.context[side] = n = self.context[side] * self.scale[side]
             own = n.copy()
             own[_START] = 0
             self.share.append((own + 1) / (own.sum() + VOCABULARY))
@@ -193,7 +200,8 @@ class Model:
         """Negative log probability of each pair under the background and under the target."""
         before, word = (pairs >> _SHIFT).astype(np.int64), (pairs & np.uint64(VOCABULARY - 1)).astype(np.int64)
         m = self.smoothing
-        return [-np.log((n + m * share[word]) / (context[before] + m)) for n, context, share in zip((background, target), self.context, self.share)]
+        sides = zip((background, target), self.scale, self.context, self.share)
+        return [-np.log((n * scale + m * share[word]) / (context[before] + m)) for n, scale, context, share in sides]
 
 
 _ASKED = pa.schema([
