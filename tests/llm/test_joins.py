@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from compare import _rows
-from rentlake.llm import components, embedding_dedup, ngram_join, queries
+from rentlake.llm import components, embedding_dedup, lm_score, ngram_join, queries, url_filter
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
@@ -146,3 +146,116 @@ def test_embedding_dedup_empty_and_null_ids(spark):
     rows = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [2.0, 0.0], 1)], schema)
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.dedup(rows).collect())
     assert got == [("4", 1, 4, True), ("4", 1, 4, True), ("None", 0, None, True)]
+
+
+# -- language models
+
+
+def bigram_losses(texts, target, smoothing):
+    """(target loss, background loss, tokens) of each text, counted in dicts."""
+    from collections import Counter
+
+    def model(rows):
+        pairs, singles = Counter(), Counter()
+        for words in rows:
+            if words:
+                singles["<start>"] += 1
+            singles.update(words)
+            pairs.update(zip(["<start>", *words], words))
+        return pairs, singles
+
+    split = [brute.SPACE.findall((t or "").translate(brute.LOWER)) for t in texts]
+    models = [model([split[i] for i in target]), model(split)]
+    size = [sum(v for k, v in singles.items() if k != "<start>") for _, singles in models]
+    out = []
+    for words in split:
+        losses = []
+        for (pairs, singles), scale in zip(models, (1, size[0] / size[1])):
+            share = lambda w: (singles[w] * scale + 1) / (size[0] + lm_score.VOCABULARY)
+            losses.append(sum(-math.log((pairs[a, b] * scale + smoothing * share(b)) / (singles[a] * scale + smoothing)) for a, b in zip(["<start>", *words], words)) / max(1, len(words)))
+        out.append((losses[0], losses[1], len(words)))
+    return out
+
+
+@pytest.mark.parametrize("known_pairs", [1 << 17, 16])
+def test_lm_scores_equal_brute_force(spark, frame, odd_texts, monkeypatch, known_pairs):
+    monkeypatch.setattr(lm_score, "KNOWN_PAIRS", known_pairs)
+    monkeypatch.setattr(lm_score, "HELD", 300)
+    texts = near_copies(3, 90) + odd_texts
+    target = [i for i in range(len(texts)) if i % 3 == 0]
+    docs = frame(texts).repartition(4)
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, docs.where("doc_id % 3 = 0")).collect()}
+    assert len(rows) == len(texts)
+    for i, (target_loss, background_loss, n) in enumerate(bigram_losses(texts, target, lm_score.SMOOTHING)):
+        got = rows[i]
+        assert got["n_tokens"] == n
+        assert (got["target_loss"], got["background_loss"]) == pytest.approx((target_loss, background_loss), rel=1e-9)
+        assert got["score"] == pytest.approx(target_loss - background_loss, abs=1e-9)
+
+
+def test_lm_scores_small_vocabulary_and_no_target(spark, frame):
+    docs = frame(["a a a b b c", "a b", None, ""])
+    known = lm_score.vocabulary(docs, "text", 2, size=4)
+    assert len(known) == 2  # a and b; c is one of the other words
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, docs.limit(0)).collect()}
+    assert [rows[i]["n_tokens"] for i in range(4)] == [6, 2, 0, 0]
+    assert all(rows[i]["target_loss"] > rows[i]["background_loss"] for i in (0, 1)) and rows[2]["score"] == rows[3]["score"] == 0
+    assert lm_score.score(frame([]), frame([])).count() == 0
+    nulls = spark.createDataFrame([(None, "x y"), (None, "x y"), (3, "x")], "doc_id bigint, text string")
+    assert sorted((r["n_tokens"], r["doc_id"]) for r in lm_score.score(nulls, nulls).where("doc_id is not null").collect()) == [(1, 3)]
+    assert lm_score.score(nulls, nulls).where("doc_id is null").count() == 2
+
+
+def test_lm_scores_prefer_the_target(spark, frame):
+    rng = random.Random(1)
+    own, other = [[f"{c}{i}" for i in range(12)] for c in "st"]
+    texts = [" ".join(rng.choice(own if i % 2 else other) for _ in range(80)) for i in range(60)]
+    docs = frame(texts)
+    rows = lm_score.score(docs, docs.where("doc_id % 2 = 1 and doc_id < 30")).collect()
+    assert all((r["score"] < 0) == (r["doc_id"] % 2 == 1) for r in rows)
+
+
+# -- URL filter
+
+
+def test_url_filter_equals_brute_force(spark):
+    import datetime as dt
+
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    hosts = ["a.example.com", "b.a.example.com", "example.com", "x.org", "HOT.net"]
+    at = lambda: start + dt.timedelta(hours=rng.randint(0, 40))
+    captures = [(i, f"https://{rng.choice(hosts)}{rng.choice(['', '/', '/p', '/p/q?x=1', '//p/r#f'])}", at() if rng.random() < 0.95 else None) for i in range(300)]
+    captures += [(300, None, start), (301, "no url", start), (302, "ftp://u@x.org:21/p", start + dt.timedelta(days=9)), (0, "https://x.org/p", start)]
+    kinds = [("host", h.lower()) for h in hosts] + [("domain", d) for d in ("example.com", "a.example.com", "com", "net", "org")] + [("path", "x.org/p"), ("path", "hot.net/p/q"), (None, "x.org"), ("host", None)]
+    entries = [(i, *rng.choice(kinds), rng.choice(["block", "allow", "remove", None]), at() if rng.random() < 0.97 else None, at() if rng.random() < 0.2 else None) for i in range(160)]
+    got = url_filter.judge(
+        spark.createDataFrame([(*c, "k") for c in captures], "page_id bigint, url string, fetched_at timestamp, pattern string").repartition(3),
+        spark.createDataFrame(entries, "entry_id bigint, kind string, pattern string, action string, listed_at timestamp, expires_at timestamp"),
+    ).collect()
+
+    def want(url, fetched):
+        import re
+
+        match = re.match(r"(?i)[a-z]+://(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*([^?#]*)", url or "")
+        if not match or fetched is None:
+            return "none", None, None
+        host, path = match[1].lower(), [s for s in match[2].split("/") if s]
+        labels = host.split(".")
+        asked = [("host", host), *(("domain", ".".join(labels[i:])) for i in range(max(1, len(labels) - 1))), *(("path", "/".join([host, *path[:i]])) for i in range(1, len(path) + 1))]
+        found = []
+        for kind, pattern in asked:
+            last = [e for e in entries if (e[1], e[2]) == (kind, pattern) and e[3] and e[4] and e[4] <= fetched]
+            if last:
+                e = max(last, key=lambda e: (e[4], e[0]))
+                if e[3] != "remove" and (e[5] is None or e[5] > fetched):
+                    found.append((url_filter.KINDS[kind], len(pattern), pattern, e[3], e[0]))
+        return (max(found)[3], max(found)[2], max(found)[4]) if found else ("none", None, None)
+
+    assert sorted(((r["page_id"], r["url"] or "", r["verdict"], r["pattern"], r["entry_id"]) for r in got), key=str) == sorted(((i, u or "", *want(u, f)) for i, u, f in captures), key=str)
+
+
+def test_url_filter_without_rows(spark):
+    captures = spark.createDataFrame([(1, "https://x.org/", None)], "page_id bigint, url string, fetched_at timestamp")
+    entries = spark.createDataFrame([], "entry_id bigint, kind string, pattern string, action string, listed_at timestamp, expires_at timestamp")
+    assert [tuple(r)[3] for r in url_filter.judge(captures, entries).collect()] == ["none"]
+    assert url_filter.judge(captures.limit(0), entries).count() == 0
