@@ -140,8 +140,12 @@ def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def keep_rows(docs: DataFrame, text: str, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """The rows whose text is wanted, with all their columns; ``wanted`` takes (bytes, offsets)."""
 
+    # plain names inside: a column may be called anything
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    name = f"c{docs.columns.index(text)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, text):
+        for rows, data, offsets in slices(batches, name):
             yield rows.filter(pa.array(wanted(data, offsets)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
