@@ -10,8 +10,8 @@ are part of the models it belongs to.
 Pair counts grow with the corpus, so no task or machine holds them: pairs are dealt to buckets by
 hash, already added up by task.  A bounded number of the most frequent pairs, and the counts
 of the vocabulary, go to all tasks; texts are scored against these on the spot.  Their
-other pairs are dealt to the bucket that knows them, added up there for each document, and
-added to the rest.  A frequent pair thus never meets in one place.
+other pairs are dealt to the bucket that knows them, added up there for each document (and sent
+back with 24 bits), and added to the rest.  A frequent pair thus never meets in one place.
 
 Defined cases: words are runs of other than ASCII white space, A to Z lower-cased; a text without
 words has 0 tokens and losses of 0; without target documents both models see the same
@@ -44,8 +44,8 @@ HELD = 1 << 20
 _UNKNOWN, _START, _SHIFT = 0, 1, np.uint64(15)
 _UNIGRAM = np.uint64(VOCABULARY)  # as the first of a pair: the word by itself
 
-_COUNTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
-_COUNT_FIELDS = "bucket int, keys binary, background binary, target binary"
+_COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+_COUNT_FIELDS = "bucket int, target boolean, keys binary, counts binary"
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -80,8 +80,8 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return span_hash(byte_prefix(low), starts, ends), bounds
 
 
-def _partial(keys_of, bits: int, target: bool):
-    """Keys of the texts, added up by task, as (bucket, keys, counts)."""
+def _partial(keys_of, bits: int, target: bool, kind: type = np.uint32):
+    """Keys of the texts, added up by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -89,11 +89,9 @@ def _partial(keys_of, bits: int, target: bool):
 
         def flush() -> pa.RecordBatch:
             keys, counts = _added(*(np.concatenate(x) for x in zip(*held)))
-            held[:] = [(keys, counts)]
-            none = np.zeros(len(counts), np.int64)
-            both = (none, counts) if target else (counts, none)
-            rows = [[b, *(x.tobytes() for x in own)] for b, own in _by_bucket(_bucket_of(keys, bits), keys, *both)]
-            return _packed(rows, _COUNTS)
+            # a count beyond 32 bits can't come from a task's share
+            parts = _by_bucket(_bucket_of(keys, bits), keys.astype(kind), counts.astype(np.uint32))
+            return _packed([[b, target, *(x.tobytes() for x in own)] for b, own in parts], _COUNTS)
 
         for _, data, offsets in slices(batches):
             keys = keys_of(data, offsets)
@@ -110,7 +108,7 @@ def _partial(keys_of, bits: int, target: bool):
 
 def _most_frequent(keep: int):
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _added(_read(table, "keys", np.uint64), _read(table, "background", np.int64))
+        keys, counts = _added(_read(table, "keys", np.uint64), _read(table, "counts", np.uint32))
         top = np.lexsort((keys, -counts))[:keep]
         return pa.table({"hash": keys[top].view(np.int64), "n": counts[top]})
 
@@ -119,7 +117,7 @@ def _most_frequent(keep: int):
 
 def vocabulary(docs: DataFrame, text: str, bits: int, size: int = VOCABULARY) -> np.ndarray:
     """Hashes of the most frequent words, sorted."""
-    partial = cut_lineage(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_partial(lambda d, o: _word_hashes(d, o)[0], bits, False), _COUNT_FIELDS))
+    partial = cut_lineage(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_partial(lambda d, o: _word_hashes(d, o)[0], bits, False, np.uint64), _COUNT_FIELDS))
     # hashing spreads frequent words over the buckets; four times a bucket's share is enough for it
     keep = max(64, 4 * size >> bits)
     top = partial.groupBy("bucket").applyInArrow(_most_frequent(keep), "hash bigint, n bigint").orderBy(F.col("n").desc(), "hash").limit(size - 2)
@@ -158,14 +156,18 @@ def _count(keep: int):
     """A bucket's counts, and apart from them its most frequent pairs and its single words."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, background, target = _added(_read(table, "keys", np.uint64), _read(table, "background", np.int64), _read(table, "target", np.int64))
+        sides = [table.filter(pa.array([t == side for t in table.column("target").to_pylist()], pa.bool_())) for side in (False, True)]
+        counts = [_read(t, "counts", np.uint32) for t in sides]
+        none = [np.zeros(len(c)) for c in counts]
+        keys = np.concatenate([_read(t, "keys", np.uint32) for t in sides]).astype(np.uint64)
+        keys, background, target = _added(keys, np.concatenate([counts[0], none[1]]), np.concatenate([none[0], counts[1]]))
         single = keys >> _SHIFT == _UNIGRAM
         pairs = ~single
         top = np.zeros(len(keys), bool)
         top[np.flatnonzero(pairs)[np.lexsort((keys[pairs], -background[pairs]))[:keep]]] = True
         row = [table.column("bucket")[0].as_py()]
         for part in (pairs & ~top, top, single):
-            row += [keys[part].tobytes(), background[part].tobytes(), target[part].tobytes()]
+            row += [keys[part].astype(np.uint32).tobytes(), background[part].tobytes(), target[part].tobytes()]
         return pa.table({f.split()[0]: pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, (f, v) in enumerate(zip(_MODEL_FIELDS.split(", "), row))})
 
     return run
@@ -177,7 +179,7 @@ class Model:
     def __init__(self, rows: list, smoothing: float):
         get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in rows)])
         self.smoothing = smoothing
-        word = (get("words", np.uint64) & np.uint64(VOCABULARY - 1)).astype(np.int64)
+        word = (get("words", np.uint32) & np.uint32(VOCABULARY - 1)).astype(np.int64)
         self.context, self.share = [], []
         for side in ("background", "target"):
             n = np.zeros(VOCABULARY)
@@ -191,7 +193,7 @@ class Model:
             own = n.copy()
             own[_START] = 0
             self.share.append((own + 1) / (own.sum() + VOCABULARY))
-        keys = get("top", np.uint64)
+        keys = get("top", np.uint32).astype(np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
         self.counts = [get(f"top_{side}", np.int64)[order] for side in ("background", "target")]
@@ -205,11 +207,11 @@ class Model:
 
 
 _ASKED = pa.schema([
-    ("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()),
+    ("bucket", pa.int32()), ("first", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()),
     ("ids", pa.binary()), ("null_ids", pa.binary()), ("tokens", pa.binary()), ("background", pa.binary()), ("target", pa.binary()),
 ])
-_ASKED_FIELDS = "bucket int, keys binary, docs binary, counts binary, ids binary, null_ids binary, tokens binary, background binary, target binary"
-_SUMS = pa.schema(list(_ASKED)[:1] + [f for f in _ASKED if f.name not in ("bucket", "keys", "counts")])
+_ASKED_FIELDS = "bucket int, first bigint, keys binary, places binary, counts binary, docs binary, ids binary, null_ids binary, tokens binary, background binary, target binary"
+_SUMS = pa.schema(list(_ASKED)[:1] + [f for f in _ASKED if f.name not in ("bucket", "first", "keys", "places", "counts")])
 _SUM_FIELDS = "bucket int, docs binary, ids binary, null_ids binary, tokens binary, background binary, target binary"
 
 
@@ -223,8 +225,9 @@ def _ask(model: Model, known: np.ndarray, bits: int):
 
         def flush() -> pa.RecordBatch:
             keys, docs, counts = (np.concatenate(x) for x in zip(*held))
-            rows = [[b, *(x.tobytes() for x in own), *[b""] * 5] for b, own in _by_bucket(_bucket_of(keys, bits), keys, docs, counts)]
-            return _packed(rows, _ASKED)
+            base = int(docs[0]) if len(docs) else 0
+            parts = _by_bucket(_bucket_of(keys, bits), keys.astype(np.uint32), (docs - base).astype(np.uint32), counts.astype(np.uint32))
+            return _packed([[b, base, *(x.tobytes() for x in own), *[b""] * 6] for b, own in parts], _ASKED)
 
         for rows, data, offsets in slices(batches):
             hashes, bounds = _word_hashes(data, offsets)
@@ -240,7 +243,7 @@ def _ask(model: Model, known: np.ndarray, bits: int):
             ids = column(rows, "key")
             sums = [np.bincount(of[hit], x * counts[hit], rows.num_rows) for x in (background, target)]
             own = (docs, np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.uint8), np.diff(bounds).astype(np.int64), *sums)
-            yield _packed([[-1, b"", own[0].tobytes(), b"", *(x.tobytes() for x in own[1:])]], _ASKED)
+            yield _packed([[-1, 0, b"", b"", b"", *(x.tobytes() for x in own)]], _ASKED)
             held.append((pairs[~hit], docs[of[~hit]], counts[~hit].astype(np.int64)))
             n += len(held[-1][0])
             if n >= HELD:
@@ -256,14 +259,16 @@ def _answer(model: Model, bits: int):
     """Losses of the dealt pairs, added up by text and packed by the text's own bucket."""
 
     def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        keys, docs, counts = _read(asked, "keys", np.uint64), _read(asked, "docs", np.int64), _read(asked, "counts", np.int64)
+        keys, counts = _read(asked, "keys", np.uint32).astype(np.uint64), _read(asked, "counts", np.uint32)
         if not len(keys):
             return pa.Table.from_batches([_packed([], _SUMS)], _SUMS)
-        known = _read(counted, "keys", np.uint64)
+        places = _read(asked, "places", np.uint32).astype(np.int64)
+        docs = places + np.repeat(np.asarray(asked.column("first"), np.int64), [len(x.as_buffer()) // 4 for x in asked.column("places")])
+        known = _read(counted, "keys", np.uint32).astype(np.uint64)
         at = np.searchsorted(known, keys)  # every pair asked for has been counted
         losses = model.losses(keys, *(_read(counted, side, np.int64)[at] for side in ("background", "target")))
         found, of = np.unique(docs, return_inverse=True)
-        sums = [np.bincount(of, x * counts, len(found)) for x in losses]
+        sums = [np.bincount(of, x * counts, len(found)).astype(np.float32) for x in losses]
         rows = [[b, own[0].tobytes(), b"", b"", b"", own[1].tobytes(), own[2].tobytes()] for b, own in _by_bucket(_bucket_of(found.view(np.uint64), bits), found, *sums)]
         return pa.Table.from_batches([_packed(rows, _SUMS)], _SUMS)
 
@@ -291,7 +296,7 @@ def _total(table: pa.Table) -> pa.Table:
     at = np.searchsorted(docs[order], more)
     out = {"id": pa.array(ids, mask=nulls.astype(bool)), "n_tokens": pa.array(tokens)}
     for side in ("target", "background"):
-        values = _read(rest, side, np.float64)
+        values = _read(rest, side, np.float32).astype(np.float64)
         sums = _read(own, side, np.float64)[order] + np.bincount(at[(by := np.lexsort((values, at)))], values[by], len(docs))
         out[f"{side}_loss"] = pa.array(sums / np.maximum(1, tokens))
     return pa.table(out)
