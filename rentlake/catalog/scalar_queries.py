@@ -354,10 +354,11 @@ projection("j1_criteria_scores", "replies", ["draft_id"],
            lambda c: {k: c(f"scores.{k}") for k in V.RATING_KEYS},
            [SCORES], [*[f"k_{k} as {k}" for k in V.REPLY_KEYS], "0 as proximityToReference"], prepare=SCORED)
 projection("j2_reply_result", "replies", ["draft_id"],
-           lambda c: {"composite": c("m_composite"), "summary": c("m_summary"), "risk_level": c("m_risk_level"), "n_reasons": F.when(c("m_usable"), F.size("m_risk_reasons"))},
+           lambda c: {"composite": c("m_composite"), "summary": c("m_summary"), "risk_level": c("m_risk_level"), "n_reasons": F.when(c("m_usable"), F.size("m_risk_reasons")), "reasons": F.array_join("m_risk_reasons", ";")},
            [SCORES, {"ok": "draft_id % 7 > 1"}],
            [f"case when ok then cast({SUM} as integer) end as composite", "case when ok then trim(json_extract_string(response, '$.summary')) end as summary",
-            "case when ok then coalesce(json_extract_string(response, '$.riskLevel'), 'none') end as risk_level", "case when ok then 0 end as n_reasons"],
+            "case when ok then coalesce(json_extract_string(response, '$.riskLevel'), 'none') end as risk_level", "case when ok then case when draft_id % 3 = 0 then 2 else 0 end end as n_reasons",
+            "case when ok then case when draft_id % 3 = 0 then 'first;second' else '' end end as reasons"],
            prepare=lambda d: replies.with_result(d.withColumn("reply", F.when(F.col("draft_id") % 7 == 0, F.lit('{"note":1}')).when(F.col("draft_id") % 7 == 1, F.lit("{broken")).otherwise(F.col("response"))), C, "reply", "m_"))
 projection("j3_with_proximity", "replies", ["draft_id"],
            lambda c: {"composite": replies.composite(replies.with_proximity(c("scores"), F.when(c("draft_id") % 3 > 0, c("draft_id") % 14)))},

@@ -591,12 +591,12 @@ def _score_sql() -> str:
     steps = [
         {"prox": "cast(n % 11 as integer)", "meters": "case when n % 4 > 0 then n * 350 end"}, *rule_steps("prox", "meters"),
         {"response": "reply"}, SCORES, {"usable": "response is not null"}, {"pk": "least(10, prox)"}, {"total": f"({SUM} + pk)"},
-        {"score": blend_sql("rule", "(case when usable then total end)"), "line": scores_line("total", "pk"), "level": "json_extract_string(response, '$.riskLevel')"},
+        {"score": blend_sql("rule", "(case when usable then total end)"), "line": scores_line("total", "pk"), "level": "json_extract_string(response, '$.riskLevel')", "reply_reasons": "json_type(response, '$.riskReasons') = 'ARRAY'"},
     ]
     base = """with_reply as (select l.*, r.reply from listings l left join (select canonical_url as listing_id, max(response) as reply from drafts join replies using (draft_id) group by 1) r on r.listing_id = l.id and l.n % 2 = 0)"""
     return S.chain(with_clause("listings", "drafts", "replies") + ",\n" + base, "with_reply", steps, """select id as listing_id, score,
         reasons || case when usable then '; ' || line else '' end as reasons, case when usable then trim(json_extract_string(response, '$.summary')) end as summary,
-        case when level = 'high' or risk = 'high' then 'high' else 'none' end as risk_level, flags as risk_reasons, case when usable then 'm1' end as model from {from}""")
+        case when level = 'high' or risk = 'high' then 'high' else 'none' end as risk_level, case when level = 'high' and reply_reasons then concat_ws('; ', nullif(flags, ''), 'first', 'second') else flags end as risk_reasons, case when usable then 'm1' end as model from {from}""")
 
 
 @query("n17_scored_listings", _score_sql())

@@ -57,7 +57,7 @@ select page_id as message_id, 'noreply@notifiche.immobiliare.it' as from_address
  '' as text_body, cast('2024-03-01 00:00:00' as timestamp) as received_at
 from pages"""),
     "replies": ((), """
-select l_orderkey*10+l_linenumber as draft_id, concat('{"budgetFit":', cast(l_linenumber*2 as varchar(20)), ',"sizeForFamily":', cast(l_orderkey%13 as varchar(20)), ',"targetZone":', cast(l_partkey%11 as varchar(20)), ',"riskLevel":"', case when l_suppkey%9=0 then 'high' else 'none' end, '","summary":" tip ', cast(l_suppkey as varchar(20)), ' "}') as response from lineitem"""),
+select l_orderkey*10+l_linenumber as draft_id, concat('{"budgetFit":', cast(l_linenumber*2 as varchar(20)), ',"sizeForFamily":', cast(l_orderkey%13 as varchar(20)), ',"targetZone":', case when l_partkey%2=0 then concat('"', cast(l_partkey%11 as varchar(20)), '"') else cast(l_partkey%11 as varchar(20)) end, ',"riskReasons":', case (l_orderkey*10+l_linenumber)%3 when 0 then '["first","second"]' when 1 then '"no array"' else 'null' end, ',"riskLevel":"', case when l_suppkey%9=0 then 'high' else 'none' end, '","summary":" tip ', cast(l_suppkey as varchar(20)), ' "}') as response from lineitem"""),
     "gazetteer": ((), """
 select concat('via brandn', cast(s_suppkey%25+1 as varchar(20)), ' ', cast(s_suppkey%20+1 as varchar(20)), ' torino italy') as query_key, 45.0 + cast(s_suppkey%200 as double)/1000 as lat, 7.6 + cast(s_suppkey%100 as double)/1000 as lng from supplier"""),
     "places": ((), """
