@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlake.llm.components import components
-from rentlake.llm.textbatch import LOWER, byte_prefix, gram_hash, mix, owners, slices, span_hash, words
+from rentlake.llm.textbatch import LOWER, byte_prefix, gram_hash, mix, slices, span_hash, words
 from rentlake.session import cut_lineage
 
 SHINGLE = 5
