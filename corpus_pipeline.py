@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rentlake.llm import ngram_join, packing, quality_knn, quality_rules
 from rentlake.session import cut_lineage, tune
