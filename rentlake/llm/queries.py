@@ -93,7 +93,8 @@ def _lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good against all documents."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return lm_score.score(docs, docs.join(good, "doc_id", "left_semi"))
+    # The labels grow with the corpus: one plan for all sizes, which never sends them to every task.
+    return lm_score.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 def _license_sql() -> str:
