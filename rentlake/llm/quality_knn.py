@@ -5,7 +5,8 @@ and marks for words that repeat.  Terms are weighted by 1 + log(count) and by th
 rarity in the labelled sample, and a truncated SVD of the sample gives the latent space.
 The sample's vectors and the projection are sent to the tasks (their size is fixed by the
 parameters); every document is compared with every sample vector in blocks of a matrix
-product, and its nearest neighbours vote with their similarity.
+product, and its nearest neighbours vote with their similarity and the weight of their
+class, as the sample holds both classes alike.
 
 Defined cases: a text without any term (null, empty) gets the share of label 1 in the
 sample; so does a document to which no neighbour is similar.  Without labelled rows the
@@ -47,6 +48,7 @@ class Space:
     basis: np.ndarray  # terms x dimensions
     vectors: np.ndarray  # of the sample, unit length
     labels: np.ndarray
+    votes: np.ndarray  # what a neighbour counts, besides its similarity
     share: float
 
 
@@ -92,8 +94,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
-def fit(rows: list[tuple[int, str, int]], dimensions: int = DIMENSIONS) -> Space | None:
-    """Space and labelled vectors from (id, text, label) rows; None without rows."""
+def fit(rows: list[tuple[int, str, int]], shares: dict[int, float] | None = None, dimensions: int = DIMENSIONS) -> Space | None:
+    """Space and labelled vectors from (id, text, label) rows; None without rows.
+
+    ``shares`` has the share of each class among all labels: neighbours of a class that the
+    sample holds too often count for less.
+    """
     if not rows:
         return None
     parts = []
@@ -111,7 +117,11 @@ def fit(rows: list[tuple[int, str, int]], dimensions: int = DIMENSIONS) -> Space
     _, _, axes = np.linalg.svd(matrix @ found, full_matrices=False)
     basis = (found @ axes[:dimensions].T).astype(np.float32)
     labels = np.array([r[2] for r in rows], np.float32)
-    return Space(weight, basis, _unit(matrix @ basis), labels, float(labels.mean()))
+    votes = np.ones(len(rows))
+    if shares:
+        for c in (0, 1):
+            votes[labels == c] = shares[c] / max(1e-9, float((labels == c).mean()))
+    return Space(weight, basis, _unit(matrix @ basis), labels, votes, float(labels.mean()))
 
 
 def vote(space: Space, data: np.ndarray, offsets: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -123,7 +133,7 @@ def vote(space: Space, data: np.ndarray, offsets: np.ndarray, neighbours: int =
         counts = term_counts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         near = _unit(_weighted(counts, space.weight) @ space.basis) @ space.vectors.T
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        alike = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4
+        alike = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4 * space.votes[top]
         total = alike.sum(1)
         out[at:to] = np.divide((alike * space.labels[top]).sum(1), total, out=out[at:to].copy(), where=total > 0)
     return np.clip(out, 0.0, 1.0)
@@ -140,7 +150,8 @@ def _score(space: Space | None):
 
 def classify(docs: DataFrame, training: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", learn_where=None, rows: int = ROWS_PER_CLASS) -> DataFrame:
     """One row per document: key and ``score`` (0 to 1, higher: label 1 likelier)."""
-    space = fit(labelled.sample(training, labels, label, where=learn_where, rows=rows, key=key, text=text))
+    learned = labels if learn_where is None else labels.where(learn_where)
+    space = fit(labelled.sample(training, learned, label, rows=rows, key=key, text=text), labelled.shares(learned, label))
     rows_in = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows_in.schema["key"].dataType.simpleString()
     return rows_in.mapInArrow(_score(space), f"key {kind}, score double").withColumnRenamed("key", key)
@@ -152,7 +163,7 @@ def keep(docs: DataFrame, training: DataFrame, labels: DataFrame, key: str = "do
     A text too short to have terms of its own is not rejected by a vote; without labelled
     rows nothing is.
     """
-    space = fit(labelled.sample(training, labels, label, rows=rows, key=key, text=text))
+    space = fit(labelled.sample(training, labels, label, rows=rows, key=key, text=text), labelled.shares(labels, label))
     if space is None:
         return docs
     space.share = 1.0
