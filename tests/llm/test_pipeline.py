@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def kept_by_hand(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     training, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    space = quality_knn.fit(labelled.sample(training, labels, "quality", rows=quality_knn.ROWS_PER_CLASS))
+    space = quality_knn.fit(labelled.sample(training, labels, "quality", rows=quality_knn.ROWS_PER_CLASS), labelled.shares(labels, "quality"))
     space.share = 1.0
     model = quality_rules.fit(labelled.sample(training, labels, "quality"), labelled.shares(labels, "quality"))
     kept = []
