@@ -38,8 +38,10 @@ VOCABULARY = 1 << 15
 KNOWN_PAIRS = 1 << 17
 #: Weight of the unigrams in a pair's probability, in tokens.
 SMOOTHING = 50.0
-#: Entries a task holds before it sends them.
+#: Entries a task holds before it adds them up and sends them, and those of asked pairs, which
+#: are written to a table: its rows, and so its pages, stay small.
 HELD = 1 << 20
+HELD_ASKED = 1 << 18
 
 _UNKNOWN, _START, _SHIFT = 0, 1, np.uint64(15)
 _UNIGRAM = np.uint64(VOCABULARY)  # as the first of a pair: the word by itself
@@ -117,7 +119,7 @@ def _most_frequent(keep: int):
 
 def vocabulary(docs: DataFrame, text: str, bits: int, size: int = VOCABULARY) -> np.ndarray:
     """Hashes of the most frequent words, sorted."""
-    partial = cut_lineage(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_partial(lambda d, o: _word_hashes(d, o)[0], bits, False, np.uint64), _COUNT_FIELDS))
+    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_partial(lambda d, o: _word_hashes(d, o)[0], bits, False, np.uint64), _COUNT_FIELDS)
     # hashing spreads frequent words over the buckets; four times a bucket's share is enough for it
     keep = max(64, 4 * size >> bits)
     top = partial.groupBy("bucket").applyInArrow(_most_frequent(keep), "hash bigint, n bigint").orderBy(F.col("n").desc(), "hash").limit(size - 2)
@@ -246,7 +248,7 @@ def _ask(model: Model, known: np.ndarray, bits: int):
             yield _packed([[-1, 0, b"", b"", b"", *(x.tobytes() for x in own)]], _ASKED)
             held.append((pairs[~hit], docs[of[~hit]], counts[~hit].astype(np.int64)))
             n += len(held[-1][0])
-            if n >= HELD:
+            if n >= HELD_ASKED:
                 yield flush()
                 held, n = [], 0
         if n:
