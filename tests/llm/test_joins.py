@@ -181,6 +181,7 @@ def bigram_losses(texts, target, smoothing):
 def test_lm_scores_equal_brute_force(spark, frame, odd_texts, monkeypatch, known_pairs):
     monkeypatch.setattr(lm_score, "KNOWN_PAIRS", known_pairs)
     monkeypatch.setattr(lm_score, "HELD", 300)
+    monkeypatch.setattr(lm_score, "HELD_ASKED", 200)
     texts = near_copies(3, 90) + odd_texts
     target = [i for i in range(len(texts)) if i % 3 == 0]
     docs = frame(texts).repartition(4)
