@@ -20,6 +20,7 @@ packed each on its own.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -39,6 +40,10 @@ SEGMENTS = 64
 #: Examples in the pool of a task.
 POOL = 512
 CLOSING_ID = 0
+#: White space in a row, in characters, from which a run is cut out by hand: the pattern's engine gives up at a million.
+LONG_SPACE = 1 << 19
+
+_SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 @dataclass(frozen=True)
@@ -149,8 +154,20 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    encoding, spaces = (tiktoken.Encoding("byte_bpe", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, r"\s+"))
+
+    def encode(text: str) -> np.ndarray:
+        """A long run is a piece of its own, up to its last character if something follows."""
+        parts, at = [], 0
+        for run in _SPACES.finditer(text) if len(text) >= LONG_SPACE else ():
+            if run.end() - run.start() >= LONG_SPACE:
+                end = run.end() - (run.end() < len(text))
+                parts += [encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), spaces.encode_to_numpy(text[run.start() : end], disallowed_special=())]
+                at = end
+        parts.append(encoding.encode_to_numpy(text[at:] if at else text, disallowed_special=()))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    return encode
 
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint"

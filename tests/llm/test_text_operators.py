@@ -292,3 +292,28 @@ def test_packing_query(spark, frame, odd_texts):
         n = sum(x[1] for x in parts)
         assert n & (n - 1) == 0  # no padding at all
     assert packing.pack_texts(frame([]), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    """The operator's encoder and the library's, for the same vocabulary."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    return packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), lambda t: library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000"])
+def test_very_long_white_space(encoders, space):
+    own, library = encoders
+    for text in (f"a{space * 1_000_100}b c", f"{space * 1_000_100} !", f"a  b\n{space * 1_000_100}"):
+        assert own(text).tolist() == library(text)
+
+
+@pytest.mark.parametrize("long", [1, 2, 3, 7])
+def test_cut_out_white_space(encoders, monkeypatch, long):
+    own, library = encoders
+    monkeypatch.setattr(packing, "LONG_SPACE", long)
+    rng = np.random.default_rng(long)
+    for _ in range(400):
+        text = "".join(rng.choice(list("a1!' \n\t\x0b\x1c\x85\xa0\u2003\u180e\u200b\u3000 é漢"), 40))
+        assert own(text).tolist() == library(text)
