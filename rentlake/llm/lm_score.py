@@ -1,8 +1,7 @@
 """Cross-entropy difference: how much better a target model predicts a text than a background model.
 
 Both are bigram models of the same form (Dirichlet smoothing towards their own unigrams) over one
-shared vocabulary: the most frequent words of all documents, one entry for all others and
-one for the start of a text.  The background is counted over all documents, the target
+shared vocabulary: all words of all documents, by 64-bit hash, and one entry for the start of a text.  The background is counted over all documents, the target
 over the documents that are labelled as such; to match in size, background counts are
 scaled to the target's number of tokens instead of taking a sample.  A document's own words
 are part of the models it belongs to.
@@ -13,6 +12,11 @@ of the vocabulary, go to all tasks; texts are scored against these on the spot.
 other pairs are dealt to the bucket that knows them, added up there for each document (and sent
 back with 24 bits), and added to the rest.  A frequent pair thus never meets in one place.
 
+The most frequent words have numbers that go to all tasks; the rest are rare, and no task holds them all.
+A pair with a rare second word is dealt by that word, whose bucket thus knows its single count
+as well; one with a rare first word alone, by that.  What a rare word costs as the first of the next pair is charged where
+it is the second, and given back (by an entry for the word alone) where it ends a text.
+
 Defined cases: words are runs of other than ASCII white space, A to Z lower-cased; a text without
 words has 0 tokens and losses of 0; without target documents both models see the same
 counts of nothing in the target, which is its smoothing alone; rows that repeat an id are
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 from rentlake.llm.textbatch import LOWER, byte_prefix, column, mix, owners, slices, span_hash, words
 from rentlake.session import cut_lineage
 
-#: Entries of the vocabulary: 0 for other words, 1 for the start of a text.
+#: Entries with a number: 0 for rare words, 1 for the start of a text.  Also the fewest entries that unigrams are smoothed over.
 VOCABULARY = 1 << 15
+#: Numbered words and the two other entries; only speed depends on it.
+NUMBERED = VOCABULARY
 #: Pairs every task knows.
 KNOWN_PAIRS = 1 << 17
 #: Weight of the unigrams in a pair's probability, in tokens.
@@ -45,9 +51,10 @@ HELD_ASKED = 1 << 18
 
 _UNKNOWN, _START, _SHIFT = 0, 1, np.uint64(15)
 _UNIGRAM = np.uint64(VOCABULARY)  # as the first of a pair: the word by itself
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
-_COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
-_COUNT_FIELDS = "bucket int, target boolean, keys binary, counts binary"
+_COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()), ("seconds", pa.binary())])
+_COUNT_FIELDS = "bucket int, target boolean, keys binary, counts binary, seconds binary"
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -82,7 +89,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return span_hash(byte_prefix(low), starts, ends), bounds
 
 
-def _partial(keys_of, bits: int, target: bool, kind: type = np.uint32):
+def _partial(keys_of, bits: int, target: bool):
     """Keys of the texts, added up by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +99,8 @@ def _partial(keys_of, bits: int, target: bool, kind: type = np.uint32):
         def flush() -> pa.RecordBatch:
             keys, counts = _added(*(np.concatenate(x) for x in zip(*held)))
             # a count beyond 32 bits can't come from a task's share
-            parts = _by_bucket(_bucket_of(keys, bits), keys.astype(kind), counts.astype(np.uint32))
-            return _packed([[b, target, *(x.tobytes() for x in own)] for b, own in parts], _COUNTS)
+            parts = _by_bucket(_bucket_of(keys, bits), keys, counts.astype(np.uint32))
+            return _packed([[b, target, *(x.tobytes() for x in own), b""] for b, own in parts], _COUNTS)
 
         for _, data, offsets in slices(batches):
             keys = keys_of(data, offsets)
@@ -119,7 +126,7 @@ def _most_frequent(keep: int):
 
 def vocabulary(docs: DataFrame, text: str, bits: int, size: int = VOCABULARY) -> np.ndarray:
     """Hashes of the most frequent words, sorted."""
-    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_partial(lambda d, o: _word_hashes(d, o)[0], bits, False, np.uint64), _COUNT_FIELDS)
+    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_partial(lambda d, o: _word_hashes(d, o)[0], bits, False), _COUNT_FIELDS)
     # hashing spreads frequent words over the buckets; four times a bucket's share is enough for it
     keep = max(64, 4 * size >> bits)
     top = partial.groupBy("bucket").applyInArrow(_most_frequent(keep), "hash bigint, n bigint").orderBy(F.col("n").desc(), "hash").limit(size - 2)
@@ -133,31 +140,118 @@ def _ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at + 2, _UNKNOWN).astype(np.uint64)
 
 
-def _pairs(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each word with the one before it, the first with the start."""
-    before = np.empty(len(ids), np.uint64)
-    before[1:] = ids[:-1]
-    before[bounds[:-1][np.diff(bounds) > 0]] = _START
-    return before << _SHIFT | ids
+class _Tokens:
+    """Words of texts with the ones before them, as numbers (0 if rare) and as 64-bit symbols (the number, or else the hash)."""
+
+    def __init__(self, known: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+        hashes, self.bounds = _word_hashes(data, offsets)
+        self.ids = _ids(known, hashes)
+        self.symbols = np.where(self.ids == _UNKNOWN, hashes, self.ids)
+        some = np.diff(self.bounds) > 0
+        firsts, self.lasts = self.bounds[:-1][some], self.bounds[1:][some] - 1
+        self.before, self.before_symbols = (self._shifted(x, firsts) for x in (self.ids, self.symbols))
+        self.rare = (self.ids == _UNKNOWN) | (self.before == _UNKNOWN)
+
+    @staticmethod
+    def _shifted(x: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[firsts] = _START
+        return out
+
+    def numbered_pairs(self) -> np.ndarray:
+        return (self.before << _SHIFT | self.ids)[~self.rare]
+
+    def rare_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, the symbols of the second words, and the hashes they are dealt by."""
+        before, word = self.before_symbols[self.rare], self.symbols[self.rare]
+        return mix(mix(before) * _FACTOR + mix(word + _FACTOR)), word, np.where(self.ids[self.rare] == _UNKNOWN, word, before)
+
+
+def _pair_counts(known: np.ndarray, bits: int, target: bool):
+    """Pairs and single words of the texts, added up by task; those with rare words in buckets from 2 ** bits on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held_rare: list[tuple[np.ndarray, ...]] = []
+        n = n_rare = 0
 
-def _pair_keys(known: np.ndarray):
-    def run(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        hashes, bounds = _word_hashes(data, offsets)
-        ids = _ids(known, hashes)
-        texts = np.full(int((np.diff(bounds) > 0).sum()), _START, np.uint64)
-        return np.concatenate([_pairs(ids, bounds), _UNIGRAM << _SHIFT | ids, _UNIGRAM << _SHIFT | texts])
+        def flush() -> pa.RecordBatch:
+            keys, counts = _added(*(np.concatenate(x) for x in zip(*held)))
+            # a count beyond 32 bits can't come from a task's share
+            parts = _by_bucket(_bucket_of(keys, bits), keys.astype(np.uint32), counts.astype(np.uint32))
+            return _packed([[b, target, *(x.tobytes() for x in own), b""] for b, own in parts], _COUNTS)
+
+        def flush_rare() -> pa.RecordBatch:
+            keys, words, by, counts = (np.concatenate(x) for x in zip(*held_rare))
+            keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            counts = np.bincount(at, counts, len(keys)).astype(np.uint32)
+            parts = _by_bucket(_bucket_of(by[first], bits) + (1 << bits), keys, counts, words[first])
+            return _packed([[b, target, *(x.tobytes() for x in own)] for b, own in parts], _COUNTS)
+
+        for _, data, offsets in slices(batches):
+            tokens = _Tokens(known, data, offsets)
+            texts = np.full(len(tokens.lasts), _START, np.uint64)
+            keys = np.concatenate([tokens.numbered_pairs(), _UNIGRAM << _SHIFT | tokens.ids[tokens.ids != _UNKNOWN], _UNIGRAM << _SHIFT | texts])
+            held.append(_added(keys, np.ones(len(keys))))
+            n += len(held[-1][0])
+            if n >= HELD:
+                yield flush()
+                held, n = [], 0
+            # a rare word by itself has its hash as key
+            single = tokens.symbols[tokens.ids == _UNKNOWN]
+            keys, words, by = (np.concatenate([x, single]) for x in tokens.rare_pairs())
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            held_rare.append((keys, words[first], by[first], counts))
+            n_rare += len(keys)
+            if n_rare >= HELD:
+                yield flush_rare()
+                held_rare, n_rare = [], 0
+        if n:
+            yield flush()
+        if n_rare:
+            yield flush_rare()
 
     return run
 
 
-_MODEL_FIELDS = "bucket int, keys binary, background binary, target binary, top binary, top_background binary, top_target binary, words binary, words_background binary, words_target binary"
+_MODEL_FIELDS = (
+    "bucket int, keys binary, background binary, target binary, numbers binary, second_background binary, second_target binary, top binary, top_background binary, top_target binary, "
+    "words binary, words_background binary, words_target binary, distinct binary"
+)
+
 
+def _model_row(bucket: int, columns: list[np.ndarray]) -> pa.Table:
+    row = [bucket, *(c.tobytes() for c in columns)]
+    return pa.table({f.split()[0]: pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, (f, v) in enumerate(zip(_MODEL_FIELDS.split(", "), row, strict=True))})
 
-def _count(keep: int):
+
+def _count_rare(table: pa.Table) -> pa.Table:
+    """Counts of the entries with rare words, each with the number of its second word, or else that word's own counts."""
+    keys, counts, words = (_read(table, c, k) for c, k in (("keys", np.uint64), ("counts", np.uint32), ("seconds", np.uint64)))
+    target = np.repeat(np.array(table.column("target").to_pylist(), bool), [len(x.as_buffer()) // 8 for x in table.column("keys")])
+    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    words = words[first]
+    counts = [np.bincount(at, counts * side, len(keys)).astype(np.int64) for side in (~target, target)]
+    single = np.flatnonzero(keys == words)
+    numbered = words < VOCABULARY
+    of = np.searchsorted(keys[single], words[~numbered])
+    seconds = [np.zeros(len(keys), np.int64) for _ in counts]
+    for second, n in zip(seconds, counts):
+        second[~numbered] = n[single][of]
+    numbers = np.where(numbered, words, 0).astype(np.uint16)
+    numbers[single] = _START  # which is never a second word: marks a word by itself
+    none, all_rare = np.zeros(0, np.int64), (_UNIGRAM << _SHIFT | np.uint64(_UNKNOWN)).astype(np.uint32)
+    sums = [n[single].sum(keepdims=True) for n in counts]
+    return _model_row(table.column("bucket")[0].as_py(), [keys, *counts, numbers, *seconds, none, none, none, all_rare, *sums, np.array([len(single)])])
+
+
+def _count(keep: int, bits: int):
     """A bucket's counts, and apart from them its most frequent pairs and its single words."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= 1 << bits:
+            return _count_rare(table)
         sides = [table.filter(pa.array([t == side for t in table.column("target").to_pylist()], pa.bool_())) for side in (False, True)]
         counts = [_read(t, "counts", np.uint32) for t in sides]
         none = [np.zeros(len(c)) for c in counts]
@@ -167,10 +261,9 @@ def _count(keep: int):
         pairs = ~single
         top = np.zeros(len(keys), bool)
         top[np.flatnonzero(pairs)[np.lexsort((keys[pairs], -background[pairs]))[:keep]]] = True
-        row = [table.column("bucket")[0].as_py()]
-        for part in (pairs & ~top, top, single):
-            row += [keys[part].astype(np.uint32).tobytes(), background[part].tobytes(), target[part].tobytes()]
-        return pa.table({f.split()[0]: pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, (f, v) in enumerate(zip(_MODEL_FIELDS.split(", "), row))})
+        parts = [[keys[x].astype(np.uint32), background[x], target[x]] for x in (pairs & ~top, top, single)]
+        none = np.zeros(0, np.int64)
+        return _model_row(table.column("bucket")[0].as_py(), [*parts[0], none, none, none, *parts[1], *parts[2], none])
 
     return run
 
@@ -185,16 +278,19 @@ class Model:
         self.context, self.share = [], []
         for side in ("background", "target"):
             n = np.zeros(VOCABULARY)
-            n[word] = get(f"words_{side}", np.int64)
+            np.add.at(n, word, get(f"words_{side}", np.int64))
             self.context.append(n)
         tokens = [n.sum() - n[_START] for n in self.context]
         # matched: the background counts as if its corpus had the target's size
         self.scale = [tokens[1] / tokens[0] if tokens[1] else 1.0, 1.0]
+        self.total = []
+        entries = max(VOCABULARY, 2 + len(np.setdiff1d(word, [_UNKNOWN, _START])) + int(get("distinct", np.int64).sum()))
         for side in (0, 1):
             self.context[side] = n = self.context[side] * self.scale[side]
             own = n.copy()
             own[_START] = 0
-            self.share.append((own + 1) / (own.sum() + VOCABULARY))
+            self.total.append(own.sum() + entries)
+            self.share.append((own + 1) / self.total[side])
         keys = get("top", np.uint32).astype(np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -207,6 +303,19 @@ class Model:
         sides = zip((background, target), self.scale, self.context, self.share)
         return [-np.log((n * scale + m * share[word]) / (context[before] + m)) for n, scale, context, share in sides]
 
+    def first_costs(self, ids: np.ndarray) -> list[np.ndarray]:
+        """The part of a pair's losses that its first word alone decides, for numbered ones."""
+        return [np.log(context + self.smoothing)[ids.astype(np.int64)] for context in self.context]
+
+    def rare_losses(self, counts: list[np.ndarray], numbers: np.ndarray, seconds: list[np.ndarray]) -> list[np.ndarray]:
+        """Losses of pairs less their first word's part, with the part of a rare second word as the first of the next; of a single word, that part back."""
+        m, out, single, rare = self.smoothing, [], numbers == _START, numbers <= _START
+        for n, second, scale, total, share in zip(counts, seconds, self.scale, self.total, self.share):
+            word = np.where(rare, (second * scale + 1) / total, share[numbers])
+            onward = np.where(rare, np.log(second * scale + m), 0.0)
+            out.append(np.where(single, -onward, onward - np.log(n * scale + m * word)))
+        return out
+
 
 _ASKED = pa.schema([
     ("bucket", pa.int32()), ("first", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()),
@@ -223,17 +332,22 @@ def _ask(model: Model, known: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         held: list[tuple[np.ndarray, ...]] = []
+        held_rare: list[tuple[np.ndarray, ...]] = []
         n = done = 0
 
         def flush() -> pa.RecordBatch:
-            keys, docs, counts = (np.concatenate(x) for x in zip(*held))
-            base = int(docs[0]) if len(docs) else 0
-            parts = _by_bucket(_bucket_of(keys, bits), keys.astype(np.uint32), (docs - base).astype(np.uint32), counts.astype(np.uint32))
-            return _packed([[b, base, *(x.tobytes() for x in own), *[b""] * 6] for b, own in parts], _ASKED)
+            rows = []
+            for part, kind, start in ((held, np.uint32, 0), (held_rare, np.uint64, 1 << bits)):
+                keys, by, docs, counts = (np.concatenate(x) for x in zip(*part))
+                base = int(docs.min()) if len(docs) else 0
+                parts = _by_bucket(_bucket_of(by, bits) + start, keys.astype(kind), (docs - base).astype(np.uint32), counts.astype(np.uint32))
+                rows += [[b, base, *(x.tobytes() for x in own), *[b""] * 6] for b, own in parts]
+            return _packed(rows, _ASKED)
 
         for rows, data, offsets in slices(batches):
-            hashes, bounds = _word_hashes(data, offsets)
-            pairs, of = _pairs(_ids(known, hashes), bounds), owners(bounds)
+            tokens = _Tokens(known, data, offsets)
+            bounds, every = tokens.bounds, owners(tokens.bounds)
+            pairs, of = tokens.numbered_pairs(), every[~tokens.rare]
             # a pair that a text repeats is looked up once: text and pair fit 64 bits
             both, counts = np.unique(of.astype(np.uint64) << np.uint64(31) | pairs, return_counts=True)
             pairs, of = both & np.uint64((1 << 31) - 1), (both >> np.uint64(31)).astype(np.int64)
@@ -244,13 +358,22 @@ def _ask(model: Model, known: np.ndarray, bits: int):
             done += rows.num_rows
             ids = column(rows, "key")
             sums = [np.bincount(of[hit], x * counts[hit], rows.num_rows) for x in (background, target)]
+            after = tokens.rare & (tokens.before != _UNKNOWN)  # a numbered word's part is known here
+            sums = [x + np.bincount(every[after], cost, rows.num_rows) for x, cost in zip(sums, model.first_costs(tokens.before[after]))]
             own = (docs, np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.uint8), np.diff(bounds).astype(np.int64), *sums)
             yield _packed([[-1, 0, b"", b"", b"", *(x.tobytes() for x in own)]], _ASKED)
-            held.append((pairs[~hit], docs[of[~hit]], counts[~hit].astype(np.int64)))
-            n += len(held[-1][0])
+            held.append((pairs[~hit], pairs[~hit], docs[of[~hit]], counts[~hit].astype(np.int64)))
+            ends = tokens.lasts[tokens.ids[tokens.lasts] == _UNKNOWN]
+            keys, _, by = (np.concatenate([x, tokens.symbols[ends]]) for x in tokens.rare_pairs())
+            of = np.concatenate([every[tokens.rare], every[ends]])
+            order = np.lexsort((keys, of))
+            keys, by, of = keys[order], by[order], of[order]
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            held_rare.append((keys[new], by[new], docs[of[new]], np.diff(np.append(new, len(keys)))))
+            n += len(held[-1][0]) + len(new)
             if n >= HELD_ASKED:
                 yield flush()
-                held, n = [], 0
+                held, held_rare, n = [], [], 0
         if n:
             yield flush()
 
@@ -261,14 +384,22 @@ def _answer(model: Model, bits: int):
     """Losses of the dealt pairs, added up by text and packed by the text's own bucket."""
 
     def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        keys, counts = _read(asked, "keys", np.uint32).astype(np.uint64), _read(asked, "counts", np.uint32)
-        if not len(keys):
+        if not asked.num_rows:
             return pa.Table.from_batches([_packed([], _SUMS)], _SUMS)
+        rare = asked.column("bucket")[0].as_py() >= 1 << bits
+        kind = np.uint64 if rare else np.uint32
+        keys, counts = _read(asked, "keys", kind).astype(np.uint64), _read(asked, "counts", np.uint32)
         places = _read(asked, "places", np.uint32).astype(np.int64)
         docs = places + np.repeat(np.asarray(asked.column("first"), np.int64), [len(x.as_buffer()) // 4 for x in asked.column("places")])
-        known = _read(counted, "keys", np.uint32).astype(np.uint64)
+        known = _read(counted, "keys", kind).astype(np.uint64)
         at = np.searchsorted(known, keys)  # every pair asked for has been counted
-        losses = model.losses(keys, *(_read(counted, side, np.int64)[at] for side in ("background", "target")))
+        own = [_read(counted, side, np.int64) for side in ("background", "target")]
+        if rare:
+            numbers, seconds = _read(counted, "numbers", np.uint16), [_read(counted, f"second_{side}", np.int64) for side in ("background", "target")]
+            # once for each known entry, as many texts ask for it
+            losses = [x[at] for x in model.rare_losses(own, numbers, seconds)]
+        else:
+            losses = model.losses(keys, *(n[at] for n in own))
         found, of = np.unique(docs, return_inverse=True)
         sums = [np.bincount(of, x * counts, len(found)).astype(np.float32) for x in losses]
         rows = [[b, own[0].tobytes(), b"", b"", b"", own[1].tobytes(), own[2].tobytes()] for b, own in _by_bucket(_bucket_of(found.view(np.uint64), bits), found, *sums)]
@@ -313,17 +444,17 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     wanted = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (wanted - 1).bit_length())
     texts = lambda rows: rows.select(F.col(text).cast("string").alias("text"))
-    known = vocabulary(docs, text, bits)
-    keys = _pair_keys(known)
-    partial = texts(docs).mapInArrow(_partial(keys, bits, False), _COUNT_FIELDS).unionAll(texts(target).mapInArrow(_partial(keys, bits, True), _COUNT_FIELDS))
-    counted = cut_lineage(partial.groupBy("bucket").applyInArrow(_count(max(1, KNOWN_PAIRS >> bits)), _MODEL_FIELDS))
-    small = [f.split()[0] for f in _MODEL_FIELDS.split(", ")[4:]]
+    known = vocabulary(docs, text, bits, NUMBERED)
+    partial = texts(docs).mapInArrow(_pair_counts(known, bits, False), _COUNT_FIELDS).unionAll(texts(target).mapInArrow(_pair_counts(known, bits, True), _COUNT_FIELDS))
+    counted = cut_lineage(partial.groupBy("bucket").applyInArrow(_count(max(1, KNOWN_PAIRS >> bits), bits), _MODEL_FIELDS))
+    columns = [f.split()[0] for f in _MODEL_FIELDS.split(", ")]
+    small = columns[7:]
     model = Model(counted.select(*small).collect(), smoothing)  # bounded: KNOWN_PAIRS and VOCABULARY entries
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     asked = cut_lineage(rows.mapInArrow(_ask(model, known, bits), _ASKED_FIELDS))
     names = [f.name for f in _SUMS]
     told = asked.where("bucket = -1").select(*names).mapInArrow(_own_buckets(bits), _SUM_FIELDS)
-    counted = counted.select("bucket", "keys", "background", "target")
+    counted = counted.select(*columns[:7])
     answered = asked.where("bucket >= 0").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_answer(model, bits), _SUM_FIELDS)
     out = told.unionAll(answered).groupBy("bucket").applyInArrow(_total, "id bigint, n_tokens bigint, target_loss double, background_loss double")
     return out.select(F.col("id").alias(key), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -194,6 +194,34 @@ def test_lm_scores_equal_brute_force(spark, frame, odd_texts, monkeypatch, known
         assert got["score"] == pytest.approx(target_loss - background_loss, abs=1e-5)
 
 
+@pytest.mark.parametrize("numbered", [2, 12, 40])
+def test_rare_words_are_scored_exactly(spark, frame, odd_texts, monkeypatch, numbered):
+    monkeypatch.setattr(lm_score, "NUMBERED", numbered)
+    monkeypatch.setattr(lm_score, "KNOWN_PAIRS", 16)
+    monkeypatch.setattr(lm_score, "HELD", 300)
+    monkeypatch.setattr(lm_score, "HELD_ASKED", 200)
+    texts = near_copies(4, 60) + odd_texts + ["once", "only here once more"]
+    rows = lm_score.score(frame(texts).repartition(4), frame(texts).where("doc_id % 3 = 0")).collect()
+    want = bigram_losses(texts, {i for i in range(len(texts)) if i % 3 == 0}, lm_score.SMOOTHING)
+    for r in rows:
+        target_loss, background_loss, n = want[r["doc_id"]]
+        assert r["n_tokens"] == n and r["target_loss"] == pytest.approx(target_loss, abs=1e-5) and r["background_loss"] == pytest.approx(background_loss, abs=1e-5)
+
+
+def test_words_beyond_the_numbered_ones_keep_their_pairs(spark, frame):
+    """40,000 words of one text each; two rare ones follow each other only in the target."""
+    filler = [" ".join(f"f{i} f{i}" for i in range(a, a + 1000)) for a in range(0, 40_000, 1000)]
+    pair = ["zeta omega", "zeta", "omega", "omega zeta"]
+    docs = frame([*filler, *pair])
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, docs.where("doc_id = 40")).collect()}
+    n, entries, m = 80_006, 40_000 + 2 + 2, lm_score.SMOOTHING
+    scale = 2 / n  # the background has the target's size
+    share = (3 * scale + 1) / (2 + entries)
+    want = -(math.log((2 * scale + m * share) / (44 * scale + m)) + math.log((1 * scale + m * share) / (3 * scale + m))) / 2
+    assert rows[40]["background_loss"] == pytest.approx(want, abs=1e-5)
+    assert rows[40]["score"] < rows[43]["score"]
+
+
 def test_lm_scores_small_vocabulary_and_no_target(spark, frame):
     docs = frame(["a a a b b c", "a b", None, ""])
     known = lm_score.vocabulary(docs, "text", 2, size=4)
