@@ -13,7 +13,7 @@ other pairs are dealt to the bucket that knows them, added up there for each doc
 back with 24 bits), and added to the rest.  A frequent pair thus never meets in one place.
 
 The most frequent words have numbers that go to all tasks; the rest are rare, and no task holds them all.
-A pair with a rare second word is dealt by that word, whose bucket thus knows its single count
+A pair with a rare second word is dealt by that word, whose bucket thus knows its own count, the sum of its pairs,
 as well; one with a rare first word alone, by that.  What a rare word costs as the first of the next pair is charged where
 it is the second, and given back (by an entry for the word alone) where it ends a text.
 
@@ -52,9 +52,11 @@ HELD_ASKED = 1 << 18
 _UNKNOWN, _START, _SHIFT = 0, 1, np.uint64(15)
 _UNIGRAM = np.uint64(VOCABULARY)  # as the first of a pair: the word by itself
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
+#: Set in the number of a second word; alone, it stands for a rare word by itself.
+_SECOND, _NUMBERS = np.uint64(VOCABULARY), np.uint64(2 * VOCABULARY)
 
-_COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()), ("seconds", pa.binary())])
-_COUNT_FIELDS = "bucket int, target boolean, keys binary, counts binary, seconds binary"
+_COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+_COUNT_FIELDS = "bucket int, target boolean, keys binary, counts binary"
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -100,7 +102,7 @@ def _partial(keys_of, bits: int, target: bool):
             keys, counts = _added(*(np.concatenate(x) for x in zip(*held)))
             # a count beyond 32 bits can't come from a task's share
             parts = _by_bucket(_bucket_of(keys, bits), keys, counts.astype(np.uint32))
-            return _packed([[b, target, *(x.tobytes() for x in own), b""] for b, own in parts], _COUNTS)
+            return _packed([[b, target, *(x.tobytes() for x in own)] for b, own in parts], _COUNTS)
 
         for _, data, offsets in slices(batches):
             keys = keys_of(data, offsets)
@@ -162,10 +164,37 @@ class _Tokens:
     def numbered_pairs(self) -> np.ndarray:
         return (self.before << _SHIFT | self.ids)[~self.rare]
 
-    def rare_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, the symbols of the second words, and the hashes they are dealt by."""
+    def rare_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hash each is dealt by, and the other word: a rare first word's hash, a first word's number, or a second word's with a bit."""
         before, word = self.before_symbols[self.rare], self.symbols[self.rare]
-        return mix(mix(before) * _FACTOR + mix(word + _FACTOR)), word, np.where(self.ids[self.rare] == _UNKNOWN, word, before)
+        first_alone = self.ids[self.rare] != _UNKNOWN
+        return np.where(first_alone, before, word), np.where(first_alone, word | _SECOND, before)
+
+
+def _rare_key(by: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return mix(mix(by) * _FACTOR + mix(other + _FACTOR))
+
+
+def _rare_blob(by: np.ndarray, other: np.ndarray) -> bytes:
+    """Entries in the order of ``by``; each of its runs is stored once, a number in 16 bits."""
+    change = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    long = other >= _NUMBERS
+    runs = np.diff(np.append(change, len(by))).astype(np.uint32)
+    parts = (np.array([len(change), len(by)]), by[change], runs, np.where(long, np.uint64(0), other).astype(np.uint16), other[long])
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _rare_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for x in table.column("keys"):
+        blob = x.as_buffer()
+        runs, n = np.frombuffer(blob, np.int64, 2).tolist()
+        by, counts = np.frombuffer(blob, np.uint64, runs, 16), np.frombuffer(blob, np.uint32, runs, 16 + 8 * runs)
+        other = np.frombuffer(blob, np.uint16, n, 16 + 12 * runs).astype(np.uint64)
+        long = other == 0
+        other[long] = np.frombuffer(blob, np.uint64, int(long.sum()), 16 + 12 * runs + 2 * n) if long.any() else 0
+        out.append((np.repeat(by, counts), other))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _pair_counts(known: np.ndarray, bits: int, target: bool):
@@ -180,14 +209,16 @@ def _pair_counts(known: np.ndarray, bits: int, target: bool):
             keys, counts = _added(*(np.concatenate(x) for x in zip(*held)))
             # a count beyond 32 bits can't come from a task's share
             parts = _by_bucket(_bucket_of(keys, bits), keys.astype(np.uint32), counts.astype(np.uint32))
-            return _packed([[b, target, *(x.tobytes() for x in own), b""] for b, own in parts], _COUNTS)
+            return _packed([[b, target, *(x.tobytes() for x in own)] for b, own in parts], _COUNTS)
 
         def flush_rare() -> pa.RecordBatch:
-            keys, words, by, counts = (np.concatenate(x) for x in zip(*held_rare))
-            keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-            counts = np.bincount(at, counts, len(keys)).astype(np.uint32)
-            parts = _by_bucket(_bucket_of(by[first], bits) + (1 << bits), keys, counts, words[first])
-            return _packed([[b, target, *(x.tobytes() for x in own)] for b, own in parts], _COUNTS)
+            by, other, counts = (np.concatenate(x) for x in zip(*held_rare))
+            _, first, at = np.unique(_rare_key(by, other), return_index=True, return_inverse=True)
+            counts = np.bincount(at, counts, len(first)).astype(np.uint32)
+            order = np.lexsort((other[first], by[first]))
+            by, other, counts = by[first][order], other[first][order], counts[order]
+            parts = _by_bucket(_bucket_of(by, bits) + (1 << bits), by, other, counts)
+            return _packed([[b, target, _rare_blob(*own[:2]), own[2].tobytes()] for b, own in parts], _COUNTS)
 
         for _, data, offsets in slices(batches):
             tokens = _Tokens(known, data, offsets)
@@ -198,13 +229,11 @@ def _pair_counts(known: np.ndarray, bits: int, target: bool):
             if n >= HELD:
                 yield flush()
                 held, n = [], 0
-            # a rare word by itself has its hash as key
-            single = tokens.symbols[tokens.ids == _UNKNOWN]
-            keys, words, by = (np.concatenate([x, single]) for x in tokens.rare_pairs())
-            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            held_rare.append((keys, words[first], by[first], counts))
-            n_rare += len(keys)
-            if n_rare >= HELD:
+            by, other = tokens.rare_pairs()
+            _, first, counts = np.unique(_rare_key(by, other), return_index=True, return_counts=True)
+            held_rare.append((by[first], other[first], counts))
+            n_rare += len(first)
+            if n_rare >= HELD >> 1:  # an entry takes two words
                 yield flush_rare()
                 held_rare, n_rare = [], 0
         if n:
@@ -216,34 +245,35 @@ def _pair_counts(known: np.ndarray, bits: int, target: bool):
 
 
 _MODEL_FIELDS = (
-    "bucket int, keys binary, background binary, target binary, numbers binary, second_background binary, second_target binary, top binary, top_background binary, top_target binary, "
+    "bucket int, keys binary, background binary, target binary, top binary, top_background binary, top_target binary, "
     "words binary, words_background binary, words_target binary, distinct binary"
 )
 
 
-def _model_row(bucket: int, columns: list[np.ndarray]) -> pa.Table:
-    row = [bucket, *(c.tobytes() for c in columns)]
+def _model_row(bucket: int, columns: list) -> pa.Table:
+    row = [bucket, *(c if isinstance(c, bytes) else c.tobytes() for c in columns)]
     return pa.table({f.split()[0]: pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, (f, v) in enumerate(zip(_MODEL_FIELDS.split(", "), row, strict=True))})
 
 
+def _second_counts(by: np.ndarray, other: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rare words, where each entry's hash is among them, and how often they occur: always as the second of a pair."""
+    words, at = np.unique(by, return_inverse=True)
+    second = (other < _SECOND) | (other >= _NUMBERS)
+    return words, at, [np.bincount(at, n * second, len(words)) for n in counts]
+
+
 def _count_rare(table: pa.Table) -> pa.Table:
-    """Counts of the entries with rare words, each with the number of its second word, or else that word's own counts."""
-    keys, counts, words = (_read(table, c, k) for c, k in (("keys", np.uint64), ("counts", np.uint32), ("seconds", np.uint64)))
-    target = np.repeat(np.array(table.column("target").to_pylist(), bool), [len(x.as_buffer()) // 8 for x in table.column("keys")])
-    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    words = words[first]
-    counts = [np.bincount(at, counts * side, len(keys)).astype(np.int64) for side in (~target, target)]
-    single = np.flatnonzero(keys == words)
-    numbered = words < VOCABULARY
-    of = np.searchsorted(keys[single], words[~numbered])
-    seconds = [np.zeros(len(keys), np.int64) for _ in counts]
-    for second, n in zip(seconds, counts):
-        second[~numbered] = n[single][of]
-    numbers = np.where(numbered, words, 0).astype(np.uint16)
-    numbers[single] = _START  # which is never a second word: marks a word by itself
+    """Counts of the pairs with rare words; of those words, their number and the sums of their counts."""
+    (by, other), counts = _rare_entries(table), _read(table, "counts", np.uint32)
+    target = np.repeat(np.array(table.column("target").to_pylist(), bool), [len(x.as_buffer()) // 4 for x in table.column("counts")])
+    _, first, at = np.unique(_rare_key(by, other), return_index=True, return_inverse=True)
+    counts = [np.bincount(at, counts * side, len(first)).astype(np.int64) for side in (~target, target)]
+    order = np.lexsort((other[first], by[first]))
+    by, other, counts = by[first][order], other[first][order], [n[order] for n in counts]
+    words, _, singles = _second_counts(by, other, counts)
     none, all_rare = np.zeros(0, np.int64), (_UNIGRAM << _SHIFT | np.uint64(_UNKNOWN)).astype(np.uint32)
-    sums = [n[single].sum(keepdims=True) for n in counts]
-    return _model_row(table.column("bucket")[0].as_py(), [keys, *counts, numbers, *seconds, none, none, none, all_rare, *sums, np.array([len(single)])])
+    sums = [n.sum(keepdims=True).astype(np.int64) for n in singles]
+    return _model_row(table.column("bucket")[0].as_py(), [_rare_blob(by, other), *counts, none, none, none, all_rare, *sums, np.array([len(words)])])
 
 
 def _count(keep: int, bits: int):
@@ -263,7 +293,7 @@ def _count(keep: int, bits: int):
         top[np.flatnonzero(pairs)[np.lexsort((keys[pairs], -background[pairs]))[:keep]]] = True
         parts = [[keys[x].astype(np.uint32), background[x], target[x]] for x in (pairs & ~top, top, single)]
         none = np.zeros(0, np.int64)
-        return _model_row(table.column("bucket")[0].as_py(), [*parts[0], none, none, none, *parts[1], *parts[2], none])
+        return _model_row(table.column("bucket")[0].as_py(), [*parts[0], *parts[1], *parts[2], none])
 
     return run
 
@@ -307,14 +337,22 @@ class Model:
         """The part of a pair's losses that its first word alone decides, for numbered ones."""
         return [np.log(context + self.smoothing)[ids.astype(np.int64)] for context in self.context]
 
-    def rare_losses(self, counts: list[np.ndarray], numbers: np.ndarray, seconds: list[np.ndarray]) -> list[np.ndarray]:
-        """Losses of pairs less their first word's part, with the part of a rare second word as the first of the next; of a single word, that part back."""
-        m, out, single, rare = self.smoothing, [], numbers == _START, numbers <= _START
-        for n, second, scale, total, share in zip(counts, seconds, self.scale, self.total, self.share):
-            word = np.where(rare, (second * scale + 1) / total, share[numbers])
-            onward = np.where(rare, np.log(second * scale + m), 0.0)
-            out.append(np.where(single, -onward, onward - np.log(n * scale + m * word)))
-        return out
+    def rare_losses(self, by: np.ndarray, other: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys of a bucket's pairs and of its rare words, and their losses less the first word's part.
+
+        A rare second word adds its part as the first of the next pair; a word by itself gives it back.
+        """
+        m, out = self.smoothing, []
+        words, at, singles = _second_counts(by, other, counts)
+        second = (other < _SECOND) | (other >= _NUMBERS)
+        number = np.where(second, np.uint64(0), other & (_SECOND - np.uint64(1))).astype(np.int64)
+        for n, single, scale, total, share in zip(counts, singles, self.scale, self.total, self.share):
+            onward = np.log(single * scale + m)
+            word = np.where(second, (single[at] * scale + 1) / total, share[number])
+            out.append(np.concatenate([np.where(second, onward[at], 0.0) - np.log(n * scale + m * word), -onward]))
+        keys = np.concatenate([_rare_key(by, other), _rare_key(words, np.full(len(words), _SECOND))])
+        order = np.argsort(keys)
+        return keys[order], [x[order] for x in out]
 
 
 _ASKED = pa.schema([
@@ -337,11 +375,14 @@ def _ask(model: Model, known: np.ndarray, bits: int):
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for part, kind, start in ((held, np.uint32, 0), (held_rare, np.uint64, 1 << bits)):
-                keys, by, docs, counts = (np.concatenate(x) for x in zip(*part))
+            for part, start in ((held, 0), (held_rare, 1 << bits)):
+                by, other, docs, counts = (np.concatenate(x) for x in zip(*part))
                 base = int(docs.min()) if len(docs) else 0
-                parts = _by_bucket(_bucket_of(by, bits) + start, keys.astype(kind), (docs - base).astype(np.uint32), counts.astype(np.uint32))
-                rows += [[b, base, *(x.tobytes() for x in own), *[b""] * 6] for b, own in parts]
+                if start:
+                    order = np.lexsort((docs, other, by))
+                    by, other, docs, counts = by[order], other[order], docs[order], counts[order]
+                parts = _by_bucket(_bucket_of(by, bits) + start, by, other, (docs - base).astype(np.uint32), counts.astype(np.uint32))
+                rows += [[b, base, _rare_blob(*own[:2]) if start else own[0].astype(np.uint32).tobytes(), own[2].tobytes(), own[3].tobytes(), *[b""] * 6] for b, own in parts]
             return _packed(rows, _ASKED)
 
         for rows, data, offsets in slices(batches):
@@ -364,12 +405,13 @@ def _ask(model: Model, known: np.ndarray, bits: int):
             yield _packed([[-1, 0, b"", b"", b"", *(x.tobytes() for x in own)]], _ASKED)
             held.append((pairs[~hit], pairs[~hit], docs[of[~hit]], counts[~hit].astype(np.int64)))
             ends = tokens.lasts[tokens.ids[tokens.lasts] == _UNKNOWN]
-            keys, _, by = (np.concatenate([x, tokens.symbols[ends]]) for x in tokens.rare_pairs())
+            by, other = (np.concatenate(x) for x in zip(tokens.rare_pairs(), (tokens.symbols[ends], np.full(len(ends), _SECOND))))
             of = np.concatenate([every[tokens.rare], every[ends]])
+            keys = _rare_key(by, other)
             order = np.lexsort((keys, of))
-            keys, by, of = keys[order], by[order], of[order]
+            keys, by, other, of = keys[order], by[order], other[order], of[order]
             new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            held_rare.append((keys[new], by[new], docs[of[new]], np.diff(np.append(new, len(keys)))))
+            held_rare.append((by[new], other[new], docs[of[new]], np.diff(np.append(new, len(keys)))))
             n += len(held[-1][0]) + len(new)
             if n >= HELD_ASKED:
                 yield flush()
@@ -387,19 +429,17 @@ def _answer(model: Model, bits: int):
         if not asked.num_rows:
             return pa.Table.from_batches([_packed([], _SUMS)], _SUMS)
         rare = asked.column("bucket")[0].as_py() >= 1 << bits
-        kind = np.uint64 if rare else np.uint32
-        keys, counts = _read(asked, "keys", kind).astype(np.uint64), _read(asked, "counts", np.uint32)
+        keys = _rare_key(*_rare_entries(asked)) if rare else _read(asked, "keys", np.uint32).astype(np.uint64)
+        counts = _read(asked, "counts", np.uint32)
         places = _read(asked, "places", np.uint32).astype(np.int64)
         docs = places + np.repeat(np.asarray(asked.column("first"), np.int64), [len(x.as_buffer()) // 4 for x in asked.column("places")])
-        known = _read(counted, "keys", kind).astype(np.uint64)
-        at = np.searchsorted(known, keys)  # every pair asked for has been counted
         own = [_read(counted, side, np.int64) for side in ("background", "target")]
         if rare:
-            numbers, seconds = _read(counted, "numbers", np.uint16), [_read(counted, f"second_{side}", np.int64) for side in ("background", "target")]
-            # once for each known entry, as many texts ask for it
-            losses = [x[at] for x in model.rare_losses(own, numbers, seconds)]
+            known, losses = model.rare_losses(*_rare_entries(counted), own)
         else:
-            losses = model.losses(keys, *(n[at] for n in own))
+            known = _read(counted, "keys", np.uint32).astype(np.uint64)
+        at = np.searchsorted(known, keys)  # every pair asked for has been counted
+        losses = [x[at] for x in losses] if rare else model.losses(keys, *(n[at] for n in own))
         found, of = np.unique(docs, return_inverse=True)
         sums = [np.bincount(of, x * counts, len(found)).astype(np.float32) for x in losses]
         rows = [[b, own[0].tobytes(), b"", b"", b"", own[1].tobytes(), own[2].tobytes()] for b, own in _by_bucket(_bucket_of(found.view(np.uint64), bits), found, *sums)]
@@ -448,13 +488,13 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     partial = texts(docs).mapInArrow(_pair_counts(known, bits, False), _COUNT_FIELDS).unionAll(texts(target).mapInArrow(_pair_counts(known, bits, True), _COUNT_FIELDS))
     counted = cut_lineage(partial.groupBy("bucket").applyInArrow(_count(max(1, KNOWN_PAIRS >> bits), bits), _MODEL_FIELDS))
     columns = [f.split()[0] for f in _MODEL_FIELDS.split(", ")]
-    small = columns[7:]
+    small = columns[4:]
     model = Model(counted.select(*small).collect(), smoothing)  # bounded: KNOWN_PAIRS and VOCABULARY entries
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     asked = cut_lineage(rows.mapInArrow(_ask(model, known, bits), _ASKED_FIELDS))
     names = [f.name for f in _SUMS]
     told = asked.where("bucket = -1").select(*names).mapInArrow(_own_buckets(bits), _SUM_FIELDS)
-    counted = counted.select(*columns[:7])
+    counted = counted.select(*columns[:4])
     answered = asked.where("bucket >= 0").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_answer(model, bits), _SUM_FIELDS)
     out = told.unionAll(answered).groupBy("bucket").applyInArrow(_total, "id bigint, n_tokens bigint, target_loss double, background_loss double")
     return out.select(F.col("id").alias(key), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
