@@ -77,12 +77,26 @@ def _added(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, *(np.bincount(at, c, len(found)).astype(np.int64) for c in counts)
 
 
+def _dense(blob: bytes) -> bytes:
+    """Compressed, after its length; numbers of few digits take far less than their width."""
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True) if blob else blob
+
+
+def _plain(blob) -> pa.Buffer:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd") if len(blob) else pa.py_buffer(b"")
+
+
+def _plain_size(x: pa.Scalar) -> int:
+    return int.from_bytes(x.as_py()[:8], "little")
+
+
 def _packed(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [[_dense(x) if isinstance(x, bytes) else x for x in row] for row in rows]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names) if rows else pa.RecordBatch.from_pylist([], schema)
 
 
 def _read(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(name))])
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(_plain(x.as_py()), kind) for x in table.column(name))])
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +201,7 @@ def _rare_blob(by: np.ndarray, other: np.ndarray) -> bytes:
 def _rare_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for x in table.column("keys"):
-        blob = x.as_buffer()
+        blob = _plain(x.as_py())
         runs, n = np.frombuffer(blob, np.int64, 2).tolist()
         by, counts = np.frombuffer(blob, np.uint64, runs, 16), np.frombuffer(blob, np.uint32, runs, 16 + 8 * runs)
         other = np.frombuffer(blob, np.uint16, n, 16 + 12 * runs).astype(np.uint64)
@@ -251,7 +265,7 @@ _MODEL_FIELDS = (
 
 
 def _model_row(bucket: int, columns: list) -> pa.Table:
-    row = [bucket, *(c if isinstance(c, bytes) else c.tobytes() for c in columns)]
+    row = [bucket, *(_dense(c if isinstance(c, bytes) else c.tobytes()) for c in columns)]
     return pa.table({f.split()[0]: pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, (f, v) in enumerate(zip(_MODEL_FIELDS.split(", "), row, strict=True))})
 
 
@@ -265,7 +279,7 @@ def _second_counts(by: np.ndarray, other: np.ndarray, counts: list[np.ndarray])
 def _count_rare(table: pa.Table) -> pa.Table:
     """Counts of the pairs with rare words; of those words, their number and the sums of their counts."""
     (by, other), counts = _rare_entries(table), _read(table, "counts", np.uint32)
-    target = np.repeat(np.array(table.column("target").to_pylist(), bool), [len(x.as_buffer()) // 4 for x in table.column("counts")])
+    target = np.repeat(np.array(table.column("target").to_pylist(), bool), [_plain_size(x) // 4 for x in table.column("counts")])
     _, first, at = np.unique(_rare_key(by, other), return_index=True, return_inverse=True)
     counts = [np.bincount(at, counts * side, len(first)).astype(np.int64) for side in (~target, target)]
     order = np.lexsort((other[first], by[first]))
@@ -302,7 +316,7 @@ class Model:
     """Counts of words, and of the pairs every task knows."""
 
     def __init__(self, rows: list, smoothing: float):
-        get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in rows)])
+        get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(_plain(bytes(r[name])), kind) for r in rows)])
         self.smoothing = smoothing
         word = (get("words", np.uint32) & np.uint32(VOCABULARY - 1)).astype(np.int64)
         self.context, self.share = [], []
@@ -432,7 +446,7 @@ def _answer(model: Model, bits: int):
         keys = _rare_key(*_rare_entries(asked)) if rare else _read(asked, "keys", np.uint32).astype(np.uint64)
         counts = _read(asked, "counts", np.uint32)
         places = _read(asked, "places", np.uint32).astype(np.int64)
-        docs = places + np.repeat(np.asarray(asked.column("first"), np.int64), [len(x.as_buffer()) // 4 for x in asked.column("places")])
+        docs = places + np.repeat(np.asarray(asked.column("first"), np.int64), [_plain_size(x) // 4 for x in asked.column("places")])
         own = [_read(counted, side, np.int64) for side in ("background", "target")]
         if rare:
             known, losses = model.rare_losses(*_rare_entries(counted), own)
