@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import embedding_dedup, license_scan, lm_score, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
+from rentlake.llm import embedding_dedup, license_scan, lm_score, neighbour_graph, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
 from rentlake.llm.labelled import crc_of_id
 from rentlake.session import tune
 
@@ -188,3 +188,8 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.classify(docs, docs, table(spark, sf_dir, "labels"), learn_where=~held_out(5, 0))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"), "worst_word")
+
+
+@query("op11_nn_descent")
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
