@@ -31,15 +31,15 @@ from rentlake.llm.textbatch import column
 from rentlake.session import cut_lineage, fresh_folder, scratch
 
 #: Partners a node lists, and nodes by which it is listed that it is sent to.
-NEIGHBOURS, LISTED = 32, 32
+NEIGHBOURS, LISTED = 32, 64
 #: Random orders of the start, and nodes of a run.
 ORDERS, RUN = 3, 128
 #: Nodes of a partition of a random order.
 PART = 1 << 14
 #: Descent ends when at most this share of all list entries is new, or after so many rounds.
-CHANGED, ROUNDS = 0.03, 10
+CHANGED, ROUNDS = 0.01, 12
 #: Best nodes a query visits, and those of them that are scored again for each result asked for.
-POOL, RESCORED = 96, 2
+POOL, RESCORED = 160, 2
 
 _FOUND = "node bigint, ids array<bigint>, sims array<float>"
 _FOUND_TYPE = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
