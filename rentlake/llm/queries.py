@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlake.llm import embedding_dedup, license_scan, lm_score, neighbour_graph, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
+from rentlake.llm import collocations, dialogue_repair, embedding_dedup, license_scan, lm_score, neighbour_graph, ngram_join, packing, quality_knn, quality_rules, sentencepieces, toxicity, url_filter
 from rentlake.llm.labelled import crc_of_id
 from rentlake.session import tune
 
@@ -193,3 +193,55 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_nn_descent")
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows with the faults that the crc32 of their place gives them."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query("op12_dialogue_repair")
+def _dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repaired = dialogue_repair.repair(damaged(rows)).withColumnRenamed("conv_id", "conv")
+    every = rows.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return every.select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in every.columns if c != "conv_id"])
+
+
+COLLOCATION_SQL = """
+with p as (
+ select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+ from documents
+), w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as words from p),
+total as (select lang, cast(sum(len(words)) as bigint) as n from w group by lang),
+g as (
+ select lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) as phrase
+ from w, (select unnest([1, 2, 3, 4]) as k) where len(words) >= k
+), f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 30),
+c as (select lang, k, phrase, string_split(phrase, ' ') as words, f as a from f where k > 1),
+parts as (
+ select c.lang, c.a, array_to_string(c.words[s.s:s.s + s.m - 1], ' ') as phrase
+ from c, (select s, m from (select unnest([1, 2, 3]) as s), (select unnest([2, 3]) as m)) s where s.m < c.k and s.s + s.m - 1 <= c.k
+), gone as (select distinct c.lang, c.phrase from c join parts x on x.lang = c.lang and x.phrase = c.phrase where 100 * x.a >= 80 * c.a),
+cuts as (
+ select c.lang, c.phrase, c.a, j.j, l.f as l, r.f as r, cast((2000000::hugeint * c.a) // (l.f + r.f) as bigint) as score
+ from c, (select unnest([1, 2, 3]) as j) j, f l, f r
+ where j.j < c.k and l.lang = c.lang and l.phrase = array_to_string(c.words[:j.j], ' ') and r.lang = c.lang and r.phrase = array_to_string(c.words[j.j + 1:], ' ')
+), best as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as x from cuts) where x = 1),
+ranked as (
+ select b.lang, row_number() over (partition by b.lang order by score desc, a desc, encode(b.phrase)) as rank, b.phrase, a, l, r, score
+ from best b anti join gone on gone.lang = b.lang and gone.phrase = b.phrase
+)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join total on total.lang = ranked.lang where rank <= 2000"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
