@@ -234,64 +234,68 @@ def learn(chunks: DataFrame) -> Grammar:
 _CHUNK = "key string, part int, number bigint, symbols binary, first int, last int, illegal bigint, blank bigint, duplicate bigint, truncated bigint, low bigint, high bigint, turns bigint, first_turn bigint, last_turn bigint"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks():
     """Sorted rows with their numbers of copies, as chunks of one conversation each."""
-    number = 0
-
-    def made(rows: pa.RecordBatch, copies: np.ndarray, later: bool) -> pa.RecordBatch:
-        """Chunks of rows times copies; ``later`` says that the first row's first copy went before."""
-        nonlocal number
-        at = np.repeat(np.arange(len(copies)), copies)
-        again = np.append(later, at[1:] == at[:-1])
-        fault = rows.column("fault").to_numpy()[at]
-        letter = rows.column("letter").to_numpy()[at]
-        duplicate = (fault == 2) | (again & (fault != 1))
-        blank, cut = fault == 1, (fault == 3) & ~again
-        symbols = np.where(blank | duplicate, GONE, letter + 4 * cut).astype(np.uint8)
-        keys = pc.dictionary_encode(rows.column("key")).indices.to_numpy()[at]
-        change = np.append(True, keys[1:] != keys[:-1])
-        begin = np.flatnonzero(change)[np.cumsum(change) - 1]
-        starts = np.flatnonzero((np.arange(len(at)) - begin) % CHUNK == 0)
-        ends = np.append(starts[1:], len(at))
-        turn = rows.column("turn")
-        known = turn.is_valid().to_numpy(zero_copy_only=False)[at]
-        turns = pc.fill_null(turn, 0).to_numpy()[at]
-        legal = [(0, 1), (1, 2), (2, 1)]
-        pair = np.append(False, ~np.isin(letter[:-1] * 4 + letter[1:], [4 * a + b for a, b in legal]))
-        new_turn = known & np.append(True, (turns[1:] != turns[:-1]) | ~known[:-1])
-        pair[starts], new_turn[starts] = False, known[starts]
-        total = lambda x: np.add.reduceat(x.astype(np.int64), starts)
-        # turns ascend and nulls come first, so the last one tells whether any is known
-        first_known = np.minimum.reduceat(np.where(known, np.arange(len(at)), len(at) - 1), starts)
-        has = known[ends - 1]
-        optional = lambda values, valid: pa.array(values, pa.int64(), mask=~valid)
-        data = symbols.tobytes()
-        numbers = np.arange(number, number + len(starts))
-        number += len(starts)
-        columns = [
-            rows.column("key").take(pa.array(at[starts])), rows.column("part").take(pa.array(at[starts])), pa.array(numbers), pa.array([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
-            pa.array(letter[starts], pa.int32()), pa.array(letter[ends - 1], pa.int32()), *(pa.array(total(x)) for x in (pair, blank, duplicate, cut)),
-            optional(turns[first_known], has), optional(turns[ends - 1], has), pa.array(total(new_turn)), optional(turns[starts], known[starts]), optional(turns[ends - 1], has),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _CHUNK.split(", ")])
-
-    most = 16 * CHUNK
-    for batch in batches:
-        copies = batch.column("copies").to_numpy()
-        at = 0
-        while at < len(copies):
-            if copies[at] > most:
-                left = int(copies[at])
-                while left:
-                    n = min(left, most)
-                    yield made(batch.slice(at, 1), np.array([n]), left < copies[at])
-                    left -= n
-                at += 1
-                continue
-            sums = np.cumsum(copies[at : at + most])
-            to = at + max(1, int(np.searchsorted(sums, most, "right")))
-            yield made(batch.slice(at, to - at), copies[at:to], False)
-            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+
+        def made(rows: pa.RecordBatch, copies: np.ndarray, later: bool) -> pa.RecordBatch:
+            """Chunks of rows times copies; ``later`` says that the first row's first copy went before."""
+            nonlocal number
+            at = np.repeat(np.arange(len(copies)), copies)
+            again = np.append(later, at[1:] == at[:-1])
+            fault = rows.column("fault").to_numpy()[at]
+            letter = rows.column("letter").to_numpy()[at]
+            duplicate = (fault == 2) | (again & (fault != 1))
+            blank, cut = fault == 1, (fault == 3) & ~again
+            symbols = np.where(blank | duplicate, GONE, letter + 4 * cut).astype(np.uint8)
+            keys = pc.dictionary_encode(rows.column("key")).indices.to_numpy()[at]
+            change = np.append(True, keys[1:] != keys[:-1])
+            begin = np.flatnonzero(change)[np.cumsum(change) - 1]
+            starts = np.flatnonzero((np.arange(len(at)) - begin) % CHUNK == 0)
+            ends = np.append(starts[1:], len(at))
+            turn = rows.column("turn")
+            known = turn.is_valid().to_numpy(zero_copy_only=False)[at]
+            turns = pc.fill_null(turn, 0).to_numpy()[at]
+            legal = [(0, 1), (1, 2), (2, 1)]
+            pair = np.append(False, ~np.isin(letter[:-1] * 4 + letter[1:], [4 * a + b for a, b in legal]))
+            new_turn = known & np.append(True, (turns[1:] != turns[:-1]) | ~known[:-1])
+            pair[starts], new_turn[starts] = False, known[starts]
+            total = lambda x: np.add.reduceat(x.astype(np.int64), starts)
+            # turns ascend and nulls come first, so the last one tells whether any is known
+            first_known = np.minimum.reduceat(np.where(known, np.arange(len(at)), len(at) - 1), starts)
+            has = known[ends - 1]
+            optional = lambda values, valid: pa.array(values, pa.int64(), mask=~valid)
+            data = symbols.tobytes()
+            numbers = np.arange(number, number + len(starts))
+            number += len(starts)
+            columns = [
+                rows.column("key").take(pa.array(at[starts])), rows.column("part").take(pa.array(at[starts])), pa.array(numbers), pa.array([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
+                pa.array(letter[starts], pa.int32()), pa.array(letter[ends - 1], pa.int32()), *(pa.array(total(x)) for x in (pair, blank, duplicate, cut)),
+                optional(turns[first_known], has), optional(turns[ends - 1], has), pa.array(total(new_turn)), optional(turns[starts], known[starts]), optional(turns[ends - 1], has),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _CHUNK.split(", ")])
+
+        most = 16 * CHUNK
+        for batch in batches:
+            copies = batch.column("copies").to_numpy()
+            at = 0
+            while at < len(copies):
+                if copies[at] > most:
+                    left = int(copies[at])
+                    while left:
+                        n = min(left, most)
+                        yield made(batch.slice(at, 1), np.array([n]), left < copies[at])
+                        left -= n
+                    at += 1
+                    continue
+                sums = np.cumsum(copies[at : at + most])
+                to = at + max(1, int(np.searchsorted(sums, most, "right")))
+                yield made(batch.slice(at, to - at), copies[at:to], False)
+                at = to
+
+    return run
 
 
 _SUMMARY = "key string, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string"
@@ -341,17 +345,7 @@ class _Path:
 def _resolve(grammar: Grammar):
     """Chunks of whole conversations in their order, to one row a conversation."""
 
-    @lru_cache(1 << 14)
-    def text(symbol: int, i: int, j: int) -> str:
-        return "".join(leaves(grammar.matrices[symbol][i][j][1]))
-
-    @lru_cache(1 << 14)
-    def whole(symbols: bytes) -> tuple[int, str]:
-        path = _Path(grammar, text)
-        path.add(_short(symbols))
-        return path.end()
-
-    def _short(symbols: bytes) -> list[int]:
+    def short(symbols: bytes) -> list[int]:
         return grammar.compress(np.frombuffer(symbols, np.uint8).astype(np.int64), np.array([0, len(symbols)]))[0].tolist()
 
     def finished(rows: list[dict]) -> tuple:
@@ -367,6 +361,16 @@ def _resolve(grammar: Grammar):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, facts, only, path = None, [], None, None
+        @lru_cache(1 << 14)
+        def text(symbol: int, i: int, j: int) -> str:
+            return "".join(leaves(grammar.matrices[symbol][i][j][1]))
+
+        @lru_cache(1 << 14)
+        def whole(symbols: bytes) -> tuple[int, str]:
+            path = _Path(grammar, text)
+            path.add(short(symbols))
+            return path.end()
+
         out: list[tuple] = []
 
         def done() -> None:
@@ -391,8 +395,8 @@ def _resolve(grammar: Grammar):
                     continue
                 if path is None:
                     path = _Path(grammar, text)
-                    path.add(_short(only))
-                path.add(_short(own))
+                    path.add(short(only))
+                path.add(short(own))
                 facts.append(row)
                 if len(facts) > 2:  # two rows with their ends stand for all that went before
                     facts = [_joined(facts[0], facts[1]), facts[2]]
@@ -449,7 +453,7 @@ def _audited(rows: DataFrame) -> DataFrame:
     fault = F.when((F.col("fault") != 1) & later, F.lit(2).cast("long")).otherwise(F.col("fault"))
     flagged = cut_lineage(facts.join(first, same, "left").select(*_ORDER, "letter", fault.alias("fault"), "copies"))
     ordered = flagged.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("key", "turn", "letter", "fault", "copies", F.spark_partition_id().alias("part"))
-    chunks = cut_lineage(ordered.mapInArrow(_chunks, _CHUNK))
+    chunks = cut_lineage(ordered.mapInArrow(_chunks(), _CHUNK))
     whole = chunks.repartition("key").sortWithinPartitions("key", "part", "number")
     return whole.mapInArrow(_resolve(learn(chunks)), _SUMMARY)
 

@@ -221,9 +221,11 @@ with p as (
  from documents
 ), w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as words from p),
 total as (select lang, cast(sum(len(words)) as bigint) as n from w group by lang),
+u as (select lang, id, unnest(words) as a, generate_subscripts(words, 1) as i from (select lang, words, row_number() over () as id from w)),
+q as (select lang, a, lead(a, 1) over x as b, lead(a, 2) over x as c, lead(a, 3) over x as d from u window x as (partition by id order by i)),
 g as (
- select lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) as phrase
- from w, (select unnest([1, 2, 3, 4]) as k) where len(words) >= k
+ select lang, 1 as k, a as phrase from q union all select lang, 2, a || ' ' || b from q where b is not null
+ union all select lang, 3, a || ' ' || b || ' ' || c from q where c is not null union all select lang, 4, a || ' ' || b || ' ' || c || ' ' || d from q where d is not null
 ), f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 30),
 c as (select lang, k, phrase, string_split(phrase, ' ') as words, f as a from f where k > 1),
 parts as (

@@ -64,3 +64,71 @@ def license_places(text, phrases):
         parts = phrase.split()
         out += [(i, label) for i in range(len(words) - len(parts) + 1) if words[i : i + len(parts)] == parts]
     return len(words), sorted(out)
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired lines) of one conversation's rows (turn, role, text) in order."""
+    rows = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows]
+    faults, seen = [], set()
+    for _, role, text in rows:
+        own = SPACE.findall(text)
+        faults.append("blank" if not own else "duplicate" if (role, text) in seen else "truncated" if own[-1][-1] not in ".!?" else None)
+        seen.add((role, text))
+    initials = [r[:1] for _, r, _ in rows]
+    turns = [t for t, _, _ in rows if t is not None]
+
+    def after(state, letter):
+        good = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+        return good[state].get(letter)
+
+    def better(best, state, entry):
+        if state is not None and (state not in best or entry < best[state]):
+            best[state] = entry
+
+    def with_inserts(best):
+        for _ in range(3):
+            for state, (cost, audit, lines) in list(best.items()):
+                for letter, role in (("u", "user"), ("a", "assistant")):
+                    better(best, after(state, letter), (cost + 3, audit + "I", [*lines, f"{role}:"]))
+        return best
+
+    best = {"": (0, "", [])}
+    for (_, role, text), fault in zip(rows, faults):
+        new = {}
+        for state, (cost, audit, lines) in with_inserts(best).items():
+            better(new, state, (cost + 4, audit + "D", lines))
+            if fault not in ("blank", "duplicate"):
+                more = 3 if fault == "truncated" else 0
+                better(new, after(state, role[:1]), (cost + more, audit + "K", [*lines, f"{role}:{text}"]))
+                for letter, other in (("u", "user"), ("a", "assistant")):
+                    better(new, after(state, letter), (cost + more + 3, audit + "R", [*lines, f"{other}:{text}"]))
+        best = new
+    cost, audit, lines = min(e for state, e in with_inserts(best).items() if state in ("", "a"))
+    legal = {("s", "u"), ("u", "a"), ("a", "u")}
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), sum(p not in legal for p in zip(initials, initials[1:])), cost, audit, lines)
+
+
+def collocations(rows, least, top):
+    """(lang, rank, phrase, a, l, r, n, score) from (lang, text) rows."""
+    from collections import Counter
+
+    count, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, 5):
+                for i in range(len(words) - k + 1):
+                    count[lang, tuple(words[i : i + k])] += 1
+    candidates = {key: a for key, a in count.items() if len(key[1]) > 1 and a >= least}
+    out = {}
+    for (lang, p), a in candidates.items():
+        longer = (b for (other, q), b in candidates.items() if other == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)))
+        if any(100 * b >= 80 * a for b in longer):
+            continue
+        cuts = [(2000000 * a // (count[lang, p[:k]] + count[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), count[lang, p[:k]], count[lang, p[k:]]))
+    return [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for lang, found in out.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])]
