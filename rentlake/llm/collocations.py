@@ -1,9 +1,9 @@
 """Phrases whose words stand together more often than their parts do, from sorted streams of counts.
 
 Texts are cut into pieces and those into words; phrases of 2 to 4 words that occur at least ``LEAST``
-times in a language are candidates.  A phrase's words and parts then occur as often, so words and pairs that
-do not are left out before longer phrases are counted: two scans mark frequent words and pairs in bitmaps of a fixed
-size (a bit that two share only lets more through), a third counts all that remains exactly.
+times in a language are candidates.  A phrase's words and parts then occur as often, so words, pairs and triples that
+do not are left out before longer phrases are counted: three scans mark the frequent ones in bitmaps of a fixed
+size (a bit that two share only lets more through), a fourth counts all that remains exactly.
 Every task counts its own share first, so a frequent phrase is one row a share.
 
 The counts are one stream, laid out twice.  In prefix order (by words, a phrase behind its own
@@ -36,10 +36,12 @@ from rentlake.session import cut_lineage
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: An extension covers a phrase from this share (hundredths) of its count.
 COVERS = 80
-#: Words a task holds before it counts them.
-HELD = 1 << 22
-#: Bits of the maps of frequent words and pairs.
+#: Words a task holds before it counts them: hashes alone, and with their spelling.
+HELD, HELD_SPELLED = 1 << 22, 1 << 21
+#: Bits of the maps of frequent words, pairs and triples.
 BITS = 1 << 26
+#: Parts of a language whose best phrases are found first.
+PARTS = 64
 #: Phrases of a block of the sorted streams.
 BLOCK = 1 << 16
 #: Stands for a word that a shorter phrase does not have, and comes before all.
@@ -56,10 +58,10 @@ PLACES = [f"s{i + 1}" for i in range(LONGEST)]
 
 
 class _Share:
-    """The words a task holds: hashes, whether the next one follows in the same piece, languages, and where their bytes are."""
+    """The words a task holds: hashes, whether the next one follows in the same piece and, if ``spelled``, languages and where their bytes are."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, spelled: bool = False) -> None:
+        self.spelled, self.parts = spelled, []
         self.n = self.bytes = 0
 
     def add(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
@@ -72,7 +74,7 @@ class _Share:
         hashes = mix(span_hash(byte_prefix(low), starts, ends) ^ mix(lang.view(np.uint64)))
         piece = np.cumsum(_BREAK[low])[starts]
         follows = np.append((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False)
-        self.parts.append((hashes, follows, lang, low, starts + self.bytes, ends + self.bytes))
+        self.parts.append((hashes, follows, *((lang, low, starts + self.bytes, ends + self.bytes) if self.spelled else ())))
         self.n += len(starts)
         self.bytes += len(low)
 
@@ -80,13 +82,13 @@ class _Share:
         return np.concatenate([p[i] for p in self.parts])
 
 
-def _shares(batches: Iterator[pa.RecordBatch], count: Callable[[_Share], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    share = _Share()
+def _shares(batches: Iterator[pa.RecordBatch], count: Callable[[_Share], pa.RecordBatch], held: int, spelled: bool = False) -> Iterator[pa.RecordBatch]:
+    share = _Share(spelled)
     for rows, data, offsets in slices(batches):
         share.add(rows, data, offsets)
-        if share.n >= HELD:
+        if share.n >= held:
             yield count(share)
-            share = _Share()
+            share = _Share(spelled)
     if share.n:
         yield count(share)
 
@@ -101,23 +103,28 @@ def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _shares(batches, lambda share: _counted(share.whole(0)))
+def _begins(hashes: np.ndarray, follows: np.ndarray, maps: list[np.ndarray]) -> list[np.ndarray]:
+    """Where phrases of 1, 2, ... words begin whose parts the maps (of words, pairs, ...) all have; of one more word than there are maps, those whose longest parts are marked."""
+    here = [_marked(maps[0], hashes)] if maps else [np.ones(len(hashes), bool)]
+    for n in range(2, len(maps) + 2):
+        own = here[-1][:-1] & here[-1][1:]
+        if n == 2:
+            own &= follows[:-1]
+        if n <= len(maps):
+            own &= _marked(maps[n - 1], gram_hash(hashes, n))
+        here.append(own)
+    return here
 
 
-def _pairs(share: _Share, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, which are marked, hashes of each word with the next, and where those are marked words of one piece."""
-    hashes = share.whole(0)
-    marked = _marked(words, hashes)
-    return hashes, marked, gram_hash(hashes, 2), share.whole(1)[:-1] & marked[1:] & marked[:-1]
+def _count_next(maps):
+    """Phrases of one word more than the maps know, all of whose parts are marked, by hash."""
 
-
-def _count_pairs(words):
     def count(share: _Share) -> pa.RecordBatch:
-        _, _, pairs, follows = _pairs(share, words.value)
-        return _counted(pairs[follows])
+        hashes = share.whole(0)
+        n = len(maps) + 1
+        return _counted((gram_hash(hashes, n) if n > 1 else hashes)[_begins(hashes, share.whole(1), [m.value for m in maps])[-1]])
 
-    return lambda batches: _shares(batches, count)
+    return lambda batches: _shares(batches, count, HELD)
 
 
 _GRAM = "lang bigint, " + ", ".join(f"{w} bigint" for w in WORDS) + ", words int, name string, n bigint"
@@ -131,8 +138,8 @@ def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at].tobytes())).cast(pa.string())
 
 
-def _count_grams(words, pairs):
-    """Marked words, marked pairs, longer phrases all of whose pairs are marked, and how many words each language has."""
+def _count_grams(maps):
+    """Phrases that the maps let through with their words, and how many words each language has."""
 
     def rows_of(lang: np.ndarray, grams: list[np.ndarray], n: int, counts: np.ndarray, names: pa.Array | None = None) -> pa.RecordBatch:
         own = [pa.array(g.view(np.int64)) for g in grams] + [pa.array(np.full(len(counts), ABSENT))] * (LONGEST - len(grams))
@@ -140,26 +147,18 @@ def _count_grams(words, pairs):
         return pa.RecordBatch.from_arrays([pa.array(lang), *own, pa.array(np.full(len(counts), n, np.int32)), names, pa.array(counts)], schema=_GRAM_TYPE)
 
     def count(share: _Share) -> pa.RecordBatch:
-        hashes, marked, two, follows = _pairs(share, words.value)
-        lang = share.whole(2)
+        hashes, lang = share.whole(0), share.whole(2)
         langs, total = np.unique(lang, return_counts=True)
         out = [rows_of(langs, [], 0, total)]
-        places = np.flatnonzero(marked)
-        own, first, counts = np.unique(hashes[places], return_index=True, return_counts=True)
-        first = places[first]
-        out.append(rows_of(lang[first], [own], 1, counts, _spelled(share.whole(3), share.whole(4)[first], share.whole(5)[first])))
-        pair = follows & _marked(pairs.value, two)
-        here = pair  # where a phrase of n words begins
-        for n in range(2, LONGEST + 1):
-            if n > 2:
-                here = here[:-1] & pair[n - 2 :]
+        for i, here in enumerate(_begins(hashes, share.whole(1), [m.value for m in maps])):
             places = np.flatnonzero(here)
-            _, first, counts = np.unique(gram_hash(hashes, n)[places], return_index=True, return_counts=True)
+            _, first, counts = np.unique((gram_hash(hashes, i + 1) if i else hashes)[places], return_index=True, return_counts=True)
             first = places[first]
-            out.append(rows_of(lang[first], [hashes[first + i] for i in range(n)], n, counts))
+            names = None if i else _spelled(share.whole(3), share.whole(4)[first], share.whole(5)[first])
+            out.append(rows_of(lang[first], [hashes[first + j] for j in range(i + 1)], i + 1, counts, names))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    return lambda batches: _shares(batches, count)
+    return lambda batches: _shares(batches, count, HELD_SPELLED, spelled=True)
 
 
 def _bitmap(counted: DataFrame, least: int):
@@ -179,9 +178,10 @@ def frequent(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str
     """(lang, w1..w4, words, name, n): every phrase of up to four words with at least so many places, words with
     their spelling; a row without words is the number of all words of a language."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), _language(lang))
-    words = _bitmap(rows.mapInArrow(_count_words, "hash bigint, n bigint"), least)
-    pairs = _bitmap(rows.mapInArrow(_count_pairs(words), "hash bigint, n bigint"), least)
-    grams = rows.mapInArrow(_count_grams(words, pairs), _GRAM)
+    maps: list = []
+    for _ in range(1, LONGEST):
+        maps.append(_bitmap(rows.mapInArrow(_count_next(list(maps)), "hash bigint, n bigint"), least))
+    grams = rows.mapInArrow(_count_grams(maps), _GRAM)
     return cut_lineage(grams.groupBy("lang", *WORDS, "words", "name").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least)))
 
 
@@ -303,8 +303,11 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     phrases = phrases.withColumn("cut", F.array_min(F.array(*cuts))).select(*key, "words", "a", "cut.l", "cut.r", "cut.score")
 
     # words are spelled for those that can be reported: all that tie with the last place
-    by_number = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    reported = cut_lineage(phrases.withColumn("place", F.rank().over(by_number)).where(column("place") <= top).drop("place"))
+    reported = phrases.withColumn("part", F.pmod(F.xxhash64(*WORDS), F.lit(PARTS)))
+    for of in (["lang", "part"], ["lang"]):
+        by_number = Window.partitionBy(*of).orderBy(F.desc("score"), F.desc("a"))
+        reported = reported.withColumn("place", F.rank().over(by_number)).where(column("place") <= top)
+    reported = cut_lineage(reported.drop("place", "part"))
     places = reported.select(*key, F.posexplode(F.slice(F.array(*WORDS), 1, column("words").cast("int"))).alias("at", "hash"))
     spelling = counted.where("words = 1").select(column("w1").alias("hash"), "name")
     spelled = places.join(spelling, "hash").groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " ").alias("phrase"))
