@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rentlake.catalog.registry import ORACLES, query
 from rentlake.catalog.state_queries import folded, shared_drafts
 from rentlake.catalog.views import table, view
-from rentlake.operators.upsert import LISTING_SCHEMA
+from rentlake.operators.increments import Listings
 from rentlake.session import fresh_folder
 from rentlake.sources.store import Store
 from rentlake.streaming import feeds
@@ -61,9 +61,8 @@ def r3(spark, sf):
     for name, part in (("a", drafts.where(early)), ("b", drafts.where(~early))):
         part.write.parquet(f"{root}/in/{name}")
         stream = feeds.landed(spark, f"{root}/in/*", _schema(drafts))
-        feeds.merge_drafts(stream, store, f"{root}/checkpoint")
-    rows = store.read("listings", LISTING_SCHEMA)
-    return folded(rows)
+        feeds.merge_drafts(stream, store, f"{root}/checkpoint", buckets=8)
+    return folded(Listings(store, 8).rows.read())
 
 
 ORACLES["r3_merge_stream"] = ORACLES["u2_merge_fields"]

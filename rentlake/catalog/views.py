@@ -28,14 +28,16 @@ select l_orderkey*10+l_linenumber as draft_id,
 from lineitem join part on l_partkey=p_partkey join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey"""),
     # Drafts whose second key meets often: the URLs of a group describe one flat.  In two groups
     # of three the URL that came first asks for more rent from a known day on; from then on
-    # the key is free, and the next foreign draft takes it over.
+    # the key is free, and the next foreign draft takes it over.  A group is the URLs of half of each eight
+    # neighbouring parts; the URLs of the other half stay alone, so groups and listings grow with the input.
     "shared_drafts": (("drafts",), """
 select draft_id, draft_key, canonical_url, listing_url, source, concat(title, ' in via gruppo', cast(grp as varchar(20)), ' 1') as title, location_hint,
  cast(500 + 10*(grp%40) + case when grp%3 > 0 and canonical_url = owner and seen_at >= cast('1995-06-01 00:00:00' as timestamp) then 7 else 0 end as int) as rent_eur,
  condo_fee_eur, area_sqm, rooms, raw_snippet, seen_at, grp, owner
-from (select draft_id, draft_key, canonical_url, listing_url, source, split_part(title, ' ', 1) as title, replace(location_hint, 'Pozzo Strada', 'Borgo Nuovo') as location_hint, condo_fee_eur, cast(60 as double) as area_sqm, cast(3 as double) as rooms,
-  raw_snippet, seen_at, cast(split_part(draft_key, '-', 3) as bigint)%251 as grp,
-  first_value(canonical_url) over (partition by cast(split_part(draft_key, '-', 3) as bigint)%251 order by seen_at, draft_key) as owner from drafts) g"""),
+from (select *, first_value(canonical_url) over (partition by grp order by seen_at, draft_key) as owner
+ from (select draft_id, draft_key, canonical_url, listing_url, source, split_part(title, ' ', 1) as title, replace(location_hint, 'Pozzo Strada', 'Borgo Nuovo') as location_hint, condo_fee_eur, cast(60 as double) as area_sqm, cast(3 as double) as rooms, raw_snippet, seen_at,
+   case when part%8 < 4 then part - part%8 else 10000000 + 4*part + supp%4 end as grp
+  from (select *, cast(split_part(draft_key, '-', 3) as bigint) as part, cast(split_part(draft_key, '-', 4) as bigint) as supp from drafts) d) o) g"""),
     "posts": ((), """
 select conv_id*100+turn as post_id, cast(conv_id%5 as varchar(20)) as group_id,
  concat('https://www.facebook.com/groups/', cast(conv_id%5 as varchar(20)), '/posts/', cast(conv_id*100+turn as varchar(20)), '/') as permalink,

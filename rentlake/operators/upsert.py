@@ -295,7 +295,16 @@ def _folded(resolved: DataFrame) -> DataFrame:
 
 def merge(listings: DataFrame, drafts: DataFrame) -> Merge:
     """Apply drafts (``draft_key`` unique, ``seen_at`` set) to the listing table."""
-    rows, total = numbered(keyed(drafts), "seen_at", "draft_key")
+    return merge_keyed(listings, keyed(drafts))
+
+
+def merge_keyed(listings: DataFrame, drafts: DataFrame) -> Merge:
+    """``merge`` of drafts that went through ``keyed``.
+
+    ``listings`` need only hold what the drafts can meet: listings of their URLs, and those that hold one
+    of their fingerprints.
+    """
+    rows, total = numbered(drafts, "seen_at", "draft_key")
     resolved = cut_lineage(resolve(rows, listings, total))
     changes = cut_lineage(changes_of(resolved, listings))
     priced = changes.where("price_changed").groupBy("target_url").agg(F.max("seen_at").alias("priced_at"))

@@ -51,3 +51,7 @@ class Store:
     def write(self, table: str, version: int, rows: DataFrame) -> None:
         """Write a version; doing it again gives the same table."""
         rows.write.mode("overwrite").parquet(self.path(table, version))
+
+    def drop(self, table: str, version: int) -> None:
+        fs, path = self._fs(self.path(table, version))
+        fs.delete(path, True)

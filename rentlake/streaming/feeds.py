@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rentlake.criteria import Criteria
-from rentlake.operators.duplicates import reconcile
+from rentlake.operators.increments import Listings
 from rentlake.operators.ordered import chunk, numbered, with_previous
-from rentlake.operators.upsert import LISTING_SCHEMA, merge
 from rentlake.plans import ingest as ingest_plan
 from rentlake.session import scratch
+from rentlake.sources.keyed import Keyed
 from rentlake.sources.store import Store
 
 LOOKBACK = {"message_id": "26 hours", "post_id": "24 hours"}
@@ -43,14 +43,15 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
 def price_changes(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Observed rents to price-change events.
 
-    Each batch writes the last known rents of its own listings as a version of the state; a
-    listing's newest state row counts.  A batch compares inside itself with the chunked
+    The last known rents are a keyed table: a batch looks up its own listings and writes only
+    those, and reads a base and a bounded number of changes.  A batch compares inside itself with the chunked
     ``with_previous`` and takes the state where a listing appears for the first time, so
     one busy listing does not fill a task, and a batch that runs again reads and writes the
     same versions.
     """
     event = "listing_key string, obs_id string, observed_at timestamp, prev_rent int, rent_eur int"
     at = F.struct("observed_at", "obs_id")
+    state = Keyed(store, "price_state", PRICE_STATE, ["listing_key"])
 
     def newest(rows: DataFrame) -> DataFrame:
         state = F.max_by(F.struct("rent_eur", "observed_at", "obs_id"), at).alias("s")
@@ -58,15 +59,15 @@ def price_changes(stream: DataFrame, store: Store, checkpoint: str) -> Streaming
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
-        rows, _ = numbered(batch.select("listing_key", "obs_id", "observed_at", F.col("rent_eur").cast("int")), "observed_at", "obs_id")
-        known = store.read_all("price_state", PRICE_STATE, before=version)
-        known = newest(known.join(rows.select("listing_key").distinct(), "listing_key", "left_semi"))
-        inside = with_previous(rows, ["listing_key"], chunk(), ["pos"], ["rent_eur"])
-        last = known.select("listing_key", F.col("rent_eur").alias("old_rent"))
-        compared = inside.join(last, "listing_key", "left").withColumn("prev_rent", F.coalesce("prev_rent_eur", "old_rent"))
-        changed = compared.where(F.col("rent_eur") != F.col("prev_rent"))
-        store.write("price_events", version, changed.selectExpr(*[f"cast({d.split()[0]} as {d.split()[1]})" for d in event.split(", ")]))
-        store.write("price_state", version, newest(known.unionByName(rows.select(*known.columns))))
+        with scratch(store.spark):
+            rows, _ = numbered(batch.select("listing_key", "obs_id", "observed_at", F.col("rent_eur").cast("int")), "observed_at", "obs_id")
+            known = state.lookup(rows, before=version)
+            inside = with_previous(rows, ["listing_key"], chunk(), ["pos"], ["rent_eur"])
+            last = known.select("listing_key", F.col("rent_eur").alias("old_rent"))
+            compared = inside.join(last, "listing_key", "left").withColumn("prev_rent", F.coalesce("prev_rent_eur", "old_rent"))
+            changed = compared.where(F.col("rent_eur") != F.col("prev_rent"))
+            store.write("price_events", version, changed.selectExpr(*[f"cast({d.split()[0]} as {d.split()[1]})" for d in event.split(", ")]))
+            state.write(version, newest(known.unionByName(rows.select(*known.columns)).where("listing_key is not null")))
 
     return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
 
@@ -84,17 +85,17 @@ def resend_state(events: DataFrame, kind: Column, key: str, time: str) -> DataFr
     return state.withColumn("due", due)
 
 
-def merge_drafts(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Drafts merged batch by batch; a batch that runs again starts from the same version."""
+def merge_drafts(stream: DataFrame, store: Store, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Drafts merged batch by batch into ``Listings``, which read and write what the batch touches; a batch
+    that runs again starts from the same version."""
+    listings = Listings(store, buckets)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
-        listings = store.read("listings", LISTING_SCHEMA, before=version)
         with scratch(store.spark):
-            merged = merge(listings, batch)
+            merged = listings.merge(version, batch)
             store.write("changes", version, merged.changes)
             store.write("alternate_urls", version, merged.alternate_urls)
-            store.write("listings", version, reconcile(merged.listings).drop("link_changed"))
 
     return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
 
