@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.catalog import sqlkit as S
-from rentlake.catalog.registry import oracle, query
+from rentlake.catalog.registry import ORACLES, oracle, query
 from rentlake.catalog.scalar_queries import C, GEO_QUERY, HARD, HASH, LAT, LNG, RENTAL, SALE, SCORES, SUM, TALK, TEXT, blend_sql, bucket_sql, rule_steps, scores_line
 from rentlake.catalog.source_queries import _GENERIC, _IDEALISTA, _POST_DRAFT, AS_OF, LATEST, stored_listings, stored_scores
 from rentlake.catalog.views import table, view, with_clause
 from rentlake.functions import cards, keys, places, rules
 from rentlake.operators import digest, duplicates, geocode, scoring, tables, upsert
 from rentlake.operators.anchors import flat_anchors
+from rentlake.operators.increments import Listings
 from rentlake.operators.ordered import chunk, numbered, with_previous
 from rentlake.plans import ingest, rate
-from rentlake.session import cut_lineage
+from rentlake.session import cut_lineage, fresh_folder
+from rentlake.sources.store import Store
 
 NOW = "2001-06-01 00:00:00"
 
@@ -493,6 +495,19 @@ def u7(spark, sf):
     return linked_listings(spark, sf).agg(F.count(F.when(F.col("link_changed"), 1)).alias("changed"), F.count("*").alias("listings"))
 
 
+@query("u7_links_by_batches", ORACLES["w2_duplicate_primary"])
+def u7_batches(spark, sf):
+    """The later half first, so the second batch brings older listings and moves links."""
+    rows = stored_listings(spark, sf).withColumns({"possible_duplicate_of_id": F.lit(None).cast("string"), "property_match_key": F.lit(None).cast("string")})
+    rows = cut_lineage(duplicates.backfill_match_keys(rows).withColumn("late", F.col("n") % 2 == 0))
+    table = Listings(Store(spark, fresh_folder(spark, "u7")), buckets=8)
+    rows = upsert.empty_listings(spark).withColumn("late", F.lit(None).cast("boolean")).unionByName(rows.select("late", *[c for c in upsert.empty_listings(spark).columns if c in rows.columns]), allowMissingColumns=True)
+    for version, late in ((1, True), (2, False)):
+        batch = rows.where(F.col("late") == late).drop("late")
+        table.put(version, batch.limit(0), batch)
+    return table.rows.read().select("id", "possible_duplicate_of_id")
+
+
 @query("u8_mark_sent", oracle("select id, case when n % 2 = 0 then '2001-06-01 00:00:00' else strftime(sent_at, '%Y-%m-%d %H:%M:%S') end as sent, case when n % 5 = 0 then '2001-06-01 00:00:00' else strftime(dismissed_at, '%Y-%m-%d %H:%M:%S') end as dismissed from listings", "listings"))
 def u8(spark, sf):
     rows = stored_listings(spark, sf)
