@@ -36,8 +36,8 @@ from rentlake.session import cut_lineage
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: An extension covers a phrase from this share (hundredths) of its count.
 COVERS = 80
-#: Words a task holds before it counts them: hashes alone, and with their spelling.
-HELD, HELD_SPELLED = 1 << 22, 1 << 21
+#: Words a task holds before it counts them.
+HELD = 1 << 21
 #: Bits of the maps of frequent words, pairs and triples.
 BITS = 1 << 26
 #: Parts of a language whose best phrases are found first.
@@ -58,11 +58,11 @@ PLACES = [f"s{i + 1}" for i in range(LONGEST)]
 
 
 class _Share:
-    """The words a task holds: hashes, whether the next one follows in the same piece and, if ``spelled``, languages and where their bytes are."""
+    """The words a task holds: hashes, whether the next one follows in the same piece and, if ``spelled``, languages and bytes."""
 
     def __init__(self, spelled: bool = False) -> None:
-        self.spelled, self.parts = spelled, []
-        self.n = self.bytes = 0
+        self.spelled, self.words, self.texts = spelled, [], []
+        self.n = 0
 
     def add(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
         low = LOWER[data]
@@ -70,23 +70,53 @@ class _Share:
         if not len(starts):
             return
         row = owners(np.searchsorted(starts, offsets))
-        lang = rows.column(1).to_numpy()[row]
-        hashes = mix(span_hash(byte_prefix(low), starts, ends) ^ mix(lang.view(np.uint64)))
+        lang = rows.column(1).to_numpy()
+        hashes = mix(span_hash(byte_prefix(low), starts, ends) ^ mix(lang[row].view(np.uint64)))
         piece = np.cumsum(_BREAK[low])[starts]
         follows = np.append((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False)
-        self.parts.append((hashes, follows, *((lang, low, starts + self.bytes, ends + self.bytes) if self.spelled else ())))
+        self.words.append((hashes, follows))
+        if self.spelled:
+            self.texts.append((lang, row.astype(np.int32), low, starts, (ends - starts).astype(np.int32)))
         self.n += len(starts)
-        self.bytes += len(low)
 
     def whole(self, i: int) -> np.ndarray:
-        return np.concatenate([p[i] for p in self.parts])
+        return np.concatenate([p[i] for p in self.words])
+
+    def languages(self) -> tuple[np.ndarray, np.ndarray]:
+        """Languages, and how many words each has."""
+        total: dict[int, int] = {}
+        for lang, row, *_ in self.texts:
+            for k, n in zip(lang.tolist(), np.bincount(row, minlength=len(lang)).tolist()):
+                if n:
+                    total[k] = total.get(k, 0) + n
+        return np.array(list(total), np.int64), np.array(list(total.values()), np.int64)
+
+    def at(self, places: np.ndarray, spelled: bool) -> tuple[np.ndarray, pa.Array]:
+        """Languages of words, and their spelling if asked for."""
+        order = np.argsort(places)
+        bounds = np.cumsum([0] + [len(t[1]) for t in self.texts])
+        cuts = np.searchsorted(places[order], bounds)
+        langs, names = [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+        for (lang, row, low, starts, size), begin, a, b in zip(self.texts, bounds, cuts, cuts[1:]):
+            own = places[order[a:b]] - begin
+            langs.append(lang[row[own]])
+            names.append(_spelled(low, starts[own], size[own].astype(np.int64)) if spelled else pa.nulls(len(own), pa.string()))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return np.concatenate(langs)[back], pa.concat_arrays(names).take(pa.array(back))
+
+
+def _spelled(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> pa.Array:
+    bounds = np.append(0, np.cumsum(size))
+    at = np.repeat(starts - bounds[:-1], size) + np.arange(bounds[-1])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at].tobytes())).cast(pa.string())
 
 
-def _shares(batches: Iterator[pa.RecordBatch], count: Callable[[_Share], pa.RecordBatch], held: int, spelled: bool = False) -> Iterator[pa.RecordBatch]:
+def _shares(batches: Iterator[pa.RecordBatch], count: Callable[[_Share], pa.RecordBatch], spelled: bool = False) -> Iterator[pa.RecordBatch]:
     share = _Share(spelled)
     for rows, data, offsets in slices(batches):
         share.add(rows, data, offsets)
-        if share.n >= held:
+        if share.n >= HELD:
             yield count(share)
             share = _Share(spelled)
     if share.n:
@@ -124,46 +154,41 @@ def _count_next(maps):
         n = len(maps) + 1
         return _counted((gram_hash(hashes, n) if n > 1 else hashes)[_begins(hashes, share.whole(1), [m.value for m in maps])[-1]])
 
-    return lambda batches: _shares(batches, count, HELD)
+    return lambda batches: _shares(batches, count)
 
 
 _GRAM = "lang bigint, " + ", ".join(f"{w} bigint" for w in WORDS) + ", words int, name string, n bigint"
 _GRAM_TYPE = pa.schema([("lang", pa.int64()), *((w, pa.int64()) for w in WORDS), ("words", pa.int32()), ("name", pa.string()), ("n", pa.int64())])
 
 
-def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    size = ends - starts
-    bounds = np.append(0, np.cumsum(size))
-    at = np.repeat(starts - bounds[:-1], size) + np.arange(bounds[-1])
-    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at].tobytes())).cast(pa.string())
-
-
 def _count_grams(maps):
-    """Phrases that the maps let through with their words, and how many words each language has."""
+    """Phrases that the maps let through with their words, the spelling of words in them, and how many words each language has."""
 
-    def rows_of(lang: np.ndarray, grams: list[np.ndarray], n: int, counts: np.ndarray, names: pa.Array | None = None) -> pa.RecordBatch:
+    def rows_of(lang: np.ndarray, grams: list[np.ndarray], counts: np.ndarray, names: pa.Array | None = None) -> pa.RecordBatch:
         own = [pa.array(g.view(np.int64)) for g in grams] + [pa.array(np.full(len(counts), ABSENT))] * (LONGEST - len(grams))
         names = pa.nulls(len(counts), pa.string()) if names is None else names
-        return pa.RecordBatch.from_arrays([pa.array(lang), *own, pa.array(np.full(len(counts), n, np.int32)), names, pa.array(counts)], schema=_GRAM_TYPE)
+        return pa.RecordBatch.from_arrays([pa.array(lang), *own, pa.array(np.full(len(counts), len(grams), np.int32)), names, pa.array(counts)], schema=_GRAM_TYPE)
 
     def count(share: _Share) -> pa.RecordBatch:
-        hashes, lang = share.whole(0), share.whole(2)
-        langs, total = np.unique(lang, return_counts=True)
-        out = [rows_of(langs, [], 0, total)]
-        for i, here in enumerate(_begins(hashes, share.whole(1), [m.value for m in maps])):
+        hashes = share.whole(0)
+        langs, total = share.languages()
+        out = [rows_of(langs, [], total)]
+        begins = _begins(hashes, share.whole(1), [m.value for m in maps])
+        # a word that stands in no marked pair is in no phrase
+        begins[0] = np.append(begins[1], False) | np.append(False, begins[1])
+        for i, here in enumerate(begins):
             places = np.flatnonzero(here)
             _, first, counts = np.unique((gram_hash(hashes, i + 1) if i else hashes)[places], return_index=True, return_counts=True)
             first = places[first]
-            names = None if i else _spelled(share.whole(3), share.whole(4)[first], share.whole(5)[first])
-            out.append(rows_of(lang[first], [hashes[first + j] for j in range(i + 1)], i + 1, counts, names))
+            lang, names = share.at(first, i == 0)
+            out.append(rows_of(lang, [hashes[first + j] for j in range(i + 1)], counts, names))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    return lambda batches: _shares(batches, count, HELD_SPELLED, spelled=True)
+    return lambda batches: _shares(batches, count, spelled=True)
 
 
-def _bitmap(counted: DataFrame, least: int):
-    """Bits of the hashes that occur often enough, sent to all tasks; BITS / 8 bytes at any size."""
-    often = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def _bitmap(often: DataFrame):
+    """Bits of hashes, sent to all tasks; BITS / 8 bytes at any size."""
     place = F.col("hash").bitwiseAND(F.lit(BITS - 1)) + 1
     parts = often.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     bits = np.zeros(BITS // 8, np.uint8)
@@ -171,18 +196,23 @@ def _bitmap(counted: DataFrame, least: int):
         own = np.frombuffer(r["bits"], np.uint8)
         begin = (r["at"] - 1) * len(own)
         bits[begin : begin + len(own)] = own[: len(bits) - begin]
-    return counted.sparkSession.sparkContext.broadcast(bits)
+    return often.sparkSession.sparkContext.broadcast(bits)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, w1..w4, words, name, n): every phrase of up to four words with at least so many places, words with
-    their spelling; a row without words is the number of all words of a language."""
+    """(lang, w1..w4, words, name, n): every phrase of two to four words with at least so many places, the words of
+    these with their spelling and all their places; a row without words is the number of all words of a language."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), _language(lang))
     maps: list = []
+    often: list[DataFrame] = []
     for _ in range(1, LONGEST):
-        maps.append(_bitmap(rows.mapInArrow(_count_next(list(maps)), "hash bigint, n bigint"), least))
-    grams = rows.mapInArrow(_count_grams(maps), _GRAM)
-    return cut_lineage(grams.groupBy("lang", *WORDS, "words", "name").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least)))
+        counted = rows.mapInArrow(_count_next(list(maps)), "hash bigint, n bigint")
+        often.append(cut_lineage(counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
+        maps.append(_bitmap(often[-1]))
+    key = ["lang", *WORDS, "words", "name"]
+    grams = cut_lineage(rows.mapInArrow(_count_grams(maps), _GRAM).groupBy(*key).agg(F.sum("n").alias("n")).where((F.col("words") < 2) | (F.col("n") >= least)))
+    words = grams.where("words = 1").drop("n").join(often[0].withColumnRenamed("hash", "w1"), "w1").select(*key, "n")
+    return cut_lineage(grams.where("words <> 1").unionByName(words))
 
 
 def _language(lang: str):
