@@ -11,7 +11,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 # Times are UTC, and AQE sizes, coalesces and splits the shuffles.  Joins are
-# broadcast only below Spark's own size threshold; nothing is hinted.
+# broadcast only below Spark's own size threshold, but for tables of a fixed size.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
