@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rentlake import fixed_values as V
 from rentlake.catalog import sqlkit as S
-from rentlake.catalog.registry import oracle, query
+from rentlake.catalog.registry import ORACLES, oracle, query
 from rentlake.catalog.views import table, view
 from rentlake.functions import alerts, posts, urls
 from rentlake.operators import anchors, feed, mail, scoring, tables
@@ -27,6 +27,15 @@ def s1(spark, sf):
     return landing.since(view(spark, sf, "messages"), "received_at", F.lit(AS_OF).cast("timestamp"), 26).select("message_id", "subject")
 
 
+@query("s1_landed_by_day", ORACLES["s1_messages_since"])
+def s1_days(spark, sf):
+    """The same lookback on a landing laid out by day of receipt, landed in two versions."""
+    rows, store = view(spark, sf, "messages").select("message_id", "subject", "received_at"), Store(spark, fresh_folder(spark, "s1"))
+    for version in (1, 2):
+        landing.land(store, "messages", version, rows.where(F.col("message_id") % 2 == version - 1), "received_at")
+    return landing.landed_since(store, "messages", "message_id bigint, subject string, received_at timestamp", "received_at", AS_OF, 26).select("message_id", "subject")
+
+
 @query("s2_mime_bodies", """select page_id as message_id, html || '<p>ù</p>' as html_body, url as text_body from pages""")
 def s2(spark, sf):
     pages = table(spark, sf, "pages")

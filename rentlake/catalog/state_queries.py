@@ -16,6 +16,7 @@ from rentlake.functions import cards, keys, places, rules
 from rentlake.operators import digest, duplicates, geocode, scoring, tables, upsert
 from rentlake.operators.anchors import flat_anchors
 from rentlake.operators.increments import Listings
+from rentlake.operators.ledger import Ledger
 from rentlake.operators.ordered import chunk, numbered, with_previous
 from rentlake.plans import ingest, rate
 from rentlake.session import cut_lineage, fresh_folder
@@ -31,6 +32,16 @@ def k1(spark, sf):
     return tables.unseen(m, m.where("message_id % 3 = 0").select("message_id"), "message_id").select("message_id")
 
 
+@query("k1_ledger_by_day", ORACLES["k1_unseen_messages"])
+def k1_days(spark, sf):
+    """The ledger by day of receipt; every third known id stands in it under another day."""
+    rows = view(spark, sf, "messages").select("message_id", "received_at")
+    ledger = Ledger(Store(spark, fresh_folder(spark, "k1")), "ledger", "message_id bigint, received_at timestamp", "message_id", "received_at", buckets=8)
+    moved = F.when(F.col("message_id") % 9 == 0, F.col("received_at") - F.make_dt_interval(F.lit(40))).otherwise(F.col("received_at"))
+    ledger.write(1, rows.where("message_id % 3 = 0").withColumn("received_at", moved))
+    return ledger.unseen(rows).select("message_id")
+
+
 KEYED = [{"street": S.street(S.blob("location_hint", "title", "raw_snippet"))},
          {"fingerprint": f"case when rent_eur >= 100 then street || '|r' || {S.whole('rooms')} || '|a' || {S.whole('area_sqm')} || '|€' || cast(rent_eur as varchar) end",
           "match_key": f"case when rent_eur >= 100 then street || '|r' || {S.whole('rooms')} || '|€' || cast(rent_eur as varchar) end", "hash": HASH}]

@@ -9,6 +9,7 @@ from rentlake.catalog.registry import ORACLES, query
 from rentlake.catalog.state_queries import folded, shared_drafts
 from rentlake.catalog.views import table, view
 from rentlake.operators.increments import Listings
+from rentlake.operators.ledger import Ledger
 from rentlake.session import fresh_folder
 from rentlake.sources.store import Store
 from rentlake.streaming import feeds
@@ -41,13 +42,10 @@ def r2(spark, sf):
     twice = event_stream(spark, sf).union(event_stream(spark, sf))
     root = fresh_folder(spark, "r2")
     store = Store(spark, root)
-    ledger = table(spark, sf, "events").where("event_id % 4 = 0").select("event_id")
-
-    def apply(batch, batch_id):
-        store.write("seen", batch_id + 1, batch.join(ledger, "event_id", "left_anti").select("user_id", "event_id"))
-
+    ledger = Ledger(store, "ledger", "event_id bigint, ts timestamp", "event_id", "ts", buckets=8)
+    ledger.write(1, table(spark, sf, "events").where("event_id % 4 = 0").select("event_id", F.col("ts").cast("timestamp").alias("ts")))
     once = feeds.once(twice, "event_id", "ts", "26 hours")
-    feeds.run_available(once.writeStream.foreachBatch(apply), f"{root}/checkpoint")
+    feeds.unseen_rows(once, ledger, f"{root}/checkpoint", lambda new, version: store.write("seen", version, new.select("user_id", "event_id")), first=2)
     return store.read_all("seen", "user_id bigint, event_id bigint")
 
 

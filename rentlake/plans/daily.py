@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlake.criteria import Criteria
 from rentlake.operators import geocode, tables
+from rentlake.operators.ledger import Ledger
 from rentlake.operators.scoring import SCORE_SCHEMA
 from rentlake.operators.upsert import LISTING_SCHEMA
 from rentlake.plans import ingest as ingest_plan
 from rentlake.plans import rate as rate_plan
-from rentlake.session import scratch, tune
+from rentlake.session import cut_lineage, scratch, tune
 from rentlake.sources.landing import since
 from rentlake.sources.store import Store
 
@@ -26,6 +29,11 @@ RUNS = (
 )
 
 
+def ledgers(store: Store) -> tuple[Ledger, Ledger]:
+    """Of messages and of posts."""
+    return Ledger(store, "message_ledger", MESSAGE_LEDGER, "message_id", "received_at"), Ledger(store, "post_ledger", POST_LEDGER, "post_id", "posted_at")
+
+
 def run(
     spark: SparkSession, root: str, version: int, messages: DataFrame, posts: DataFrame, c: Criteria, as_of: str,
     gazetteer: DataFrame, fallback: DataFrame, model_replies: DataFrame | None = None,
@@ -62,16 +70,15 @@ def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback,
     if dismissed is not None:
         listings = tables.mark_dismissed(listings, dismissed, as_of)
     old_scores = store.read_all("listing_scores", SCORE_SCHEMA, before=version)
-    seen_m = store.read_all("message_ledger", MESSAGE_LEDGER, before=version)
-    seen_p = store.read_all("post_ledger", POST_LEDGER, before=version)
+    mail_ledger, post_ledger = ledgers(store)
     cache = store.read_all("geocode_cache", POINTS, before=version)
 
     result = ingest_plan.ingest(
         listings, since(messages, "received_at", now, message_hours), since(posts, "posted_at", now, post_hours),
-        seen_m, seen_p, c, as_of,
+        partial(mail_ledger.unseen, before=version), partial(post_ledger.unseen, before=version), c, as_of,
     )
-    store.write("message_ledger", version, result.message_ledger)
-    store.write("post_ledger", version, result.post_ledger)
+    mail_ledger.write(version, cut_lineage(result.message_ledger))
+    post_ledger.write(version, cut_lineage(result.post_ledger))
     store.write("changes", version, result.merge.changes)
     store.write("alternate_urls", version, result.merge.alternate_urls)
     store.write("linked", version, result.listings)

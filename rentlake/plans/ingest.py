@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from rentlake.operators.scoring import hard_ok, with_search_text
 from rentlake.operators.upsert import Merge, merge
 from rentlake.session import cut_lineage
 
+Seen = DataFrame | Callable[[DataFrame], DataFrame]
+
 
 def message_drafts(messages: DataFrame, c: Criteria) -> DataFrame:
     """Drafts with ``rental`` (a rental listing worth keeping) and ``kept`` (and within the hard limits)."""
@@ -58,15 +61,19 @@ class Ingested:
     counts: DataFrame
 
 
+def _unseen(rows: DataFrame, seen: Seen, key: str) -> DataFrame:
+    return seen(rows) if callable(seen) else tables.unseen(rows, seen, key)
+
+
 def ingest(
     listings: DataFrame, messages: DataFrame, found_posts: DataFrame,
-    seen_messages: DataFrame, seen_posts: DataFrame, c: Criteria, as_of: str,
+    seen_messages: Seen, seen_posts: Seen, c: Criteria, as_of: str,
 ) -> Ingested:
-    """New messages and posts, filtered, merged and linked."""
+    """New messages and posts, filtered, merged and linked; ``Seen`` is a table of known ids or leaves them out itself."""
     # Each is read several times below; written down, an input is matched with its ledger
     # and a text is parsed once.
-    new_messages = cut_lineage(tables.unseen(messages, seen_messages, "message_id"))
-    new_posts = cut_lineage(tables.unseen(found_posts, seen_posts, "post_id"))
+    new_messages = cut_lineage(_unseen(messages, seen_messages, "message_id"))
+    new_posts = cut_lineage(_unseen(found_posts, seen_posts, "post_id"))
     from_mail = cut_lineage(
         message_drafts(new_messages, c).withColumns({"origin": F.lit("message"), "origin_id": F.col("message_id").cast("string")})
     )

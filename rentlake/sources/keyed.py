@@ -81,7 +81,8 @@ class Keyed:
 
     def _write(self, table: str, version: int, rows: DataFrame) -> None:
         placed = rows.withColumn("bucket", self.bucket()).repartition("bucket")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(self.store.path(table, version))
+        with self.store.writing(table, version):
+            placed.write.mode("overwrite").partitionBy("bucket").parquet(self.store.path(table, version))
 
     def _drop(self, last: int) -> None:
         """Versions that no batch after the base ``last`` reads."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlake.functions.regex import js
+from rentlake.sources.store import Store
 
 MESSAGES = "message_id string, subject string, from_address string, received_at timestamp, html_body string, text_body string"
 FEED_PAGES = "page_id string, group_id string, html string, scraped_at timestamp"
@@ -20,6 +23,21 @@ def since(rows: DataFrame, column: str, as_of: Column, hours: int) -> DataFrame:
     return rows.where(F.col(column) >= as_of - F.make_interval(hours=F.lit(hours)))
 
 
+def land(store: Store, table: str, version: int, rows: DataFrame, time: str) -> None:
+    """Add a landing, laid out by day of ``time``; landing a version again replaces it."""
+    store.write(table, version, rows, day=time)
+
+
+def landed_since(store: Store, table: str, schema: str, time: str, as_of: str, hours: int) -> DataFrame:
+    """Landed rows not older than the lookback; older days are neither listed nor read.
+
+    ``as_of`` is a time as text in UTC.  Rows without a time are never recent.
+    """
+    first = (dt.datetime.fromisoformat(as_of) - dt.timedelta(hours=hours)).date()
+    rows = store.read_days(table, schema, first=first)
+    return since(rows, time, F.lit(as_of).cast("timestamp"), hours)
+
+
 def bodies(parts: DataFrame) -> DataFrame:
     """HTML and plain text per message: parts in document order, decoded and joined."""
     data = F.translate(F.col("data"), "-_", "+/")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rentlake.criteria import Criteria
 from rentlake.operators.increments import Listings
+from rentlake.operators.ledger import Ledger
 from rentlake.operators.ordered import chunk, numbered, with_previous
 from rentlake.plans import ingest as ingest_plan
-from rentlake.session import scratch
+from rentlake.session import cut_lineage, scratch
 from rentlake.sources.keyed import Keyed
 from rentlake.sources.store import Store
 
@@ -100,6 +103,31 @@ def merge_drafts(stream: DataFrame, store: Store, checkpoint: str, buckets: int
     return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
 
 
+def unseen_rows(stream: DataFrame, ledger: Ledger, checkpoint: str, sink: Callable[[DataFrame, int], None], first: int = 1) -> StreamingQuery:
+    """Rows the ledger does not hold yet, handed to ``sink`` with the version to write, then entered.
+
+    Batches take the versions from ``first`` on.  A batch that runs again looks at older versions only, so
+    the sink gets the same rows for the same version; of rows with one id in a batch, one goes on.
+    """
+    key = ledger.key
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + first
+        with scratch(ledger.store.spark):
+            one = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(batch.where(F.col(key).isNull()))
+            new = cut_lineage(ledger.unseen(cut_lineage(one), before=version))
+            sink(new, version)
+            ledger.write(version, new)
+
+    return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
+
+
+def message_stream(stream: DataFrame, store: Store, checkpoint: str, c: Criteria) -> StreamingQuery:
+    """Landed messages, each parsed once; kept drafts go to ``message_drafts`` and ids to ``seen_messages``."""
+    ledger = Ledger(store, "seen_messages", "message_id string, received_at timestamp", "message_id", "received_at")
+    return unseen_rows(stream, ledger, checkpoint, lambda new, version: store.write("message_drafts", version, message_batch(new, c)))
+
+
 def message_batch(batch: DataFrame, c: Criteria) -> DataFrame:
     """Kept drafts of one batch of messages, with the time their message was received."""
     drafts = ingest_plan.message_drafts(batch, c).where("kept")
