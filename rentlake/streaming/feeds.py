@@ -130,5 +130,5 @@ def message_stream(stream: DataFrame, store: Store, checkpoint: str, c: Criteria
 
 def message_batch(batch: DataFrame, c: Criteria) -> DataFrame:
     """Kept drafts of one batch of messages, with the time their message was received."""
-    drafts = ingest_plan.message_drafts(batch, c).where("kept")
+    drafts = cut_lineage(ingest_plan.message_drafts(batch, c)).where("kept")
     return drafts.withColumn("draft_key", F.concat_ws("|", F.lit("message"), "message_id", "canonical_url"))
