@@ -11,9 +11,9 @@ from rentlake.catalog import sqlkit as S
 from rentlake.catalog.registry import ORACLES, oracle, query
 from rentlake.catalog.scalar_queries import C, GEO_QUERY, HARD, HASH, LAT, LNG, RENTAL, SALE, SCORES, SUM, TALK, TEXT, blend_sql, bucket_sql, rule_steps, scores_line
 from rentlake.catalog.source_queries import _GENERIC, _IDEALISTA, _POST_DRAFT, AS_OF, LATEST, stored_listings, stored_scores
-from rentlake.catalog.views import table, view, with_clause
+from rentlake.catalog.views import VIEWS, table, view, with_clause
 from rentlake.functions import cards, keys, places, rules
-from rentlake.operators import digest, duplicates, geocode, scoring, tables, upsert
+from rentlake.operators import digest, duplicates, geocode, mentions, ranges, scoring, tables, upsert
 from rentlake.operators.anchors import flat_anchors
 from rentlake.operators.increments import Listings
 from rentlake.operators.ledger import Ledger
@@ -144,6 +144,39 @@ def k9(spark, sf):
     return rows.select(F.explode(rules.matched_zones(C, F.col("_text"))).alias("zone")).groupBy("zone").agg(F.count("*").alias("n"))
 
 
+# Aliases by the hundred: whole street names, parts of words, numbers of two digits, the same word for several zones.
+_ALIASES = """select distinct concat('zone ', cast(p_partkey%200 as varchar(20))) as zone,
+ case p_partkey%4 when 0 then concat(replace(p_brand, '#', 'N'), ' ', cast(p_partkey%20+1 as varchar(20))) when 1 then concat('rand', substr(replace(p_brand, '#', 'n'), 6, 2))
+  when 2 then cast(10+p_partkey%90 as varchar(20)) else concat('via ', lower(replace(p_brand, '#', 'n'))) end as word from part"""
+
+
+@query("k9_zones_from_table", oracle(
+    f"""select zone, count(*) as n, min(draft_id) as first_id, cast(sum(draft_id) as bigint) as ids
+      from (select distinct draft_id, zone from (select draft_id, w.word from {{from}} join (select distinct lower(word) as word from ({_ALIASES}) p) w on contains(txt, w.word)) h
+       join (select zone, lower(word) as word from ({_ALIASES}) p) z on h.word = z.word) m group by zone""", "drafts", steps=[{"txt": TEXT}]))
+def k9_table(spark, sf):
+    """Zones whose aliases are rows, found in all drafts."""
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    aliases = spark.sql(_ALIASES)
+    texts = cut_lineage(scoring.with_search_text(view(spark, sf, "drafts")).select("draft_id", "_text"))
+    found = mentions.zones(texts, "draft_id", "_text", aliases)
+    return found.groupBy("zone").agg(F.count("*").alias("n"), F.min("draft_id").alias("first_id"), F.sum("draft_id").alias("ids"))
+
+
+# Three versions of the criteria with buckets of their own; the fourth has none.
+_BUCKETS = "select s_suppkey%3 as version, s_suppkey*37%5000 as reach, s_suppkey%11 as points from supplier"
+
+
+@query("k10_buckets_from_table", f"""with d as ({VIEWS['drafts'][1]}), v as (select draft_id, draft_id%4 as version, draft_id%6000-50 as m from d), b as ({_BUCKETS}),
+  hit as (select u.version, u.m, arg_min(points, reach*1000+points) as points from (select distinct version, m from v) u join b on b.version = u.version and b.reach >= u.m group by u.version, u.m)
+  select draft_id, cast(case when v.m < 0 then 5 else coalesce(points, 0) end as integer) as score from v left join hit on v.version = hit.version and v.m = hit.m""")
+def k10_table(spark, sf):
+    """Points by a table of buckets for each version of the criteria."""
+    table(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    rows = view(spark, sf, "drafts").selectExpr("draft_id", "draft_id % 4 as version", "draft_id % 6000 - 50 as meters")
+    return ranges.points(rows, "meters", spark.sql(_BUCKETS), "version").select("draft_id", "score")
+
+
 @query("k10_distance_buckets", oracle(
     f"select {bucket_sql('m')} as score, count(*) as n from {{from}} group by 1", "drafts", steps=[{"m": "draft_id % 6000"}]))
 def k10(spark, sf):
