@@ -201,7 +201,8 @@ def _prompt_sql() -> str:
     return out
 
 
-projection("t35_prompt", "drafts", ["draft_id"], lambda c: {"prompt": replies.prompt(C, _payload(c))}, [*_JSON, {"prompt": _prompt_sql()}])
+PROMPT_STEPS = [*_JSON, {"prompt": _prompt_sql()}]
+projection("t35_prompt", "drafts", ["draft_id"], lambda c: {"prompt": replies.prompt(C, _payload(c))}, PROMPT_STEPS)
 TEXT = f"lower({S.blob('raw_snippet', 'location_hint', 'title')})"
 projection("t36_search_text", "drafts", ["draft_id"],
            lambda c: {"text": rules.search_text(c("raw_snippet"), c("location_hint"), c("title"))}, {"text": TEXT})

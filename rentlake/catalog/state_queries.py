@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rentlake import fixed_values as V
 from rentlake.catalog import sqlkit as S
 from rentlake.catalog.registry import ORACLES, oracle, query
-from rentlake.catalog.scalar_queries import C, GEO_QUERY, HARD, HASH, LAT, LNG, RENTAL, SALE, SCORES, SUM, TALK, TEXT, blend_sql, bucket_sql, rule_steps, scores_line
+from rentlake.catalog.scalar_queries import C, GEO_QUERY, HARD, HASH, LAT, LNG, PROMPT_STEPS, RENTAL, SALE, SCORES, SUM, TALK, TEXT, blend_sql, bucket_sql, rule_steps, scores_line
 from rentlake.catalog.source_queries import _GENERIC, _IDEALISTA, _POST_DRAFT, AS_OF, LATEST, stored_listings, stored_scores
 from rentlake.catalog.views import VIEWS, table, view, with_clause
 from rentlake.functions import cards, keys, places, rules
@@ -18,7 +18,8 @@ from rentlake.operators.anchors import flat_anchors
 from rentlake.operators.increments import Listings
 from rentlake.operators.ledger import Ledger
 from rentlake.operators.ordered import chunk, numbered, with_previous
-from rentlake.plans import ingest, rate
+from rentlake.operators.requests import Requests
+from rentlake.plans import daily, ingest, rate
 from rentlake.session import cut_lineage, fresh_folder
 from rentlake.sources.store import Store
 
@@ -291,6 +292,39 @@ def w1(spark, sf):
     return scoring.latest_scores(stored_scores(spark, sf)).select("listing_id", "id", "score")
 
 
+@query("w1_latest_by_runs", ORACLES["w1_latest_score"])
+def w1_runs(spark, sf):
+    """Newest scores kept up by three runs, the newest rows not in the last of them."""
+    latest = scoring.LatestScores(Store(spark, fresh_folder(spark, "w1")), buckets=8, fold_every=2)
+    rows = cut_lineage(stored_scores(spark, sf))
+    for version in (1, 2, 3):
+        latest.write(version, rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == version - 1))
+    return latest.read().select("listing_id", "id", "score")
+
+
+@query("a11_duplicate_skips", oracle("select count(*) as n from messages where received_at >= timestamp '2024-03-02 06:30:00' and message_id % 3 <> 0", "messages"))
+def a11(spark, sf):
+    """Drafts since a time that met a known listing, from a change feed laid out by day."""
+    store = Store(spark, fresh_folder(spark, "a11"))
+    store.write("changes", 1, view(spark, sf, "messages").selectExpr("received_at as seen_at", "message_id % 3 = 0 as is_new"), day="seen_at")
+    return daily.duplicate_skips_since(store, "2024-03-02 06:30:00")
+
+
+@query("t35_request_table", oracle(
+    """select sha256(prompt) as request_id, cast(case when bool_or(draft_id % 2 = 0) then 1 else 2 end as integer) as asked_in, count(*) as listings from {from} group by prompt""",
+    "drafts", steps=PROMPT_STEPS))
+def t35_table(spark, sf):
+    """Two runs ask about listings: half of them, then all; every text is asked once."""
+    store = Store(spark, fresh_folder(spark, "t35"))
+    requests, rows = Requests(store, buckets=8), view(spark, sf, "drafts").withColumn("id", F.col("draft_id").cast("string"))
+    for version, part in ((1, rows.where("draft_id % 2 = 0")), (2, rows)):
+        requests.ask(version, requests.questions(part, C), NOW)
+    schema = "request_id string, prompt string"
+    written = [spark.read.schema(schema).parquet(store.path("prompts", v)).select("request_id", F.lit(v).alias("asked_in")) for v in (1, 2)]
+    listings = requests.asked.read().groupBy("request_id").agg(F.count("*").alias("listings"))
+    return written[0].unionByName(written[1]).join(listings, "request_id", "left")
+
+
 @query("w2_duplicate_primary", oracle("select id, possible_duplicate_of_id from {from}", "listings", steps=PRIMARY))
 def w2(spark, sf):
     return linked_listings(spark, sf).select("id", "possible_duplicate_of_id")

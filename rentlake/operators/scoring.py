@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rentlake.criteria import Criteria
 from rentlake.functions import replies, rules
+from rentlake.session import cut_lineage
+from rentlake.sources.keyed import Keyed
+from rentlake.sources.store import Store
 
 SCORE_SCHEMA = """
     id string, listing_id string, score int, reasons array<string>, summary string,
@@ -23,6 +26,22 @@ def latest_scores(scores: DataFrame) -> DataFrame:
     return newest.select("listing_id", "_at.*", "_row.*").select(*scores.columns)
 
 
+class LatestScores:
+    """The newest score of each listing, kept up by the scores of each run: a run reads and writes what it scored, not the history."""
+
+    def __init__(self, store: Store, buckets: int = 64, fold_every: int = 16):
+        self.table = Keyed(store, "latest_scores", SCORE_SCHEMA, ["listing_id"], buckets=buckets, fold_every=fold_every)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        return self.table.read(before)
+
+    def write(self, version: int, scores: DataFrame) -> None:
+        """Take in scores; older ones than the stored never replace them.  Scores of no listing are left out."""
+        new = cut_lineage(latest_scores(scores.where("listing_id is not null").select(*self.table.columns)))
+        known = self.table.lookup(new, version)
+        self.table.write(version, latest_scores(new.unionByName(known)))
+
+
 def with_latest(listings: DataFrame, scores: DataFrame, how: str = "left") -> DataFrame:
     """Listings next to their newest score, columns prefixed with ``s_``."""
     latest = latest_scores(scores)

@@ -33,6 +33,11 @@ def post_ledger(posts: DataFrame, kept: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def duplicate_skips_since(changes: DataFrame, time: str) -> DataFrame:
+    """Number of drafts since a time that met a listing that was there already, one row."""
+    return changes.where((F.col("seen_at") >= F.lit(time).cast("timestamp")) & ~F.col("is_new")).agg(F.count("*").alias("n"))
+
+
 def row_counts(**tables: DataFrame) -> DataFrame:
     out = None
     for name, table in tables.items():

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlake.criteria import Criteria
-from rentlake.operators import geocode, tables
+from rentlake.operators import geocode, scoring, tables
 from rentlake.operators.ledger import Ledger
-from rentlake.operators.scoring import SCORE_SCHEMA
+from rentlake.operators.requests import Requests
+from rentlake.operators.scoring import SCORE_SCHEMA, LatestScores
 from rentlake.operators.upsert import LISTING_SCHEMA
 from rentlake.plans import ingest as ingest_plan
 from rentlake.plans import rate as rate_plan
@@ -29,6 +31,12 @@ RUNS = (
 )
 
 
+def duplicate_skips_since(store: Store, time: str) -> DataFrame:
+    """Drafts since a time (text in UTC) that met a known listing; only the days from then on are read."""
+    schema = "seen_at timestamp, is_new boolean"
+    return tables.duplicate_skips_since(store.read_days("changes", schema, first=dt.datetime.fromisoformat(time).date()), time)
+
+
 def ledgers(store: Store) -> tuple[Ledger, Ledger]:
     """Of messages and of posts."""
     return Ledger(store, "message_ledger", MESSAGE_LEDGER, "message_id", "received_at"), Ledger(store, "post_ledger", POST_LEDGER, "post_id", "posted_at")
@@ -38,7 +46,7 @@ def run(
     spark: SparkSession, root: str, version: int, messages: DataFrame, posts: DataFrame, c: Criteria, as_of: str,
     gazetteer: DataFrame, fallback: DataFrame, model_replies: DataFrame | None = None,
     message_hours: int = 26, post_hours: int = 24, receipts: DataFrame | None = None, dismissed: DataFrame | None = None,
-    queue: bool = False,
+    queue: bool = False, answers: DataFrame | None = None,
 ) -> dict[str, int]:
     """Ingest, link, score and lay out the digest; returns the run counters.
 
@@ -47,6 +55,9 @@ def run(
     scores, points, alternate URLs, changes and runs are appended, a version holding the rows of its run.
     ``receipts`` (listing_id, sent_at, message_id) says which cards were sent since the last
     run and ``dismissed`` (listing_id) which listings nobody wants to see again.
+    ``answers`` (request_id, response, replied_at) are the model's answers to ``prompts`` of earlier runs, or None
+    where no model is asked; with them, also an empty table, the run writes the questions that are new, and scores listings again when
+    their answer is there.
     """
     tune(spark)
     store = Store(spark, root)
@@ -54,7 +65,7 @@ def run(
     store.write("runs", version, tables.run_row(spark, str(version), as_of, None, counters))
     try:
         with scratch(spark):
-            _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, counters)
+            _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, answers, counters)
         store.write("runs", version, tables.run_row(spark, str(version), as_of, as_of, counters))
     except Exception as error:
         store.write("runs", version, tables.run_row(spark, str(version), as_of, as_of, counters, str(error)[:2000]))
@@ -62,14 +73,15 @@ def run(
     return counters
 
 
-def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, counters) -> None:
+def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, answers, counters) -> None:
     now = F.lit(as_of).cast("timestamp")
     listings = store.read("listings", LISTING_SCHEMA, before=version)
     if receipts is not None:
         listings = tables.mark_sent(listings, receipts)
     if dismissed is not None:
         listings = tables.mark_dismissed(listings, dismissed, as_of)
-    old_scores = store.read_all("listing_scores", SCORE_SCHEMA, before=version)
+    latest, requests = LatestScores(store), Requests(store)
+    old_scores = cut_lineage(latest.read(before=version))
     mail_ledger, post_ledger = ledgers(store)
     cache = store.read_all("geocode_cache", POINTS, before=version)
 
@@ -79,7 +91,7 @@ def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback,
     )
     mail_ledger.write(version, cut_lineage(result.message_ledger))
     post_ledger.write(version, cut_lineage(result.post_ledger))
-    store.write("changes", version, result.merge.changes)
+    store.write("changes", version, result.merge.changes, day="seen_at")
     store.write("alternate_urls", version, result.merge.alternate_urls)
     store.write("linked", version, result.listings)
     linked = spark.read.schema(LISTING_SCHEMA).parquet(store.path("linked", version))
@@ -90,15 +102,26 @@ def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback,
         **{n: counts[n] for n in counts if n.startswith(("messages_skipped", "posts_"))},
     }
 
-    located, scores = rate_plan.rate(linked, old_scores, c, cache, gazetteer, fallback, model_replies, as_of)
-    store.write("listing_scores", version, scores)
+    if answers is not None:
+        requests.answer(version, answers)
+        # A listing whose answer has come counts as not scored.
+        again = requests.answered(version, answers)
+        old_scores = old_scores.join(again, "listing_id", "left_anti").select(*old_scores.columns)
+    located = cut_lineage(rate_plan.located(linked, old_scores, c, cache, gazetteer, fallback, as_of))
+    if answers is not None:
+        questions = requests.questions(located, c)
+        found = requests.replies(questions, version + 1)
+        model_replies = found if model_replies is None else found.unionByName(model_replies, allowMissingColumns=True)
+        requests.ask(version, questions, as_of)
+    store.write("listing_scores", version, scoring.score(located, c, model_replies, as_of))
+    latest.write(version, store.read("listing_scores", SCORE_SCHEMA, before=version + 1))
     store.write("listings", version, rate_plan.with_points(linked, located))
     if c.proximity_enabled:
         store.write("geocode_cache", version, geocode.new_cache_rows(located, cache, as_of))
     counters["listings_scored"] = store.read("listing_scores", SCORE_SCHEMA, before=version + 1).count()
 
     current = store.read("listings", LISTING_SCHEMA, before=version + 1)
-    all_scores = store.read_all("listing_scores", SCORE_SCHEMA, before=version + 1)
+    all_scores = latest.read(before=version + 1)
     lines = rate_plan.digest_cards(current, all_scores, c, as_of, counters["listings_new"], counters["duplicates_skipped"], queue=queue)
     store.write("digest_cards", version, lines)
     counters["cards_sent"] = spark.read.parquet(store.path("digest_cards", version)).where("listing_id is not null").count()

@@ -18,14 +18,22 @@ def classified(listings: DataFrame, scores: DataFrame, c: Criteria, as_of: str,
     return rows.select(*listings.columns, outcome.alias("outcome"))
 
 
+def located(
+    listings: DataFrame, scores: DataFrame, c: Criteria, cache: DataFrame, gazetteer: DataFrame, fallback: DataFrame,
+    as_of: str, days: int = 7, limit: int | None = None,
+) -> DataFrame:
+    """Listings that are due, with points, distances and proximity scores."""
+    due = classified(listings, scores, c, as_of, days, limit).where("outcome = 'scored'").drop("outcome")
+    return geocode.resolve(due, c, cache, gazetteer, fallback, as_of)
+
+
 def rate(
     listings: DataFrame, scores: DataFrame, c: Criteria, cache: DataFrame, gazetteer: DataFrame, fallback: DataFrame,
     model_replies: DataFrame | None, as_of: str, days: int = 7, limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Located listings that were due, and their new score rows."""
-    due = classified(listings, scores, c, as_of, days, limit).where("outcome = 'scored'").drop("outcome")
-    located = geocode.resolve(due, c, cache, gazetteer, fallback, as_of)
-    return located, scoring.score(located, c, model_replies, as_of)
+    due = located(listings, scores, c, cache, gazetteer, fallback, as_of, days, limit)
+    return due, scoring.score(due, c, model_replies, as_of)
 
 
 def with_points(listings: DataFrame, located: DataFrame) -> DataFrame:
