@@ -10,6 +10,7 @@ from rentlake.catalog.state_queries import folded, shared_drafts
 from rentlake.catalog.views import table, view
 from rentlake.operators.increments import Listings
 from rentlake.operators.ledger import Ledger
+from rentlake.operators.outbox import EVENT, Outbox
 from rentlake.session import fresh_folder
 from rentlake.sources.store import Store
 from rentlake.streaming import feeds
@@ -111,3 +112,34 @@ def r6(spark, sf):
         out = _appended(spark, stream.select("event_id"), root)
     return out
 
+
+
+@query("w6_outbox", """with rows_ as (
+    select user_id * 100 + day(ts) // 3 as listing, ts, case event_type when 'view' then 'chosen' when 'click' then 'sent' when 'signup' then 'dismissed' end as kind,
+      case when event_id % 7 > 0 then ts end as reason_at, event_id % 3 as landing
+    from events where event_type in ('view', 'click', 'signup') and user_id is not null),
+  landed as (select listing, landing, count(*) filter (kind = 'chosen') > 0 as chosen, max(reason_at) filter (kind = 'chosen') as reason_at,
+      max(ts) filter (kind = 'sent') as sent_at, count(*) filter (kind = 'dismissed') > 0 as dismissed from rows_ group by listing, landing),
+  known as (select listing, landing, chosen, reason_at,
+      max(reason_at) over (partition by listing order by landing) as newest,
+      max(reason_at) over (partition by listing order by landing rows between unbounded preceding and 1 preceding) as before,
+      coalesce(bool_or(chosen) over (partition by listing order by landing rows between unbounded preceding and 1 preceding), false) as queued,
+      max(sent_at) over (partition by listing order by landing) as sent_at,
+      bool_or(dismissed) over (partition by listing order by landing) as dismissed from landed)
+  select listing, cast(landing + 1 as integer) as landing, case when sent_at is null then 'first' else 'price' end as reason, strftime(newest, '%Y-%m-%d %H:%M:%S') as reason_at
+  from known where chosen and (not queued or coalesce(reason_at, timestamp '1900-01-01') > coalesce(before, timestamp '1900-01-01'))
+    and not dismissed and (sent_at is null or coalesce(sent_at < newest, false))""")
+def w6_outbox(spark, sf):
+    """Three landings in no order of time and the first one again; views choose a card, clicks are receipts, signups dismiss."""
+    kind = F.when(F.col("event_type") == "view", "chosen").when(F.col("event_type") == "click", "sent").when(F.col("event_type") == "signup", "dismissed")
+    rows = table(spark, sf, "events").select(
+        F.expr("cast(user_id * 100 + day(ts) div 3 as string)").alias("listing_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"),
+        F.when(F.col("event_id") % 7 > 0, F.col("ts").cast("timestamp")).alias("reason_at"), (F.col("event_id") % 3).alias("landing"),
+    ).where("kind is not null and listing_id is not null")
+    root = fresh_folder(spark, "w6")
+    outbox = Outbox(Store(spark, f"{root}/tables"), buckets=8)
+    for i, landing in enumerate((0, 1, 2, 0)):
+        rows.where(F.col("landing") == landing).drop("landing").write.parquet(f"{root}/in/{i}")
+        feeds.send_cards(feeds.landed(spark, f"{root}/in/*", EVENT), outbox, f"{root}/checkpoint", "2030-01-01 00:00:00")
+    sends = spark.read.option("basePath", f"{root}/tables/sends").parquet(*[outbox.store.path("sends", v) for v in outbox.store.versions("sends")])
+    return sends.select(F.col("listing_id").cast("bigint").alias("listing"), F.col("version").cast("int").alias("landing"), "reason", F.date_format("reason_at", "yyyy-MM-dd HH:mm:ss").alias("reason_at"))

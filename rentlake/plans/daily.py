@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlake.criteria import Criteria
-from rentlake.operators import geocode, scoring, tables
+from rentlake.functions import cards
+from rentlake.operators import digest, geocode, scoring, tables
 from rentlake.operators.ledger import Ledger
+from rentlake.operators.ordered import numbered
+from rentlake.operators.outbox import Outbox, chosen_events, dismissal_events, receipt_events
 from rentlake.operators.requests import Requests
 from rentlake.operators.scoring import SCORE_SCHEMA, LatestScores
 from rentlake.operators.upsert import LISTING_SCHEMA
+from rentlake.plans import front
 from rentlake.plans import ingest as ingest_plan
 from rentlake.plans import rate as rate_plan
 from rentlake.session import cut_lineage, scratch, tune
@@ -55,6 +59,7 @@ def run(
     scores, points, alternate URLs, changes and runs are appended, a version holding the rows of its run.
     ``receipts`` (listing_id, sent_at, message_id) says which cards were sent since the last
     run and ``dismissed`` (listing_id) which listings nobody wants to see again.
+    With ``queue`` the chosen cards wait in the outbox, from which ``send`` takes them.
     ``answers`` (request_id, response, replied_at) are the model's answers to ``prompts`` of earlier runs, or None
     where no model is asked; with them, also an empty table, the run writes the questions that are new, and scores listings again when
     their answer is there.
@@ -73,6 +78,48 @@ def run(
     return counters
 
 
+def run_landed(
+    spark: SparkSession, root: str, version: int, parts: DataFrame, headers: DataFrame, pages: DataFrame, c: Criteria, as_of: str,
+    gazetteer: DataFrame, fallback: DataFrame, message_hours: int = 26, post_hours: int = 24, **options,
+) -> dict[str, int]:
+    """``run`` from what has landed: MIME parts and headers of messages, and feed pages."""
+    tune(spark)
+    with scratch(spark):
+        messages = cut_lineage(front.new_messages(parts, headers, as_of, message_hours))
+        posts = cut_lineage(front.new_posts(pages, as_of, post_hours))
+        return run(spark, root, version, messages, posts, c, as_of, gazetteer, fallback, message_hours=message_hours, post_hours=post_hours, **options)
+
+
+def send(
+    spark: SparkSession, root: str, version: int, c: Criteria, as_of: str, receipts: DataFrame | None = None,
+    dismissed: DataFrame | None = None, delay_ms: int = 2500, retry_minutes: int | None = None,
+) -> DataFrame:
+    """Cards that are to go out now, from the outbox, one every ``delay_ms``; also written as ``sends``.
+
+    Versions are those of ``run`` and count on: a send takes one of its own.  What is in the outbox is checked
+    again against ``receipts`` and ``dismissed`` known by now, and a card shows the listing as it now stands; a
+    listing that is gone or dismissed in the listing table makes none.  Running a version again gives the same cards.
+    """
+    tune(spark)
+    store = Store(spark, root)
+    outbox = Outbox(store, retry_minutes)
+    with scratch(spark):
+        news = [e for e in (
+            None if receipts is None else receipt_events(receipts), None if dismissed is None else dismissal_events(dismissed, as_of),
+        ) if e is not None]
+        due = outbox.hand_out(version, as_of, reduce(DataFrame.unionByName, news) if news else None)
+        listings = store.read("listings", LISTING_SCHEMA, before=version)
+        view = digest.digest_view(listings, LatestScores(store).read(before=version))
+        rows, _ = numbered(view.join(due, F.col("id") == F.col("listing_id")), "queued_at", *digest.rank_order())
+        wait = F.make_interval(secs=F.col("pos") * F.lit(max(0, delay_ms) / 1000).cast("decimal(18,6)"))
+        row = {n: F.col(n) for n in rows.columns}
+        store.write("sends", version, rows.select(
+            "listing_id", "reason", F.col("pos").alias("position"), (F.lit(as_of).cast("timestamp") + wait).alias("send_at"),
+            cards.card(row, c.reference_name).alias("text"),
+        ))
+    return spark.read.parquet(store.path("sends", version))
+
+
 def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback, model_replies, message_hours, post_hours, receipts, dismissed, queue, answers, counters) -> None:
     now = F.lit(as_of).cast("timestamp")
     listings = store.read("listings", LISTING_SCHEMA, before=version)
@@ -124,4 +171,12 @@ def _run(spark, store, version, messages, posts, c, as_of, gazetteer, fallback,
     all_scores = latest.read(before=version + 1)
     lines = rate_plan.digest_cards(current, all_scores, c, as_of, counters["listings_new"], counters["duplicates_skipped"], queue=queue)
     store.write("digest_cards", version, lines)
+    if queue:
+        chosen = current.join(spark.read.parquet(store.path("digest_cards", version)).select(F.col("listing_id").alias("id")), "id", "left_semi")
+        events = chosen_events(chosen, as_of)
+        if receipts is not None:
+            events = events.unionByName(receipt_events(receipts))
+        if dismissed is not None:
+            events = events.unionByName(dismissal_events(dismissed, as_of))
+        Outbox(store).take(version, events)
     counters["cards_sent"] = spark.read.parquet(store.path("digest_cards", version)).where("listing_id is not null").count()

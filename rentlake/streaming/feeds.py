@@ -12,6 +12,7 @@ from rentlake.criteria import Criteria
 from rentlake.operators.increments import Listings
 from rentlake.operators.ledger import Ledger
 from rentlake.operators.ordered import chunk, numbered, with_previous
+from rentlake.operators.outbox import Outbox
 from rentlake.plans import ingest as ingest_plan
 from rentlake.session import cut_lineage, scratch
 from rentlake.sources.keyed import Keyed
@@ -88,6 +89,21 @@ def resend_state(events: DataFrame, kind: Column, key: str, time: str) -> DataFr
     return state.withColumn("due", due)
 
 
+def send_cards(stream: DataFrame, outbox: Outbox, checkpoint: str, as_of: str, first: int = 1) -> StreamingQuery:
+    """Outbox events batch by batch; what a batch makes due goes to ``sends``, a version a batch from ``first`` on.
+
+    A batch reads and writes the listings its events name, and one that runs again hands out the same cards.
+    """
+    store = outbox.store
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + first
+        with scratch(store.spark):
+            store.write("sends", version, outbox.take_and_hand_out(version, batch, as_of))
+
+    return run_available(stream.writeStream.foreachBatch(apply), checkpoint)
+
+
 def merge_drafts(stream: DataFrame, store: Store, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Drafts merged batch by batch into ``Listings``, which read and write what the batch touches; a batch
     that runs again starts from the same version."""
