@@ -34,15 +34,6 @@ def from_casa(sender: Column) -> Column:
     return _says(sender, "casa.it")
 
 
-def parser_route(sender: Column, subject: Column) -> Column:
-    """Which parser takes the message; the generic one takes all the rest."""
-    return (
-        F.when(from_immobiliare(sender, subject), F.lit("immobiliare"))
-        .when(from_idealista(sender), F.lit("idealista"))
-        .otherwise(F.lit("generic"))
-    )
-
-
 def is_sale_alert(subject: Column, message_body: Column) -> Column:
     """Sale words decide only where no rent word occurs."""
     blob = F.concat_ws(" ", F.coalesce(message_body, F.lit("")), F.coalesce(subject, F.lit("")))

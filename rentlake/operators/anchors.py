@@ -50,7 +50,7 @@ def message_anchors(messages: DataFrame) -> DataFrame:
         F.coalesce("from_address", F.lit("")).alias("sender"),
         "route",
         F.col("sale") if "sale" in messages.columns else F.lit(False).alias("sale"),
-        F.when((F.col("route") == "generic") & casa, F.lit("casa")).otherwise(F.col("route")).alias("scan"),
+        F.when((F.col("scan") == "generic") & casa, F.lit("casa")).otherwise(F.col("scan")).alias("scan"),
         "body",
     )
     key_type = messages.schema["message_id"].dataType.simpleString()

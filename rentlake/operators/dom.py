@@ -109,10 +109,12 @@ _DOMAINS = tuple(V.LISTING_PATHS)
 
 
 def scan(route: str, html: str):
-    """Yield (position, href, text, block) of the anchors the route looks at."""
+    """Yield (position, href, text, block) of the anchors the route looks at; ``every`` sees all of them."""
     page = Page(html or "")
     for pos, (node, href) in enumerate(page.anchors):
-        if route == "immobiliare":
+        if route == "every":
+            yield pos, href, page.content(node), page.parent_text(node)
+        elif route == "immobiliare":
             if V.CLICK_HOST in href:
                 yield pos, href, page.content(node), page.table_text(node)[:500]
         elif route == "idealista":

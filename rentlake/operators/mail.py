@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlake.functions import alerts, amounts, keys, urls
@@ -16,19 +19,38 @@ DRAFT_COLUMNS = (
 )
 
 
-def routed(messages: DataFrame) -> DataFrame:
-    """Messages with the text to parse and the parser that takes them."""
+@dataclass(frozen=True)
+class Parser:
+    """Takes the messages that ``takes`` (of sender and subject; null counts as no) is true for, and turns their anchors into drafts.
+
+    ``scan`` says which anchors it sees and how much text around them, see ``dom.scan``; all of them, if not given.
+    ``skips_sales``: its sale alerts are left out before their bodies are read.
+    """
+
+    name: str
+    takes: Callable[[Column, Column], Column]
+    drafts: Callable[[DataFrame], DataFrame]
+    scan: str = "every"
+    skips_sales: bool = False
+
+
+def routed(messages: DataFrame, parsers: Sequence[Parser] | None = None) -> DataFrame:
+    """Messages with the text to parse and the first parser that takes them, null where none does."""
+    route = F.coalesce(*[F.when(p.takes(F.col("from_address"), F.col("subject")), F.lit(p.name)) for p in parsers or PARSERS])
     return messages.select(
         "*",
         alerts.body(F.col("html_body"), F.col("text_body")).alias("body"),
-        alerts.parser_route(F.col("from_address"), F.col("subject")).alias("route"),
+        route.alias("route"),
     )
 
 
-def anchors_of(messages: DataFrame) -> DataFrame:
-    """Anchors of all messages in one pass; the parser of the portal that sends both reads no sale alerts."""
-    todo = routed(messages).withColumn("sale", alerts.is_sale_alert(F.col("subject"), F.col("body")))
-    return message_anchors(todo.where(~(F.col("sale") & (F.col("route") == "idealista"))))
+def anchors_of(messages: DataFrame, parsers: Sequence[Parser] | None = None) -> DataFrame:
+    """Anchors of all messages that a parser takes, in one pass."""
+    parsers = parsers or PARSERS
+    scan = F.coalesce(*[F.when(F.col("route") == p.name, F.lit(p.scan)) for p in parsers])
+    todo = routed(messages, parsers).withColumns({"sale": alerts.is_sale_alert(F.col("subject"), F.col("body")), "scan": scan})
+    no_sales = F.col("route").isin([p.name for p in parsers if p.skips_sales])
+    return message_anchors(todo.where(F.col("route").isNotNull() & ~(F.col("sale") & no_sales)))
 
 
 def generic_drafts(anchors: DataFrame) -> DataFrame:
@@ -148,20 +170,22 @@ def immobiliare_drafts(found: DataFrame) -> DataFrame:
     )
 
 
-# A parser is a name and a function from anchors to drafts; add one here and a branch to
-# ``alerts.parser_route`` to plug in another portal.
-PARSERS = {
-    "immobiliare": immobiliare_drafts,
-    "idealista": idealista_drafts,
-    "generic": generic_drafts,
-}
+# The first that takes a message reads it.  ``drafts`` can be given others, before, after or instead of these.
+PARSERS = (
+    Parser("immobiliare", alerts.from_immobiliare, immobiliare_drafts, "immobiliare"),
+    Parser("idealista", lambda sender, subject: alerts.from_idealista(sender), idealista_drafts, "idealista", skips_sales=True),
+    Parser("generic", lambda sender, subject: F.lit(True), generic_drafts, "generic"),
+)
 
 
-def drafts(messages: DataFrame) -> DataFrame:
-    """Drafts of all messages: one pass over the bodies, then each route's parser on its anchors."""
-    found = cut_lineage(anchors_of(messages))
+def drafts(messages: DataFrame, parsers: Sequence[Parser] | None = None) -> DataFrame:
+    """Drafts of all messages: one pass over the bodies, then each parser on the anchors of its messages."""
+    parsers = tuple(parsers or PARSERS)
+    if len({p.name for p in parsers}) < len(parsers):
+        raise ValueError("two parsers have one name")
+    found = cut_lineage(anchors_of(messages, parsers))
     out = None
-    for name, parse in PARSERS.items():
-        part = parse(found.where(F.col("route") == name)).withColumn("parser", F.lit(name))
+    for parser in parsers:
+        part = parser.drafts(found.where(F.col("route") == parser.name)).withColumn("parser", F.lit(parser.name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -41,6 +41,25 @@ def test_message_drafts(spark):
     assert (plain["canonical_url"], plain["rent_eur"], plain["condo_fee_eur"], plain["source"]) == ("https://www.idealista.it/affitto/808/", 590, 35, "idealista.it")
 
 
+def test_another_portal_plugs_in(spark):
+    """A portal the library does not know, put before the others; one without a parser is not read."""
+
+    def casetta(anchors):
+        known = anchors.where(F.contains("href", F.lit("casetta.example/")))
+        blank = {n: F.lit(None).cast("string") for n in ("external_id", "location_hint")} | {n: F.lit(None).cast("double") for n in ("area_sqm", "rooms")} | {"condo_fee_eur": F.lit(None).cast("int")}
+        facts = {"canonical_url": F.col("href"), "listing_url": F.col("href"), "source": F.lit("casetta"), "title": F.col("text"), "rent_eur": F.regexp_extract("block", r"(\d+) €", 1).cast("int"), "raw_snippet": F.col("block")}
+        return known.withColumns(blank | facts).select("message_id", "received_at", "sale", "sender", *mail.DRAFT_COLUMNS)
+
+    own = mail.Parser("casetta", lambda sender, subject: F.contains(sender, F.lit("@casetta")), casetta)
+    html = "<p><a href='https://casetta.example/9'>Bilocale</a> 610 €</p><p><a href='https://other.example/'>x</a></p>"
+    rows = messages(spark).unionByName(spark.createDataFrame([("new", "alert", "x@casetta.example", html, ""), ("null", None, None, html, "")], messages(spark).schema))
+    got = {r["message_id"]: r for r in mail.drafts(rows, [own, *mail.PARSERS]).collect()}
+    assert set(got) == {"rent", "click", "plain", "new"}
+    assert (got["new"]["parser"], got["new"]["title"], got["new"]["rent_eur"], got["new"]["canonical_url"]) == ("casetta", "Bilocale", 610, "https://casetta.example/9")
+    assert got["rent"]["parser"] == "idealista"
+    assert [r["message_id"] for r in mail.drafts(rows, [own]).collect()] == ["new"]
+
+
 def test_blocks_need_nesting():
     html = "<table><tr><td><div><p><a href='/immobile/1'>x<b>y</b></a></p> far</div>700 € <i>60 m²</i><td>other</table>"
     (_, href, text, block), = dom.scan("idealista", html)
