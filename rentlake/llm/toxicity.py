@@ -1,8 +1,9 @@
 """Toxicity by subword-bag embeddings and a linear softmax.
 
 A word is a bag of hashed parts: itself and the character n-grams of "<word>" in lower
-case.  A window of consecutive words is the mean of the vectors of all its parts, and a
-softmax over it gives the window's probability; a document takes its most toxic window.
+case.  A window of consecutive words, one from every word on, is the mean of the vectors of all its parts, and a
+softmax over it gives the window's probability; a document takes its most toxic window, so words put before or
+after a text never lower its score.  A text of fewer words is one window.
 Vectors and softmax are trained jointly by AdaGrad in numpy on a bounded labelled sample:
 the windows that stand for a document are its likeliest ones under the model so far, so
 that a few bad words in a long text are enough.  Unseen misspellings share n-grams with
@@ -92,7 +93,8 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, dimensions: int
     for _, text, _ in rows:
         low, starts, ends, _ = _words(*flat(pa.array([text], pa.string())))
         parts, bounds = word_parts(low, starts, ends)
-        documents.append((parts, bounds[np.minimum(np.arange(0, len(starts) + WINDOW, WINDOW), len(starts))]))
+        first, last = windows(np.array([len(starts)]))
+        documents.append((parts, bounds[first], bounds[last]))
     rng = np.random.default_rng(10)
     order = rng.permutation(len(rows))
     aside, own_rows = (order[: len(rows) // 4], order[len(rows) // 4 :]) if len(rows) >= 40 else (order, order)
@@ -119,17 +121,19 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, dimensions: int
         scores = vectors @ (classes[1] - classes[0])
         done: set[bytes] = set()  # windows that copies of a document repeat
         for i in rng.permutation(own_rows):
-            parts, bounds = documents[i]
-            n = len(bounds) - 1
+            parts, first, last = documents[i]
+            n = len(first)
             if not len(parts):
                 continue
             if epoch == 0:  # nothing is known yet: some windows, all under the document's label
                 chosen = rng.integers(0, n, min(n, 24))
             else:
-                likely = np.argsort(-window_means(scores, parts, bounds))
-                chosen = likely[:1] if y[i] else np.concatenate([likely[:2], rng.integers(0, n, 1)])
+                means = window_means(scores, parts, first, last)
+                likely = int(np.argmax(means))
+                apart = np.where(np.abs(np.arange(n) - likely) < WINDOW, -np.inf, means)  # windows that share no word with it
+                chosen = [likely] if y[i] else [likely, int(np.argmax(apart)), int(rng.integers(0, n))]
             for w in chosen:
-                window = parts[bounds[w] : bounds[w + 1]]
+                window = parts[first[w] : last[w]]
                 if len(window) and window.tobytes() not in done:
                     done.add(window.tobytes())
                     learn(window, int(y[i]), 0.3)
@@ -137,9 +141,19 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, dimensions: int
     return Model(scores, _bias(np.array([window_means(scores, *documents[i]).max() for i in aside if len(documents[i][0])]), np.array([y[i] for i in aside if len(documents[i][0])])))
 
 
-def window_means(scores: np.ndarray, parts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the windows of each row, counting words over all rows."""
+    before = np.concatenate([[0], np.cumsum(n_words)])
+    count = np.where(n_words > 0, np.maximum(1, n_words - WINDOW + 1), 0)
+    row = np.repeat(np.arange(len(n_words)), count)
+    first = before[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return first, np.minimum(first + WINDOW, before[row + 1])
+
+
+def window_means(scores: np.ndarray, parts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Mean score of the parts from ``first`` to before ``last``."""
     sums = np.concatenate([[0], np.cumsum(scores[parts], dtype=np.float64)])
-    return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(1, np.diff(bounds))
+    return (sums[last] - sums[first]) / np.maximum(1, last - first)
 
 
 def _bias(logits: np.ndarray, y: np.ndarray) -> float:
@@ -159,11 +173,11 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     parts, part_bounds = word_parts(low, starts, ends)
     out, where = np.full(len(offsets) - 1, model.bias), np.full(len(offsets) - 1, -1, np.int64)
     n_words = np.diff(bounds)
-    n_windows = -(-n_words // WINDOW)
+    begin, end = windows(n_words)
+    n_windows = np.where(n_words > 0, np.maximum(1, n_words - WINDOW + 1), 0)
     first = np.concatenate([[0], np.cumsum(n_windows)])
     row = np.repeat(np.arange(len(n_windows)), n_windows)
-    begin = bounds[:-1][row] + WINDOW * (np.arange(first[-1]) - first[:-1][row])
-    logit = window_means(model.parts, parts, part_bounds[np.append(begin, len(starts))]) + model.bias
+    logit = window_means(model.parts, parts, part_bounds[begin], part_bounds[end]) + model.bias
     full = np.flatnonzero(n_windows)
     if len(full):
         out[full] = np.maximum.reduceat(logit, first[:-1][full])

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -232,6 +233,42 @@ def test_misspellings_share_parts():
     assert score[0] > 0.5 > score[1] and where[0] == 18
 
 
+def test_toxicity_equals_brute_force(spark, frame, odd_texts):
+    """The score of a text is that of its best window, from whichever word on."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abdeghiklmnoprstuvwé"), rng.integers(1, 40))) for _ in range(60)]
+    bad = words[:6]
+    line = lambda n, pool: " ".join(rng.choice(pool, n))
+    rows = [(i, line(12, words[6:]) + (" " + line(2, bad) if i % 2 else ""), i % 2) for i in range(120)]
+    model = toxicity.fit(rows)
+    texts = [line(n, words) for n in range(9)] + [*odd_texts, rows[1][1], rows[1][1]]
+
+    def parts(word):
+        data = np.frombuffer(word, np.uint8)
+        return toxicity.word_parts(data, np.array([0]), np.array([len(data)]))[0].tolist()
+
+    def brute(text):
+        found = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode("utf-8", "replace").lower())
+        numbers = [parts(w) for w in found]
+        means = []
+        for i in range(max(1, len(found) - toxicity.WINDOW + 1)) if found else ():
+            values = [float(model.parts[p]) for w in numbers[i : i + toxicity.WINDOW] for p in w]
+            means.append(sum(values) / len(values))
+        best = max(means, default=0.0) + model.bias
+        return 1 / (1 + np.exp(-np.clip(best, -30, 30))), means
+
+    short = [t for t in texts if len(t or "") < 20000]
+    data, offsets = textbatch.flat(pa.array([t or "" for t in short], pa.string()))
+    score, where = toxicity.scores(model, data, offsets)
+    for text, one, at in zip(short, score, where):
+        expected, means = brute(text)
+        assert one == pytest.approx(expected, abs=1e-5), text
+        assert means[at] == pytest.approx(max(means), abs=1e-5) if means else at == -1, text  # equal windows: any of them
+    # a word in front moves the window and nothing else
+    moved, _ = toxicity.scores(model, *textbatch.flat(pa.array([f"{words[7]} {rows[1][1]}", f"{words[7]} {words[8]} {rows[1][1]}"])))
+    assert (moved > 0.5).all()
+
+
 # -- packing
 
 
