@@ -12,7 +12,7 @@ NAMES = (
     "t7_canonical_url", "t25_fingerprint", "n1_parse_amount", "n4_rent_from_text", "n14_rule_score", "j2_reply_result", "p8_keeps_post_draft",
     "e1_generic_drafts", "e3_immobiliare_drafts", "e6_feed_posts", "e7_post_drafts", "w2_duplicate_primary", "w4_digest_cut", "t32_listing_card",
     "u2_merge_fields", "u3_price_changes", "u5_change_feed", "u5_two_key_changes", "g2_proximity", "r4_price_change_stream", "e0_anchors", "e2_idealista_drafts",
-    "a3_message_counters", "a4_post_counters", "s9_run_metrics", "s10_export_files", "s12_front_messages", "s13_front_posts", "w6_send_schedule", "w9_digest_cards",
+    "a3_message_counters", "a4_post_counters", "s9_run_metrics", "s10_export_files", "s12_front_messages", "s13_front_posts", "w6_send_schedule", "w6_outbox", "w9_digest_cards",
 )
 
 

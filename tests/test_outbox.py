@@ -106,3 +106,19 @@ def test_run_and_send(spark, tmp_path):
     daily.run(spark, store.root, 5, first.unionByName(dearer), posts, c, "2024-03-01 18:00:00", none, none, queue=True, receipts=receipts)
     (again,) = daily.send(spark, store.root, 6, c, "2024-03-01 18:05:00").collect()
     assert (again["listing_id"], again["reason"]) == (listing, "price") and "760" in again["text"]
+
+
+def test_run_from_landed_input(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    none = spark.createDataFrame([], "query_key string, lat double, lng double")
+    mails = messages(spark)
+    parts = mails.selectExpr("message_id", "array(0) as path", "'text/html' as mime_type", "translate(base64(encode(html_body, 'UTF-8')), '+/', '-_') as data")
+    parts = parts.unionByName(mails.selectExpr("message_id", "array(1) as path", "'text/plain' as mime_type", "translate(base64(encode(text_body, 'UTF-8')), '+/', '-_') as data"))
+    sent = "struct('date' as name, 'Fri, 1 Mar 2024 10:00:00 +0000' as value)"
+    headers = mails.selectExpr("message_id", f"array(struct('Subject' as name, subject as value), struct('From' as name, from_address as value), {sent}) as headers")
+    html = "<div role='article'><a href='https://www.facebook.com/groups/1/posts/77/'>Affitto trilocale 75 mq in Cenisia, via Po 4, Torino. 750 €/mese e 3 locali, libero subito</a></div>"
+    pages = spark.createDataFrame([("p", "1", dt.datetime(2024, 3, 1, 9), html), ("q", "2", dt.datetime(2024, 3, 1, 9), "")], "page_id string, group_id string, scraped_at timestamp, html string")
+    counters = daily.run_landed(spark, store.root, 1, parts, headers, pages, criteria.load(), "2024-03-01 12:00:00", none, none, queue=True)
+    # the same run over messages and posts finds as many messages, see test_daily
+    assert counters["messages_processed"] == 4 and counters["posts_processed"] == 1 and counters["listings_new"] >= 2
+    assert counters["cards_sent"] == daily.send(spark, store.root, 2, criteria.load(), "2024-03-01 12:10:00").count() > 0
