@@ -55,3 +55,23 @@ def zones(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFram
     """
     rows = aliases.where("zone is not null").select("zone", F.lower("word").alias("word")).distinct()
     return mentions(texts, key, text, rows).join(rows, "word").select(key, "zone").distinct()
+
+
+def zone_counts(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """Per zone the number ``n`` of numeric keys whose texts mention it, the smallest of them and their sum ``ids``.
+
+    A key may stand at several texts.  Equal texts are searched once, and keys whose texts mention the same zones are
+    counted together, so no pair of key and zone is made.
+    """
+    rows = texts.where(F.col(text).isNotNull()).select(key, text)
+    whole = cut_lineage(rows.select(text).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    found = zones(whole, "_id", text, aliases).groupBy("_id").agg(F.sort_array(F.collect_set("zone")).alias("_zones"))
+    found = cut_lineage(found)
+    kinds = cut_lineage(found.select("_zones").distinct().withColumn("_kind", F.monotonically_increasing_id()))
+    kind_of = cut_lineage(whole.join(found, "_id").join(kinds, "_zones").select(text, "_kind"))
+    held = rows.join(kind_of, text).groupBy(key).agg(F.sort_array(F.collect_set("_kind")).alias("_kinds"))
+    k = F.col(key)
+    totals = cut_lineage(held.groupBy("_kinds").agg(F.count("*").alias("n"), F.min(k).alias("first_id"), F.sum(k).alias("ids")))
+    of_kind = totals.select("_kinds", F.explode("_kinds").alias("_kind")).join(kinds.select("_kind", F.explode("_zones").alias("zone")), "_kind")
+    each = of_kind.select("_kinds", "zone").distinct().join(totals, "_kinds")
+    return each.groupBy("zone").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("ids").alias("ids"))

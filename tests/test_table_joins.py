@@ -34,6 +34,20 @@ def test_zones_share_and_overlap_aliases(spark):
     assert sorted(map(tuple, found.collect())) == [("t1", "Altro"), ("t1", "Nord"), ("t1", "Salvario"), ("t1", "San"), ("t2", "Croce"), ("t3", "Altro"), ("t3", "Nord")]
 
 
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    texts = [(i, ("vicino san nord", "crocetta", "nord", None)[i % 4]) for i in range(400)] + [(0, "nord"), (0, "san"), (1, "crocetta")]
+    rows = [("San", "san"), ("Nord", "nord"), ("Nord", "NORD"), ("Croce", "croce"), ("Leer", None)]
+    searched, search = [], mentions.mentions
+    monkeypatch.setattr(mentions, "mentions", lambda t, *rest: searched.append(t.count()) or search(t, *rest))
+    found = mentions.zone_counts(spark.createDataFrame(texts, "id bigint, txt string"), "id", "txt", spark.createDataFrame(rows, "zone string, word string"))
+    want = {}
+    for i, t in texts:
+        for z in {z for z, w in rows if t and w and w.lower() in t}:
+            want.setdefault(z, set()).add(i)
+    assert sorted(map(tuple, found.collect())) == sorted((z, len(ids), min(ids), sum(ids)) for z, ids in want.items())
+    assert searched == [4]  # four texts that are not null
+
+
 def test_buckets_from_a_table_equal_the_literal_ones(spark, monkeypatch):
     monkeypatch.setattr("rentlake.operators.ordered.CHUNK", 7)
     rng = random.Random(9)
