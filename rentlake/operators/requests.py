@@ -47,8 +47,10 @@ class Requests:
     def ask(self, version: int, questions: DataFrame, as_of: str) -> None:
         """Enter questions that no version before asked, and write their prompts, each text once, as ``prompts``."""
         pair = ["request_id", "listing_id"]
-        known = cut_lineage(self.asked.lookup(questions, version).select(*pair))
-        new = cut_lineage(questions.join(known, pair, "left_anti").dropDuplicates(pair))
-        unasked = new.join(known.select("request_id").distinct(), "request_id", "left_anti")
-        self.store.write("prompts", version, unasked.dropDuplicates(["request_id"]).select("request_id", "prompt"))
-        self.asked.write(version, new.select(*pair, F.lit(as_of).cast("timestamp").alias("asked_at")))
+        asked = questions.select(*pair)
+        known = cut_lineage(self.asked.lookup(asked, version).select(*pair))
+        # Prompts travel once, to the row of their text; all else is done on the two keys.
+        unasked = questions.select("request_id", "prompt").join(known.select("request_id").distinct(), "request_id", "left_anti")
+        self.store.write("prompts", version, unasked.dropDuplicates(["request_id"]))
+        new = asked.join(known, pair, "left_anti").dropDuplicates(pair)
+        self.asked.write(version, new.withColumn("asked_at", F.lit(as_of).cast("timestamp")))
