@@ -31,7 +31,7 @@ def fold(text: Column) -> Column:
     low = F.lower(text)
     bare = F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\p{M}", "")
     is_ascii = F.octet_length(text) == F.length(text)
-    return collapse(F.translate(F.when(is_ascii, low).otherwise(bare), ".,", "  "))
+    return collapse(F.replace(F.replace(F.when(is_ascii, low).otherwise(bare), F.lit("."), F.lit(" ")), F.lit(","), F.lit(" ")))
 
 
 def street_key(text: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 _WIDE = "".join(map(chr, (0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 SPACE = r"\s\x0b" + _WIDE + chr(0x2000) + "-" + chr(0x200A)
+#: One space.  Printable ASCII, most of any text, is ruled out by one comparison.
+BLANK = f"[[^!-~]&&[{SPACE}]]"
 _BEFORE_WORD, _AFTER_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _EDGE = rf"(?:{_BEFORE_WORD}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){_AFTER_WORD})"
 
@@ -89,11 +91,12 @@ def group(text: Column, pattern: str, n: int = 1, fold_case: bool = True) -> Col
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one blank; no blank at either end."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    # A single blank between words is left as it is.
+    return F.trim(F.regexp_replace(text, f"[[^ -~]&&[{SPACE}]]{BLANK}*| {BLANK}+", " "))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def cut(text: Column, size: int) -> Column:
@@ -102,7 +105,7 @@ def cut(text: Column, size: int) -> Column:
 
 def filled(text: Column) -> Column:
     """The text if it holds anything but white space, else NULL."""
-    return F.when(F.length(strip(text)) > 0, text)
+    return F.when(text.rlike(f"[^{SPACE}]"), text)
 
 
 def number_text(value: Column) -> Column:

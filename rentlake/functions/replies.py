@@ -160,7 +160,22 @@ def prompt_values(c: Criteria) -> dict[str, str]:
 
 
 def prompt(c: Criteria, payload: Column) -> Column:
-    """Prompt per listing: the listing goes in first, then the folded constants."""
+    """Prompt per listing: the listing goes in first, then the folded constants.
+
+    The constants are put into the text around the listing once; only a listing that itself holds what
+    may be a placeholder has them replaced in its whole prompt.
+    """
     if not c.rating_prompt:
         raise ValueError("criteria hold no rating prompt")
-    return fill(c.rating_prompt, {"listingJson": payload, **prompt_values(c)})
+    values = prompt_values(c)
+    whole = fill(c.rating_prompt, {"listingJson": payload, **values})
+    around = c.rating_prompt.split("{{listingJson}}")
+    for key, value in values.items():
+        around = [part.replace("{{" + key + "}}", value) for part in around]
+    if len(around) == 1 or any(part.endswith("{") or part.rfind("{{") > part.rfind("}}") for part in around[:-1]):
+        return whole  # no listing, or a placeholder could begin before it
+    pieces = [F.lit(around[0])]
+    for part in around[1:]:
+        pieces += [payload, F.lit(part)]
+    odd = F.contains(payload, F.lit("{{")) | F.endswith(payload, F.lit("{"))
+    return F.when(odd, whole).otherwise(F.concat(*pieces))

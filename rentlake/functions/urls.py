@@ -175,8 +175,10 @@ def url_score(url: Column) -> Column:
 
 def preferred_url(old: Column, new: Column) -> Column:
     """Higher score wins, a tie goes to the new one; blanks do not count."""
-    old, new = filled(old), filled(new)
-    return F.when(url_score(old) > url_score(new), old).otherwise(F.coalesce(new, old))
+    return (
+        F.when(filled(old).isNull(), filled(new)).when(filled(new).isNull(), old)
+        .when(url_score(old) > url_score(new), old).otherwise(new)
+    )
 
 
 def better_title(old: Column, new: Column) -> Column:

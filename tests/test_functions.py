@@ -126,3 +126,39 @@ def test_prompt(spark):
     text = spark.range(1).select(replies.prompt(c, replies.listing_json(F.lit("Trilocale"), F.lit(750), F.lit(None).cast("int"), F.lit(70.0), F.lit(2.5), F.lit(None).cast("string"), F.lit("x")))).first()[0]
     assert '{"title":"Trilocale","rentEur":750,"totalCostEur":750,"areaSqm":70,"rooms":2.5,"snippet":"x"}' in text
     assert "area 50-90 m²" in text and "{{" not in text
+
+
+def test_spaces_as_the_plain_patterns_take_them(spark):
+    import random
+    import re
+
+    from rentlake.functions import regex
+
+    rng = random.Random(3)
+    odd = " \t\n\r\x0b\x0c\xa0 　﻿ab.€"
+    texts = ["", " ", "\t", "a b", " a  b ", None] + ["".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(400)]
+    spaces = re.compile("[ \t\n\x0b\x0c\r" + regex._WIDE + " - ]+")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", regex.collapse(F.col("t")), regex.strip(F.col("t")), regex.filled(F.col("t"))).collect()
+    for t, collapsed, stripped, kept in rows:
+        bare = None if t is None else re.sub(rf"\A{spaces.pattern}|{spaces.pattern}\Z", "", t)
+        assert collapsed == (None if t is None else spaces.sub(" ", t).strip(" ")) and stripped == bare and kept == (t if bare else None)
+
+
+def test_prompt_constants_are_put_in_once(spark):
+    from dataclasses import replace
+
+    from rentlake import criteria
+    from rentlake.functions import replies
+
+    c = criteria.load()
+    payloads = ['{"title":"x"}', '{"title":"{{locale}} {{listingJson}}"}', "{}", "{", "{locale}}", None]
+    for template in (c.rating_prompt, "{{listingJson}}", "a{{{listingJson}} {{locale}}", "{{lo{{listingJson}}cale}}{{listingJson}}", "none {{locale}}", "{{listingJson}}{locale}} }}"):
+        with_template = replace(c, rating_prompt=template)
+        rows = spark.createDataFrame([(p,) for p in payloads], "p string")
+        plain = replies.fill(template, {"listingJson": F.col("p"), **replies.prompt_values(with_template)})
+        assert [r[0] for r in rows.select(replies.prompt(with_template, F.col("p"))).collect()] == [r[0] for r in rows.select(plain).collect()]
+    plan = spark.range(1).select(F.col("id").cast("string").alias("p")).select(replies.prompt(c, F.col("p")))._jdf.queryExecution().optimizedPlan().toString()
+    head = c.rating_prompt.split("{{listingJson}}")[0]
+    for key, value in replies.prompt_values(c).items():
+        head = head.replace("{{" + key + "}}", value)
+    assert head[-40:] in plan
