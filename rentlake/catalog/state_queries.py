@@ -60,7 +60,8 @@ def k2(spark, sf):
      select draft_id, target from ks join known using (fingerprint) where draft_id % 2 = 1 and canonical_url not in (select canonical_url from urls)""",
     "drafts", steps=KEYED))
 def k3(spark, sf):
-    d = upsert.keyed(view(spark, sf, "drafts")).join(view(spark, sf, "drafts").select("draft_key", "draft_id"), "draft_key")
+    # Written once: both halves and the filters read the keys, which are dear to derive.
+    d = cut_lineage(upsert.keyed(view(spark, sf, "drafts"), "draft_id").select("draft_id", "canonical_url", "fingerprint"))
     old, new = d.where("draft_id % 2 = 0"), d.where("draft_id % 2 = 1")
     known = old.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("canonical_url").alias("target"))
     missed = new.where("fingerprint is not null").join(old.select("canonical_url").distinct(), "canonical_url", "left_anti")

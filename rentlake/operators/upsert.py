@@ -58,13 +58,13 @@ def empty_listings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LISTING_SCHEMA)
 
 
-def keyed(drafts: DataFrame) -> DataFrame:
-    """Drafts with every column of the schema and the derived keys."""
+def keyed(drafts: DataFrame, *also: str) -> DataFrame:
+    """Drafts with every column of the schema and the derived keys, and the columns ``also``."""
     c = F.col
     missing = [F.lit(None).cast(t).alias(c) for c, t in _DRAFT_TYPES.items() if c not in drafts.columns]
     street = keys.street_key(keys.street_text(c("location_hint"), c("title"), c("raw_snippet")))
     return drafts.select("*", *missing).withColumn("_street", street).select(
-        "draft_key", "seen_at", "canonical_url",
+        *also, "draft_key", "seen_at", "canonical_url",
         *[c(n).cast(t).alias(n) for n, t in _DRAFT_TYPES.items()],
         keys.fingerprint(c("_street"), c("rent_eur"), c("rooms"), c("area_sqm")).alias("fingerprint"),
         keys.match_key(c("_street"), c("rent_eur"), c("rooms")).alias("match_key"),
