@@ -29,14 +29,20 @@ def flat_anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
 _CARRIED = ("message_id", "received_at", "subject", "sender", "route", "sale")
 
 
+#: Anchors of a frame that goes out, and one document's more at most.
+_FRAME = 2000
+
+
 def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [*_CARRIED, "pos", "href", "text", "block"]
     for batch in batches:
-        rows = [
-            (*carried, *anchor)
-            for scan, html, *carried in zip(batch["scan"], batch["body"], *(batch[c] for c in _CARRIED))
-            for anchor in dom.scan(scan, html)
-        ]
-        yield pd.DataFrame(rows, columns=[*_CARRIED, "pos", "href", "text", "block"])
+        rows = []
+        for scan, html, *carried in zip(batch["scan"], batch["body"], *(batch[c] for c in _CARRIED)):
+            rows.extend((*carried, *anchor) for anchor in dom.scan(scan, html))
+            if len(rows) >= _FRAME:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def message_anchors(messages: DataFrame) -> DataFrame:

@@ -192,3 +192,17 @@ def test_chunk_ends_join_rows_where_they_lie(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # all rows, their ends by chunk, these by key, and back: rows themselves move once
     assert plan.count("Exchange hashpartitioning") == 4 and "isnull(_chunk" not in plan
+
+
+def test_anchors_go_out_in_small_frames(monkeypatch):
+    import pandas as pd
+
+    from rentlake.operators import anchors
+
+    body = "".join(f'<a href="/x/{i}">t {i}</a>' for i in range(7))
+    rows = [(i, dt.datetime(2024, 3, 1), "s", "f", "r", False, "every", body) for i in range(50)]
+    batch = pd.DataFrame(rows, columns=["message_id", "received_at", "subject", "sender", "route", "sale", "scan", "body"])
+    monkeypatch.setattr(anchors, "_FRAME", 20, raising=False)
+    frames = list(anchors._scan_batches(iter([batch, batch.head(0)])))
+    assert max(map(len, frames)) <= 26
+    assert [(r.message_id, r.pos) for f in frames for r in f.itertuples()] == [(i, p) for i in range(50) for p in range(7)]
