@@ -61,6 +61,14 @@ def digest_cards(
     """Texts of one digest in sending order; ``queue`` sends all of them and says so."""
     # At most top_n rows, written once: counters, cards and divider read them, not the tables.
     chosen = cut_lineage(digest.selection(digest.digest_view(listings, scores), c, top_n))
+    return cards_of(chosen, c, as_of, new, duplicates, per_run, delay_ms, queue)
+
+
+def cards_of(
+    chosen: DataFrame, c: Criteria, as_of: str, new: int = 0, duplicates: int = 0,
+    per_run: int = 10, delay_ms: int = 2500, queue: bool = False,
+) -> DataFrame:
+    """Texts of a written selection in sending order."""
     split = digest.batches(chosen, per_run, queue)
     head = digest.send_stats(split).select(header_text(as_of, new, duplicates, queue, delay_ms).alias("h")).first()["h"]
     return digest.schedule(split, head, c.reference_name, as_of, delay_ms)

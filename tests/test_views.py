@@ -37,3 +37,13 @@ def test_a_lookup_in_an_empty_table_reads_nothing(spark, tmp_path):
     assert table.lookup(wanted).count() == 0
     table.write(1, spark.createDataFrame([("a", 1)], "k string, v int"))
     assert table.lookup(spark.createDataFrame([("a",)], "k string")).count() == 1
+
+
+def test_both_modes_of_the_digest_share_one_selection(spark, monkeypatch):
+    from rentlake.catalog import QUERIES
+    from rentlake.operators import digest
+
+    calls, select = [], digest.selection
+    monkeypatch.setattr(digest, "selection", lambda *a, **k: calls.append(1) or select(*a, **k))
+    assert QUERIES["w9_digest_cards"](spark, SF).count() == 2
+    assert len(calls) == 1
