@@ -3,8 +3,10 @@
 Texts are cut into pieces and those into words; phrases of 2 to 4 words that occur at least ``LEAST``
 times in a language are candidates.  A phrase's words and parts then occur as often, so words, pairs and triples that
 do not are left out before longer phrases are counted: three scans mark the frequent ones in bitmaps of a fixed
-size (a bit that two share only lets more through), a fourth counts all that remains exactly.
-Every task counts its own share first, so a frequent phrase is one row a share.
+size (a bit that two share only lets more through), and a scan for each length counts exactly what the maps let through.
+Every task counts its own share first, so a frequent phrase is one row a share, in the one scan of its length.  It travels
+as the hash of what stands before its last word, and that word; which words these are is known from the frequent phrases
+of one word less, in a join of the few that remain.  Words alone travel spelled.
 
 The counts are one stream, laid out twice.  In prefix order (by words, a phrase behind its own
 beginnings) one pass knows at each phrase the counts of its beginnings; in suffix order (by words from the last) the
@@ -13,8 +15,8 @@ beginnings of its first phrase, at most three counts.  Nothing is looked up by h
 same passes see each phrase next to its extensions by one word and mark those that one covers.  Longer
 extensions occur no more often than those by one word, so these decide.
 
-Scores are whole numbers in decimals of 38 digits.  Words are 64-bit hashes of language and word until
-the last step: two of N words collide with odds of N²/2⁶⁵.
+Scores are whole numbers in decimals of 38 digits.  Words and beginnings of phrases are 64-bit hashes
+until the last step: two of N collide with odds of N²/2⁶⁵.
 
 Defined cases: a null text is empty, a null language ``und``; texts without words count nothing; a piece shorter than a phrase
 does not hold it; repeated rows count each; ties by count, then by the phrase in byte order.
@@ -23,13 +25,14 @@ does not hold it; repeated rows count each; ties by count, then by the phrase in
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlake.llm.textbatch import LOWER, byte_prefix, gram_hash, mix, owners, runs, slices, span_hash
+from rentlake.llm.textbatch import LOWER, byte_prefix, mix, owners, runs, slices, span_hash
 from rentlake.session import cut_lineage
 
 #: Least count of a phrase, most words of it, and phrases reported of a language.
@@ -91,8 +94,8 @@ class _Share:
                     total[k] = total.get(k, 0) + n
         return np.array(list(total), np.int64), np.array(list(total.values()), np.int64)
 
-    def at(self, places: np.ndarray, spelled: bool) -> tuple[np.ndarray, pa.Array]:
-        """Languages of words, and their spelling if asked for."""
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Languages of words, and their spelling."""
         order = np.argsort(places)
         bounds = np.cumsum([0] + [len(t[1]) for t in self.texts])
         cuts = np.searchsorted(places[order], bounds)
@@ -100,7 +103,7 @@ class _Share:
         for (lang, row, low, starts, size), begin, a, b in zip(self.texts, bounds, cuts, cuts[1:]):
             own = places[order[a:b]] - begin
             langs.append(lang[row[own]])
-            names.append(_spelled(low, starts[own], size[own].astype(np.int64)) if spelled else pa.nulls(len(own), pa.string()))
+            names.append(_spelled(low, starts[own], size[own].astype(np.int64)))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return np.concatenate(langs)[back], pa.concat_arrays(names).take(pa.array(back))
@@ -123,9 +126,9 @@ def _shares(batches: Iterator[pa.RecordBatch], count: Callable[[_Share], pa.Reco
         yield count(share)
 
 
-def _counted(hashes: np.ndarray) -> pa.RecordBatch:
-    found, n = np.unique(hashes, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
+def _longer(head: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of phrases, from the hash of all words but the last (of two words: the first) and the last word's."""
+    return mix(mix(head) + last)
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -133,58 +136,60 @@ def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _begins(hashes: np.ndarray, follows: np.ndarray, maps: list[np.ndarray]) -> list[np.ndarray]:
-    """Where phrases of 1, 2, ... words begin whose parts the maps (of words, pairs, ...) all have; of one more word than there are maps, those whose longest parts are marked."""
-    here = [_marked(maps[0], hashes)] if maps else [np.ones(len(hashes), bool)]
+def _begins(hashes: np.ndarray, follows: np.ndarray, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places where phrases of one word more than there are maps (of words, pairs, ...) begin whose longest parts are
+    all marked, and the hashes of what stands before their last word."""
+    heads, here = hashes, _marked(maps[0], hashes)
     for n in range(2, len(maps) + 2):
-        own = here[-1][:-1] & here[-1][1:]
+        here = here[:-1] & here[1:]
         if n == 2:
-            own &= follows[:-1]
+            here &= follows[:-1]
         if n <= len(maps):
-            own &= _marked(maps[n - 1], gram_hash(hashes, n))
-        here.append(own)
-    return here
+            heads = _longer(heads[:-1], hashes[n - 1 :])
+            here &= _marked(maps[n - 1], heads)
+    places = np.flatnonzero(here)
+    return places, heads[places]
 
 
-def _count_next(maps):
-    """Phrases of one word more than the maps know, all of whose parts are marked, by hash."""
+_WORD = pa.schema([("hash", pa.int64()), ("lang", pa.int64()), ("name", pa.string()), ("n", pa.int64())])
 
-    def count(share: _Share) -> pa.RecordBatch:
-        hashes = share.whole(0)
-        n = len(maps) + 1
-        return _counted((gram_hash(hashes, n) if n > 1 else hashes)[_begins(hashes, share.whole(1), [m.value for m in maps])[-1]])
 
-    return lambda batches: _shares(batches, count)
+def _count_words(share: _Share) -> pa.RecordBatch:
+    """Words with language and spelling; without a spelling, how many words a language has."""
+    hashes = share.whole(0)
+    _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    lang, names = share.at(first)
+    langs, total = share.languages()
+    none = np.zeros(len(langs), np.int64)
+    own = [np.append(hashes[first].view(np.int64), none), np.append(lang, langs)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, own), pa.concat_arrays([names, pa.nulls(len(langs), pa.string())]), pa.array(np.append(counts, total))], schema=_WORD)
 
 
-_GRAM = "lang bigint, " + ", ".join(f"{w} bigint" for w in WORDS) + ", words int, name string, n bigint"
-_GRAM_TYPE = pa.schema([("lang", pa.int64()), *((w, pa.int64()) for w in WORDS), ("words", pa.int32()), ("name", pa.string()), ("n", pa.int64())])
+_GRAM = pa.schema([("head", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
 
 
-def _count_grams(maps):
-    """Phrases that the maps let through with their words, the spelling of words in them, and how many words each language has."""
+def _count_next(maps):
+    """Phrases of one word more than the maps know, all of whose parts are marked: the hash of what stands before the last word, and that word's.
 
-    def rows_of(lang: np.ndarray, grams: list[np.ndarray], counts: np.ndarray, names: pa.Array | None = None) -> pa.RecordBatch:
-        own = [pa.array(g.view(np.int64)) for g in grams] + [pa.array(np.full(len(counts), ABSENT))] * (LONGEST - len(grams))
-        names = pa.nulls(len(counts), pa.string()) if names is None else names
-        return pa.RecordBatch.from_arrays([pa.array(lang), *own, pa.array(np.full(len(counts), len(grams), np.int32)), names, pa.array(counts)], schema=_GRAM_TYPE)
+    In the order of the first, so that rows travel next to others that begin alike."""
 
     def count(share: _Share) -> pa.RecordBatch:
         hashes = share.whole(0)
-        langs, total = share.languages()
-        out = [rows_of(langs, [], total)]
-        begins = _begins(hashes, share.whole(1), [m.value for m in maps])
-        # a word that stands in no marked pair is in no phrase
-        begins[0] = np.append(begins[1], False) | np.append(False, begins[1])
-        for i, here in enumerate(begins):
-            places = np.flatnonzero(here)
-            _, first, counts = np.unique((gram_hash(hashes, i + 1) if i else hashes)[places], return_index=True, return_counts=True)
-            first = places[first]
-            lang, names = share.at(first, i == 0)
-            out.append(rows_of(lang, [hashes[first + j] for j in range(i + 1)], counts, names))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-    return lambda batches: _shares(batches, count, spelled=True)
+        places, head = _begins(hashes, share.whole(1), [m.value for m in maps])
+        last = hashes[places + len(maps)]
+        order = np.lexsort((last, head))
+        head, last = head[order], last[order]
+        first = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (last[1:] != last[:-1]))[: len(head)])
+        counts = np.diff(np.append(first, len(head)))
+        return pa.RecordBatch.from_arrays([pa.array(head[first].view(np.int64)), pa.array(last[first].view(np.int64)), pa.array(counts)], schema=_GRAM)
+
+    return lambda batches: _shares(batches, count)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        head, last = (rows.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_longer(head, last).view(np.int64))], [*_GRAM.names, "hash"])
 
 
 def _bitmap(often: DataFrame):
@@ -203,16 +208,32 @@ def frequent(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str
     """(lang, w1..w4, words, name, n): every phrase of two to four words with at least so many places, the words of
     these with their spelling and all their places; a row without words is the number of all words of a language."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), _language(lang))
-    maps: list = []
-    often: list[DataFrame] = []
+    counted = rows.mapInArrow(lambda batches: _shares(batches, _count_words, spelled=True), "hash bigint, lang bigint, name string, n bigint")
+    words = cut_lineage(counted.groupBy("hash", "lang", "name").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("name").isNull()))
+    longer: list[DataFrame] = []
+    maps = [_bitmap(words.where("name is not null"))]
     for _ in range(1, LONGEST):
-        counted = rows.mapInArrow(_count_next(list(maps)), "hash bigint, n bigint")
-        often.append(cut_lineage(counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
-        maps.append(_bitmap(often[-1]))
-    key = ["lang", *WORDS, "words", "name"]
-    grams = cut_lineage(rows.mapInArrow(_count_grams(maps), _GRAM).groupBy(*key).agg(F.sum("n").alias("n")).where((F.col("words") < 2) | (F.col("n") >= least)))
-    words = grams.where("words = 1").drop("n").join(often[0].withColumnRenamed("hash", "w1"), "w1").select(*key, "n")
-    return cut_lineage(grams.where("words <> 1").unionByName(words))
+        counted = rows.mapInArrow(_count_next(list(maps)), "head bigint, last bigint, n bigint")
+        often = counted.groupBy("head", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        longer.append(cut_lineage(often.mapInArrow(_hashed, "head bigint, last bigint, n bigint, hash bigint")))
+        if len(maps) < LONGEST - 1:
+            maps.append(_bitmap(longer[-1]))
+    return cut_lineage(_spelled_out(words, longer))
+
+
+def _spelled_out(words: DataFrame, longer: list[DataFrame]) -> DataFrame:
+    """The words of phrases, from those of the phrases they begin with."""
+    # a word that stands in no pair is in no phrase
+    used = longer[0].select(F.explode(F.array("head", "last")).alias("hash")).distinct()
+    known = words.where("name is not null").join(used, "hash", "left_semi")
+    begins = known.select(F.col("hash").alias("head"), "lang", F.col("hash").alias("w1"))
+    grams = [words.where("name is null").select("lang", F.lit(0).alias("words"), "name", "n"), known.select("lang", F.col("hash").alias("w1"), F.lit(1).alias("words"), "name", "n")]
+    for k, own in enumerate(longer, 2):
+        whole = own.join(begins, "head").withColumnRenamed("last", f"w{k}")
+        grams.append(whole.select("lang", *WORDS[:k], F.lit(k).alias("words"), F.lit(None).cast("string").alias("name"), "n"))
+        begins = whole.select(F.col("hash").alias("head"), "lang", *WORDS[:k])
+    rows = [g.select("lang", *[F.col(w) if w in g.columns else F.lit(ABSENT).alias(w) for w in WORDS], "words", "name", "n") for g in grams]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _language(lang: str):

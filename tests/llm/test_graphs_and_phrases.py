@@ -158,6 +158,24 @@ def test_collocations_equal_brute_force(spark, monkeypatch, odd_texts, block):
     assert sorted(map(tuple, got)) == sorted(brute.collocations(rows, 4, 25))
 
 
+def test_a_share_counts_a_phrase_in_one_scan(spark, monkeypatch):
+    """Before, the last scan repeated every frequent word, pair and triple of each share next to the phrases of four words."""
+    made = []
+
+    def counting(self, function, schema, *args, **kwargs):
+        out = whole(self, function, schema, *args, **kwargs)
+        if self.columns == ["text", "lang"]:
+            made.append(out.count())
+        return out
+
+    frame = spark.createDataFrame([("one two three four five", "en")] * 40, "text string, lang string").coalesce(1)
+    whole = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", counting)
+    found = collocations.frequent(frame).collect()
+    assert made == [5 + 1, 4, 3, 2]  # five words and their language, four pairs, three triples, two of four
+    assert sorted((r.words, r.n) for r in found) == [(0, 200)] + [(1, 40)] * 5 + [(2, 40)] * 4 + [(3, 40)] * 3 + [(4, 40)] * 2
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert collocations.mine(empty).collect() == []
