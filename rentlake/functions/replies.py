@@ -14,7 +14,7 @@ from rentlake.functions.regex import cut, half_up, stages, strip
 def clamp10(value: Column) -> Column:
     """Rounded to 0..10; NULL, NaN and infinity give 0."""
     double = value.cast("double")
-    finite = double.isNotNull() & ~F.isnan(double) & (F.abs(double) != float("inf"))
+    finite = F.abs(double) < float("inf")  # NaN is larger than any number
     return F.when(finite, F.least(F.lit(10), F.greatest(F.lit(0), half_up(double)))).otherwise(F.lit(0)).cast("int")
 
 
@@ -23,21 +23,19 @@ def document(response: Column) -> Column:
     return F.try_parse_json(response)
 
 
-def _raw(doc: Column, key: str) -> Column:
-    return F.try_variant_get(doc, f"$.{key}", "double")
+def _criteria(doc: Column, kind: str) -> Column:
+    """The asked criteria as one struct, read in one call; what does not fit the type is NULL there."""
+    return F.try_variant_get(doc, "$", f"struct<{', '.join(f'{k}: {kind}' for k in V.REPLY_KEYS)}>")
 
 
-def criteria_scores(doc: Column) -> Column:
-    """Struct of the nine asked criteria; proximity is filled in by us."""
-    fields = [clamp10(_raw(doc, k)).alias(k) for k in V.REPLY_KEYS]
+def _clamped(numbers: Column) -> Column:
+    fields = [clamp10(numbers[k]).alias(k) for k in V.REPLY_KEYS]
     return F.struct(*fields, F.lit(0).alias("proximityToReference"))
 
 
-def has_any_criterion(doc: Column) -> Column:
-    found = F.lit(False)
-    for key in V.REPLY_KEYS:
-        found = found | F.coalesce(F.try_variant_get(doc, f"$.{key}", "string").isNotNull(), F.lit(False))
-    return found
+def criteria_scores(doc: Column) -> Column:
+    """Struct of the nine asked criteria; proximity is filled in by us."""
+    return _clamped(_criteria(doc, "double"))
 
 
 def composite(scores: Column) -> Column:
@@ -77,16 +75,16 @@ def with_proximity(scores: Column, proximity: Column) -> Column:
 
 def with_result(df: DataFrame, c: Criteria, response: str, prefix: str, proximity: Column | None = None) -> DataFrame:
     """Add composite, scores, summary, risk and text line of a reply; NULL where it holds no criterion."""
-    doc, scores = F.col(f"_{prefix}doc"), F.col(f"_{prefix}scores")
+    doc, numbers, texts, scores = (F.col(f"_{prefix}{n}") for n in ("doc", "numbers", "texts", "scores"))
     ok = F.col(f"{prefix}usable")
-    read = criteria_scores(doc)
+    read = _clamped(numbers)
+    # each step is a function of its own in the generated code, small enough for the JVM to compile
     df = stages(
         df,
         {f"_{prefix}doc": document(F.col(response))},
-        {
-            f"{prefix}usable": has_any_criterion(doc),
-            f"_{prefix}scores": read if proximity is None else with_proximity(read, proximity),
-        },
+        {f"_{prefix}texts": _criteria(doc, "string")},
+        {f"{prefix}usable": F.coalesce(*[texts[k] for k in V.REPLY_KEYS]).isNotNull(), f"_{prefix}numbers": _criteria(doc, "double")},
+        {f"_{prefix}scores": read if proximity is None else with_proximity(read, proximity)},
     )
     fields = {
         "composite": composite(scores),
@@ -97,7 +95,7 @@ def with_result(df: DataFrame, c: Criteria, response: str, prefix: str, proximit
         "line": scores_text(c, scores),
     }
     return df.withColumns({f"{prefix}{n}": F.when(ok, x) for n, x in fields.items()}).drop(
-        f"_{prefix}doc", f"_{prefix}scores"
+        *[f"_{prefix}{n}" for n in ("doc", "numbers", "texts", "scores")]
     )
 
 
