@@ -132,6 +132,10 @@ def test_reply_is_read_in_functions_that_the_jvm_compiles(spark, capsys):
     catalog.QUERIES["j2_reply_result"](spark, "/root/testdata/sf0.001").explain("codegen")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8000
+    rows = spark.range(9).selectExpr("cast(id as string) as x", "cast(id as int) as p")
+    replies.with_result(rows, criteria.load(), "x", "m_", F.col("p")).explain("codegen")  # 10,017 before
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
 
 
 def test_rule_score_and_blend(spark):
