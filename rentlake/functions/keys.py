@@ -37,8 +37,9 @@ def fold(text: Column) -> Column:
 def street_key(text: Column) -> Column:
     """``via-<name>[-<number>]`` of the first street in the text."""
     words = F.split(F.regexp_extract(fold(text), js(V.STREET, fold_case=False), 0), " ")
-    rest = F.array_join(F.slice(words, 2, 2), "-")
-    return F.concat(F.lit("via-"), F.nullif(rest, F.lit("")))
+    # Empty as null by way of an array: inside a condition, nullif derives its text twice.
+    rest = F.array_remove(F.array(F.array_join(F.slice(words, 2, 2), "-")), F.lit(""))
+    return F.concat(F.lit("via-"), F.get(rest, F.lit(0)))
 
 
 def street_text(hint: Column, title: Column, snippet: Column) -> Column:

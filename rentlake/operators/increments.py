@@ -63,19 +63,22 @@ class Listings:
         merged = merge_keyed(old, batch)
         changed = cut_lineage(merged.changes.select(F.col("target_url").alias("canonical_url")).distinct())
         after = backfill_match_keys(merged.listings.join(changed, _URL, "left_semi").select(*merged.listings.columns))
-        self.put(version, old.join(changed, _URL, "left_semi"), after)
+        self.put(version, cut_lineage(old.join(changed, _URL, "left_semi")), cut_lineage(after))
         return merged
 
     def put(self, version: int, before: DataFrame, after: DataFrame) -> None:
-        """Replace rows: ``before`` as they are stored, ``after`` as they are to be; what is only in ``before`` goes."""
-        before, after = cut_lineage(before.select(*self.rows.columns)), cut_lineage(after.select(*self.rows.columns))
+        """Replace rows: ``before`` as they are stored, ``after`` as they are to be; what is only in ``before`` goes.
+
+        Both are read several times, a few columns each: give written tables, or selections of them.
+        """
+        before, after = before.select(*self.rows.columns), after.select(*self.rows.columns)
         left, entered = _members(before), _members(after)
         known = cut_lineage(self.members.lookup(left.select("property_match_key").unionAll(entered.select("property_match_key")), version))
-        now = cut_lineage(known.join(left, _MEMBER, "left_anti").unionByName(entered))
-        oldest = cut_lineage(_oldest(now, "primary_id"))
+        stay = known.join(left, _MEMBER, "left_anti")
+        oldest = cut_lineage(_oldest(stay.unionByName(entered), "primary_id"))
         moved = oldest.join(_oldest(known, "was"), "property_match_key", "left").where(F.col("primary_id") != F.col("was")).drop("was")
-        others = now.join(moved, "property_match_key", "left_semi").join(after, _URL, "left_anti")
-        again = self.rows.lookup(others.select(*_URL), version)
+        others = stay.join(moved, "property_match_key", "left_semi").join(after, _URL, "left_anti")
+        again = self.rows.lookup(cut_lineage(others.select(*_URL)), version)
         rows = _linked(after, oldest).unionByName(_linked(again, oldest))
         self.holders.write(version, _holders(after).join(_holders(before), _HOLDER, "left_anti"), _holders(before).join(_holders(after), _HOLDER, "left_anti"))
         self.members.write(version, entered, left.join(entered, _MEMBER, "left_anti"))

@@ -55,7 +55,7 @@ _DRAFT_TYPES = {
 
 
 def empty_listings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LISTING_SCHEMA)
+    return spark.createDataFrame([], LISTING_SCHEMA).limit(0)  # known to be empty before it runs
 
 
 def keyed(drafts: DataFrame, *also: str) -> DataFrame:

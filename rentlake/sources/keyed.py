@@ -6,17 +6,23 @@ its keys can lie in.  Every ``fold_every`` batches base and changes become the n
 opens one base and fewer than that many changes, however long the table has lived.  Versions
 before the last base but one are dropped.
 
-A batch reads what stood before its own version and writes that version only, so running it again gives
-the same rows.
+A batch gives a key at most once.  It reads what stood before its own version and writes that version
+only, so running it again gives the same rows.
+
+A batch of any size is written by as many tasks as its rows need, however few the parts: a large part is
+dealt out by a hash of the keys, and further by its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlake.sources.store import Store
 
+#: Shares that the parts of a table are dealt into together, where a batch has rows enough.
+SHARES = 64
+
 
 class Keyed:
     """``keys`` tell rows apart and are never null; ``by`` is the one rows are laid out by (the first key, if not given)."""
@@ -40,7 +46,7 @@ class Keyed:
         spark = self.store.spark
         schema = f"{self.schema}, gone boolean, version bigint, bucket int"
         if not versions:
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], schema).limit(0)  # known to be empty before it runs
         reader = spark.read.schema(schema).option("basePath", f"{self.store.root}/{table}")
         rows = reader.parquet(*[self.store.path(table, v) for v in versions])
         return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
@@ -51,10 +57,13 @@ class Keyed:
         old = only(self._scan(self.base, base, buckets)).select(*self.columns) if base else None
         if not changes:
             return self._scan(self.base, [], None).select(*self.columns) if old is None else old
-        others = [c for c in self.columns if c not in self.keys]
-        newest = F.max_by(F.struct(F.lit(0), *others, "gone"), "version").alias("_row")
-        new = only(self._scan(self.table, changes, buckets)).groupBy(*self.keys).agg(newest)
-        now = new.where(~F.col("_row.gone")).select(*[c if c in self.keys else F.col(f"_row.{c}").alias(c) for c in self.columns])
+        new = only(self._scan(self.table, changes, buckets))
+        rows = new
+        if len(changes) > 1:
+            # A window and not max_by of whole rows: only the columns that the reader selects are moved.
+            newest = F.max("version").over(Window.partitionBy(*self.keys))
+            rows = new.withColumn("_newest", newest).where("version = _newest")
+        now = rows.where(~F.col("gone")).select(*self.columns)
         return now if old is None else old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(now)
 
     def read(self, before: int | None = None) -> DataFrame:
@@ -65,9 +74,9 @@ class Keyed:
         """Rows whose ``by`` column is among the ``wanted``; only parts that can hold them are read."""
         if not any(self._parts(before)):
             return self._state(before)
-        wanted = wanted.select(self.by).where(F.col(self.by).isNotNull()).distinct()
+        wanted = wanted.select(self.by).where(F.col(self.by).isNotNull())
         near = [r[0] for r in wanted.select(self.bucket()).distinct().collect()]  # at most one per bucket
-        return self._state(before, near if len(near) < self.buckets else None, wanted)
+        return self._state(before, near if len(near) < self.buckets else None, wanted.distinct())
 
     def write(self, version: int, rows: DataFrame, gone: DataFrame | None = None) -> None:
         """Put rows in, and take away those whose keys (and ``by``) are in ``gone``."""
@@ -82,7 +91,8 @@ class Keyed:
             self._drop(base[0] if base else 0)
 
     def _write(self, table: str, version: int, rows: DataFrame) -> None:
-        placed = rows.withColumn("bucket", self.bucket()).repartition("bucket")
+        share = F.pmod(F.hash(*self.keys), F.lit(-(-SHARES // self.buckets)))  # another hash than that of the parts
+        placed = rows.withColumns({"bucket": self.bucket(), "_share": share}).hint("rebalance", "bucket", "_share").drop("_share")
         with self.store.writing(table, version):
             placed.write.mode("overwrite").partitionBy("bucket").parquet(self.store.path(table, version))
 

@@ -47,6 +47,31 @@ def test_lookup_reads_only_the_parts_it_needs(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(5, 3)]
 
 
+def test_few_parts_are_written_by_many_tasks(spark, tmp_path):
+    """As many as a large batch needs; a small one is still one file a part."""
+    table = Keyed(Store(spark, str(tmp_path)), "t", "k int, n int", ["k"], buckets=2)
+    rows = spark.range(2000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("n"))
+    files = lambda version: len(spark.read.parquet(table.store.path("t", version)).inputFiles())
+    table.write(1, rows)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # as if its rows were too many to be coalesced
+    try:
+        table.write(2, rows)
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert files(1) == 2 and files(2) > 4
+    assert table.read().count() == 2000
+
+
+def test_a_read_of_some_columns_reads_no_others(spark, tmp_path):
+    table = Keyed(Store(spark, str(tmp_path)), "t", "k int, n int, wide string", ["k"], buckets=2)
+    for version in (1, 2):
+        table.write(version, spark.range(version, 4).selectExpr("cast(id as int) as k", f"{version} as n", "'w' as wide"), spark.range(1).selectExpr("cast(id as int) as k"))
+    some = table.read().select("k", "n")
+    assert "wide" not in some._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, some.collect())) == [(1, 1), (2, 2), (3, 2)]
+
+
 def drafts(spark, rng, batch, n):
     rows = []
     for i in range(n):

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rentlake.catalog import views
-from rentlake.operators import upsert
+from rentlake.functions import keys
+from rentlake.operators import duplicates, upsert
 from rentlake.sources.keyed import Keyed
 from rentlake.sources.store import Store
 
@@ -31,6 +32,21 @@ def test_keys_keep_further_columns(spark):
     assert got["draft_id"] == 7 and got["fingerprint"] == "via-roma-1|r?|a?|€500"
 
 
+def test_listings_are_sorted_by_a_hash_of_their_url_first(spark):
+    """URLs begin alike, so that each comparison of two of them reads both texts."""
+    plan = views.view(spark, SF, "listings")._jdf.queryExecution().executedPlan().toString()
+    sorts = [line.split("Sort [")[1] for line in plan.split("\n") if "Sort [" in line]
+    assert sorts and not any(line.startswith("canonical_url") for line in sorts)
+
+
+def test_a_match_key_derives_its_street_once(spark):
+    rows = views.view(spark, SF, "listings").withColumn("property_match_key", F.lit(None).cast("string"))
+    plan = duplicates.backfill_match_keys(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+    blank = spark.createDataFrame([("Torino",), ("Via Po 3, Torino",), ("corso Dante",), (None,)], "t string")
+    assert [r[0] for r in blank.select(keys.street_key(F.col("t"))).collect()] == [None, "via-po-3", "via-dante", None]
+
+
 def test_a_lookup_in_an_empty_table_reads_nothing(spark, tmp_path):
     table = Keyed(Store(spark, str(tmp_path)), "t", "k string, v int", ["k"], buckets=2)
     wanted = spark.range(3).select(F.raise_error(F.lit("read")).cast("string").alias("k"))
