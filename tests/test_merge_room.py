@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from rentlake.catalog import views
 from rentlake.operators import upsert
+from rentlake.operators.increments import Listings
 from rentlake.operators.ordered import numbered
 from rentlake.session import any_size, cut_lineage, scratch, shared_dir
+from rentlake.sources import keyed
+from rentlake.sources.keyed import Keyed
+from rentlake.sources.store import Store
 from tests.test_operators import SCHEMA, draft
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +101,27 @@ def test_a_draft_in_the_order_of_time_opens_at_once(spark):
     rows, total = numbered(drafts, "seen_at", "draft_key")
     got = {r["draft_key"]: (r["target_url"], r["opens"]) for r in upsert.resolve(rows, listings, total).collect()}
     assert got == {1: ("u1", True), 2: ("u2", True), 3: ("u3", False)}
+
+
+def test_stored_listings_are_not_gathered(spark, tmp_path, monkeypatch):
+    """Tables of stored listings are wide and mostly blank: their few columns look small enough to send to every task."""
+    plans = []
+    monkeypatch.setattr(Keyed, "_write", lambda self, table, version, rows, write=Keyed._write: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, table, version, rows))[1])
+    table, rows, before = Listings(Store(spark, str(tmp_path)), buckets=2), some(spark), written(spark)
+    for version, part in ((1, rows.where("draft_key < 'c'")), (2, rows.where("draft_key >= 'c'"))):
+        merged = table.merge(version, part)
+    assert sum(r["rent_eur"] for r in table.rows.read().collect()) == 1250 and merged.changes.count() == 3
+    assert len(written(spark) - before) == 6  # three results a batch
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_many_keys_looked_up_are_joined_where_they_lie(spark, tmp_path, monkeypatch):
+    table = Keyed(Store(spark, str(tmp_path)), "t", "k int, n int", ["k"], buckets=2)
+    table.write(1, spark.range(20).selectExpr("cast(id as int) as k", "1 as n"))
+    join = lambda: table.lookup(spark.range(5, 30).selectExpr("cast(id as int) as k"))
+    few = join()
+    monkeypatch.setattr(keyed, "FEW", 10)
+    many = join()
+    named = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in named(few) and "BroadcastHashJoin" not in named(many)
+    assert few.count() == many.count() == 15
