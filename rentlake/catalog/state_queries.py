@@ -20,7 +20,7 @@ from rentlake.operators.ledger import Ledger
 from rentlake.operators.ordered import chunk, numbered, with_previous
 from rentlake.operators.requests import Requests
 from rentlake.plans import daily, ingest, rate
-from rentlake.session import cut_lineage, fresh_folder
+from rentlake.session import cut_lineage, fresh_folder, scratch
 from rentlake.sources.store import Store
 
 NOW = "2001-06-01 00:00:00"
@@ -318,7 +318,8 @@ def t35_table(spark, sf):
     store = Store(spark, fresh_folder(spark, "t35"))
     requests, rows = Requests(store, buckets=8), view(spark, sf, "drafts").withColumn("id", F.col("draft_id").cast("string"))
     for version, part in ((1, rows.where("draft_id % 2 = 0")), (2, rows)):
-        requests.ask(version, requests.questions(part, C), NOW)
+        with scratch(spark):  # the questions of a run go when they are entered
+            requests.ask(version, requests.questions(part, C), NOW)
     schema = "request_id string, prompt string"
     written = [spark.read.schema(schema).parquet(store.path("prompts", v)).select("request_id", F.lit(v).alias("asked_in")) for v in (1, 2)]
     listings = requests.asked.read().groupBy("request_id").agg(F.count("*").alias("listings"))
